@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seqlake.llm import exact_dedup, line_dedup, ngram_join, sharding
+from seqlake.llm import exact_dedup, line_dedup, ngram_join, sharding, substring_dedup
 
 QUERIES = {
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_ring_sharding": sharding.op4_ring_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,

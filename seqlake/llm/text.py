@@ -40,6 +40,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # of each text, the place of its first word, and one past the last text
+    bounds: np.ndarray  # of each text, the place of its first byte, and one past the last text
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """64 bits for each word, from its bytes (A-Z lower-cased if asked) and its length."""
@@ -93,7 +94,7 @@ def words(column: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Iterat
         start[cuts] = inside[cuts]
         end[cuts - 1] = inside[cuts - 1]
         starts = np.flatnonzero(start[:-1])
-        yield Words(np.arange(a, b), piece, starts, np.flatnonzero(end[:-1]) + 1, np.searchsorted(starts, bounds))
+        yield Words(np.arange(a, b), piece, starts, np.flatnonzero(end[:-1]) + 1, np.searchsorted(starts, bounds), bounds)
 
 
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
