@@ -72,7 +72,7 @@ def line_dedup(docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text
     """
     gone = removed_lines(docs, min_sites, id_col, text_col, site_col)
     gone = gone.select(F.col("id").alias("_gone_id"), F.col("drop").alias("_drop"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
     text = F.when(F.col("_drop").isNull(), docs[text_col]).otherwise(kept)
     return joined.select(
