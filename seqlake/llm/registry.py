@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from seqlake.llm import exact_dedup, line_dedup, ngram_join, sharding, substring_dedup
+from seqlake.llm import (
+    exact_dedup, language_id, line_dedup, mixing, neighbours, ngram_join, quotations, sentencepiece, sharding, substring_dedup,
+)
 
 QUERIES = {
-    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op1_learned_partitions": neighbours.op1_learned_partitions,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_quotation_linking": quotations.op3_quotation_linking,
     "op4_ring_sharding": sharding.op4_ring_sharding,
+    "op5_sentencepiece": sentencepiece.op5_sentencepiece,
+    "op6_language_id": language_id.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 

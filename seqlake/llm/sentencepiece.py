@@ -94,7 +94,8 @@ def _viterbi(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]
     prefix = _keys(points)
     scores, ids, power = {}, {}, np.uint64(1)
     for span in range(1, length + 1):
-        power = power * _BASE
+        with np.errstate(over="ignore"):
+            power = power * _BASE
         if span not in table.by_length:
             continue
         keys, piece_ids, piece_scores = table.by_length[span]
