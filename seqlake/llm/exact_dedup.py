@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     repeated = scratch.save(repeated, "repeated")
     merged = (
-        rows.join(repeated, "digest", "left_semi")
+        rows.join(repeated.hint("merge"), "digest", "left_semi")
         .groupBy("digest", salt.alias("salt"), "content")
         .agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
         .groupBy("digest", "content")
