@@ -180,7 +180,7 @@ class SuffixAutomaton:
 
 
 def _matched(window: int):
-    """Rows (hi, lo, hits): the windows of a streamed segment that a smaller document holds."""
+    """Rows (hi, lo, runs): runs (start, windows) of a streamed segment that smaller documents hold."""
 
     def run(table: pa.Table) -> pa.Table:
         column = table.column("words").combine_chunks()
@@ -193,16 +193,18 @@ def _matched(window: int):
             if r != "stream":
                 automaton.add(symbols[off[k] - base:off[k + 1] - base], ids[k])
         automaton.close()
-        rows, hits = [], []
+        rows, runs = [], []
         for k, r in enumerate(role):
             if r != "reference":
                 found = automaton.owners(symbols[off[k] - base:off[k + 1] - base], window)
-                hit = [i for i, owner in enumerate(found) if owner < ids[k]]
-                if hit:
+                hit = np.flatnonzero(np.array(found) < ids[k])
+                if len(hit):
+                    cut = np.flatnonzero(np.diff(hit) > 1)
+                    begin, end = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]
                     rows.append(k)
-                    hits.append(hit)
+                    runs.append([{"start": a, "windows": b - a + 1} for a, b in zip(begin.tolist(), end.tolist())])
         picked = table.select(["hi", "lo"]).take(pa.array(rows, pa.int64()))
-        return picked.append_column("hits", pa.array(hits, pa.list_(pa.int64())))
+        return picked.append_column("runs", pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("windows", pa.int64())]))))
 
     return run
 
@@ -256,6 +258,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     shared = scratch.save(shared, "shared")
     held = each.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     held = scratch.save(held, "held")
+    scratch.drop(anchors, shared)
     total = held.agg(F.sum(F.size("anchors"))).first()[0] or 0
     shards = max(1, total * window // BLOCK_WORDS)
     chosen = source.join(held.hint("merge"), "id").select("id", "text", "anchors")
@@ -264,8 +267,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     )
     key = ["shard", "hi", "lo"]
     distinct = scratch.save(
-        found.groupBy(*key).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("words", True).alias("words")), "distinct"
+        found.groupBy(*key).agg(F.min("id").alias("first_id"), F.first("words", True).alias("words")), "distinct"
     )
+    places = scratch.save(found.select(*key, "id", "start", "windows"), "places")
+    scratch.drop(held, found)
 
     blocks = distinct.groupBy("shard").agg(F.ceil(F.sum(F.size("words")) / BLOCK_WORDS).cast("int").alias("blocks"))
     dealt = distinct.join(blocks, "shard").withColumn("own", F.pmod("hi", "blocks").cast("int"))
@@ -276,15 +281,14 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     reference = apart.select(*cols, F.col("own").alias("reference"), F.col("k").alias("streamed"), F.lit("reference").alias("role"))
     streamed = apart.select(*cols, F.col("k").alias("reference"), F.col("own").alias("streamed"), F.lit("stream").alias("role"))
     tasks = both.unionByName(reference).unionByName(streamed)
-    hits = tasks.groupBy("shard", "reference", "streamed").applyInArrow(_matched(window), "hi long, lo long, hits array<long>")
-    hits = scratch.save(hits, "hits").select("hi", "lo", F.explode("hits").alias("hit"))
-
-    places = found.select(*key, "id", "start", "windows")
-    owners = distinct.select(*key, "first_id")
-    placed = places.join(owners, key)
-    copies = placed.where("id > first_id").select("id", "start", "windows")
-    firsts = placed.where("id = first_id").join(hits, ["hi", "lo"]).select("id", (F.col("start") + F.col("hit")).alias("start"), F.lit(1).cast("long").alias("windows"))
-    return copies.unionByName(firsts).groupBy("id").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    runs = tasks.groupBy("shard", "reference", "streamed").applyInArrow(_matched(window), "hi long, lo long, runs array<struct<start:long,windows:long>>")
+    runs = scratch.save(runs, "runs")
+
+    placed = places.join(distinct.select(*key, "first_id"), key)
+    copies = placed.where("id > first_id").select("id", F.array(F.struct("start", "windows")).alias("spans"))
+    moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), r["windows"].alias("windows")))
+    firsts = placed.where("id = first_id").join(runs, ["hi", "lo"]).select("id", moved.alias("spans"))
+    return copies.unionByName(firsts).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
