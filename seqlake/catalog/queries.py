@@ -601,7 +601,7 @@ def _(t):
     return W.seq_gaps(t.feed)
 
 
-@query("w4_check_invariants", f"""SELECT min(did) AS did, seq, 'repeated_seq' AS fault FROM b GROUP BY seq HAVING count(*) > 1 UNION ALL SELECT did, seq, 'rev_falls' FROM (SELECT *, max(rev) OVER (PARTITION BY did ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b WHERE {KINDS}) WHERE rev < m""".replace("SELECT min(did)", "WITH b AS (SELECT CASE WHEN seq % 101 = 0 THEN seq - 1 ELSE seq END AS seq, did, kind, CASE WHEN seq % 97 = 0 THEN translate(rev, 'bcd', '234') ELSE rev END AS rev FROM log) SELECT min(did)", 1))
+@query("w4_check_invariants", f"""SELECT min(did) AS did, seq, 'repeated_seq' AS fault FROM b GROUP BY seq HAVING count(*) > 1 UNION ALL SELECT did, seq, 'rev_falls' FROM (SELECT *, max(rev) OVER (PARTITION BY did ORDER BY seq, rev ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b WHERE {KINDS}) WHERE rev < m""".replace("SELECT min(did)", "WITH b AS (SELECT CASE WHEN seq % 101 = 0 THEN seq - 1 ELSE seq END AS seq, did, kind, CASE WHEN seq % 97 = 0 THEN translate(rev, 'bcd', '234') ELSE rev END AS rev FROM log) SELECT min(did)", 1))
 def _(t):
     bad = t.log.withColumn("rev", F.when(F.col("seq") % 97 == 0, F.translate("rev", "bcd", "234")).otherwise(F.col("rev")))
     return W.check_invariants(bad.withColumn("seq", F.when(F.col("seq") % 101 == 0, F.col("seq") - 1).otherwise(F.col("seq"))))
@@ -665,8 +665,8 @@ def _(t):
     return W.coalesce_blocks(blocks)
 
 
-@query("w15_slow_consumers", """WITH s AS (SELECT *, sum(st) OVER (PARTITION BY consumer ORDER BY at) AS streak FROM (SELECT *, CASE WHEN lag > 100 AND NOT coalesce(lag(lag) OVER (PARTITION BY consumer ORDER BY at) > 100, false) THEN 1 ELSE 0 END AS st FROM progress))
-  SELECT * FROM (SELECT consumer, CAST(streak AS BIGINT) AS streak, min(at) AS since, max(at) AS until, min(pos) AS from_pos, max(pos) AS to_pos, (max(pos) - min(pos)) / nullif(max(at) - min(at), 0) AS rate FROM s WHERE lag > 100 GROUP BY consumer, streak) WHERE until - since >= 100 AND rate < 3""")
+@query("w15_slow_consumers", """WITH s AS (SELECT *, sum(st) OVER (PARTITION BY consumer ORDER BY seen_at) AS streak FROM (SELECT *, CASE WHEN lag > 100 AND NOT coalesce(lag(lag) OVER (PARTITION BY consumer ORDER BY seen_at) > 100, false) THEN 1 ELSE 0 END AS st FROM progress))
+  SELECT * FROM (SELECT consumer, CAST(streak AS BIGINT) AS streak, min(seen_at) AS since, max(seen_at) AS until, min(pos) AS from_pos, max(pos) AS to_pos, (max(pos) - min(pos)) / nullif(max(seen_at) - min(seen_at), 0) AS rate FROM s WHERE lag > 100 GROUP BY consumer, streak) WHERE until - since >= 100 AND rate < 3""")
 def _(t):
     return W.slow_consumers(t.progress, 100, 3.0, 100)
 

@@ -107,7 +107,7 @@ DERIVED = {
     "dirty": """SELECT seq, witnessed_at, indexed_at, kind, did, CASE WHEN seq % 41 = 0 THEN '$account' WHEN seq % 43 = 0 THEN 'nodots' ELSE collection END AS collection,
         CASE WHEN seq % 37 = 0 THEN '..' WHEN seq % 53 = 0 THEN repeat('k', 300) ELSE rkey END AS rkey, CASE WHEN seq % 31 = 0 THEN 'zzz' ELSE rev END AS rev,
         CASE WHEN seq % 29 = 0 THEN NULL ELSE record END AS record, account_deleted, handle, scope_collections FROM {log}""",
-    "progress": "SELECT user_id % 50 AS consumer, event_id AS at, event_id * (1 + user_id % 5) AS pos, CASE WHEN event_id % 400 < 30 THEN 5 ELSE 1000 END AS lag FROM {events}",
+    "progress": "SELECT user_id % 50 AS consumer, event_id AS seen_at, event_id * (1 + user_id % 5) AS pos, CASE WHEN event_id % 400 < 30 THEN 5 ELSE 1000 END AS lag FROM {events}",
     "pending_limits": "SELECT origin, 1000 * (1 + host_id % 3) AS target, host_id * 100 AS since FROM {sources} UNION ALL SELECT 'https://gone.example.com', 2000, 0 UNION ALL SELECT 'https://new.example.com', 2000, 1900",
     "paths": """SELECT seq, CASE WHEN seq % 5 = 0 THEN concat(collection, '/', rkey, '/x') WHEN seq % 7 = 0 THEN concat('bad name/', rkey) WHEN seq % 11 = 0 THEN concat(collection, '/a b') ELSE concat(collection, '/', rkey) END AS path
         FROM {log} WHERE collection <> ''""",

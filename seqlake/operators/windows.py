@@ -34,7 +34,7 @@ def check_invariants(log: DataFrame) -> DataFrame:
     """Violations (did, seq, fault): repeated seqs, commits without rev, revs that fall within an account."""
     twice = log.groupBy("seq").agg(F.min("did").alias("did"), F.count("*").alias("n")).where("n > 1").select("did", "seq", F.lit("repeated_seq").alias("fault"))
     none = log.where(S.is_commit() & (F.col("rev") == "")).select("did", "seq", F.lit("commit_without_rev").alias("fault"))
-    before = Window.partitionBy("did").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("did").orderBy("seq", "rev").rowsBetween(Window.unboundedPreceding, -1)
     falls = log.where(S.is_commit()).withColumn("_top", F.max("rev").over(before)).where("rev < _top").select("did", "seq", F.lit("rev_falls").alias("fault"))
     return twice.unionByName(none).unionByName(falls)
 
@@ -119,12 +119,12 @@ def coalesce_blocks(blocks: DataFrame) -> DataFrame:
 def slow_consumers(progress: DataFrame, lag_threshold: int, min_rate: float, window_s: float) -> DataFrame:
     """Streaks (consumer, streak) far behind for a full window and reading below min_rate.
 
-    progress: (consumer, at seconds, pos, lag). A streak is a run of observations far behind.
+    progress: (consumer, seen_at seconds, pos, lag). A streak is a run of observations far behind.
     """
-    order = Window.partitionBy("consumer").orderBy("at")
+    order = Window.partitionBy("consumer").orderBy("seen_at")
     far = F.col("lag") > lag_threshold
     rows = progress.withColumn("_far", far).withColumn("_start", F.when(far & ~F.coalesce(F.lag(far).over(order), F.lit(False)), 1).otherwise(0))
     rows = rows.withColumn("streak", F.sum("_start").over(order)).where("_far")
-    spans = rows.groupBy("consumer", "streak").agg(F.min("at").alias("since"), F.max("at").alias("until"), F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"))
+    spans = rows.groupBy("consumer", "streak").agg(F.min("seen_at").alias("since"), F.max("seen_at").alias("until"), F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"))
     spans = spans.withColumn("rate", F.when(F.col("until") > F.col("since"), (F.col("to_pos") - F.col("from_pos")) / (F.col("until") - F.col("since"))))
     return spans.where((F.col("until") - F.col("since") >= window_s) & (F.col("rate") < min_rate))
