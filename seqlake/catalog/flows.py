@@ -1,0 +1,177 @@
+"""Queries that write and read back: sinks, file sources and streams, all through the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from seqlake.catalog.queries import COLS, FOLLOW, KINDS, LIKE, MAKES, POST, ROW, STATE, query, DIRECTORY
+from seqlake.catalog.tables import Tables
+from seqlake.operators import aggregates as A
+from seqlake.schema import LOG
+from seqlake.scratch import new_path
+from seqlake.sources import logs as L
+from seqlake.streaming import live as T
+
+
+def written(t: Tables, rows: DataFrame, name: str) -> str:
+    path = new_path(t.spark, name)
+    rows.write.parquet(path)
+    return path
+
+
+def stream_of(t: Tables, rows: DataFrame, name: str) -> DataFrame:
+    """rows as a stream of the files they were written to."""
+    path = written(t, rows, name)
+    return t.spark.readStream.schema(rows.schema).parquet(path)
+
+
+def collected(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream has written once all its input is read."""
+    path = new_path(t.spark, name)
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-offsets").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(path)
+
+
+@query("s7_write_log", f"SELECT {ROW} FROM log")
+def _(t):
+    path = new_path(t.spark, "log")
+    L.write_log(t.log, path, rows_per_file=2000)
+    return L.read_log(t.spark, path).select(COLS)
+
+
+@query("s9_read_import_csv", """SELECT uri, nullif(timestamp, '') AS timestamp, nullif(scope, '') AS scope, cid FROM import_rows""")
+def _(t):
+    path = new_path(t.spark, "import")
+    t.import_rows.select("uri", "timestamp", "scope", "cid").write.option("header", True).csv(path)
+    rows = L.read_import_csv(t.spark, path)
+    empty = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return rows.select("uri", empty("timestamp"), empty("scope"), "cid")
+
+
+@query("s10_import_directory_csv", f"SELECT DISTINCT collection, did, 5 AS seen_ms FROM log WHERE {MAKES}")
+def _(t):
+    path = new_path(t.spark, "directory")
+    t.log.where(MAKES).select("did", "collection").write.option("compression", "gzip").csv(path)
+    return L.import_directory_csv(t.spark, path, 5)
+
+
+@query("s11_export_directory_csv", f"SELECT did, collection, seen_ms AS millis FROM ({DIRECTORY})")
+def _(t):
+    path = new_path(t.spark, "directory")
+    L.export_directory_csv(A.build_directory(t.log), path)
+    return t.spark.read.option("header", True).schema("did string, collection string, millis long").csv(path)
+
+
+@query("s12_write_dau", "SELECT CAST(make_timestamp(witnessed_at) AS DATE) AS day, collection, count(DISTINCT did) AS dids FROM log WHERE kind IN ('create', 'update') GROUP BY ALL")
+def _(t):
+    path = new_path(t.spark, "dau")
+    L.write_dau(A.dau(t.log), path)
+    return t.spark.read.option("header", True).schema("collection string, dids long, day date").csv(path).select("day", "collection", "dids")
+
+
+@query("s16_stream_log", f"SELECT {ROW} FROM log")
+def _(t):
+    path = new_path(t.spark, "log")
+    L.write_log(t.log, path, 2000, files=4)
+    return collected(t, L.stream_log(t.spark, path, 2).select(COLS), "replay")
+
+
+@query("t1_ingest_stream", f"SELECT CASE WHEN kind = 'create_resync' THEN 'create' ELSE kind END AS kind, did, collection, rkey, rev FROM log WHERE kind <> 'sync' AND (NOT {KINDS} OR collection IN ('{POST}', '{LIKE}'))")
+def _(t):
+    lines = stream_of(t, L.encode_v1(t.log).select(F.col("frame").alias("value")), "lines")
+    target = new_path(t.spark, "ingest")
+    T.ingest_stream(lines, target, [POST, LIKE], f"{target}-offsets").awaitTermination()
+    return t.spark.read.schema(LOG).parquet(target).select("kind", "did", "collection", "rkey", "rev")
+
+
+def _chain(t):
+    bad = F.when(F.col("seq") % 97 == 0, F.translate("rev", "bcd", "234")).otherwise(F.col("rev"))
+    return t.log.withColumn("rev", bad).withColumn("upstream_seq", F.when(F.col("seq") % 7 == 0, F.lit(1)).otherwise(F.col("seq")).cast("long"))
+
+
+CHAIN = f"""c AS (SELECT seq, did, kind, CASE WHEN seq % 97 = 0 THEN translate(rev, 'bcd', '234') ELSE rev END AS rev, CASE WHEN seq % 7 = 0 THEN 1 ELSE seq END AS up FROM log),
+  m AS (SELECT *, coalesce(max(CASE WHEN kind NOT IN ('account', 'identity') THEN rev END) OVER w, '') AS top, coalesce(max(CASE WHEN kind IN ('account', 'identity') THEN up END) OVER w, -1) AS applied FROM c
+    WINDOW w AS (PARTITION BY did ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  v AS (SELECT seq, did, CASE WHEN kind IN ('account', 'identity') THEN CASE WHEN up <= applied THEN 'replayed' ELSE 'kept' END WHEN kind = 'create_resync' THEN CASE WHEN rev < top THEN 'stale_resync' ELSE 'kept' END WHEN rev <= top THEN 'stale_rev' ELSE 'kept' END AS verdict FROM m)"""
+
+
+@query("t2_rev_chain", f"WITH {CHAIN} SELECT * FROM v WHERE verdict <> 'stale_rev'")
+def _(t):
+    return collected(t, T.rev_chain(stream_of(t, _chain(t), "chain")), "kept").select("seq", "did", "verdict")
+
+
+@query("t3_drop_replayed", f"WITH {CHAIN} SELECT * FROM v WHERE verdict <> 'replayed'")
+def _(t):
+    return collected(t, T.drop_replayed(stream_of(t, _chain(t), "chain")), "kept").select("seq", "did", "verdict")
+
+
+@query("t4_drop_stale_resync", f"WITH {CHAIN} SELECT * FROM v WHERE verdict <> 'stale_resync'")
+def _(t):
+    return collected(t, T.drop_stale_resync(stream_of(t, _chain(t), "chain")), "kept").select("seq", "did", "verdict")
+
+
+@query("t5_continuity_loss", "SELECT source, expected, got, CAST(got - expected AS BIGINT) AS skipped FROM (SELECT source, expected, upstream_seq AS got, row_number() OVER (PARTITION BY source ORDER BY upstream_seq) AS k FROM (SELECT source, upstream_seq, lag(upstream_seq) OVER (PARTITION BY source ORDER BY upstream_seq) + 1 AS expected FROM feed) WHERE upstream_seq > expected) WHERE k = 1")
+def _(t):
+    return collected(t, T.continuity_loss(stream_of(t, t.feed, "feed")), "gaps")
+
+
+@query("t6_directory_stream", DIRECTORY)
+def _(t):
+    path = new_path(t.spark, "directory")
+    T.directory_stream(stream_of(t, t.log, "log"), path, f"{path}-offsets").awaitTermination()
+    return t.spark.read.parquet(path).select("collection", "did", "seen_ms")
+
+
+@query("t7_dau_stream")
+def _(t):
+    days = T.dau_stream(stream_of(t, t.log, "log"))
+    return collected(t, days.select(F.col("day.start").alias("day"), "collection", "dids"), "days")
+
+
+@query("t8_rate_windows")
+def _(t):
+    rows = t.log.join(t.accounts.select("did", "host_id"), "did").select("host_id", "witnessed_at")
+    return collected(t, T.rate_windows(stream_of(t, rows, "rates"), t.hosts, "1 hour", "30 minutes", "per_hour"), "windows")
+
+
+@query("t9_token_bucket")
+def _(t):
+    rows = t.log.join(t.accounts.select("did", F.col("host_id").alias("source")), "did").select("source", "seq", F.col("witnessed_at").alias("at_us"))
+    return collected(t, T.token_bucket(stream_of(t, rows, "rates"), 2.0, 10.0, 20), "marked")
+
+
+@query("t10_current_state_stream", f"WITH {STATE} SELECT {ROW} FROM state")
+def _(t):
+    path = new_path(t.spark, "state")
+    q = T.current_state_stream(stream_of(t, t.log, "log"), path, f"{path}-offsets")
+    q.awaitTermination()
+    return T.live_records(t.spark, path, q.lastProgress["batchId"]).select(COLS)
+
+
+@query("t11_archive_then_live", f"SELECT {ROW} FROM log WHERE NOT {KINDS} OR collection = '{FOLLOW}'")
+def _(t):
+    path = new_path(t.spark, "log")
+    L.write_log(t.log, path)
+    wanted = lambda x: x.where(f"NOT {KINDS} OR collection = '{FOLLOW}'")
+    archive, live = T.archive_then_live(t.spark, path, t.top // 2, wanted)
+    return archive.select(COLS).unionByName(collected(t, live.select(COLS), "live"))
+
+
+@query("t12_policy_notices", f"""WITH p AS (SELECT revision, collections, coalesce(effective_after_seq, 0) AS since, lead(coalesce(effective_after_seq, 0)) OVER (ORDER BY revision) AS until FROM policies)
+  SELECT l.seq, 'event' AS type, p.revision AS policy_rev FROM log l JOIN p ON l.seq > p.since AND (p.until IS NULL OR l.seq <= p.until) WHERE NOT l.{KINDS} OR list_contains(p.collections, l.collection)
+  UNION ALL SELECT since + 1, 'notice', revision FROM p""")
+def _(t):
+    path = new_path(t.spark, "notices")
+    T.policy_notices(stream_of(t, t.log, "log"), t.policies, path, f"{path}-offsets").awaitTermination()
+    return t.spark.read.parquet(path).select("seq", "type", "policy_rev")
+
+
+@query("t13_split_late", f"SELECT seq, witnessed_at < (SELECT max(witnessed_at) FROM log) - 3600000000 AS late FROM log")
+def _(t):
+    seen = t.log.agg(F.max("witnessed_at")).first()[0]
+    good, late = T.split_late(t.log, seen, 3_600_000_000)
+    return good.select("seq", F.lit(False).alias("late")).unionByName(late.select("seq", F.lit(True).alias("late")))
+
+
