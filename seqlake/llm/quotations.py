@@ -38,8 +38,9 @@ def normalised(text: Column) -> Column:
 def passages(messages: DataFrame) -> DataFrame:
     """(id, level, hash) of the distinct passages of each message; level 0 is its own text.
 
-    Passages are cut inside each message's array of lines, so no window over lines is needed.
+    Equal rows are taken once; rows that share an id but not the text are cut apart.
     """
+    messages = messages.withColumn("row", F.xxhash64("text")).dropDuplicates(["id", "row"])
     lines = F.split("text", "\n")
     mark = lambda x: F.regexp_extract(x, MARK, 0)
     level = lambda x: F.length(mark(x)) - F.length(F.replace(mark(x), F.lit(">"), F.lit("")))
@@ -48,9 +49,9 @@ def passages(messages: DataFrame) -> DataFrame:
     # A passage starts where the level changes or after an empty line; lines are numbered by their passage.
     changed = lambda x, i: F.when(
         (i == 0) | (F.get("lines", i - 1)["level"] != x["level"]) | (F.get("lines", i - 1)["body"] == ""), 1).otherwise(0)
-    each = rows.select("id", F.posexplode(F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), changed(x, i).alias("new")))).alias("pos", "x"))
-    each = each.select("id", "pos", "x.level", "x.body", F.sum("x.new").over(Window.partitionBy("id").orderBy("pos")).alias("part"))
-    each = each.groupBy("id", "part", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("lines"))
+    each = rows.select("id", "row", F.posexplode(F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), changed(x, i).alias("new")))).alias("pos", "x"))
+    each = each.select("id", "row", "pos", "x.level", "x.body", F.sum("x.new").over(Window.partitionBy("id", "row").orderBy("pos")).alias("part"))
+    each = each.groupBy("id", "row", "part", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("lines"))
     each = each.select("id", "level", normalised(F.array_join(F.col("lines.body"), " ")).alias("passage")).where("passage <> ''")
     return each.select("id", "level", F.unhex(F.sha2("passage", 256)).alias("hash")).distinct()
 
