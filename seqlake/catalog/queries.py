@@ -490,7 +490,7 @@ def _(t):
     return A.backfill_progress(t.repo_status)[1]
 
 
-@query("a13_acquisition", f"""WITH {DETAILS}, s AS (SELECT job_id, count_if(state = 'completed') AS scanned, count_if(matching) AS matching, count_if(NOT matching) AS no_match, CAST(sum(records) AS BIGINT) AS attributable_records FROM details GROUP BY job_id)
+@query("a13_acquisition", f"""WITH {DETAILS}, s AS (SELECT job_id, count_if(state = 'completed') AS scanned, count(*) FILTER (matching) AS matching, count(*) FILTER (NOT matching) AS no_match, CAST(sum(records) AS BIGINT) AS attributable_records FROM details GROUP BY job_id)
   SELECT j.job_id, CASE WHEN job_state IN ('pending', 'running') THEN 'running' WHEN job_state = 'incomplete' THEN 'stopped_incomplete' ELSE job_state END AS state, CASE WHEN total_known THEN total_repos END AS initial_inventory,
   scanned, matching, no_match, attributable_records, CASE WHEN total_known AND scanned IS NOT NULL THEN greatest(0, total_repos - scanned) END AS unresolved FROM jobs j LEFT JOIN s ON j.job_id = s.job_id""")
 def _(t):
