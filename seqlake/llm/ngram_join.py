@@ -13,10 +13,10 @@ in each fragment separately and summed per pair. The join is exact over the sets
    counted frequency, so what is broadcast has 65536 rows at most.
 4. stars: per prefix n-gram, every class is compared with the smallest one. Linked classes
    contract to components.
-5. rest: pairs that share a prefix n-gram but still stand in different components are all
+5. rest: classes that share a prefix n-gram but still stand in different components are
+   screened again, now by n-grams that their own component holds alone. All pairs left are
    compared: of n-grams with few holders as pairs, of the others in blocks of bounded size,
-   one block pair per task, by products of incidence matrices. No list of all pairs of a
-   group is made.
+   one block pair per task. No list of all pairs of a group is made.
 
 Defined results: text without words, or null, has size 0, links with nothing and is its own
 component; fewer than five words make one shingle of the whole sequence; equal texts share a
@@ -43,6 +43,7 @@ SCREENED = 3
 FEW_HOLDERS = 64
 PART_NGRAMS = 2_000_000
 BLOCK_NGRAMS = 200_000
+BLOCK_SETS = 2_000
 HEAVY_ROWS = 1 << 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -191,39 +192,96 @@ def _prefixes(heavy, percent: int):
     return run
 
 
-def _block_links(percent: int, slice_grams: int = 2048):
+def _open_rows(parts: int):
+    """Rows (part, grams, comps, sids) of the classes still in play, cut by range of n-grams.
+
+    An n-gram that several components of the split hold, or one component holds in many
+    classes, is told by its components alone (sid -1); so frequent n-grams stay cheap.
+    """
+    cuts = np.array([(1 << 64) * p // parts for p in range(1, parts)], np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            grams, off = _flat(batch.column("frags"))
+            sids, comps = (np.repeat(batch.column(c).to_numpy(), np.diff(off)) for c in ("sid", "comp"))
+            grams = grams[off[0]:off[-1]]
+            order = np.lexsort((comps, grams))
+            grams, sids, comps = grams[order], sids[order].copy(), comps[order]
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            last = np.append(first[1:], len(grams)) - 1
+            told = (comps[first] != comps[last]) | (last - first >= FEW_HOLDERS)
+            keep = np.repeat(~told, last - first + 1)
+            for ends in (first[told], last[told]):
+                keep[ends], sids[ends] = True, -1
+            grams, sids, comps = grams[keep], sids[keep], comps[keep]
+            bounds = np.concatenate([[0], np.searchsorted(grams, cuts), [len(grams)]])
+            full = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
+            if full:
+                ends = np.array([0, *(bounds[p + 1] for p in full)])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(lists(x, ends) for x in (grams, comps, sids))], ["part", "grams", "comps", "sids"])
+
+    return run
+
+
+def _closed(table: pa.Table) -> pa.Table:
+    """Of one part: (sid, closed), how many n-grams of a class its own component holds alone."""
+    grams, comps, sids = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "comps", "sids"))
+    order = np.argsort(grams, kind="stable")
+    grams, comps, sids = grams[order], comps[order], sids[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    alone = np.minimum.reduceat(comps, first) == np.maximum.reduceat(comps, first)
+    alone = np.repeat(alone, np.diff(np.append(first, len(grams))))
+    sid, closed = np.unique(sids[alone & (sids >= 0)], return_counts=True)
+    return pa.table({"sid": sid, "closed": closed.astype(np.int64)})
+
+
+def _block_links(percent: int):
     """Links between different components among the classes of two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
         values, rows, base = [], [], 0
         for batch in table.select(["frags"]).to_batches():
             v, off = _flat(batch.column(0))
-            values.append(v)
+            values.append(v[off[0]:off[-1]])
             rows.append(np.repeat(np.arange(base, base + len(off) - 1), np.diff(off)))
             base += len(off) - 1
         values, rows = np.concatenate(values), np.concatenate(rows)
-        sid, size, comp, block = (table.column(c).to_numpy() for c in ("sid", "n", "comp", "block"))
-        grams, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
-        fragment = (grams >> np.uint64(61)).astype(int)
-        common = np.zeros((len(sid), len(sid)), np.float32)
+        size, comp, block = (table.column(c).to_numpy() for c in ("n", "comp", "block"))
+        order = np.argsort(values, kind="stable")
+        values, rows = values[order], rows[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        held = np.diff(np.append(first, len(values)))
+        owner = comp[rows]
+        useful = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
+        fragment = (values[first] >> np.uint64(61)).astype(int)
+        common = np.zeros((base, base), np.float32)
         for f in range(FRAGMENTS):  # partial overlaps of one fragment after another, summed per pair
-            ids = np.flatnonzero((fragment == f) & (count > 1))
-            for at in range(0, len(ids), slice_grams):
-                part = ids[at:at + slice_grams]
-                place = np.full(len(grams), -1, np.int32)
-                place[part] = np.arange(len(part))
-                own = place[inverse]
-                hold = np.zeros((len(sid), len(part)), np.float32)
-                hold[rows[own >= 0], own[own >= 0]] = 1
-                common += hold @ hold.T
-        union = size[:, None] + size[None, :] - common
-        linked = (100 * common.astype(np.int64) >= percent * union.astype(np.int64)) & (comp[:, None] != comp[None, :])
-        if block.min() != block.max():
-            linked &= block[:, None] != block[None, :]
-        x, y = np.nonzero(np.triu(linked, 1))
-        a, b = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-        out = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+            mine = useful & (fragment == f)
+            few = np.repeat(mine & (held <= FEW_HOLDERS), held)
+            own, ids = rows[few], np.repeat(np.arange(len(first)), held)[few]
+            places = [np.zeros(0, np.int64)]
+            for apart in range(1, FEW_HOLDERS):
+                same = np.flatnonzero(ids[apart:] == ids[:-apart])
+                if not len(same):
+                    break
+                x, y = own[same], own[same + apart]
+                places.append(np.minimum(x, y) * base + np.maximum(x, y))
+            place, times = np.unique(np.concatenate(places), return_counts=True)
+            common.ravel()[place] += times
+            many = np.flatnonzero(mine & (held > FEW_HOLDERS))
+            for at in range(0, len(many), 1024):
+                part = many[at:at + 1024]
+                hold = np.zeros((base, len(part)), np.float32)
+                for k, g in enumerate(part):
+                    hold[rows[first[g]:first[g] + held[g]], k] = 1
+                common += np.triu(hold @ hold.T)
+        links = []
+        for x in range(base):
+            both = common[x, x + 1:].astype(np.int64)
+            y = x + 1 + np.flatnonzero((100 * both >= percent * (size[x] + size[x + 1:] - both)) & (comp[x + 1:] != comp[x]))
+            links += [(min(comp[x], c), max(comp[x], c)) for c in np.unique(comp[y])]
+        links = sorted(set(links))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
@@ -261,7 +319,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("sid", "hi", "lo")
     )
     in_play = scratch.save(in_play, "in_play")
-    chosen = source.join(in_play, source.id == in_play.sid).select("sid", "text", "hi", "lo")
+    chosen = source.join(in_play.hint("merge"), source.id == in_play.sid).select("sid", "text", "hi", "lo")
     segments = chosen.mapInArrow(_segments(n), "sid long, n long, frags array<array<long>>")
     if not sets.groupBy("id").count().where("count > 1").isEmpty():
         segments = segments.dropDuplicates(["sid"])
@@ -290,6 +348,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = scratch.save(placed, "placed")
     open_grams = placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram")
     rest = scratch.save(placed.join(open_grams, "gram", "left_semi"), "rest")
+    doubtful = rest.select("sid", "comp").distinct()
+    doubtful = scratch.save(segments.join(doubtful, "sid").select("sid", "n", "comp", "frags"), "doubtful")
+    parts = max(1, -(-(doubtful.agg(F.sum("n")).first()[0] or 0) // PART_NGRAMS))
+    closed = doubtful.select("sid", "comp", "frags").mapInArrow(_open_rows(parts), "part int, grams array<long>, comps array<long>, sids array<long>")
+    closed = closed.groupBy("part").applyInArrow(_closed, "sid long, closed long").groupBy("sid").agg(F.sum("closed").alias("closed"))
+    too_many = F.coalesce("closed", F.lit(0)) > F.floor(F.col("n") * (100 - percent) / 100)
+    open_sids = doubtful.select("sid", "n").join(closed, "sid", "left").where(~too_many).select("sid")
+    rest = rest.drop("holders").join(open_sids, "sid", "left_semi")
+    counted = rest.groupBy("gram").agg(F.count("*").alias("holders"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    rest = scratch.save(rest.join(counted.select("gram", "holders"), "gram"), "rest")
 
     few = rest.where(F.col("holders") <= FEW_HOLDERS)
     one, two = (few.select("gram", *[F.col(c).alias(c + k) for c in ("sid", "n", "comp")]) for k in ("a", "b"))
@@ -304,7 +372,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     clusters = components(many.join(hubs, "gram").select(F.col("sid").alias("a"), "b"), scratch)
     members = many.select("sid", "comp", "n").distinct().join(clusters.withColumnRenamed("id", "sid"), "sid")
     members = scratch.save(members.withColumnRenamed("component", "cluster"), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_NGRAMS).cast("int").alias("blocks"))
+    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.join(segments.select("sid", "frags"), "sid").select(
