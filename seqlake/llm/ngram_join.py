@@ -42,6 +42,7 @@ FRAGMENTS = 8
 SCREENED = 3
 FEW_HOLDERS = 64
 PART_NGRAMS = 2_000_000
+PART_CLASSES = 20_000
 BLOCK_NGRAMS = 200_000
 BLOCK_SETS = 2_000
 HEAVY_ROWS = 1 << 16
@@ -125,21 +126,35 @@ def _screen_rows(n: int, parts: int):
     return run
 
 
-def _alone(table: pa.Table) -> pa.Table:
-    """Of one part: (hi, alone), how many n-grams a class holds alone."""
-    grams, who = [], []
-    for batch in table.to_batches():
-        for k in range(batch.num_rows):
-            sets = batch.column("sets")[k].values.to_numpy()
-            grams.append(batch.column("grams")[k].values.to_numpy().view(np.uint64))
-            who.append(sets[batch.column("who")[k].values.to_numpy()])
-    grams, who = np.concatenate(grams), np.concatenate(who)
-    order = np.argsort(grams, kind="stable")
-    grams, who = grams[order], who[order]
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    least, most = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
-    hi, alone = np.unique(least[least == most], return_counts=True)
-    return pa.table({"hi": hi, "alone": alone.astype(np.int64)})
+def _alone(buckets: int):
+    """Of one part: rows (bucket, hi, alone), how many n-grams each class holds alone, as arrays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams, who = [], []
+        for batch in table.to_batches():
+            for k in range(batch.num_rows):
+                sets = batch.column("sets")[k].values.to_numpy()
+                grams.append(batch.column("grams")[k].values.to_numpy().view(np.uint64))
+                who.append(sets[batch.column("who")[k].values.to_numpy()])
+        grams, who = np.concatenate(grams), np.concatenate(who)
+        order = np.argsort(grams, kind="stable")
+        grams, who = grams[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        least, most = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
+        hi, alone = np.unique(least[least == most], return_counts=True)
+        bucket = (hi % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        full, at = np.unique(bucket[order], return_index=True)
+        off = np.append(at, len(order))
+        return pa.table({"bucket": full, "hi": lists(hi[order], off), "alone": lists(alone[order].astype(np.int64), off)})
+
+    return run
+
+
+def _alone_by_class(table: pa.Table) -> pa.Table:
+    hi, alone = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("hi", "alone"))
+    found, place = np.unique(hi, return_inverse=True)
+    return pa.table({"hi": found, "alone": np.bincount(place, weights=alone, minlength=len(found)).astype(np.int64)})
 
 
 def _segments(n: int):
@@ -312,7 +327,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * SCREENED // (FRAGMENTS * PART_NGRAMS)))
     screened = source.select("text").mapInArrow(_screen_rows(n, parts), "part int, grams array<long>, who array<int>, sets array<long>")
-    alone = screened.groupBy("part").applyInArrow(_alone, "hi long, alone long").groupBy("hi").agg(F.sum("alone").alias("alone"))
+    buckets = max(1, classes.count() // PART_CLASSES)
+    alone = screened.groupBy("part").applyInArrow(_alone(buckets), "bucket int, hi array<long>, alone array<long>")
+    alone = alone.groupBy("bucket").applyInArrow(_alone_by_class, "hi long, alone long")
     in_play = (
         classes.join(alone, "hi", "left")
         .where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100))
@@ -396,3 +413,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * p.i >= 75 * (x.n + y.n - p.i)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT links.b, r.c FROM r JOIN links ON r.id = links.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT id, min(c) AS component_id FROM r GROUP BY id) m ON d.doc_id = m.id
+"""
