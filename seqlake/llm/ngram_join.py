@@ -382,7 +382,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         one.join(two, "gram").where((F.col("sida") < F.col("sidb")) & (F.col("compa") != F.col("compb")) & _near("na", "nb", percent))
         .select(F.col("sida").alias("a"), F.col("sidb").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     )
-    by_pair = _verified(scratch.save(pairs, "pairs"), segments, percent)
+    pairs = scratch.save(pairs, "pairs")
+    by_pair = _verified(pairs, segments, percent)
 
     many = rest.where(F.col("holders") > FEW_HOLDERS).select("gram", "sid", "n", "comp")
     hubs = many.groupBy("gram").agg(F.min("sid").alias("b"))
@@ -406,6 +407,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = named.select("hi", "lo", F.coalesce("component", "sid").alias("comp")).join(late, "comp", "left")
     named = named.select("hi", "lo", F.coalesce("final", "comp").alias("component"))
     named = scratch.save(named, "named")
+    scratch.drop(classes, in_play, segments, prefixes, holders, stars, links, first, placed, doubtful, rest, pairs, members)
     out = sets.join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

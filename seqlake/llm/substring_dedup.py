@@ -305,3 +305,15 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).drop("kept")
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM i),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM g JOIN f ON g.g = f.g WHERE first < doc_id),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w),
+o AS (SELECT k.doc_id, count(*) AS n, count(c.k) AS gone, string_agg(k.word, ' ' ORDER BY k.k) FILTER (c.k IS NULL) AS kept FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.k = c.k GROUP BY k.doc_id)
+SELECT d.doc_id, coalesce(o.n, 0) AS n_words, coalesce(o.gone, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
