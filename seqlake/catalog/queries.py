@@ -129,7 +129,7 @@ def _(t):
 
 @query("s15_encode_selected", "SELECT l.seq, a.stream_id, coalesce(a.provenance, 'legacy-unknown') AS provenance FROM log l LEFT JOIN attribution a ON l.seq = a.seq")
 def _(t):
-    rows = J.attach_attribution(t.log, t.attribution.drop("boundary_seq"))
+    rows = J.attach_attribution(t.log, t.attribution.drop("boundary_seq", "snapshot_id"))
     get = lambda p: F.get_json_object("frame", p)
     return L.encode_selected(rows).select("seq", get("$.selection.stream_id").alias("stream_id"), get("$.selection.provenance").alias("provenance"))
 
@@ -465,7 +465,7 @@ def _(t):
     return A.backfill_counts(t.repo_status)
 
 
-CLASS = r"""CASE WHEN regexp_matches(lower(last_error), 'identity:|did not found') THEN 'did_resolution' WHEN regexp_matches(lower(last_error), '\b429\b') THEN 'http_429' WHEN regexp_matches(lower(last_error), '\b5[0-9]{2}\b') THEN 'http_5xx'
+CLASS = r"""CASE WHEN regexp_matches(lower(last_error), 'identity:|did not found') THEN 'did_resolution' WHEN regexp_matches(lower(last_error), '\bhttp\s+429\b') THEN 'http_429' WHEN regexp_matches(lower(last_error), '\bhttp\s+5[0-9]{2}\b') THEN 'http_5xx'
   WHEN regexp_matches(lower(last_error), 'timeout|deadline exceeded') THEN 'timeout' WHEN lower(last_error) LIKE '%car:%' THEN 'car' WHEN regexp_matches(lower(last_error), 'verify|signature') THEN 'verification'
   WHEN regexp_matches(lower(last_error), 'flush before complete|write repo/|disk full') THEN 'local_write' ELSE 'unknown' END"""
 
@@ -856,6 +856,13 @@ def _(t):
     return t.identities.select("did", S.normalize_origin("pds_endpoint").alias("origin"), S.host_bucket("pds_endpoint").alias("bucket"))
 
 
+@query("h13_source_hostname", r"""SELECT did, CASE WHEN ok THEN host END AS hostname, CASE WHEN ok THEN url LIKE 'http:%' END AS no_ssl FROM (SELECT *, regexp_matches(url, '^https?://[a-z0-9.]+/?$') AND NOT regexp_matches(url, '://[0-9]') AS ok FROM (
+  SELECT did, lower(pds_endpoint) AS url, regexp_replace(regexp_replace(lower(pds_endpoint), '^https?://', ''), '/$', '') AS host FROM identities))""")
+def _(t):
+    host, plain = S.source_hostname("pds_endpoint")
+    return t.identities.select("did", host.alias("hostname"), plain.alias("no_ssl"))
+
+
 @query("h14_error_class", f"SELECT did, {CLASS} AS error_class FROM repo_status")
 def _(t):
     return t.repo_status.select("did", S.error_class("last_error").alias("error_class"))
@@ -889,13 +896,13 @@ def _(t):
 
 @query("h20_normalize_payload", """SELECT seq, concat('{"did":"', did, '"}') AS payload FROM log""")
 def _(t):
-    frame = F.concat(F.lit('{"time_us":'), F.col("witnessed_at").cast("string"), F.lit(',"did":"'), F.col("did"), F.lit('"}'))
+    frame = F.concat(F.lit('{"time_us":'), F.col("witnessed_at").cast("string"), F.lit(',"did":"'), F.col("did"), F.lit('","cursor":7}'))
     return t.log.select("seq", S.normalize_payload(frame).alias("payload"))
 
 
-@query("h21_attribution_valid", "SELECT seq, CASE provenance WHEN 'live' THEN boundary_seq IS NULL WHEN 'snapshot' THEN boundary_seq IS NOT NULL END AS valid FROM attribution")
+@query("h21_attribution_valid", "SELECT seq, CASE provenance WHEN 'live' THEN boundary_seq IS NULL AND snapshot_id IS NULL WHEN 'snapshot' THEN boundary_seq IS NOT NULL AND coalesce(snapshot_id, '') <> '' END AS valid FROM attribution")
 def _(t):
-    return t.attribution.select("seq", S.attribution_valid("provenance", "stream_id", "policy_rev", "boundary_seq").alias("valid"))
+    return t.attribution.select("seq", S.attribution_valid("provenance", "stream_id", "policy_rev", "boundary_seq", "snapshot_id").alias("valid"))
 
 
 # ---- jobs

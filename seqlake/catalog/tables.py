@@ -49,7 +49,7 @@ DERIVED = {
         coalesce(r.rev, '') AS backfill_rev, u.user_id % 7 <> 0 AS active, concat('pds', CAST(u.user_id % 20 AS STRING), '.example.com') AS pds_host,
         CASE WHEN u.user_id % 4 = 0 THEN '' ELSE concat('pds', CAST(u.user_id % 10 AS STRING), '.example.com') END AS host, u.user_id % 6 AS retry_count,
         CASE WHEN u.user_id % 5 <> 0 THEN u.user_id * 10 END AS next_attempt_at, CASE WHEN u.user_id % 8 = 1 THEN u.user_id * 40 END AS reset_at,
-        CASE u.user_id % 9 WHEN 0 THEN 'identity: DID not found' WHEN 1 THEN 'HTTP 429 too many requests' WHEN 2 THEN 'status 503 from upstream' WHEN 3 THEN 'context deadline exceeded'
+        CASE u.user_id % 9 WHEN 0 THEN 'identity: DID not found' WHEN 1 THEN 'HTTP 429 too many requests' WHEN 2 THEN 'HTTP 503 from upstream' WHEN 3 THEN 'context deadline exceeded'
           WHEN 4 THEN 'CAR: truncated' WHEN 5 THEN 'bad Signature' WHEN 6 THEN 'write repo/x: disk full' WHEN 7 THEN 'something else' END AS last_error,
         u.user_id % 50 AS updated_at
         FROM {users} u LEFT JOIN (SELECT did, max(rev) AS rev FROM {log} WHERE rev <> '' AND seq % 3 = 0 AND seq <= (SELECT max(seq) / 2 FROM {log}) GROUP BY did) r ON u.did = r.did""",
@@ -69,7 +69,8 @@ DERIVED = {
         UNION ALL SELECT 3, CAST(floor(max(seq) * 0.5) AS BIGINT), split('app.demo.feed.post,org.demo.graph.follow', ',') FROM {log}
         UNION ALL SELECT 4, CAST(floor(max(seq) * 0.75) AS BIGINT), split('app.demo.feed.like,org.demo.graph.follow', ',') FROM {log}""",
     "attribution": """SELECT seq, 'stream-1' AS stream_id, 1 + seq % 3 AS policy_rev, CASE WHEN seq % 7 = 0 THEN 'snapshot' ELSE 'live' END AS provenance,
-        CASE WHEN seq % 7 = 0 AND seq % 11 <> 0 THEN seq - 1 END AS boundary_seq FROM {log} WHERE seq > (SELECT max(seq) / 5 FROM {log}) AND seq % 3 <> 0""",
+        CASE WHEN seq % 7 = 0 AND seq % 11 <> 0 THEN seq - 1 END AS boundary_seq,
+        CASE WHEN seq % 7 = 0 AND seq % 13 <> 0 THEN concat('snap', CAST(seq AS STRING)) END AS snapshot_id FROM {log} WHERE seq > (SELECT max(seq) / 5 FROM {log}) AND seq % 3 <> 0""",
     "snapshot": """SELECT did, h.snap_rev, collection, rkey, record FROM (
           SELECT did, collection, rkey, kind, record, seq, row_number() OVER (PARTITION BY did, collection, rkey ORDER BY seq DESC) AS k FROM {log}
           WHERE kind IN ('create', 'update', 'delete', 'create_resync') AND seq <= (SELECT max(seq) * 0.6 FROM {log})) x

@@ -24,8 +24,8 @@ REFUSED_TLDS = ["local", "arpa", "invalid", "localhost", "internal", "example",
 ERROR_CLASSES = [
     ("did_resolution", r"identity:|did not found"),
     ("invalid_pds", r"atprotopersonaldataserver"),
-    ("http_429", r"\b429\b"),
-    ("http_5xx", r"\b5[0-9]{2}\b"),
+    ("http_429", r"\bhttp\s+429\b"),
+    ("http_5xx", r"\bhttp\s+5[0-9]{2}\b"),
     ("timeout", r"timeout|deadline exceeded"),
     ("car", r"car:"),
     ("verification", r"verify|signature"),
@@ -233,16 +233,29 @@ def usage(count="account_count", limit="account_limit") -> Column:
 
 
 def normalize_payload(frame) -> Column:
-    """A JSON frame without what differs between two captures of one event."""
-    return F.regexp_replace(_col(frame), r'"(time_us|cursor)":[0-9]+,?', "")
-
-
-def attribution_valid(provenance, stream_id, policy_rev, boundary_seq) -> Column:
-    """Live rows carry a stream and a policy; snapshot rows a boundary too; legacy rows neither."""
-    provenance, stream_id, policy_rev, boundary_seq = map(_col, (provenance, stream_id, policy_rev, boundary_seq))
-    named = stream_id.isNotNull() & (stream_id != "") & policy_rev.isNotNull()
-    return F.coalesce(
-        F.when(provenance == "live", named & boundary_seq.isNull())
-        .when(provenance == "snapshot", named & boundary_seq.isNotNull())
-        .when(provenance == "legacy-unknown", policy_rev.isNull() & boundary_seq.isNull())
-        .otherwise(F.lit(False)), F.lit(False))
+    """A JSON frame's top-level members in key order, without what differs between two captures of one event."""
+    members = F.map_filter(F.from_json(_col(frame), "map<string,string>"), lambda k, v: ~k.isin("time_us", "cursor"))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(members))))
+
+
+def attribution_valid(provenance, stream_id, policy_rev, boundary_seq, snapshot_id) -> Column:
+    """Legacy rows have no policy and no boundary, live rows no boundary, snapshot and reconciliation rows a whole one."""
+    provenance, stream_id, policy_rev, boundary_seq, snapshot_id = map(_col, (provenance, stream_id, policy_rev, boundary_seq, snapshot_id))
+    none = boundary_seq.isNull() & snapshot_id.isNull()
+    rule = (
+        F.when(provenance == "legacy-unknown", policy_rev.isNull() & none).when(provenance == "live", none)
+        .when(provenance.isin("snapshot", "reconciliation"), boundary_seq.isNotNull() & (F.coalesce(snapshot_id, F.lit("")) != ""))
+    )
+    named = (F.coalesce(stream_id, F.lit("")) != "") & (F.coalesce(policy_rev, F.lit(1)) != 0)
+    return F.coalesce(named & rule, F.lit(False))
+
+
+def source_hostname(raw) -> tuple[Column, Column]:
+    """(hostname, no_ssl) of a source's URL or bare name: an origin only, a public name without port, or localhost with one."""
+    raw = _col(raw)
+    url = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    pattern = r"^(?i)(https|wss|http|ws)://([^/?#@:]+)(:[0-9]+)?/?\z"
+    part = lambda k: F.lower(F.regexp_extract(url, pattern, k))
+    scheme, host, port = part(1), part(2), part(3)
+    name = F.when((host == "localhost") & (port != ""), F.concat(host, port)).when((port == "") & matches("handle", host), host)
+    return name, F.when(name.isNotNull(), scheme.isin("http", "ws"))
