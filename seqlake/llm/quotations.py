@@ -7,8 +7,8 @@ links to the message that holds it as its own text: inside the same scope (a con
 mailing list or folder) first, else anywhere, always to an earlier message.
 
 The parent of a message is the latest original among its passages of the lowest quoted level
-that has one. Roots and depths follow by pointer doubling, so the number of rounds is the
-logarithm of the longest chain of replies. The result is in reply order: root, depth, order.
+that has one. Roots and depths follow by pointer doubling over the messages that don't point to
+their root yet, so the number of rounds is the logarithm of the longest chain of replies. The result is in reply order: root, depth, order.
 
 Originals are aggregated to one row per (scope, hash), and per hash, before any join, so a
 passage held by a third of all messages costs one row there; quotes of it are looked up in a
@@ -22,6 +22,8 @@ links; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,17 +87,20 @@ def conversations(messages: DataFrame, id_col: str = "id", text_col: str = "text
     (id, parent_id, root_id, depth, linked_passages, own_text)."""
     scratch = Scratch(messages.sparkSession, "replies")
     links = scratch.save(link(messages, id_col, text_col, order_col, scope_col), "links")
-    hops = scratch.save(links.select("id", F.col("parent_id").alias("up"), F.lit(1).alias("depth")), "hops")
-    while True:
-        above = hops.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        joined = hops.join(above, "up", "left")
-        following = scratch.save(joined.select("id", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "hops")
-        moved = not following.where("moved").isEmpty()
-        scratch.drop(hops)
-        hops = scratch.save(following.drop("moved"), "hops")
-        scratch.drop(following)
-        if not moved:
+    moving = scratch.save(links.select("id", F.col("parent_id").alias("up"), F.lit(1).alias("depth")), "hops")
+    done, known = [], moving
+    while True:  # a message leaves as soon as it points to its root, so each round joins fewer rows
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        joined = moving.join(above, "up", "left").select(
+            "id", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")
+        )
+        joined = scratch.save(joined, "hops")
+        done.append(joined.where("NOT moved").drop("moved"))
+        moving = joined.where("moved").drop("moved")
+        if moving.isEmpty():
             break
+        known = reduce(DataFrame.unionByName, done, moving)
+    hops = reduce(DataFrame.unionByName, done)
     rows = messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("at"))
     out = rows.join(links, "id", "left").join(hops.select("id", F.col("up").alias("root_id"), "depth"), "id", "left")
     out = out.select(
@@ -112,7 +117,7 @@ def mail_from_turns(turns: DataFrame) -> DataFrame:
     A turn's own text is followed by the one before as level 1 and the one before that as level 2.
     """
     own = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    quote = lambda c, m: F.regexp_replace(F.col(c), r"(?m)^", m)
+    quote = lambda c, m: F.regexp_replace(F.col(c), r"(?md)^", m)
     back = lambda n: own.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
     joined = own.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
     text = F.concat_ws("\n", "text", quote("back1", "> "), quote("back2", ">> "))
@@ -123,3 +128,28 @@ def op3_quotation_linking(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     out = conversations(mail_from_turns(turns))
     return out.select(F.col("id").alias("message_id"), "parent_id", "root_id", "depth", "linked_passages", F.sha2("own_text", 256).alias("own_sha256"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+m AS (
+  SELECT (c.conv_id << 20) + c.turn AS id, c.turn AS t, c.conv_id AS scope,
+    concat_ws(chr(10), c.text, regexp_replace(x.text, '(?m)^', '> ', 'g'), regexp_replace(y.text, '(?m)^', '>> ', 'g')) AS text
+  FROM c LEFT JOIN c x ON x.conv_id = c.conv_id AND x.turn = c.turn - 1 LEFT JOIN c y ON y.conv_id = c.conv_id AND y.turn = c.turn - 2),
+raw AS (SELECT id, t, scope, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM m),
+l AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, trim(substr(line, length(mark) + 1)) AS body FROM (SELECT *, regexp_extract(line, '^(?:[\x20\x09]*>)+') AS mark FROM raw)),
+n AS (SELECT *, CASE WHEN pos = 0 OR lag(level) OVER w <> level OR lag(body) OVER w = '' THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY id ORDER BY pos)),
+q AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS part FROM n),
+p AS (SELECT DISTINCT id, t, scope, level, passage FROM (
+  SELECT id, t, scope, level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY pos)), '[\x20\x09-\x0D]+', ' ', 'g')) AS passage FROM q GROUP BY id, t, scope, level, part) WHERE passage <> ''),
+s AS (SELECT scope, passage, min({'t': t, 'id': id}) AS f FROM p WHERE level = 0 GROUP BY scope, passage),
+a AS (SELECT passage, min({'t': t, 'id': id}) AS f FROM p WHERE level = 0 GROUP BY passage),
+h AS (SELECT p.id, p.level, coalesce(CASE WHEN s.f < {'t': p.t, 'id': p.id} THEN s.f END, CASE WHEN a.f < {'t': p.t, 'id': p.id} THEN a.f END) AS o
+  FROM p LEFT JOIN s ON p.scope = s.scope AND p.passage = s.passage LEFT JOIN a ON p.passage = a.passage WHERE p.level > 0),
+b AS (SELECT id, level, max(o).id AS parent, count(*) AS passages, row_number() OVER (PARTITION BY id ORDER BY level) AS k FROM h WHERE o IS NOT NULL GROUP BY id, level),
+up AS (SELECT id, parent, passages FROM b WHERE k = 1),
+r AS (SELECT m.id, m.id AS root, 0 AS depth FROM m WHERE id NOT IN (SELECT id FROM up) UNION ALL SELECT up.id, r.root, r.depth + 1 FROM r JOIN up ON up.parent = r.id),
+own AS (SELECT id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (mark = ''), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own FROM l GROUP BY id)
+SELECT r.id AS message_id, up.parent AS parent_id, r.root AS root_id, r.depth, coalesce(up.passages, 0) AS linked_passages, sha256(own.own) AS own_sha256
+FROM r LEFT JOIN up ON r.id = up.id JOIN own ON r.id = own.id
+"""
