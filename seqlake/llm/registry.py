@@ -20,6 +20,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_ngram_join": ngram_join.OP2_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
+    "op3_quotation_linking": quotations.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
