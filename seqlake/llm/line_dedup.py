@@ -38,30 +38,36 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Dat
     )
 
 
-def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(h1, h2) of the lines that show on min_sites sites or more."""
+def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
+    """(h1, h2, first) of the lines that show on min_sites sites or more, with their first place.
+
+    Rows are first combined per line and site, inside each split, so a line that holds a third of
+    all rows comes to the later joins as one row per site.
+    """
     key = ["h1", "h2"]
-    frequent = lines.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select(*key)
-    in_play = lines.join(frequent, key, "left_semi")
+    by_site = lines.groupBy(*key, "site").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    by_site = scratch.save(by_site, "by_site")
+    frequent = by_site.groupBy(*key).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_sites).select(*key, "first")
+    frequent = scratch.save(frequent, "frequent")
+    in_play = by_site.select(*key, "site").join(frequent, key)
     spread = in_play.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
+    spread = scratch.save(spread, "spread")
     margin = F.greatest(F.lit(1.0), F.lit(ERROR) * F.col("sites"))
     near = F.abs(F.col("sites") - min_sites) <= margin
-    close = spread.where(near).select(*key)
     exact = (
-        in_play.join(close, key, "left_semi").select(*key, "site").distinct()
-        .groupBy(*key).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+        in_play.join(spread.where(near).select(*key), key, "left_semi").groupBy(*key).agg(F.count("*").alias("sites"))
+        .where(F.col("sites") >= min_sites)
     )
-    return spread.where(~near & (F.col("sites") > min_sites)).select(*key).unionByName(exact.select(*key))
+    wide = spread.where(~near & (F.col("sites") > min_sites)).select(*key).unionByName(exact.select(*key))
+    return wide.join(frequent, key)
 
 
 def removed_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(id, drop: sorted positions) of the documents that lose lines."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(line_rows(docs, id_col, text_col, site_col), "lines")
-    common = scratch.save(boilerplate(lines, min_sites), "common")
-    hits = lines.join(common, ["h1", "h2"])
-    first = hits.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"))
-    gone = hits.join(first, ["h1", "h2"]).where(F.struct("id", "pos") != F.col("first"))
+    common = scratch.save(boilerplate(lines, min_sites, scratch), "common")
+    gone = lines.join(common, ["h1", "h2"]).where(F.struct("id", "pos") != F.col("first"))
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
