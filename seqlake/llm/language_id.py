@@ -194,11 +194,11 @@ def _predicted(model):
         for batch in batches:
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for w in words(batch.column(1), 8 << 20):
+            for w in words(batch.column(1)):
                 if not len(w.starts) or not labels:
                     continue
                 place, grams, off = word_table(w, len(weights))
-                sums = np.add.reduceat(weights[grams].astype(np.float64), off[:-1], axis=0)
+                sums = np.add.reduceat(weights[grams], off[:-1], axis=0, dtype=np.float64)
                 full = np.flatnonzero(np.diff(w.first))
                 at = w.first[:-1][full]
                 logits = np.add.reduceat(sums[place], at, axis=0) / np.add.reduceat(np.diff(off)[place], at)[:, None] / heat

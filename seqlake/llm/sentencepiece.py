@@ -188,7 +188,7 @@ def encode_words(distinct: list[bytes], table: Pieces) -> tuple[np.ndarray, np.n
     return np.fromiter((i for r in result for i in r), np.int32, off[-1]), off
 
 
-def encode_column(column: pa.Array, table: Pieces, most: int = 8 << 20) -> pa.Array:
+def encode_column(column: pa.Array, table: Pieces, most: int = 3 << 20) -> pa.Array:
     """list<int32> of ids for a column of texts."""
     data, off = texts(column)
     ids, sizes = [], np.zeros(len(off) - 1, np.int64)
