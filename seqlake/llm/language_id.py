@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlake.llm.scratch import Scratch
+from seqlake.llm.scratch import Scratch, short_batches
 from seqlake.llm.text import lists, mix, words
 
 SCALE = 20.0
@@ -188,13 +188,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return LanguageModel(labels, (SCALE * idf[:, None] * weights).astype(np.float32), heat)
 
 
-def _predicted(model):
+def _predicted(model, text_col: str, keep: tuple[str, ...]):
     def run(batches):
         labels, weights, heat = model.value
         for batch in batches:
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for w in words(batch.column(1)):
+            letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+            for w in words(batch.column(text_col)):
                 if not len(w.starts) or not labels:
                     continue
                 place, grams, off = word_table(w, len(weights))
@@ -208,7 +208,7 @@ def _predicted(model):
                 score[w.rows[full]] = p.max(1)
             best[~letter], score[~letter] = -1, 0
             names = pa.array([labels[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3, batch.num_columns)), names, pa.array(score)], [*batch.schema.names[3:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), names, pa.array(score)], [*keep, "lang_pred", "score"])
 
     return run
 
@@ -218,9 +218,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.labels, model.weights, model.heat))
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
-    rows = docs.select(F.lit(0).alias("_n"), F.col(text_col).alias("_text"), letter, *keep)
+    short_batches(spark)
+    rows = docs.select(letter, *dict.fromkeys([*keep, text_col]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return rows.mapInArrow(_predicted(shared), schema)
+    return rows.mapInArrow(_predicted(shared, text_col, tuple(keep)), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -23,10 +23,22 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts reach Python in batches of so many rows, unless the session has a number of its own.
+
+    Spark's default of 10 000 rows suits numbers; whole texts of that many rows take hundreds of
+    megabytes per task on both sides.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables of one operator run, freed together or one by one."""
 
     def __init__(self, spark: SparkSession, name: str):
+        short_batches(spark)
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/seqlake/{name}-{uuid.uuid4().hex}"
         self.count = 0

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.llm.scratch import short_batches
 from seqlake.llm.text import Words, pieces, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -256,6 +257,7 @@ def _encoded(shared, check: bool):
 
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
     """The kept columns with n_tokens and ids; with check, round_trip says whether decoding gives the text."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
     kept = docs.select(*keep).schema
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "n_tokens long, ids array<int>" + ", round_trip boolean" * check
