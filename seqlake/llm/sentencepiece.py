@@ -1,19 +1,21 @@
-"""SentencePiece encoding and decoding by batched numpy Viterbi.
+"""SentencePiece encoding and decoding by batched numpy merges or Viterbi.
 
 The pieces and scores come from a model file whose path is a parameter; the table of pieces,
-bounded by the vocabulary, is sent to the tasks. A text gets a leading space, spaces become
-U+2581, and its segmentation is the one of the greatest sum of scores, the longest piece
-winning ties at each end. Characters without a piece become byte pieces.
-
-No piece runs over a space that follows another character, so the best path of a text is the
-best paths of its words, cut there. Distinct words of a batch with equally many characters
-advance together: hashes of all substrings of one length probe the sorted keys of the pieces
-of that length, and maxima over the lengths that may end at a character store
-backpointers. Words of over ``LONG`` characters take the same recurrence one by one.
-
-A literal U+2581 in a text is written as bytes, so decoding restores every text exactly.
-Ids are those of the unigram segmentation over the given piece scores, also where the file
-was trained by merges (BPE): its ranks serve as scores.
+bounded by the vocabulary, is sent to the tasks. A text gets a leading space and spaces become
+U+2581. A file that was trained by merges (BPE) is applied by merges: of the neighbouring pieces
+of a word that make up a piece, the pair of the greatest score is joined, the leftmost on ties,
+until none is left. Any other file gives the segmentation of the greatest sum of scores, the
+longest piece winning ties at each end. Characters without a piece become byte pieces.
+
+No piece runs over a space that follows another character, so the pieces of a text are the
+pieces of its words, cut there. Distinct words of a batch with equally many characters advance
+together, and hashes of substrings probe the sorted keys of the pieces. Merging, each round
+joins one pair per word and looks up the two pairs that this makes. Viterbi takes maxima over
+the lengths that may end at a character and stores backpointers. Words of over ``LONG``
+characters take the same steps one by one.
+
+A literal U+2581 in a text is written as bytes, so decoding restores every text exactly; all
+other ids are those of SentencePieceProcessor.encode for a file with identity normalization.
 
 Defined results: a null text has null ids and 0 tokens, an empty one no ids; texts are never
 cut; an empty table gives an empty result; other columns are kept by encode's ``keep`` list.
@@ -22,6 +24,7 @@ cut; an empty table gives an empty result; other columns are kept by encode's ``
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,10 @@ class Pieces:
     surface: np.ndarray
     surface_off: np.ndarray
     alone: np.ndarray  # bytes that stand in no piece of more characters
+    keys: np.ndarray  # of pieces of all lengths, sorted, with ids and scores
+    key_ids: np.ndarray
+    key_scores: np.ndarray
+    merges: bool  # whether the file was trained by merges
 
 
 def _keys(points: np.ndarray) -> np.ndarray:
@@ -61,7 +68,7 @@ def _keys(points: np.ndarray) -> np.ndarray:
 
 
 def load_pieces(path: str = MODEL) -> Pieces:
-    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
     model = SentencePieceProcessor(model_file=path)
     size = model.vocab_size()
@@ -85,8 +92,17 @@ def load_pieces(path: str = MODEL) -> Pieces:
     joined = {b for p in normal if len(p) > 1 for b in p.encode()}
     alone = np.array([b < 0x20 and b not in joined for b in range(256)])
     off = np.concatenate([[0], np.cumsum([len(s) for s in surface])])
+    keys, key_ids, key_scores = (np.concatenate([own[k] for own in by_length.values()]) for k in range(3))
+    order = np.argsort(keys)
+    keys, key_ids, key_scores = keys[order], key_ids[order], key_scores[order]
+    if (keys[1:] == keys[:-1]).any():
+        raise ValueError("two pieces have one key")
+    trainer = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec
+    merges = trainer.model_type == trainer.BPE
+    if merges and any(model.is_unused(i) for i in range(size)):
+        raise ValueError("a merge model has unused pieces")
     least = min(s for s, _ in normal.values())
-    return Pieces(by_length, normal, least - 10.0, byte_ids, model.unk_id(), np.frombuffer(b"".join(surface), np.uint8), off, alone)
+    return Pieces(by_length, normal, least - 10.0, byte_ids, model.unk_id(), np.frombuffer(b"".join(surface), np.uint8), off, alone, keys, key_ids, key_scores, merges)
 
 
 def _viterbi(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +169,71 @@ def _viterbi_long(points: list[int], table: Pieces) -> list[int]:
     return out[::-1]
 
 
+def _merge(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in order, how many by word) by merges; a character without a piece is -1 - code."""
+    n, length = points.shape
+    prefix = _keys(points)
+    power = np.multiply.accumulate(np.array([1] + [_BASE] * length, np.uint64))
+
+    def find(keys: np.ndarray) -> np.ndarray:
+        """Their places among the pieces' keys, or -1."""
+        at = np.minimum(np.searchsorted(table.keys, keys), len(table.keys) - 1)
+        return np.where(table.keys[at] == keys, at, -1)
+
+    one = find(prefix[:, 1:] - prefix[:, :-1] * power[1])
+    ids = np.where(one < 0, -1 - points.astype(np.int32), table.key_ids[one])
+    end = np.tile(np.arange(1, length + 1), (n, 1))
+    before = np.tile(np.arange(-1, length), (n, 1))
+    there = np.ones((n, length), bool)
+    pair, score = np.full((n, length), -1), np.full((n, length), -np.inf)  # of the piece that begins here and its next
+    pair[:, :-1] = find(prefix[:, 2:] - prefix[:, :-2] * power[min(2, length)])
+    score[pair >= 0] = table.key_scores[pair[pair >= 0]]
+
+    def look(rows: np.ndarray, first: np.ndarray, past: np.ndarray) -> None:
+        found = find(prefix[rows, past] - prefix[rows, first] * power[past - first])
+        pair[rows, first] = found
+        score[rows, first] = np.where(found < 0, -np.inf, table.key_scores[found])
+
+    rows = np.arange(n)
+    while True:
+        at = score[rows].argmax(1)
+        more = score[rows, at] > -np.inf
+        rows, at = rows[more], at[more]
+        if not len(rows):
+            return ids[there], there.sum(1)
+        middle = end[rows, at]
+        past = end[rows, middle]
+        ids[rows, at], end[rows, at], before[rows, past] = table.key_ids[pair[rows, at]], past, at
+        there[rows, middle], score[rows, middle], score[rows, at] = False, -np.inf, -np.inf
+        right, left = past < length, at > 0
+        look(rows[right], at[right], end[rows[right], past[right]])
+        look(rows[left], before[rows[left], at[left]], past[left])
+
+
+def _merge_long(points: list[int], table: Pieces) -> list[int]:
+    """The same merges for one word, its pairs in a heap."""
+    text = "".join(chr(p) if p != LITERAL else "\ud800" for p in points)
+    n, longest = len(text), max(table.by_length)
+    end, before, there = list(range(1, n + 1)), list(range(-1, n)), [True] * n
+    ids = [table.scores[c][1] if c in table.scores else -1 - p for c, p in zip(text, points)]
+
+    def pairs(first: int) -> list[tuple]:
+        past = end[end[first]] if end[first] < n else n + longest
+        found = table.scores.get(text[first:past]) if past - first <= longest else None
+        return [(-found[0], first, end[first], past, found[1])] if found else []
+
+    heap = [p for first in range(n) for p in pairs(first)]
+    heapify(heap)
+    while heap:
+        _, first, middle, past, piece = heappop(heap)
+        if not there[first] or end[first] != middle or end[middle] != past:
+            continue
+        ids[first], end[first], before[past], there[middle] = piece, past, first, False
+        for p in pairs(first) + (pairs(before[first]) if first else []):
+            heappush(heap, p)
+    return [i for i, t in zip(ids, there) if t]
+
+
 def _with_bytes(ids: list[int], table: Pieces) -> list[int]:
     out = []
     for i in ids:
@@ -165,8 +246,8 @@ def _with_bytes(ids: list[int], table: Pieces) -> list[int]:
     return out
 
 
-def encode_words(distinct: list[bytes], table: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words, offsets by word)."""
+def encode_words(distinct: list[bytes], table: Pieces, merges: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, offsets by word), by merges or by the greatest sum of scores."""
     decoded = [w.decode() for w in distinct]
     result: list = [None] * len(decoded)
     by_length: dict[int, list[int]] = {}
@@ -178,7 +259,12 @@ def encode_words(distinct: list[bytes], table: Pieces) -> tuple[np.ndarray, np.n
             points = np.array([[ord(c) for c in decoded[k]] for k in rows], np.uint32)
         points = np.where(points == SPACE, LITERAL, np.where(points == 0x20, SPACE, points)).astype(np.uint32)
         if length > LONG:
-            found = [_viterbi_long(p, table) for p in points.tolist()]
+            found = [(_merge_long if merges else _viterbi_long)(p, table) for p in points.tolist()]
+        elif merges:
+            ids, count = _merge(points, table)
+            ends = np.cumsum(count).tolist()
+            ids = ids.tolist()
+            found = [ids[a:b] for a, b in zip([0, *ends], ends)]
         else:
             ids, count = _viterbi(points, table)
             ids = [r[:c] for r, c in zip(ids.tolist(), count.tolist())]
@@ -189,8 +275,8 @@ def encode_words(distinct: list[bytes], table: Pieces) -> tuple[np.ndarray, np.n
     return np.fromiter((i for r in result for i in r), np.int32, off[-1]), off
 
 
-def encode_column(column: pa.Array, table: Pieces, most: int = 3 << 20) -> pa.Array:
-    """list<int32> of ids for a column of texts."""
+def encode_column(column: pa.Array, table: Pieces, most: int = 3 << 20, merges: bool = False) -> pa.Array:
+    """list<int32> of ids for a column of texts, by merges or by the greatest sum of scores."""
     data, off = texts(column)
     ids, sizes = [], np.zeros(len(off) - 1, np.int64)
     for a, b in pieces(off, most):
@@ -209,7 +295,7 @@ def encode_column(column: pa.Array, table: Pieces, most: int = 3 << 20) -> pa.Ar
         w = Words(np.arange(a, b), text, starts, np.append(starts[1:], len(text)), np.searchsorted(starts, bounds), bounds)
         _, at, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
         raw = text.tobytes()
-        values, value_off = encode_words([raw[s:e] for s, e in zip(starts[at].tolist(), w.ends[at].tolist())], table)
+        values, value_off = encode_words([raw[s:e] for s, e in zip(starts[at].tolist(), w.ends[at].tolist())], table, merges)
         size = np.diff(value_off)[place]
         ends = np.cumsum(size)
         ids.append(values[np.arange(ends[-1]) + np.repeat(value_off[place] - ends + size, size)])
@@ -239,7 +325,7 @@ def _encoded(shared, check: bool):
         table = shared.value
         for batch in batches:
             text = batch.column(0)
-            ids = encode_column(text, table)
+            ids = encode_column(text, table, merges=table.merges)
             count = pc.list_value_length(ids).cast(pa.int64())
             given = pc.is_valid(text)
             out = [*(batch.column(k) for k in range(1, batch.num_columns)), count, pc.if_else(given, ids.cast(pa.list_(pa.int32())), pa.scalar(None, pa.list_(pa.int32())))]

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from seqlake.llm import language_id, mixing, neighbours, quotations, sentencepiece
 from tests.llm.helpers import by_group, corpus, frame, words
@@ -91,6 +92,19 @@ def test_sentencepiece_against_brute_force_and_round_trip(spark, pieces):
     assert sentencepiece.encode(docs.where("false")).count() == 0
 
 
+def test_sentencepiece_gives_the_ids_of_the_merge_model(spark, pieces):
+    model = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    rng = random.Random(3)
+    texts = ["", "a", " ", "  a  b ", "\n\n x\t y", "漢字 é😀 z", "ab" * 200, "Hello  world\n\tété", "internationalization" * 3, "x" * 49, "    " * 30]
+    texts += ["".join(rng.choice("abcdeéstionr \n漢T") for _ in range(rng.randint(1, 150))) for _ in range(300)]
+    texts += ["".join(rng.choice("inherstao") for _ in range(rng.randint(40, 90))) for _ in range(50)]
+    docs = frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
+    assert {r.doc_id: r.ids for r in sentencepiece.encode(docs).collect()} == dict(enumerate(model.encode(texts)))
+    given = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r.ids for r in sentencepiece.op5_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: t if t is None else model.encode(t) for d, t in given.items()}
+
+
 def test_mixing_targets():
     assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
     assert mixing.targets([10, 100, 100]) == pytest.approx([30, 120, 60])
