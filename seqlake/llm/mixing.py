@@ -5,14 +5,16 @@ all words by weight. A target stops at ``most`` times its source's size, and the
 shared again by weight until none is above.
 
 A source's documents, in the order of a hash, form ``BLOCKS`` blocks. A target is whole passes
-over the source, then whole blocks in permuted order, then the documents of one more block
-in hash order as long as they fit. All these block draws are dealt to the output shards by a
-tree: each node splits its vector of draws per source into two halves by one multivariate
+over the source, then whole blocks in permuted order, passing over those that don't fit, then
+of the blocks passed over the longest documents that fit, equally long ones in permuted order.
+So no document that is not drawn once more would fit under the target. The block draws, and
+a source's last documents as one draw, are dealt to the output shards by a tree: each node splits its vector of draws per source into two halves by one multivariate
 hypergeometric sample, so every shard gets the mix's proportions with exact totals. Shards
 draw disjoint ranges of the permuted draws, and ``place`` gives the order inside a shard.
 
 The driver holds one row per source, the mix's own parameters; blocks and documents stay in
-Spark. Everything hangs on the seed and hashes of ids, so reruns agree.
+Spark; a task fills a source from its blocks and from the counts of its documents by size.
+Everything hangs on the seed and hashes of ids, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 are drawn like others and add
 nothing; a source without words has target 0; rows repeated with one id are drawn together;
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,6 +79,28 @@ def _sized(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size)], ["id", "source", "size"])
 
 
+def _fit_blocks(blocks: pa.Table) -> pa.Table:
+    """A source's blocks, which of them are drawn whole once more, and the room that this leaves."""
+    blocks = blocks.sort_by([("turn", "ascending"), ("block", "ascending")])
+    room, whole, missed = blocks["rest"][0].as_py(), [], False
+    for size in blocks["words"].to_pylist():
+        whole.append(size <= room and (size > 0 or not missed))  # empty blocks only before the first that doesn't fit
+        missed |= not whole[-1]
+        room -= size if whole[-1] else 0
+    return blocks.select(["place", "block", "passes"]).append_column("whole", pa.array(whole)).append_column("room", pa.array([room] * len(whole), pa.float64()))
+
+
+def _fit_sizes(sizes: pa.Table) -> pa.Table:
+    """How many documents of each size a source's room takes, the longest first."""
+    sizes = sizes.sort_by([("size", "descending")])
+    room, take = sizes["room"][0].as_py(), []
+    for size, documents in zip(sizes["size"].to_pylist(), sizes["documents"].to_pylist()):
+        take.append(min(documents, int(room // size)))
+        room -= take[-1] * size
+    take = pa.array(take, pa.int64())
+    return sizes.select(["place", "size"]).append_column("take", take).filter(pc.greater(take, 0))
+
+
 def mix(docs: DataFrame, shards: int = 16, seed: int = 17, most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: (id, source, size, source_size, target, draws: array of shards)."""
     spark = docs.sparkSession
@@ -95,42 +120,51 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, most: float = 3.0, id
     sources = F.broadcast(spark.createDataFrame(plan, "place int, source string, source_size long, target double, passes int, rest double"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
 
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
-    filled = blocks.withColumn("upto", F.sum("words").over(permuted)).withColumn("number", F.row_number().over(permuted))
-    filled = filled.join(sources, same(filled, sources)).select(
-        "place", "block", "passes", "rest", "number",
-        (F.col("upto") <= F.col("rest")).alias("whole"), (F.col("rest") - (F.col("upto") - F.col("words"))).alias("room"),
-    )
+    known = rows.join(sources.drop("passes", "rest"), same(rows, sources)).drop(sources["source"])
+    turn = F.xxhash64(F.lit(seed + 1), "block")
+    filled = blocks.join(sources, same(blocks, sources)).select("place", "block", "words", "passes", "rest", turn.alias("turn"))
+    filled = filled.groupBy("place").applyInArrow(_fit_blocks, "place int, block int, passes int, whole boolean, room double")
     filled = scratch.save(filled, "filled")
-    drawn = filled.where("whole OR (room > 0 AND NOT whole)").groupBy("place").agg(F.count("*").alias("extra")).collect()
-    extra = {r.place: r.extra for r in drawn}
+
+    passed = F.broadcast(filled.where("NOT whole AND room > 0").select("place", "block", "room"))  # BLOCKS rows per source at most
+    left = known.join(passed, ["place", "block"]).groupBy("place", "block", "hash", "id").agg(F.sum("size").alias("size"), F.max("room").alias("room"))
+    left = scratch.save(left.where("size > 0 AND size <= room"), "left")
+    wanted = left.groupBy("place", "size").agg(F.count("*").alias("documents"), F.max("room").alias("room"))
+    wanted = scratch.save(wanted.groupBy("place").applyInArrow(_fit_sizes, "place int, size long, take long"), "wanted")
+    near = left.join(wanted, ["place", "size"]).drop("room")
+    permuted = Window.partitionBy("place", "size").orderBy(turn, "block")
+    quota = near.groupBy("place", "size", "block", "take").agg(F.count("*").alias("documents"))
+    quota = quota.withColumn("quota", F.col("take") - F.sum("documents").over(permuted) + F.col("documents")).where("quota > 0")
+    within = Window.partitionBy("place", "size", "block").orderBy("hash", "id")
+    last = near.drop("take").join(quota.drop("take", "documents"), ["place", "size", "block"]).withColumn("number", F.row_number().over(within))
+    last = scratch.save(last.where("number <= quota").select("place", "block", "id"), "last")
+
+    extra = {r.place: r.extra for r in filled.where("whole").groupBy("place").agg(F.count("*").alias("extra")).collect()}
+    for r in wanted.select("place").distinct().collect():
+        extra[r.place] = extra.get(r.place, 0) + 1
     counts = np.array([r.blocks * p + extra.get(k, 0) for k, (r, p) in enumerate(zip(found, passes))], np.int64)
     dealt = split_draws(counts, shards, seed) if len(counts) else np.zeros((shards, 0), np.int64)
     upper = np.cumsum(dealt, axis=0)
     ranges = [(k, s, int(upper[s, k] - dealt[s, k]), int(upper[s, k])) for k in range(len(counts)) for s in range(shards) if dealt[s, k]]
     ranges = F.broadcast(spark.createDataFrame(ranges, "place int, shard int, first long, past long"))  # shards x sources rows
 
-    extra_pass = F.when(F.col("whole") | (F.col("room") > 0), F.col("passes") + 1).otherwise(F.col("passes"))
-    draws = filled.where(extra_pass > 0).withColumn("pass", F.explode(F.sequence(F.lit(1), extra_pass)))
-    draws = draws.withColumn("partial", (F.col("pass") > F.col("passes")) & ~F.col("whole"))
+    times = F.col("passes") + F.col("whole").cast("int")
+    draws = filled.where(times > 0).select("place", "block", F.explode(F.sequence(F.lit(1), times)).alias("pass"))
+    draws = draws.unionByName(wanted.select("place").distinct().select("place", F.lit(-1).alias("block"), F.lit(0).alias("pass")))
     shuffled = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(seed + 2), "pass", "block"), "pass", "block")
     draws = draws.withColumn("draw", F.row_number().over(shuffled) - 1)
     draws = draws.join(ranges, "place").where("draw >= first AND draw < past")
-    draws = draws.groupBy("place", "block").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("partial"), F.col("shard")))).alias("shards"),
-        F.max(F.when(F.col("partial"), F.col("shard"))).alias("last_shard"),
-        F.max(F.when(F.col("partial"), F.col("room"))).alias("room"),
-    )
-    draws = F.broadcast(scratch.save(draws, "draws"))  # BLOCKS rows per source at most
-
-    known = rows.join(sources.select("place", "source", "source_size", "target"), same(rows, sources)).drop(sources["source"])
-    known = known.join(draws, ["place", "block"], "left")
-    within = Window.partitionBy("place", "block").orderBy("hash", "id")
-    fits = known.where("room IS NOT NULL").withColumn("upto", F.sum("size").over(within))
-    fits = fits.withColumn("shards", F.when(F.col("upto") <= F.col("room"), F.array_append("shards", F.col("last_shard"))).otherwise(F.col("shards")))
-    out = known.where("room IS NULL").unionByName(fits.drop("upto"))
-    none = F.array().cast("array<int>")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("shards", none).alias("draws"))
+    draws = draws.groupBy("place", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    draws = scratch.save(draws, "draws")
+    whole, part = draws.where("block >= 0"), draws.where("block < 0").select("place", F.col("shards")[0].alias("last_shard"))
+    last = last.join(F.broadcast(part), "place").select("place", "block", F.col("id").alias("last_id"), "last_shard")
+
+    out = known.join(F.broadcast(whole), ["place", "block"], "left")  # BLOCKS rows per source at most
+    same_row = (out["place"] == last["place"]) & (out["block"] == last["block"]) & out["id"].eqNullSafe(last["last_id"])
+    out = out.join(last, same_row, "left").drop(last["place"], last["block"])
+    given = F.coalesce("shards", F.array().cast("array<int>"))
+    draws = F.when(F.col("last_shard").isNull(), given).otherwise(F.array_append(given, F.col("last_shard")))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", draws.alias("draws"))
 
 
 def place(mixed: DataFrame, seed: int = 17, id_col: str = "doc_id") -> DataFrame:

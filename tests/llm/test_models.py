@@ -134,6 +134,24 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [4, 1024])
+def test_mixing_fills_past_long_documents(spark, monkeypatch, blocks):
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    rng = random.Random(6)
+    sizes = [(f"s{k:02}", n) for k in range(30) for n in [1000, *(rng.randint(10, 70) for _ in range(100))]]
+    rows = [(d, "w " * n, None, source, None) for d, (source, n) in enumerate(sizes)]
+    rows += [r for r in rows if r[0] % 40 == 7] + [(None, "w w w", None, "s00", None), (9999, "", None, "s00", None)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for _, own in by_group(got, lambda r: r.source).items():
+        target, passes = own[0].target, int(own[0].target // own[0].source_size)
+        left = target - sum(r["size"] * len(r.draws) for r in own)
+        assert 0 <= left <= 0.05 * target
+        for _, same in by_group(own, lambda r: r.doc_id).items():
+            size, times = sum(r["size"] for r in same), {len(r.draws) for r in same}
+            assert times == {passes + 1} or times == {passes} and (size == 0 or size > left)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 8)).astype(np.float32).tolist()
