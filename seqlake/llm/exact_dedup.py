@@ -2,18 +2,21 @@
 
 Texts count as equal when they are identical after every run of white space
 ``[\\x20\\x09-\\x0D]+`` becomes one space. A digest (SHA-256 of the normalised text) groups
-rows; whatever shares a digest is then compared by its full content at every stage:
+rows, and whatever shares a digest is compared by its full content at every stage:
 
-1. local: Spark's map-side aggregation merges equal contents inside each input split;
-2. salted: groups of (digest, salt, content), so that a text that holds a third of all rows
-   is merged by many tasks;
-3. global: the salt winners of a content, at most ``salts`` rows each.
+1. local: the aggregation by (digest, salt, content) merges equal contents inside each input
+   split, before anything is shuffled, so a text moves once per split that holds it;
+2. salted: the same aggregation's shuffle. Hot digests (``skew``) are dealt to ``salts`` groups by
+   the hash of the id, all others have one group, which is final;
+3. global: the salt winners of the hot digests, at most ``salts`` rows per content, are combined.
 
-Digests that occur once need no content comparison and never move their text.
+Rows find their group by (digest, salt), the winners of hot digests being repeated per salt. So
+no stage brings the rows of a hot digest into one task.
 
 Defined results: a null text counts as empty, and all empty texts are one group; the smallest
-id of a group stays; repeated rows (same id and text) count in group_size; an empty table
-gives an empty result. Only the id and text columns are read, so extra columns of any name
+id of a group stays; repeated rows (same id and text) count in group_size, and those with the
+smallest id are all kept, as are rows of a group that has null ids alone; an empty table gives
+an empty result. Only the id and text columns are read, so extra columns of any name
 are harmless.
 """
 
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.scratch import Scratch
+from seqlake.llm.skew import SALTS, for_each_salt, hot_keys, with_salt
 
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -31,7 +35,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_RUN, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+def digest_of(content: Column) -> Column:
+    return F.unhex(F.sha2(content, 256))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per input row: (id, keep_id, group_size, kept, digest).
 
     keep_id is the smallest id with an equal text, kept says whether the row is that one, and
@@ -39,41 +47,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact")
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("content"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
+    rows = rows.withColumn("digest", digest_of(F.col("content")))
     ids = scratch.save(rows.select("id", "digest"), "digests")
+    hot = scratch.save(hot_keys(ids.groupBy("digest").agg(F.count("*").alias("n")), ids.count()), "hot")
 
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
-    repeated = (
-        ids.groupBy("digest", salt.alias("salt")).agg(F.count("*").alias("n"))
-        .groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
-    )
-    repeated = scratch.save(repeated, "repeated")
-    merged = (
-        rows.join(repeated.hint("merge"), "digest", "left_semi")
-        .groupBy("digest", salt.alias("salt"), "content")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
-        .groupBy("digest", "content")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    )
-    winners = scratch.save(merged.select("digest", "content", "keep_id", "group_size"), "winners")
+    merged = with_salt(rows, hot, F.col("id"), salts).groupBy("digest", "salt", "content").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    # Only the winners of hot digests are combined again, so only their contents are written.
+    held = merged.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
+    held = scratch.save(held.select("digest", "keep_id", "n", "hot", F.when(F.col("hot"), F.col("content")).alias("content")), "salted")
+    combined = held.where("hot").groupBy("digest", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    winners = combined.select("digest", "keep_id", "group_size").unionByName(held.where("hot IS NULL").select("digest", "keep_id", F.col("n").alias("group_size")))
+    winners = scratch.save(winners, "winners")
 
     # A digest shared by different contents never shows in practice; its rows are matched by content.
     clashing = winners.groupBy("digest").count().where("count > 1").select("digest")
     if clashing.isEmpty():
-        placed = ids.join(winners.select("digest", "keep_id", "group_size"), "digest", "left")
+        placed = with_salt(ids, hot, F.col("id"), salts).join(for_each_salt(winners, hot, salts), ["digest", "salt"])
     else:
-        by_digest = winners.join(clashing, "digest", "left_anti").select("digest", "keep_id", "group_size")
-        by_content = rows.join(clashing, "digest", "left_semi").join(winners, ["digest", "content"])
+        clashing = scratch.save(clashing, "clashing")
+        torn = rows.join(clashing, "digest", "left_semi")
+        groups = torn.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         placed = (
-            ids.join(clashing, "digest", "left_anti").join(by_digest, "digest", "left")
-            .unionByName(by_content.select("id", "digest", "keep_id", "group_size"))
+            ids.join(clashing, "digest", "left_anti").join(winners, "digest").select("id", "digest", "keep_id", "group_size")
+            .unionByName(torn.join(groups, ["digest", "content"]).select("id", "digest", "keep_id", "group_size"))
         )
-    keep = F.coalesce("keep_id", "id")
     return placed.select(
         F.col("id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("id") == keep).alias("kept"),
+        "keep_id",
+        F.col("group_size").cast("long").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("digest"),
     )
 

@@ -1,18 +1,27 @@
 """Line dedup by the spread of lines over distinct sites.
 
 A line that shows on ``min_sites`` sites or more is boilerplate: it stays at its first place
-(smallest document id, then position) and goes everywhere else. The spread comes from
-HyperLogLog sketches of the sites, merged by aggregation per line hash; where an estimate is
-within three standard errors (or one site) of the threshold, the exact distinct count decides.
-Lines with fewer rows than min_sites can't reach it and get no sketch.
+(smallest document id, then position) and goes everywhere else.
+
+1. One aggregation per line hash merges HyperLogLog sketches of the sites, straight from the
+   lines and combined inside each input split, so a line that holds a third of all rows comes
+   to the shuffle as one small row per split. It also counts the rows and finds the first place.
+2. Lines with fewer rows than min_sites can't reach it. Where the estimate is within three
+   standard errors (or one site) of the threshold, the exact distinct count decides; only these
+   lines' sites are gathered, combined per (line, site) inside each split.
+3. Rows of boilerplate lines are found by a join on the line hash, hot lines salted (``skew``),
+   and the positions that go are collected per document.
 
 Lines are cut at newlines and compared after white space at both ends is stripped; blank lines
-are never removed. Only line hashes (128 bits), ids and positions are shuffled; a text moves
-once, when its document loses a line.
+are never removed. Line hashes (128 bits), ids and positions are what is shuffled up to there;
+then texts move to their documents' positions, unless those are few enough to be broadcast.
 
 Defined results: a null text stays null and has no lines; a null site counts as one site of
-its own; repeated lines of one document count as one site; an empty table gives an empty
-result; all input columns are kept as they are, but for the text.
+its own; repeated lines of one document count as one site; rows that share an id but not the
+text are documents of their own (the hash of the text tells them apart), rows that share both
+lose the same lines; null ids come first; an empty table gives an empty result; all input
+columns are kept as they are, but for the text, and for one named n_lines_removed, which is
+replaced.
 """
 
 from __future__ import annotations
@@ -21,69 +30,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.scratch import Scratch
+from seqlake.llm.skew import for_each_salt, hot_keys, with_salt
 
 LG_K = 12
 ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
+KEY = ["h1", "h2"]
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, site, pos, h1, h2) of every line that isn't blank."""
+    """(id, row, site, pos, h1, h2) of every line that isn't blank; row is the hash of the text."""
     lines = docs.select(
         F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("row"),
         F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("")).alias("site"),
         F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"),
     ).withColumn("line", F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""))
     return lines.where("line <> ''").select(
-        "id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
+        "id", "row", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
     )
 
 
-def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
-    """(h1, h2, first) of the lines that show on min_sites sites or more, with their first place.
+def site_spread(lines: DataFrame) -> DataFrame:
+    """(h1, h2, n, first, sites): rows, first place and estimated number of sites of each line."""
+    return lines.groupBy(*KEY).agg(
+        F.count("*").alias("n"),
+        F.min(F.struct("id", "row", "pos")).alias("first"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"),
+    )
 
-    Rows are first combined per line and site, inside each split, so a line that holds a third of
-    all rows comes to the later joins as one row per site.
-    """
-    key = ["h1", "h2"]
-    by_site = lines.groupBy(*key, "site").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
-    by_site = scratch.save(by_site, "by_site")
-    frequent = by_site.groupBy(*key).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_sites).select(*key, "first")
-    frequent = scratch.save(frequent, "frequent")
-    in_play = by_site.select(*key, "site").join(frequent, key)
-    spread = in_play.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
-    spread = scratch.save(spread, "spread")
+
+def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(h1, h2, first) of the lines that show on min_sites sites or more, and the hot ones of all lines."""
+    spread = site_spread(lines).where(F.col("n") >= min_sites)
     margin = F.greatest(F.lit(1.0), F.lit(ERROR) * F.col("sites"))
-    near = F.abs(F.col("sites") - min_sites) <= margin
+    spread = spread.withColumn("near", F.abs(F.col("sites") - min_sites) <= margin).where(F.col("near") | (F.col("sites") > min_sites))
+    spread = scratch.save(spread, "spread")
+    hot = scratch.save(hot_keys(spread.select(*KEY, "n"), lines.count()), "hot")
+
+    near = for_each_salt(spread.where("near").select(*KEY), hot)
     exact = (
-        in_play.join(spread.where(near).select(*key), key, "left_semi").groupBy(*key).agg(F.count("*").alias("sites"))
-        .where(F.col("sites") >= min_sites)
+        with_salt(lines.select(*KEY, "site"), hot, F.col("site")).join(near, [*KEY, "salt"], "left_semi")
+        .groupBy(*KEY, "site").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(F.count("*").alias("exact"))
+        .where(F.col("exact") >= min_sites).select(*KEY)
     )
-    wide = spread.where(~near & (F.col("sites") > min_sites)).select(*key).unionByName(exact.select(*key))
-    return wide.join(frequent, key)
+    wide = spread.where("NOT near").select(*KEY).unionByName(exact)
+    return scratch.save(spread.select(*KEY, "first").join(wide, KEY, "left_semi"), "common"), hot
 
 
-def removed_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, drop: sorted positions) of the documents that lose lines."""
-    scratch = Scratch(docs.sparkSession, "lines")
+def removed_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str, scratch: Scratch) -> DataFrame:
+    """(id, row, drop: sorted positions) of the documents that lose lines."""
     lines = scratch.save(line_rows(docs, id_col, text_col, site_col), "lines")
-    common = scratch.save(boilerplate(lines, min_sites, scratch), "common")
-    gone = lines.join(common, ["h1", "h2"]).where(F.struct("id", "pos") != F.col("first"))
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    common, hot = boilerplate(lines, min_sites, scratch)
+    place = F.struct("id", "row", "pos")
+    found = with_salt(lines.drop("site"), hot, place).join(for_each_salt(common, hot), [*KEY, "salt"])
+    gone = found.where(~place.eqNullSafe(F.col("first"))).groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    gone = scratch.save(gone, "gone")
+    scratch.drop(lines)
+    return gone
 
 
 def line_dedup(docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """The documents with their boilerplate lines removed, plus n_lines_removed.
-
-    Ids should be unique; rows that share an id lose the union of their boilerplate positions.
-    """
-    gone = removed_lines(docs, min_sites, id_col, text_col, site_col)
-    gone = gone.select(F.col("id").alias("_gone_id"), F.col("drop").alias("_drop"))
-    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    text = F.when(F.col("_drop").isNull(), docs[text_col]).otherwise(kept)
+    """The documents with their boilerplate lines removed, plus n_lines_removed."""
+    gone = removed_lines(docs, min_sites, id_col, text_col, site_col, Scratch(docs.sparkSession, "lines"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"))
+    joined = rows.join(gone, rows["id"].eqNullSafe(gone["id"]) & (rows["row"] == gone["row"]), "left").select("doc", "drop")
+    text = F.col("doc")[text_col]
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     return joined.select(
-        *[text.alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_lines_removed"),
+        *[F.when(F.col("drop").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns if c != "n_lines_removed"],
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_lines_removed"),
     )
 
 

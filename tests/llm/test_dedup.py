@@ -4,9 +4,10 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqlake.llm import components as C
-from seqlake.llm import exact_dedup, line_dedup, ngram_join, sharding, substring_dedup
+from seqlake.llm import exact_dedup, line_dedup, ngram_join, sharding, skew, substring_dedup
 from seqlake.llm.scratch import Scratch
 from tests.llm.helpers import by_group, components, corpus, frame, kept_words
 
@@ -15,21 +16,35 @@ def empty(spark):
     return frame(spark, corpus()).where("false")
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("hot_rows", [256, 1])
+@pytest.mark.parametrize("digest", ["sha256", "length"])
+def test_exact_dedup(spark, monkeypatch, hot_rows, digest):
+    """Also with nearly all digests hot, and with a digest that different contents share."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    if digest == "length":
+        monkeypatch.setattr(exact_dedup, "digest_of", lambda c: F.pmod(F.length(c), F.lit(7)).cast("string").cast("binary"))
     rows = corpus()
     rows += [rows[3], rows[9]]  # repeated rows
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest() if digest == "sha256" else str(len(t) % 7).encode().hex()
     groups = by_group(rows, lambda r: norm(r[1]))
-    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect())
+    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(frame(spark, rows), salts=3).collect())
     want = Counter()
     for r in rows:
         g = groups[norm(r[1])]
         keep = min(x[0] for x in g)
-        want[(r[0], keep, len(g), r[0] == keep, hashlib.sha256(norm(r[1]).encode()).hexdigest())] += 1
+        want[(r[0], keep, len(g), r[0] == keep, sha(norm(r[1])))] += 1
     assert got == want
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
+def test_exact_dedup_of_a_text_that_holds_half_of_all_rows(spark):
+    rows = [(k, "the same text" if k % 2 else f"text {k}", None, None, None) for k in range(2000)]
+    got = exact_dedup.exact_dedup(frame(spark, rows))
+    assert {(r.keep_id, r.group_size) for r in got.where("doc_id % 2 = 1").collect()} == {(1, 1000)}
+    assert got.where("kept").count() == 1001
+
+
 def test_ngram_components(spark):
     rows = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, rows)).collect()}
@@ -90,24 +105,61 @@ def test_suffix_automaton_against_brute_force():
         assert automaton.owners(t, 3) == want
 
 
-def test_line_dedup(spark):
-    lines = ["common one", "  common one ", "rare", "", "twice", "common two"]
-    rows = [(k, "\n".join([lines[k % 2], f"own {k}", "", lines[2] if k < 3 else "x" + str(k), "common two", "common two"]), None, f"s{k % 4}" if k % 5 else None, None) for k in range(20)]
-    rows += [(90, None, None, "s1", None), (91, "", None, "s1", None)]
-    got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.line_dedup(frame(spark, rows), 4).collect()}
+def plain_lines(rows, least):
+    """[(doc_id, text, lines removed)] by looking at all lines."""
     sites, first = {}, {}
-    for d, t, _, s, _ in sorted(rows):
+    for d, t, _, s, _ in rows:
         for p, line in enumerate((t or "").split("\n")):
             if line.strip():
                 sites.setdefault(line.strip(), set()).add(s)
-                first.setdefault(line.strip(), (d, p))
+                first.setdefault(line.strip(), []).append((d, t, p))
+    out = []
     for d, t, *_ in rows:
-        kept = [x for p, x in enumerate((t or "").split("\n")) if not x.strip() or len(sites[x.strip()]) < 4 or first[x.strip()] == (d, p)]
-        assert got[d] == (None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")) - len(kept))
-    assert sum(n for _, n in got.values()) > 20
+        own = (t or "").split("\n")
+        gone = [p for p, x in enumerate(own) if x.strip() and len(sites[x.strip()]) >= least and min(f[0] for f in first[x.strip()]) != d]
+        gone += [p for p, x in enumerate(own) if x.strip() and len(sites[x.strip()]) >= least and min(f[0] for f in first[x.strip()]) == d and min(f[2] for f in first[x.strip()] if f[:2] == (d, t)) != p]
+        out.append((d, None if t is None else "\n".join(x for p, x in enumerate(own) if p not in gone), len(gone)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("hot_rows", [256, 1])
+def test_line_dedup(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    lines = ["common one", "  common one ", "rare", "", "twice", "common two"]
+    rows = [(k, "\n".join([lines[k % 2], f"own {k}", "", lines[2] if k < 3 else "x" + str(k), "common two", "common two"]), None, f"s{k % 4}" if k % 5 else None, None) for k in range(20)]
+    rows += [(90, None, None, "s1", None), (91, "", None, "s1", None)]
+    got = line_dedup.line_dedup(frame(spark, rows), 4)
+    want = plain_lines(rows, 4)
+    assert Counter((r.doc_id, r.text, r.n_lines_removed) for r in got.collect()) == want
+    assert sum(n for *_, n in want) > 20
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("near", [1.0, 0.0])
+def test_line_dedup_counts_near_the_threshold_exactly(spark, monkeypatch, near):
+    """Sketches decide far from the threshold, exact counts near it: a sketch that is wrong by a little or a lot shows."""
+    rows = [(100 * n + k, f"on {n} sites\nown {n} {k}", None, f"s{k}", None) for n in (5, 7, 8, 9, 40) for k in range(n)]
+    rows += [(9000 + k, "on one site", None, "s0", None) for k in range(30)]
+    spread = line_dedup.site_spread
+    monkeypatch.setattr(line_dedup, "site_spread", lambda lines: spread(lines).withColumn("sites", F.col("sites") + near if near else F.lit(2.0)))
+    got = Counter((r.doc_id, r.text, r.n_lines_removed) for r in line_dedup.line_dedup(frame(spark, rows)).collect())
+    assert (got == plain_lines(rows, 8)) == (near == 1.0)
+
+
+def test_line_dedup_of_repeated_ids_and_clashing_columns(spark):
+    """Rows that share an id are cut by their own positions, and no input column gets in the way."""
+    rows = [(k, "shared by all\nunique to " + str(k), None, f"s{k}", None) for k in range(10)]
+    rows += [(5, "first of five\nsecond\nshared by all", None, "s5", None), (None, "shared by all", None, "s1", None), (None, "a text without an id", None, "s1", None)]
+    df = frame(spark, rows)
+    for name in ("_drop", "drop", "n_lines_removed", "row", "doc", "pos", "h1", "salt", "_hot"):
+        df = df.withColumn(name, F.lit(name))
+    out = line_dedup.line_dedup(df)
+    assert sorted(out.columns) == sorted(df.columns) and dict(out.dtypes)["n_lines_removed"] == "bigint"
+    got = Counter((r.doc_id, r.text, r.n_lines_removed, r.drop) for r in out.collect())
+    want = Counter((d, t if d is None else t.replace("shared by all\n", "").replace("\nshared by all", ""), int(d is not None), "drop") for d, t, *_ in rows)
+    assert got == want
+
+
 def test_sharding(spark):
     rows = corpus()
     rows += [rows[3], rows[9]]
