@@ -41,15 +41,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = docs.select(*COLUMNS)
     groups = ngram_join.ngram_components(docs)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents so that sources meet their target weights; a document comes once per draw."""
+    """Draws documents so that sources meet their target weights, and writes them in the mix's order.
+
+    A document comes once per draw, in the shard that drew it and at its place there: the rows are
+    sorted by shard and place over range partitions, each of which lies in one shard or few.
+    """
     docs = docs.select(*COLUMNS)
-    draws = mixing.mix(docs).select("doc_id", "draws").dropDuplicates(["doc_id"])
-    drawn = docs.join(draws.hint("merge"), "doc_id")
-    return drawn.withColumn("shard", F.explode("draws")).select(*COLUMNS)
+    draws = mixing.place(mixing.mix(docs).dropDuplicates(["doc_id"])).withColumnRenamed("doc_id", "drawn_id")
+    drawn = docs.join(draws, docs["doc_id"].eqNullSafe(draws["drawn_id"]))
+    order = ["shard", "place", "doc_id", "copy"]
+    return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
@@ -105,43 +106,120 @@ def test_sentencepiece_gives_the_ids_of_the_merge_model(spark, pieces):
     assert got == {d: t if t is None else model.encode(t) for d, t in given.items()}
 
 
-def test_mixing_targets():
-    assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
-    assert mixing.targets([10, 100, 100]) == pytest.approx([30, 120, 60])
-    assert mixing.targets([0, 10]) == pytest.approx([0, 10])
-    assert mixing.targets([]) == []
+def targets(spark, sizes):
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "place long, words long")
+    return [r.target for r in mixing.with_targets(rows).orderBy("place").collect()]
+
+
+def test_mixing_targets(spark):
+    assert targets(spark, [100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
+    assert targets(spark, [10, 100, 100]) == pytest.approx([30, 120, 60])
+    assert targets(spark, [0, 10]) == pytest.approx([0, 10])
+    assert targets(spark, []) == []
+
+
+def test_numbering_over_ranges(spark):
+    names = [None, *(f"s{k:03}" for k in range(200)), "é", "Z"]
+    rows = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
+    got = {r.source: r.place for r in mixing.numbered(rows, mixing.Scratch(spark, "t"), F.col("source").isNull(), F.col("source")).collect()}
+    assert got == {n: k for k, n in enumerate(sorted(names, key=lambda n: (n is None, n or "")))}
 
 
 def test_splitting_tree_has_exact_totals():
-    out = mixing.split_draws(np.array([100, 7, 0]), 6, 3)
-    assert out.sum(0).tolist() == [100, 7, 0] and (out >= 0).all()
-    assert np.ptp(out.sum(1)) <= 2
+    draws, totals = np.array([100, 7, 0]), [17, 18, 18, 18, 18, 18]
+    out = mixing.split_draws(draws, totals, np.random.default_rng(3))
+    assert out.sum(0).tolist() == [100, 7, 0] and (out >= 0).all() and out.sum(1).tolist() == totals
+    mean = np.mean([mixing.split_draws(draws, totals, np.random.default_rng(k))[:, 0] for k in range(2000)], axis=0)
+    assert mean == pytest.approx(100 * np.array(totals) / 107, rel=0.02)
 
 
-def test_mixing(spark):
-    rows = corpus(n=400)
-    got = mixing.mix(frame(spark, rows)).collect()
-    again = {r.doc_id: r.draws for r in mixing.mix(frame(spark, rows).repartition(5)).collect()}
+def spark_hash(*longs):
+    h = 42
+    for bits, x in longs:
+        h = xxhash.xxh64_intdigest(x.to_bytes(bits // 8, "little", signed=True), h)
+    return h - (1 << 64) * (h >> 63)
+
+
+def plain_draws(rows, blocks, seed=17):
+    """{(doc_id, source): draws} of documents with unique ids, by filling one source after another."""
     size = {d: len(words(t)) for d, t, *_ in rows}
-    assert {r.doc_id: r["size"] for r in got} == size
-    assert all(again[r.doc_id] == r.draws and len(r.draws) <= 3 for r in got)
+    names = sorted({r[3] for r in rows}, key=lambda n: (n is None, n or ""))
+    weight = {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}
+    own = {n: [r[0] for r in rows if r[3] == n] for n in names}
+    words_of = {n: sum(size[d] for d in own[n]) for n in names}
+    goal, open_, left = {}, set(names), sum(size.values())
+    while open_:
+        unit = left / sum(weight[n] for n in open_)
+        full = {n for n in open_ if 3 * words_of[n] < weight[n] * unit}
+        for n in full or open_:
+            goal[n] = 3 * words_of[n] if full else weight[n] * unit
+        left -= sum(goal[n] for n in full)
+        open_ -= full or set(names)
+    out = {}
+    for n in names:
+        passes = min(3, int(goal[n] // words_of[n])) if words_of[n] else 0
+        room = goal[n] - passes * words_of[n] if passes < 3 else 0
+        by_hash = {d: spark_hash((32, seed), (64, d)) for d in own[n]}
+        of_block = {}
+        for d in own[n]:
+            of_block.setdefault((by_hash[d] >> 20) % blocks, []).append(d)
+        turn = {b: spark_hash((32, seed + 1), (32, b)) for b in of_block}
+        missed, passed = False, []
+        out |= dict.fromkeys(own[n], passes)
+        for b in sorted(of_block, key=lambda b: (turn[b], b)):
+            need = sum(size[d] for d in of_block[b])
+            if need <= room and (need or not missed):
+                room -= need
+                for d in of_block[b]:
+                    out[d] += 1
+            else:
+                missed = True
+                passed += [(-size[d], turn[b], b, by_hash[d], d) for d in of_block[b] if size[d]]
+        for less, *_, d in sorted(passed):
+            if -less <= room:
+                room += less
+                out[d] += 1
+    return out, goal
+
+
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_mixing_against_a_plain_mixer(spark, blocks):
+    rows = corpus(n=400)
+    got = mixing.mix(frame(spark, rows), blocks=blocks).collect()
+    want, goal = plain_draws(rows, blocks or round(len(rows) ** 0.5))
+    assert {r.doc_id: len(r.draws) for r in got} == want
+    assert {r.source: r.target for r in got} == pytest.approx(goal)
+    again = {r.doc_id: (r.draws, r.places) for r in mixing.mix(frame(spark, rows).repartition(5), blocks=blocks).collect()}
+    assert again == {r.doc_id: (r.draws, r.places) for r in got}
+    assert all(len(r.places) == len(r.draws) <= 3 for r in got)
     for _, own in by_group(got, lambda r: r.source).items():
         taken = sum(r["size"] * len(r.draws) for r in own)
         assert abs(taken - own[0].target) <= max(r["size"] for r in own)
         assert own[0].source_size == sum(r["size"] for r in own)
-    placed = mixing.place(mixing.mix(frame(spark, rows)))
-    assert placed.count() == sum(len(r.draws) for r in got)
     assert mixing.mix(frame(spark, rows).where("false")).count() == 0
 
 
+def test_mixing_shards_come_from_the_tree(spark, monkeypatch):
+    """Every shard has its share of each source, as many units as the tree gave it; with a tree that gives all to one shard there is one."""
+    rows = [(k, "w " * 10, None, f"s{k % 3}", None) for k in range(3000)]
+    got = mixing.place(mixing.mix(frame(spark, rows), shards=4))
+    source = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, source string")
+    shares = {(r.source, r.shard): r["count"] for r in got.join(source, "doc_id").groupBy("source", "shard").count().collect()}
+    for s in ("s0", "s1", "s2"):
+        whole = sum(shares[s, k] for k in range(4))
+        assert all(0.12 < shares[s, k] / whole < 0.4 for k in range(4))
+    assert got.select("shard", "place").distinct().count() == got.count() == sum(shares.values())
+    monkeypatch.setattr(mixing, "split_draws", lambda draws, totals, rng: np.array([draws] + [np.zeros(len(draws), np.int64)] * (len(totals) - 1)))
+    assert [r.shard for r in mixing.place(mixing.mix(frame(spark, rows), shards=4)).select("shard").distinct().collect()] == [0]
+
+
 @pytest.mark.parametrize("blocks", [4, 1024])
-def test_mixing_fills_past_long_documents(spark, monkeypatch, blocks):
-    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+def test_mixing_fills_past_long_documents(spark, blocks):
     rng = random.Random(6)
     sizes = [(f"s{k:02}", n) for k in range(30) for n in [1000, *(rng.randint(10, 70) for _ in range(100))]]
     rows = [(d, "w " * n, None, source, None) for d, (source, n) in enumerate(sizes)]
     rows += [r for r in rows if r[0] % 40 == 7] + [(None, "w w w", None, "s00", None), (9999, "", None, "s00", None)]
-    got = mixing.mix(frame(spark, rows)).collect()
+    got = mixing.mix(frame(spark, rows), blocks=blocks).collect()
     assert len(got) == len(rows)
     for _, own in by_group(got, lambda r: r.source).items():
         target, passes = own[0].target, int(own[0].target // own[0].source_size)
