@@ -80,9 +80,12 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize(("window", "block"), [(50, 200_000), (8, 300)])
-def test_substring_dedup(spark, monkeypatch, window, block):
+@pytest.mark.parametrize(("window", "block", "cut", "hot_rows"), [(50, 200_000, 10_000, 256), (8, 300, 20, 256), (50, 400, 30, 1)])
+def test_substring_dedup(spark, monkeypatch, window, block, cut, hot_rows):
+    """Also with shards that must be dealt again, segments that must be cut, and hot keys."""
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", block)
+    monkeypatch.setattr(substring_dedup, "CUT", cut)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     rows = corpus()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(frame(spark, rows), window).collect()}
     want = kept_words(rows, window)
@@ -90,6 +93,24 @@ def test_substring_dedup(spark, monkeypatch, window, block):
     assert sum(w[1] for w in want.values()) > 0
 
 
+def test_substring_dedup_of_one_passage_in_all_documents(spark, monkeypatch):
+    """One shard holds nearly all text: it is dealt again by windows."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 2000)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"{' '.join(f'a{k}-{j}' for j in range(k % 30))} {passage} {' '.join(f'b{k // 2}-{j}' for j in range(55))}", None, None, None) for k in range(150)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == kept_words(rows, 50)
+
+
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    """Each row is cut by its own spans alone; null ids are left alone."""
+    shared, own = ([f"{n}{k}" for k in range(120)] for n in ("s", "u"))
+    rows = [(1, " ".join(shared)), (7, " ".join(shared[:100])), (7, " ".join(own)), (7, " ".join(shared[:100])), (None, " ".join(shared)), (None, " ".join(own))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(frame(spark, [(*r, None, None, None) for r in rows])).collect())
+    assert got == Counter([(1, 120, 0), (7, 100, 100), (7, 120, 0), (7, 100, 100), (None, 120, 0), (None, 120, 0)])
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
