@@ -1,27 +1,35 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document's set holds the 64-bit hashes of its distinct word 5-grams (A-Z lower-cased). The
-global order of n-grams is cut into ``FRAGMENTS`` equal ranges of hashes; overlaps are counted
-in each fragment separately and summed per pair. The join is exact over the sets:
+global order of n-grams is cut into ``FRAGMENTS`` equal ranges of hashes, the vertical partitions.
+The overlap of a pair is counted in each fragment on its own, in a shuffle by (fragment, set), and
+the partial counts are summed per pair. The join is exact over the sets:
 
-1. sets: one row per document with its set's size and 128-bit key; equal sets are one class.
+1. sets: one row per row of the input with its set's size and 128-bit key; equal sets are one
+   class, told by the key's first half.
 2. screening: in the first fragments alone, n-grams held by one class only are counted per
    class. A class with more of them than its size allows at the asked similarity can't link
    and leaves. Splits send at most two classes per n-gram, so frequent n-grams stay cheap.
 3. prefixes: the rest orders its n-grams by frequency, then hash; two sets that link share an
    n-gram among their first ``size - need + 1``. Only n-grams above total / 65536 carry a
-   counted frequency, so what is broadcast has 65536 rows at most.
-4. stars: per prefix n-gram, every class is compared with the smallest one. Linked classes
-   contract to components.
-5. rest: classes that share a prefix n-gram but still stand in different components are
-   screened again, now by n-grams that their own component holds alone. All pairs left are
-   compared: of n-grams with few holders as pairs, of the others in blocks of bounded size,
-   one block pair per task. No list of all pairs of a group is made.
+   counted frequency, so what is broadcast has 65536 rows at most. The first n-gram that two sets
+   share leaves them no more overlap than n-grams from there on: the position filter.
+4. rounds: of the classes that share a prefix n-gram, a few are stars, picked by hash. Every other
+   one is compared with the stars, if sizes and positions allow a link and they don't stand in
+   one component yet. Linked classes contract to components, and the stars leave the n-gram's
+   list, as they are done with it. There is one star in the first round, 64 in the next, then
+   eight times as many each time; an n-gram with no more classes than stars is settled by
+   that. So a group of near copies collapses in the first rounds for the price of its size, and
+   the pairs within a group are never listed while contraction makes progress.
+5. before the second round, classes are screened again by n-grams that their own component holds
+   alone.
 
 Defined results: text without words, or null, has size 0, links with nothing and is its own
 component; fewer than five words make one shingle of the whole sequence; equal texts share a
-component; rows repeated with one id are kept; an empty table gives an empty result; other
-columns are not read.
+component; rows that share an id are compared by their own texts; a row with a null id shares
+the component of the rows with an equal set, and where none of these has an id links with
+nothing more and has a null component; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -36,6 +44,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm.components import components
 from seqlake.llm.scratch import Scratch
+from seqlake.llm.skew import for_each_salt, hot_keys, with_salt
 from seqlake.llm.text import lists, mix, words
 
 FRAGMENTS = 8
@@ -43,8 +52,8 @@ SCREENED = 3
 FEW_HOLDERS = 64
 PART_NGRAMS = 2_000_000
 PART_CLASSES = 20_000
-BLOCK_NGRAMS = 200_000
-BLOCK_SETS = 2_000
+STARS = (1, FEW_HOLDERS)
+STARS_GROW = 8
 HEAVY_ROWS = 1 << 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -158,19 +167,19 @@ def _alone_by_class(table: pa.Table) -> pa.Table:
 
 
 def _segments(n: int):
-    """Rows (sid, n, frags) of the classes' sets, cut at the fragments' bounds."""
+    """Rows (cid, n, frags) of the classes' sets, cut at the fragments' bounds, from (text, hi, lo)."""
     cuts = np.array([f << 61 for f in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches):
         for batch in batches:
-            hi, lo = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            kept = [(row, g) for row, g in ngram_sets(batch.column(1), n) if set_key(g) == (hi[row], lo[row])]
+            hi, lo = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            kept = [(row, g) for row, g in ngram_sets(batch.column(0), n) if set_key(g) == (hi[row], lo[row])]
             if not kept:
                 continue
             inner = np.concatenate([[0], *[np.append(np.searchsorted(g, cuts), len(g)) + base for (_, g), base in zip(kept, np.cumsum([0] + [len(g) for _, g in kept[:-1]]))]])
             frags = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * FRAGMENTS), lists(np.concatenate([g for _, g in kept]), inner))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([r for r, _ in kept])), pa.array([len(g) for _, g in kept], pa.int64()), frags], ["sid", "n", "frags"]
+                [batch.column(1).take(pa.array([r for r, _ in kept])), pa.array([len(g) for _, g in kept], pa.int64()), frags], ["cid", "n", "frags"]
             )
 
     return run
@@ -184,7 +193,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(heavy, percent: int):
-    """Rows (gram, sid, n): each class's first n-grams by frequency and hash."""
+    """Rows (gram, cid, n, left): each class's first n-grams by frequency and hash, and how many are left from there on."""
 
     def run(batches):
         often, counts = heavy.value
@@ -194,126 +203,116 @@ def _prefixes(heavy, percent: int):
             if len(often):
                 at = np.minimum(np.searchsorted(often, values), len(often) - 1)
                 rank = np.where(often[at] == values, counts[at], 0)
-            grams, sids, sizes = [], [], []
-            for sid, n, a, b in zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), off[:-1], off[1:]):
+            out = [[], [], [], []]
+            for cid, n, a, b in zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist(), off[:-1], off[1:]):
                 own = values[a:b]
-                first = own[np.lexsort((own, rank[a:b]))[: n * (100 - percent) // 100 + 1]]
-                grams.append(first)
-                sids.append(np.full(len(first), sid, np.int64))
-                sizes.append(np.full(len(first), n, np.int64))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (grams, sids, sizes)], ["gram", "sid", "n"])
+                first = own[np.lexsort((own, rank[a:b]))[: n * (100 - percent) // 100 + 1]].view(np.int64)
+                for x, y in zip(out, (first, np.full(len(first), cid), np.full(len(first), n), n - np.arange(len(first)))):
+                    x.append(y)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["gram", "cid", "n", "left"])
 
     return run
 
 
 def _open_rows(parts: int):
-    """Rows (part, grams, comps, sids) of the classes still in play, cut by range of n-grams.
+    """Rows (part, grams, comps, cids) of the classes still in play, cut by range of n-grams.
 
     An n-gram that several components of the split hold, or one component holds in many
-    classes, is told by its components alone (sid -1); so frequent n-grams stay cheap.
+    classes, is told by its components alone (cid 0); so frequent n-grams stay cheap.
     """
     cuts = np.array([(1 << 64) * p // parts for p in range(1, parts)], np.uint64)
 
     def run(batches):
         for batch in batches:
             grams, off = _flat(batch.column("frags"))
-            sids, comps = (np.repeat(batch.column(c).to_numpy(), np.diff(off)) for c in ("sid", "comp"))
+            cids, comps = (np.repeat(batch.column(c).to_numpy(), np.diff(off)) for c in ("cid", "comp"))
             grams = grams[off[0]:off[-1]]
             order = np.lexsort((comps, grams))
-            grams, sids, comps = grams[order], sids[order].copy(), comps[order]
+            grams, cids, comps = grams[order], cids[order].copy(), comps[order]
             first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
             last = np.append(first[1:], len(grams)) - 1
             told = (comps[first] != comps[last]) | (last - first >= FEW_HOLDERS)
             keep = np.repeat(~told, last - first + 1)
             for ends in (first[told], last[told]):
-                keep[ends], sids[ends] = True, -1
-            grams, sids, comps = grams[keep], sids[keep], comps[keep]
+                keep[ends], cids[ends] = True, 0
+            grams, cids, comps = grams[keep], cids[keep], comps[keep]
             bounds = np.concatenate([[0], np.searchsorted(grams, cuts), [len(grams)]])
             full = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
             if full:
                 ends = np.array([0, *(bounds[p + 1] for p in full)])
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(lists(x, ends) for x in (grams, comps, sids))], ["part", "grams", "comps", "sids"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(lists(x, ends) for x in (grams, comps, cids))], ["part", "grams", "comps", "cids"])
 
     return run
 
 
 def _closed(table: pa.Table) -> pa.Table:
-    """Of one part: (sid, closed), how many n-grams of a class its own component holds alone."""
-    grams, comps, sids = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "comps", "sids"))
+    """Of one part: (cid, closed), how many n-grams of a class its own component holds alone."""
+    grams, comps, cids = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "comps", "cids"))
     order = np.argsort(grams, kind="stable")
-    grams, comps, sids = grams[order], comps[order], sids[order]
+    grams, comps, cids = grams[order], comps[order], cids[order]
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     alone = np.minimum.reduceat(comps, first) == np.maximum.reduceat(comps, first)
     alone = np.repeat(alone, np.diff(np.append(first, len(grams))))
-    sid, closed = np.unique(sids[alone & (sids >= 0)], return_counts=True)
-    return pa.table({"sid": sid, "closed": closed.astype(np.int64)})
-
-
-def _block_links(percent: int):
-    """Links between different components among the classes of two blocks."""
-
-    def run(table: pa.Table) -> pa.Table:
-        values, rows, base = [], [], 0
-        for batch in table.select(["frags"]).to_batches():
-            v, off = _flat(batch.column(0))
-            values.append(v[off[0]:off[-1]])
-            rows.append(np.repeat(np.arange(base, base + len(off) - 1), np.diff(off)))
-            base += len(off) - 1
-        values, rows = np.concatenate(values), np.concatenate(rows)
-        size, comp, block = (table.column(c).to_numpy() for c in ("n", "comp", "block"))
-        order = np.argsort(values, kind="stable")
-        values, rows = values[order], rows[order]
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        held = np.diff(np.append(first, len(values)))
-        owner = comp[rows]
-        useful = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
-        fragment = (values[first] >> np.uint64(61)).astype(int)
-        common = np.zeros((base, base), np.float32)
-        for f in range(FRAGMENTS):  # partial overlaps of one fragment after another, summed per pair
-            mine = useful & (fragment == f)
-            few = np.repeat(mine & (held <= FEW_HOLDERS), held)
-            own, ids = rows[few], np.repeat(np.arange(len(first)), held)[few]
-            places = [np.zeros(0, np.int64)]
-            for apart in range(1, FEW_HOLDERS):
-                same = np.flatnonzero(ids[apart:] == ids[:-apart])
-                if not len(same):
-                    break
-                x, y = own[same], own[same + apart]
-                places.append(np.minimum(x, y) * base + np.maximum(x, y))
-            place, times = np.unique(np.concatenate(places), return_counts=True)
-            common.ravel()[place] += times
-            many = np.flatnonzero(mine & (held > FEW_HOLDERS))
-            for at in range(0, len(many), 1024):
-                part = many[at:at + 1024]
-                hold = np.zeros((base, len(part)), np.float32)
-                for k, g in enumerate(part):
-                    hold[rows[first[g]:first[g] + held[g]], k] = 1
-                common += np.triu(hold @ hold.T)
-        links = []
-        for x in range(base):
-            both = common[x, x + 1:].astype(np.int64)
-            y = x + 1 + np.flatnonzero((100 * both >= percent * (size[x] + size[x + 1:] - both)) & (comp[x + 1:] != comp[x]))
-            links += [(min(comp[x], c), max(comp[x], c)) for c in np.unique(comp[y])]
-        links = sorted(set(links))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return run
-
+    cid, closed = np.unique(cids[alone & (cids != 0)], return_counts=True)
+    return pa.table({"cid": cid, "closed": closed.astype(np.int64)})
+
+
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of the pairs (a, b, ...), those that reach the similarity: partial overlaps by fragment, summed per pair."""
+    hot = scratch.save(hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count()), "hot")
+    each = with_salt(pairs.select("a", "b"), hot, F.col("b")).withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    cut = segments.select(F.posexplode("frags").alias("fragment", "grams"), "cid", "n")
+    left = for_each_salt(cut.select("fragment", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), hot)
+    right = cut.select("fragment", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    partial = each.join(left, ["fragment", "a", "salt"]).join(right, ["fragment", "b"])
+    partial = partial.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
+    counted = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    return counted.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
-def _near(a: str, b: str, percent: int):
-    """Sizes that allow the asked similarity."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
+def _star_pairs(live: DataFrame, number: int, stars: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, ca, cb) of stars a and others b to compare, what of live is left when they are done).
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose summed partial overlaps reach the similarity."""
-    left = segments.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("frags").alias("fa"))
-    right = segments.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("frags").alias("fb"))
-    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
-    overlap = F.aggregate(partial, F.lit(0), lambda s, x: s + x)
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", overlap.alias("o"))
-    return counted.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+    live: (gram, cid, n, left, comp). slack is the greatest size of a set that the position lets link.
+    """
+    slack = F.floor(F.col("left") * (100 + percent) / percent) - F.col("n")
+    live = live.withColumn("slack", slack).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(number), "cid"), 11) / float(1 << 53))
+    grams = live.groupBy("gram").agg(
+        F.count("*").alias("holders"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least"), F.max("slack").alias("most"), F.min("u").alias("first")
+    )
+    grams = scratch.save(grams.where("x < y").drop("x", "y"), "grams")
+    hot = scratch.save(hot_keys(grams.select("gram", F.col("holders").alias("n")), live.count()), "hot")
+    known = with_salt(live, hot, F.col("cid")).join(for_each_salt(grams, hot), ["gram", "salt"]).where("slack >= least AND n <= most")
+    known = known.withColumn("star", (F.col("u") == F.col("first")) | (F.col("u") * F.col("holders") < stars))
+    known = scratch.save(known.select("gram", "cid", "n", "left", "comp", "star"), "known")
+
+    star = known.where("star").select("gram", *[F.col(c).alias("s_" + c) for c in ("cid", "n", "left", "comp")])
+    both = with_salt(known, hot, F.col("cid")).join(for_each_salt(star, hot), ["gram", "salt"])
+    both = both.where((F.col("comp") != F.col("s_comp")) & ~(F.col("star") & (F.col("cid") > F.col("s_cid"))))
+    both = both.where(F.least("left", "s_left") * (100 + percent) >= (F.col("n") + F.col("s_n")) * percent)
+    pairs = both.select(F.col("s_cid").alias("a"), F.col("cid").alias("b"), F.col("s_comp").alias("ca"), F.col("comp").alias("cb")).distinct()
+    return scratch.save(pairs, "pairs"), known.where("NOT star").drop("star")
+
+
+def _contracted(rows: DataFrame, moved: DataFrame, col: str = "comp") -> DataFrame:
+    """rows whose component col is replaced by the one that it moved to."""
+    to = moved.select(F.col("id").alias(col), F.col("component").alias("_to"))
+    return rows.join(to, col, "left").withColumn(col, F.coalesce("_to", col)).drop("_to")
+
+
+def _still_open(live: DataFrame, segments: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """live without the classes of which too many n-grams are held by their own component alone."""
+    doubtful = live.select("cid", "comp").distinct()
+    doubtful = scratch.save(segments.join(doubtful, "cid").select("cid", "n", "comp", "frags"), "doubtful")
+    parts = max(1, -(-(doubtful.agg(F.sum("n")).first()[0] or 0) // PART_NGRAMS))
+    closed = doubtful.select("cid", "comp", "frags").mapInArrow(_open_rows(parts), "part int, grams array<long>, comps array<long>, cids array<long>")
+    closed = closed.groupBy("part").applyInArrow(_closed, "cid long, closed long").groupBy("cid").agg(F.sum("closed").alias("closed"))
+    too_many = F.coalesce("closed", F.lit(0)) > F.floor(F.col("n") * (100 - percent) / 100)
+    open_classes = scratch.save(doubtful.select("cid", "n").join(closed, "cid", "left").where(~too_many).select("cid"), "open")
+    out = scratch.save(live.join(open_classes, "cid", "left_semi"), "live")
+    scratch.drop(doubtful)
+    return out
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -322,7 +321,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(spark, "ngrams")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = scratch.save(source.mapInArrow(_sets(n), "id long, n long, hi long, lo long"), "sets")
-    classes = scratch.save(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("sid"), F.first("n").alias("n")), "classes")
+    classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("sid"), F.first("n").alias("n"), F.count("*").alias("rows"))
+    classes = scratch.save(classes, "classes")
 
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total * SCREENED // (FRAGMENTS * PART_NGRAMS)))
@@ -331,15 +331,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = screened.groupBy("part").applyInArrow(_alone(buckets), "bucket int, hi array<long>, alone array<long>")
     alone = alone.groupBy("bucket").applyInArrow(_alone_by_class, "hi long, alone long")
     in_play = (
-        classes.join(alone, "hi", "left")
+        classes.where("sid IS NOT NULL").join(alone, "hi", "left")
         .where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100))
         .select("sid", "hi", "lo")
     )
     in_play = scratch.save(in_play, "in_play")
-    chosen = source.join(in_play.hint("merge"), source.id == in_play.sid).select("sid", "text", "hi", "lo")
-    segments = chosen.mapInArrow(_segments(n), "sid long, n long, frags array<array<long>>")
+    chosen = source.join(in_play, source.id == in_play.sid).select("text", "hi", "lo")
+    segments = chosen.mapInArrow(_segments(n), "cid long, n long, frags array<array<long>>")
     if not sets.groupBy("id").count().where("count > 1").isEmpty():
-        segments = segments.dropDuplicates(["sid"])
+        segments = segments.dropDuplicates(["cid"])
     segments = scratch.save(segments, "segments")
 
     grams = segments.select(F.explode(F.flatten("frags")).alias("gram"))
@@ -348,69 +348,41 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     often = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()
     often = sorted((r.gram & (2**64 - 1), r.n) for r in often)
     heavy = spark.sparkContext.broadcast((np.array([g for g, _ in often], np.uint64), np.array([c for _, c in often], np.int64)))
-    prefixes = segments.mapInArrow(_prefixes(heavy, percent), "gram long, sid long, n long")
-    prefixes = scratch.save(prefixes, "prefixes")
-
-    holders = prefixes.groupBy("gram").agg(F.min(F.struct("sid", "n")).alias("star"), F.count("*").alias("holders")).where("holders > 1")
-    holders = scratch.save(holders.select("gram", F.col("star.sid").alias("star"), F.col("star.n").alias("star_n"), "holders"), "holders")
-    spokes = prefixes.join(holders, "gram").where(F.col("sid") != F.col("star"))
-    stars = scratch.save(spokes.where(_near("n", "star_n", percent)).select(F.col("star").alias("a"), F.col("sid").alias("b")).distinct(), "stars")
-    links = scratch.save(_verified(stars, segments, percent), "links")
-    first = scratch.save(components(links, scratch), "first")
-
-    shared = prefixes.join(holders.select("gram", "holders"), "gram")
-    placed = shared.join(first.select(F.col("id").alias("sid"), "component"), "sid", "left").select(
-        "gram", "sid", "n", "holders", F.coalesce("component", "sid").alias("comp")
-    )
-    placed = scratch.save(placed, "placed")
-    open_grams = placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram")
-    rest = scratch.save(placed.join(open_grams, "gram", "left_semi"), "rest")
-    doubtful = rest.select("sid", "comp").distinct()
-    doubtful = scratch.save(segments.join(doubtful, "sid").select("sid", "n", "comp", "frags"), "doubtful")
-    parts = max(1, -(-(doubtful.agg(F.sum("n")).first()[0] or 0) // PART_NGRAMS))
-    closed = doubtful.select("sid", "comp", "frags").mapInArrow(_open_rows(parts), "part int, grams array<long>, comps array<long>, sids array<long>")
-    closed = closed.groupBy("part").applyInArrow(_closed, "sid long, closed long").groupBy("sid").agg(F.sum("closed").alias("closed"))
-    too_many = F.coalesce("closed", F.lit(0)) > F.floor(F.col("n") * (100 - percent) / 100)
-    open_sids = doubtful.select("sid", "n").join(closed, "sid", "left").where(~too_many).select("sid")
-    rest = rest.drop("holders").join(open_sids, "sid", "left_semi")
-    counted = rest.groupBy("gram").agg(F.count("*").alias("holders"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    rest = scratch.save(rest.join(counted.select("gram", "holders"), "gram"), "rest")
-
-    few = rest.where(F.col("holders") <= FEW_HOLDERS)
-    one, two = (few.select("gram", *[F.col(c).alias(c + k) for c in ("sid", "n", "comp")]) for k in ("a", "b"))
-    pairs = (
-        one.join(two, "gram").where((F.col("sida") < F.col("sidb")) & (F.col("compa") != F.col("compb")) & _near("na", "nb", percent))
-        .select(F.col("sida").alias("a"), F.col("sidb").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    )
-    pairs = scratch.save(pairs, "pairs")
-    by_pair = _verified(pairs, segments, percent)
-
-    many = rest.where(F.col("holders") > FEW_HOLDERS).select("gram", "sid", "n", "comp")
-    hubs = many.groupBy("gram").agg(F.min("sid").alias("b"))
-    clusters = components(many.join(hubs, "gram").select(F.col("sid").alias("a"), "b"), scratch)
-    members = many.select("sid", "comp", "n").distinct().join(clusters.withColumnRenamed("id", "sid"), "sid")
-    members = scratch.save(members.withColumnRenamed("component", "cluster"), "members")
-    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(segments.select("sid", "frags"), "sid").select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "comp", "frags"
-    )
-    by_block = dealt.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-
-    comp_of = first.select("id", "component")
-    a, b = (comp_of.select(F.col("id").alias(k), F.col("component").alias("c" + k)) for k in ("a", "b"))
-    by_pair = by_pair.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    late = components(by_pair.unionByName(by_block), scratch)
-    late = late.select(F.col("id").alias("comp"), F.col("component").alias("final"))
-    named = classes.join(first.select(F.col("id").alias("sid"), "component"), "sid", "left")
-    named = named.select("hi", "lo", F.coalesce("component", "sid").alias("comp")).join(late, "comp", "left")
-    named = named.select("hi", "lo", F.coalesce("final", "comp").alias("component"))
-    named = scratch.save(named, "named")
-    scratch.drop(classes, in_play, segments, prefixes, holders, stars, links, first, placed, doubtful, rest, pairs, members)
-    out = sets.join(named, ["hi", "lo"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    prefixes = segments.mapInArrow(_prefixes(heavy, percent), "gram long, cid long, n long, left long")
+    live = scratch.save(prefixes.withColumn("comp", F.col("cid")), "live")
+
+    linked = None  # (id, component) of all classes in components of several
+    number, stars = 0, STARS[0]
+    while not live.isEmpty():
+        pairs, rest = _star_pairs(live, number, stars, percent, scratch)
+        links = _verified(pairs, segments, percent, scratch)
+        edges = pairs.join(links, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        moved = scratch.save(components(edges, scratch), "moved")
+        before, live = live, scratch.save(_contracted(rest, moved), "live")
+        scratch.drop(before, pairs)
+        if linked is None:
+            linked = moved
+        else:
+            later = _contracted(linked, moved, "component")
+            linked = scratch.save(later.unionByName(moved.join(linked, "id", "left_anti")), "linked")
+        number, stars = number + 1, STARS[1] if number == 0 else stars * STARS_GROW
+        if number == 1 and not live.isEmpty():
+            live = _still_open(live, segments, percent, scratch)
+
+    named = classes.select("hi", "lo", "sid", "rows")
+    if linked is not None:
+        placed = scratch.save(classes.select(F.col("hi").alias("id"), "sid").join(linked, "id"), "placed")
+        least_ids = placed.groupBy("component").agg(F.min("sid").alias("least"), F.count("*").alias("n"))
+        least_ids = scratch.save(least_ids, "least")
+        hot = scratch.save(hot_keys(least_ids.select("component", "n"), placed.count()), "hot")
+        found = with_salt(placed, hot, F.col("id")).join(for_each_salt(least_ids.select("component", "least"), hot), ["component", "salt"])
+        named = named.join(found.select(F.col("id").alias("hi"), "least"), "hi", "left").withColumn("sid", F.coalesce("least", "sid")).drop("least")
+    named = scratch.save(named.withColumnRenamed("sid", "component"), "named")
+    scratch.drop(classes, in_play, segments)
+    hot = scratch.save(hot_keys(named.select("hi", "lo", F.col("rows").alias("n")), sets.count()), "hot")
+    out = with_salt(sets.where("n > 0"), hot, F.col("id")).join(for_each_salt(named.drop("rows"), hot), ["hi", "lo", "salt"])
+    out = out.select("id", "n", "component").unionByName(sets.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -52,21 +52,42 @@ def test_ngram_components(spark):
     assert len({c for _, c in got.values()}) < len(got)
 
 
-def test_ngram_components_of_one_large_group(spark, monkeypatch):
-    """Many near copies that share all n-grams but few: hot n-grams go through the blocks."""
-    monkeypatch.setattr(ngram_join, "FEW_HOLDERS", 3)
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
-    base = [f"w{k}" for k in range(60)]
+@pytest.mark.parametrize("edits", [4, 9])
+def test_ngram_components_of_one_large_group(spark, monkeypatch, edits):
+    """Many near copies that share all n-grams but few, above, around and below the threshold: several rounds of stars, hot n-grams."""
+    monkeypatch.setattr(ngram_join, "STARS", (1, 2))
+    monkeypatch.setattr(ngram_join, "STARS_GROW", 2)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    base = [f"w{k}" for k in range(120)]
     rows = []
-    for k in range(45):
+    for k in range(60):
         w = list(base)
-        for j in range(k % 5):
-            w[(7 * k + 13 * j) % 60] = f"edit{k}-{j}"
+        for j in range(k % edits):
+            w[(7 * k + 13 * j) % 120] = f"edit{k}-{j}"
         rows.append((k, " ".join(w), None, None, None))
+    rows += [(100 + k, " ".join(base[:60] + [f"end{k}-{j}" for j in range(8 + k)]), None, None, None) for k in range(20)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, rows)).collect()}
     assert got == components(rows)
 
 
+def test_ngram_components_count_every_fragment(spark, monkeypatch):
+    """Partial overlaps of all fragments make up the overlap: without one of them links are lost."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(w if j != 20 + k * 9 else f"x{k}" for j, w in enumerate(base)), None, None, None) for k in range(12)]
+    docs = frame(spark, rows)
+    assert {r.component_id for r in ngram_join.ngram_components(docs).collect()} == {0}
+    posexplode = F.posexplode
+    monkeypatch.setattr(ngram_join.F, "posexplode", lambda c: posexplode(F.slice(c, 1, 7)))
+    assert len({r.component_id for r in ngram_join.ngram_components(docs).collect()}) > 3
+
+
+def test_ngram_components_of_rows_that_share_an_id_or_have_none(spark):
+    one, two = (" ".join(f"{n}{k}" for k in range(80)) for n in ("a", "b"))
+    rows = [(5, one), (5, two), (9, one + " more"), (8, two + " more"), (None, one), (None, "no one has this text but me")]
+    got = Counter(tuple(r) for r in ngram_join.ngram_components(frame(spark, [(*r, None, None, None) for r in rows])).collect())
+    assert got == Counter([(5, 76, 5), (5, 76, 5), (9, 77, 5), (8, 77, 5), (None, 76, 5), (None, 3, None)])
+
+
 def test_ngram_components_of_nothing_and_repeated_rows(spark):
     assert ngram_join.ngram_components(empty(spark)).count() == 0
     rows = [(4, "a b c d e f g", None, None, None), (4, "a b c d e f g", None, None, None), (2, "A  b c d e f g", None, None, None), (9, None, None, None, None)]
