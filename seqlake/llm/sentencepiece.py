@@ -8,11 +8,13 @@ until none is left. Any other file gives the segmentation of the greatest sum of
 longest piece winning ties at each end. Characters without a piece become byte pieces.
 
 No piece runs over a space that follows another character, so the pieces of a text are the
-pieces of its words, cut there. Distinct words of a batch with equally many characters advance
-together, and hashes of substrings probe the sorted keys of the pieces. Merging, each round
-joins one pair per word and looks up the two pairs that this makes. Viterbi takes maxima over
-the lengths that may end at a character and stores backpointers. Words of over ``LONG``
-characters take the same steps one by one.
+pieces of its words, cut there, and distinct words of a batch are encoded once. Words are cut
+further between characters that are neighbours in no piece, as no piece runs over such a
+place. Words with equally many characters advance together, whatever their length, and hashes of
+substrings probe the sorted keys of the pieces. Merging, each round joins one pair per word
+and looks up the two pairs that this makes; the best pair is found over maxima of stretches of
+a word, so a round looks at the square root of a long word. Viterbi takes maxima over the
+lengths that may end at a character and stores backpointers.
 
 A literal U+2581 in a text is written as bytes, so decoding restores every text exactly; all
 other ids are those of SentencePieceProcessor.encode for a file with identity normalization.
@@ -24,7 +26,6 @@ cut; an empty table gives an empty result; other columns are kept by encode's ``
 from __future__ import annotations
 
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from seqlake.llm.scratch import short_batches
 from seqlake.llm.text import Words, pieces, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG = 48
+STRETCH = 64
 SPACE, LITERAL = 0x2581, 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,6 +57,7 @@ class Pieces:
     keys: np.ndarray  # of pieces of all lengths, sorted, with ids and scores
     key_ids: np.ndarray
     key_scores: np.ndarray
+    neighbours: np.ndarray  # pairs of characters that are neighbours in a piece, sorted
     merges: bool  # whether the file was trained by merges
 
 
@@ -101,16 +103,17 @@ def load_pieces(path: str = MODEL) -> Pieces:
     merges = trainer.model_type == trainer.BPE
     if merges and any(model.is_unused(i) for i in range(size)):
         raise ValueError("a merge model has unused pieces")
+    neighbours = np.array(sorted({ord(x) << 32 | ord(y) for p in normal for x, y in zip(p, p[1:])}), np.uint64)
     least = min(s for s, _ in normal.values())
-    return Pieces(by_length, normal, least - 10.0, byte_ids, model.unk_id(), np.frombuffer(b"".join(surface), np.uint8), off, alone, keys, key_ids, key_scores, merges)
+    return Pieces(by_length, normal, least - 10.0, byte_ids, model.unk_id(), np.frombuffer(b"".join(surface), np.uint8), off, alone, keys, key_ids, key_scores, neighbours, merges)
 
 
 def _viterbi(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, how many) of words with equally many characters; a character without a piece is -1 - code."""
+    """(ids of all words in order, how many by word) by the greatest sum of scores; a character without a piece is -1 - code."""
     n, length = points.shape
     prefix = _keys(points)
     scores, ids, power = {}, {}, np.uint64(1)
-    for span in range(1, length + 1):
+    for span in range(1, min(length, max(table.by_length)) + 1):
         with np.errstate(over="ignore"):
             power = power * _BASE
         if span not in table.by_length:
@@ -146,27 +149,8 @@ def _viterbi(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]
         count[open_rows] += 1
         at[open_rows] = start
         open_rows = open_rows[start > 0]
-    return out, count
-
-
-def _viterbi_long(points: list[int], table: Pieces) -> list[int]:
-    """The same recurrence for one word."""
-    text = "".join(chr(p) if p != LITERAL else "\0" for p in points)
-    longest = max(table.by_length)
-    best, back = [0.0] + [-np.inf] * len(text), [(0, 0)] * (len(text) + 1)
-    for j in range(1, len(text) + 1):
-        for span in range(min(j, longest), 0, -1):
-            score, piece = table.scores.get(text[j - span:j], (None, None)) if points[j - 1] != LITERAL else (None, None)
-            if score is None and span == 1:
-                score, piece = table.unknown, -1 - points[j - 1]
-            if score is not None and best[j - span] + score > best[j]:
-                best[j], back[j] = best[j - span] + score, (span, piece)
-    out, at = [], len(text)
-    while at:
-        span, piece = back[at]
-        out.append(piece)
-        at -= span
-    return out[::-1]
+    place = count[:, None] - 1 - np.arange(length)  # from the last piece to the first
+    return np.take_along_axis(out, np.maximum(place, 0), 1)[place >= 0], count
 
 
 def _merge(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -185,94 +169,92 @@ def _merge(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
     end = np.tile(np.arange(1, length + 1), (n, 1))
     before = np.tile(np.arange(-1, length), (n, 1))
     there = np.ones((n, length), bool)
-    pair, score = np.full((n, length), -1), np.full((n, length), -np.inf)  # of the piece that begins here and its next
+    width = length if length <= STRETCH else int(np.ceil(length**0.5))
+    stretches = -(-length // width)
+    pair, score = np.full((n, length), -1), np.full((n, stretches, width), -np.inf)  # of the piece that begins here and its next
+    flat = score.reshape(n, -1)
     pair[:, :-1] = find(prefix[:, 2:] - prefix[:, :-2] * power[min(2, length)])
-    score[pair >= 0] = table.key_scores[pair[pair >= 0]]
+    flat[:, :length][pair >= 0] = table.key_scores[pair[pair >= 0]]
+    best = score.max(2)
+
+    def put(rows: np.ndarray, at: np.ndarray, value) -> None:
+        flat[rows, at] = value
+        if stretches > 1:
+            own = at // width
+            best[rows, own] = score[rows, own].max(1)
 
     def look(rows: np.ndarray, first: np.ndarray, past: np.ndarray) -> None:
         found = find(prefix[rows, past] - prefix[rows, first] * power[past - first])
         pair[rows, first] = found
-        score[rows, first] = np.where(found < 0, -np.inf, table.key_scores[found])
+        put(rows, first, np.where(found < 0, -np.inf, table.key_scores[found]))
 
     rows = np.arange(n)
     while True:
-        at = score[rows].argmax(1)
-        more = score[rows, at] > -np.inf
+        own = best[rows].argmax(1) if stretches > 1 else np.zeros(len(rows), np.int64)
+        at = own * width + score[rows, own].argmax(1)
+        more = flat[rows, at] > -np.inf
         rows, at = rows[more], at[more]
         if not len(rows):
             return ids[there], there.sum(1)
         middle = end[rows, at]
         past = end[rows, middle]
         ids[rows, at], end[rows, at], before[rows, past] = table.key_ids[pair[rows, at]], past, at
-        there[rows, middle], score[rows, middle], score[rows, at] = False, -np.inf, -np.inf
+        there[rows, middle] = False
+        put(rows, middle, -np.inf)
+        put(rows, at, -np.inf)
         right, left = past < length, at > 0
         look(rows[right], at[right], end[rows[right], past[right]])
         look(rows[left], before[rows[left], at[left]], past[left])
 
 
-def _merge_long(points: list[int], table: Pieces) -> list[int]:
-    """The same merges for one word, its pairs in a heap."""
-    text = "".join(chr(p) if p != LITERAL else "\ud800" for p in points)
-    n, longest = len(text), max(table.by_length)
-    end, before, there = list(range(1, n + 1)), list(range(-1, n)), [True] * n
-    ids = [table.scores[c][1] if c in table.scores else -1 - p for c, p in zip(text, points)]
-
-    def pairs(first: int) -> list[tuple]:
-        past = end[end[first]] if end[first] < n else n + longest
-        found = table.scores.get(text[first:past]) if past - first <= longest else None
-        return [(-found[0], first, end[first], past, found[1])] if found else []
-
-    heap = [p for first in range(n) for p in pairs(first)]
-    heapify(heap)
-    while heap:
-        _, first, middle, past, piece = heappop(heap)
-        if not there[first] or end[first] != middle or end[middle] != past:
-            continue
-        ids[first], end[first], before[past], there[middle] = piece, past, first, False
-        for p in pairs(first) + (pairs(before[first]) if first else []):
-            heappush(heap, p)
-    return [i for i, t in zip(ids, there) if t]
-
-
-def _with_bytes(ids: list[int], table: Pieces) -> list[int]:
-    out = []
-    for i in ids:
-        if i >= 0:
-            out.append(i)
-            continue
-        code = -1 - i
-        own = table.bytes_[list(chr(SPACE if code == LITERAL else code).encode())]
-        out += own.tolist() if (own >= 0).all() else [table.unknown_id]
-    return out
+def _with_bytes(ids: np.ndarray, size: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """ids with byte pieces for characters without a piece (-1 - code), and how many by word."""
+    lost = np.flatnonzero(ids < 0)
+    if not len(lost):
+        return ids, size
+    codes, which = np.unique(-1 - ids[lost], return_inverse=True)
+    spelt = [table.bytes_[list(chr(SPACE if c == LITERAL else c).encode())] for c in codes.tolist()]
+    spelt = [b if (b >= 0).all() else np.array([table.unknown_id], np.int32) for b in spelt]
+    long = np.ones(len(ids), np.int64)
+    long[lost] = np.array([len(b) for b in spelt])[which]
+    out = np.repeat(ids, long)
+    start = np.cumsum(long) - long
+    first = np.concatenate([[0], np.cumsum([len(b) for b in spelt])])[which]
+    step = np.arange(long[lost].sum()) - np.repeat(np.cumsum(long[lost]) - long[lost], long[lost])
+    out[np.repeat(start[lost], long[lost]) + step] = np.concatenate(spelt)[np.repeat(first, long[lost]) + step]
+    total = np.concatenate([[0], np.cumsum(long)])
+    ends = np.cumsum(size)
+    return out, total[ends] - total[ends - size]
 
 
 def encode_words(distinct: list[bytes], table: Pieces, merges: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words, offsets by word), by merges or by the greatest sum of scores."""
-    decoded = [w.decode() for w in distinct]
-    result: list = [None] * len(decoded)
-    by_length: dict[int, list[int]] = {}
-    for k, w in enumerate(decoded):
-        by_length.setdefault(len(w), []).append(k)
-    for length, rows in by_length.items():
-        points = np.array([decoded[k] for k in rows], f"<U{length}").view(np.uint32).reshape(len(rows), length)
-        if any("\0" in decoded[k] for k in rows):
-            points = np.array([[ord(c) for c in decoded[k]] for k in rows], np.uint32)
-        points = np.where(points == SPACE, LITERAL, np.where(points == 0x20, SPACE, points)).astype(np.uint32)
-        if length > LONG:
-            found = [(_merge_long if merges else _viterbi_long)(p, table) for p in points.tolist()]
-        elif merges:
-            ids, count = _merge(points, table)
-            ends = np.cumsum(count).tolist()
-            ids = ids.tolist()
-            found = [ids[a:b] for a, b in zip([0, *ends], ends)]
-        else:
-            ids, count = _viterbi(points, table)
-            ids = [r[:c] for r, c in zip(ids.tolist(), count.tolist())]
-            found = [r[::-1] for r in ids]
-        for k, r in zip(rows, found):
-            result[k] = r if min(r) >= 0 else _with_bytes(r, table)
-    off = np.concatenate([[0], np.cumsum([len(r) for r in result])]).astype(np.int64)
-    return np.fromiter((i for r in result for i in r), np.int32, off[-1]), off
+    raw = b"".join(distinct)
+    points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+    points = np.where(points == SPACE, LITERAL, np.where(points == 0x20, SPACE, points)).astype(np.uint32)
+    begun = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # characters before each byte
+    first = begun[np.concatenate([[0], np.cumsum([len(w) for w in distinct])])]
+
+    near = points[:-1].astype(np.uint64) << np.uint64(32) | points[1:].astype(np.uint64)
+    cut = np.ones(len(points), bool)
+    if len(table.neighbours):
+        cut[1:] = table.neighbours[np.minimum(np.searchsorted(table.neighbours, near), len(table.neighbours) - 1)] != near
+    cut[first[:-1]] = True
+    starts = np.flatnonzero(cut)
+    length = np.diff(np.append(starts, len(points)))
+    order = np.argsort(length, kind="stable")
+    found, size = [], np.zeros(len(starts), np.int64)
+    for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+        ids, count = (_merge if merges else _viterbi)(points[starts[rows][:, None] + np.arange(length[rows[0]])], table)
+        found.append(ids)
+        size[rows] = count
+    ids = np.concatenate(found)
+    step = np.arange(len(ids)) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
+    placed = np.empty_like(ids)
+    placed[np.repeat((np.cumsum(size) - size)[order], size[order]) + step] = ids
+    ids, size = _with_bytes(placed, size, table)
+    total = np.concatenate([[0], np.cumsum(size)])
+    return ids.astype(np.int32), total[np.searchsorted(starts, first)].astype(np.int64)
 
 
 def encode_column(column: pa.Array, table: Pieces, most: int = 3 << 20, merges: bool = False) -> pa.Array:

@@ -74,7 +74,7 @@ def brute_encode(text, table):
             if score is not None and (found is None or best[i][0] + score > found[0]):
                 found = (best[i][0] + score, [*best[i][1], piece])
         best.append(found)
-    return sentencepiece._with_bytes(best[-1][1], table)
+    return sentencepiece._with_bytes(np.array(best[-1][1]), np.array([len(best[-1][1])]), table)[0].tolist()
 
 
 def test_sentencepiece_against_brute_force_and_round_trip(spark, pieces):
@@ -111,6 +111,23 @@ def targets(spark, sizes):
     return [r.target for r in mixing.with_targets(rows).orderBy("place").collect()]
 
 
+def long_words():
+    rng = random.Random(8)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(100_000))
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000))
+    return [cjk, base64, "https://example.org/" + "path/" * 300 + "?q=" + "a" * 500, "ab" * 3000, "a" * 5001, "ไทย" * 400, "in" * 33 + "her" * 41, "x" * 65]
+
+
+def test_sentencepiece_takes_words_of_any_length_the_same_way(pieces):
+    texts = long_words()
+    model = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    assert sentencepiece.encode_column(pa.array(texts), pieces, merges=True).to_pylist() == model.encode(texts)
+    short = [t[:3000] for t in texts]
+    got = sentencepiece.encode_column(pa.array(short), pieces)
+    assert got.to_pylist() == [brute_encode(t, pieces) for t in short]
+    assert [t.decode() for t in sentencepiece.decode_column(got, pieces)] == short
+
+
 def test_mixing_targets(spark):
     assert targets(spark, [100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
     assert targets(spark, [10, 100, 100]) == pytest.approx([30, 120, 60])
