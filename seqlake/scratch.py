@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; where none is set (tests, one machine), a temporary one is named."""
+    """The shared folder; where none is set, one machine alone (tests) gets a temporary one, a cluster an error."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seqlake-")
         spark.conf.set(_KEY, root)
     return root
