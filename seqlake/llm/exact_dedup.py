@@ -58,6 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     combined = held.where("hot").groupBy("digest", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     winners = combined.select("digest", "keep_id", "group_size").unionByName(held.where("hot IS NULL").select("digest", "keep_id", F.col("n").alias("group_size")))
     winners = scratch.save(winners, "winners")
+    scratch.drop(held)
 
     # A digest shared by different contents never shows in practice; its rows are matched by content.
     clashing = winners.groupBy("digest").count().where("count > 1").select("digest")

@@ -5,15 +5,20 @@ Features are the 1- to 3-grams of the lower-cased words, with a space at either
 frequency. Document frequencies cover all rows that may be learned from. Weights are
 trained with follow-the-regularised-leader (per-coordinate rates, elastic-net penalty) on a
 bounded sample, ``rows_per_language`` rows of each label with the smallest hashes; a fifth of
-it is kept aside to fit one softmax temperature.
+it is kept aside to fit one softmax temperature. What the penalty leaves at zero is not stored.
+
+Rows of a label are counted first, and only those with hashes below about twice the share asked for
+are ranked, so no more than that meets in one task. The driver trains on the sample and
+holds ``buckets`` x labels numbers: it is meant for labels by the hundred.
 
 As the value is linear in the n-gram counts, a text's logits are sums over its words; each
 distinct word of a batch is scored once.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; empty and very
 long texts are read whole; labels that are null are not learned; if nothing can be learned
-every row is ``und``; ties go to the label that sorts first; rows are never merged; other
-columns are not read.
+every row is ``und``; ties go to the label that sorts first; rows are never merged, and rows
+that share an id are told apart by the hash of their text; other columns are not read, nor are kept
+columns named lang_pred or score, which are replaced.
 """
 
 from __future__ import annotations
@@ -150,34 +155,55 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 class LanguageModel:
-    """What fit learned: labels, weights by n-gram bucket (idf included) and temperature."""
+    """What fit learned: labels, weights by n-gram bucket (idf included) and temperature.
+
+    weights has a row for each bucket with a weight that isn't zero, after a first row of zeros for
+    all other buckets; place gives each bucket's row.
+    """
 
     def __init__(self, labels: list[str], weights: np.ndarray, heat: float):
-        self.labels, self.weights, self.heat = labels, weights, heat
+        learned = np.flatnonzero(weights.any(axis=1))
+        self.labels, self.heat = labels, heat
+        self.weights = np.concatenate([np.zeros((1, len(labels)), np.float32), weights[learned].astype(np.float32)])
+        self.place = np.zeros(len(weights), np.int32)
+        self.place[learned] = np.arange(1, len(learned) + 1)
+
+
+def sample_of(known: DataFrame, most: int) -> DataFrame:
+    """Of (id, row, lang, ...), (id, row, lang, k): the rows of each lang with the ``most`` smallest hashes, k from 1."""
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row per label
+    share = F.least(F.lit(1.0), (2.0 * most + 64) / F.col("n"))
+    u = F.shiftrightunsigned(F.xxhash64("id", "row"), 11) / float(1 << 53)
+    few = known.select("id", "row", "lang", u.alias("u")).join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where("u < share")
+    by_hash = Window.partitionBy("lang").orderBy("u", "id", "row")
+    return few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= most).select("id", "row", "lang", "k")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 800, buckets: int = 1 << 17) -> LanguageModel:
     """Learn from all rows of docs that have a text and a label."""
     scratch = Scratch(docs.sparkSession, "language")
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = known.select("id", "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= rows_per_language)
-    sample = scratch.save(sample, "sample")
+    known = known.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sample = scratch.save(sample_of(known, rows_per_language), "sample")
     total = known.count()
     docs_by_gram = known.select("text").mapInArrow(_frequencies(buckets), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
     idf = np.full(buckets, np.log(1.0 + total))
     for r in docs_by_gram.toLocalIterator():
         idf[r.gram] = np.log((1 + total) / (1 + r.docs)) + 0.1
 
-    chosen = known.select("id", "text").join(F.broadcast(sample.select("id").distinct()), "id")
+    wanted = F.broadcast(sample.select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct())  # rows_per_language rows per label
+    chosen = known.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi").select(F.struct("id", "row").alias("id"), "text")
     rows, place = [], {}
-    for r in chosen.mapInArrow(_vectors(buckets), "id long, grams array<long>, counts array<long>").toLocalIterator():
-        g, c = np.array(r.grams), np.array(r.counts, float)
-        place[r.id] = len(rows)
-        rows.append((g, (SCALE * c / c.sum() * idf[g]).astype(np.float32)))
-    picked = sorted((r.k, r.id, r.lang) for r in sample.collect() if r.id in place)
+    id_type = known.schema["id"].dataType.simpleString()
+    for r in chosen.mapInArrow(_vectors(buckets), f"id struct<id:{id_type},row:long>, grams array<long>, counts array<long>").toLocalIterator():
+        if tuple(r.id) not in place:
+            g, c = np.array(r.grams), np.array(r.counts, float)
+            place[tuple(r.id)] = len(rows)
+            rows.append((g, (SCALE * c / c.sum() * idf[g]).astype(np.float32)))
+    ranked = sorted((r.k, r.lang, (r.id, r.row)) for r in sample.collect() if (r.id, r.row) in place)
+    picked = [(k, own, lang) for k, lang, own in ranked]
     labels = sorted({lang for _, _, lang in picked})
+    scratch.drop(sample)
     if not labels:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), 1.0)
     target = {lang: i for i, lang in enumerate(labels)}
@@ -188,17 +214,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return LanguageModel(labels, (SCALE * idf[:, None] * weights).astype(np.float32), heat)
 
 
-def _predicted(model, text_col: str, keep: tuple[str, ...]):
+def _predicted(model):
     def run(batches):
-        labels, weights, heat = model.value
+        labels, weights, heat, learned = model.value
         for batch in batches:
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
-            for w in words(batch.column(text_col)):
+            letter = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for w in words(batch.column(1)):
                 if not len(w.starts) or not labels:
                     continue
-                place, grams, off = word_table(w, len(weights))
-                sums = np.add.reduceat(weights[grams], off[:-1], axis=0, dtype=np.float64)
+                place, grams, off = word_table(w, len(learned))
+                sums = np.add.reduceat(weights[learned[grams]], off[:-1], axis=0, dtype=np.float64)
                 full = np.flatnonzero(np.diff(w.first))
                 at = w.first[:-1][full]
                 logits = np.add.reduceat(sums[place], at, axis=0) / np.add.reduceat(np.diff(off)[place], at)[:, None] / heat
@@ -208,7 +234,7 @@ def _predicted(model, text_col: str, keep: tuple[str, ...]):
                 score[w.rows[full]] = p.max(1)
             best[~letter], score[~letter] = -1, 0
             names = pa.array([labels[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), names, pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], names, pa.array(score)], [*batch.schema.names[2:], "lang_pred", "score"])
 
     return run
 
@@ -216,12 +242,15 @@ def _predicted(model, text_col: str, keep: tuple[str, ...]):
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred and score, one row per input row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.heat))
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.heat, model.place))
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     short_batches(spark)
-    rows = docs.select(letter, *dict.fromkeys([*keep, text_col]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return rows.mapInArrow(_predicted(shared, text_col, tuple(keep)), schema)
+    kept = [c for c in keep if c not in ("lang_pred", "score")]
+    # Inner columns go by position, so kept ones may have any name.
+    rows = docs.select(letter.alias("_0"), F.col(text_col).alias("_1"), *[F.col(c).alias(f"_{k + 2}") for k, c in enumerate(kept)])
+    types = [f.dataType.simpleString() for f in docs.select(*kept).schema]
+    schema = "".join(f"_{k + 2} {t}, " for k, t in enumerate(types)) + "lang_pred string, score double"
+    return rows.mapInArrow(_predicted(shared), schema).toDF(*kept, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

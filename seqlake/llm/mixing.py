@@ -194,7 +194,8 @@ def mix(
     drawn = units.withColumn("draw", F.row_number().over(shuffled) - 1).join(upper, "key")
     drawn = drawn.withColumn("shard", F.size(F.filter("upper", lambda u: u <= F.col("draw")))).where(F.col("shard") < shards)
     drawn = scratch.save(drawn.groupBy("key", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards")), "drawn")
-    last = last.join(drawn.where("block < 0").select("key", F.col("shards")[0].alias("last_shard")), "key")
+    last = scratch.save(last.join(drawn.where("block < 0").select("key", F.col("shards")[0].alias("last_shard")), "key"), "last")
+    scratch.drop(by_block, left, counts, wanted, units)
 
     known = filled.select("key", "block", "source_size", "target").join(drawn, ["key", "block"], "left")
     out = rows.join(known, ["key", "block"])

@@ -1,8 +1,9 @@
 """Quotation linking, in DataFrame functions only.
 
 A message's lines may be quoted: ``>`` once per level, blanks allowed between. Consecutive lines
-of one level, without an empty line in between, are a passage. Passages are normalised (lower
-case, runs of white space to one blank, ends stripped) and hashed (SHA-256). A quoted passage
+of one level, without an empty line in between, are a passage. White space is ``[\\x20\\x09-\\x0D]``, so
+lines may end in CR LF. Passages are normalised (lower case, runs of white space to one blank, ends
+stripped) and hashed (SHA-256). A quoted passage
 links to the message that holds it as its own text: inside the same scope (a conversation,
 mailing list or folder) first, else anywhere, always to an earlier message.
 
@@ -12,12 +13,12 @@ their root yet, so the number of rounds is the logarithm of the longest chain of
 
 Originals are aggregated to one row per (scope, hash), and per hash, before any join, so a
 passage held by a third of all messages costs one row there; quotes of it are looked up in a
-join whose other side is unique.
+join whose other side is unique, with hot hashes salted (``skew``).
 
 Defined results: a null or empty text has no own text and no quotes; repeated passages of one
 message count once; of equal originals the earliest is taken, ties to the smaller id; messages
 that quote nothing known are roots; rows repeated with one id are one message each and share
-links; an empty table gives an empty result; other columns are not read.
+links, with the least (order, scope) of these rows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqlake.llm.scratch import Scratch
+from seqlake.llm.skew import for_each_salt, hot_keys, with_salt
 
 MARK = r"^(?:[\x20\x09]*>)+"
+ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
 
 
 def normalised(text: Column) -> Column:
@@ -46,7 +49,7 @@ def passages(messages: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     mark = lambda x: F.regexp_extract(x, MARK, 0)
     level = lambda x: F.length(mark(x)) - F.length(F.replace(mark(x), F.lit(">"), F.lit("")))
-    parsed = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.trim(F.substr(x, F.length(mark(x)) + 1)).alias("body")))
+    parsed = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(F.substr(x, F.length(mark(x)) + 1), ENDS, "").alias("body")))
     rows = messages.withColumn("lines", parsed)
     # A passage starts where the level changes or after an empty line; lines are numbered by their passage.
     changed = lambda x, i: F.when(
@@ -61,32 +64,38 @@ def passages(messages: DataFrame) -> DataFrame:
 def own_text(text: Column) -> Column:
     """A message without its quoted lines."""
     kept = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(MARK))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    return F.regexp_replace(F.array_join(kept, "\n"), ENDS, "")
 
 
 def link(messages: DataFrame, id_col: str, text_col: str, order_col: str, scope_col: str) -> DataFrame:
     """(id, parent_id, level, passages): each replying message's parent."""
     scratch = Scratch(messages.sparkSession, "quotes")
     rows = messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("at"), F.col(scope_col).alias("scope"))
-    where = rows.select("id", "at", "scope").dropDuplicates(["id"])
+    where = rows.groupBy("id").agg(F.min(F.struct("at", "scope")).alias("x")).select("id", "x.at", "x.scope")
     found = scratch.save(passages(rows.select("id", "text")).join(where, "id"), "passages")
     own = found.where("level = 0")
     first = F.min(F.struct("at", "id")).alias("first")
     in_scope = own.groupBy("scope", "hash").agg(first)
     anywhere = own.groupBy("hash").agg(first.alias("any_first"))
-    quotes = found.where("level > 0").join(in_scope, ["scope", "hash"], "left").join(anywhere, "hash", "left")
+    quoted = found.where("level > 0")
+    hot = scratch.save(hot_keys(quoted.groupBy("hash").agg(F.count("*").alias("n")), found.count()), "hot")
+    quoted = with_salt(quoted, hot, F.col("id"))
+    quotes = quoted.join(for_each_salt(in_scope, hot), ["scope", "hash", "salt"], "left").join(for_each_salt(anywhere, hot), ["hash", "salt"], "left")
     earlier = lambda c: F.when(F.struct(f"{c}.at", f"{c}.id") < F.struct("at", "id"), F.col(c))
     hits = quotes.select("id", "level", F.coalesce(earlier("first"), earlier("any_first")).alias("original")).where("original IS NOT NULL")
     levels = hits.groupBy("id", "level").agg(F.max("original").alias("parent"), F.count("*").alias("passages"))
     best = levels.groupBy("id").agg(F.min(F.struct("level", "parent", "passages")).alias("x"))
-    return best.select("id", F.col("x.parent.id").alias("parent_id"), F.col("x.level").alias("level"), F.col("x.passages").alias("passages"))
+    best = best.select("id", F.col("x.parent.id").alias("parent_id"), F.col("x.level").alias("level"), F.col("x.passages").alias("passages"))
+    best = scratch.save(best, "links")
+    scratch.drop(found)
+    return best
 
 
 def conversations(messages: DataFrame, id_col: str = "id", text_col: str = "text", order_col: str = "at", scope_col: str = "scope") -> DataFrame:
     """One row per message, sorted in reply order inside range partitions:
     (id, parent_id, root_id, depth, linked_passages, own_text)."""
     scratch = Scratch(messages.sparkSession, "replies")
-    links = scratch.save(link(messages, id_col, text_col, order_col, scope_col), "links")
+    links = link(messages, id_col, text_col, order_col, scope_col)
     moving = scratch.save(links.select("id", F.col("parent_id").alias("up"), F.lit(1).alias("depth")), "hops")
     done, known = [], moving
     while True:  # a message leaves as soon as it points to its root, so each round joins fewer rows
@@ -137,7 +146,7 @@ m AS (
     concat_ws(chr(10), c.text, regexp_replace(x.text, '(?m)^', '> ', 'g'), regexp_replace(y.text, '(?m)^', '>> ', 'g')) AS text
   FROM c LEFT JOIN c x ON x.conv_id = c.conv_id AND x.turn = c.turn - 1 LEFT JOIN c y ON y.conv_id = c.conv_id AND y.turn = c.turn - 2),
 raw AS (SELECT id, t, scope, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM m),
-l AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, trim(substr(line, length(mark) + 1)) AS body FROM (SELECT *, regexp_extract(line, '^(?:[\x20\x09]*>)+') AS mark FROM raw)),
+l AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, regexp_replace(substr(line, length(mark) + 1), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body FROM (SELECT *, regexp_extract(line, '^(?:[\x20\x09]*>)+') AS mark FROM raw)),
 n AS (SELECT *, CASE WHEN pos = 0 OR lag(level) OVER w <> level OR lag(body) OVER w = '' THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY id ORDER BY pos)),
 q AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS part FROM n),
 p AS (SELECT DISTINCT id, t, scope, level, passage FROM (

@@ -6,31 +6,21 @@ read it start from its real size, so that Spark's own size checks choose the joi
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEY = "spark.checkpoint.dir"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; where none is set (tests, one machine), a temporary one is named."""
-    root = spark.conf.get(_KEY, None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="seqlake-")
-        spark.conf.set(_KEY, root)
-    return root
+from seqlake.scratch import scratch_root
 
 
 def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts reach Python in batches of so many rows, unless the session has a number of its own.
+    """From now on, texts reach Python in batches of so many rows in this session, unless it has set a number itself.
 
     Spark's default of 10 000 rows suits numbers; whole texts of that many rows take hundreds of
-    megabytes per task on both sides.
+    megabytes per task on both sides. Results are lazy, so the setting must outlast the call.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(rows))
 
 
@@ -53,7 +43,7 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more, the result's own plan included."""
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

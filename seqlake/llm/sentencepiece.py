@@ -20,7 +20,8 @@ A literal U+2581 in a text is written as bytes, so decoding restores every text
 other ids are those of SentencePieceProcessor.encode for a file with identity normalization.
 
 Defined results: a null text has null ids and 0 tokens, an empty one no ids; texts are never
-cut; an empty table gives an empty result; other columns are kept by encode's ``keep`` list.
+cut; an empty table gives an empty result; other columns are kept by encode's ``keep`` list, but for
+those with the names of the results, which are replaced; rows are never merged.
 """
 
 from __future__ import annotations
@@ -327,17 +328,14 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", keep: tu
     """The kept columns with n_tokens and ids; with check, round_trip says whether decoding gives the text."""
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
-    kept = docs.select(*keep).schema
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "n_tokens long, ids array<int>" + ", round_trip boolean" * check
-    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(_encoded(shared, check), schema)
+    kept = [c for c in keep if c not in ("n_tokens", "ids", "round_trip")]
+    types = [f.dataType.simpleString() for f in docs.select(*kept).schema]
+    schema = "".join(f"_{k + 1} {t}, " for k, t in enumerate(types)) + "n_tokens long, ids array<int>" + ", round_trip boolean" * check
+    rows = docs.select(F.col(text_col).alias("_0"), *[F.col(c).alias(f"_{k + 1}") for k, c in enumerate(kept)])
+    return rows.mapInArrow(_encoded(shared, check), schema).toDF(*kept, "n_tokens", "ids", *["round_trip"] * check)
 
 
-def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with text, the inverse of encode; null ids give a null text."""
-    shared = tokens.sparkSession.sparkContext.broadcast(load_pieces(model))
-    kept = tokens.select(*keep).schema
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "text string"
-
+def _decoded(shared):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
@@ -345,7 +343,17 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", keep: tu
             text = pa.array([t.decode("utf-8", "replace") if v else None for t, v in zip(text, pc.is_valid(ids).to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), text], [*batch.schema.names[1:], "text"])
 
-    return tokens.select(F.col(ids_col).alias("_ids"), *keep).mapInArrow(run, schema)
+    return run
+
+
+def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with text, the inverse of encode; null ids give a null text."""
+    shared = tokens.sparkSession.sparkContext.broadcast(load_pieces(model))
+    kept = [c for c in keep if c != "text"]
+    types = [f.dataType.simpleString() for f in tokens.select(*kept).schema]
+    schema = "".join(f"_{k + 1} {t}, " for k, t in enumerate(types)) + "text string"
+    rows = tokens.select(F.col(ids_col).alias("_0"), *[F.col(c).alias(f"_{k + 1}") for k, c in enumerate(kept)])
+    return rows.mapInArrow(_decoded(shared), schema).toDF(*kept, "text")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
