@@ -8,12 +8,16 @@
    of them can ever show in a result.
 3. search: queries visit their ``probes`` most probable parts. Parts are dealt into blocks of
    bounded size on both sides, one pair of blocks per task, and candidates are scored by
-   inner product in double precision on the original vectors.
+   inner product in double precision on the original vectors. Queries whose parts hold fewer
+   than k others (small tables) visit all parts.
+
+Joins of queries with their vectors and results salt hot ones (``skew``), so equal vectors that
+make up a third of the table don't meet in one task.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one, or
-that hold null or non-finite components take no part; ties go to the smaller id; a query
-finds fewer than k rows only if its parts hold fewer; rows repeated with one id count once;
-an empty table gives an empty result; other columns are not read.
+that hold null or non-finite components take no part, nor do null ids; ties go to the smaller
+id; a query finds fewer than k rows only if there are no more; rows that share an id count
+once, with the least of their vectors; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqlake.llm.scratch import Scratch
+from seqlake.llm.skew import for_each_salt, hot_keys, with_salt
 
 BLOCK_ROWS = 4096
 
@@ -154,15 +159,18 @@ def _scored(most: int):
         if candidates.num_rows and queries.num_rows:
             c, q = _matrix(candidates.column("vec")), _matrix(queries.column("vec"))
             cid, qid = candidates.column("cid").to_numpy(), queries.column("cid").to_numpy()
+            longest = np.linalg.norm(c, axis=1).max()
             for a in range(0, len(q), 256):
                 rough = q[a:a + 256] @ c.T
-                keep = min(most + 8, len(c))
-                near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+                keep = min(most, len(c))
+                bar = np.partition(rough, len(c) - keep, axis=1)[:, len(c) - keep]
+                slack = 1e-12 * longest * np.linalg.norm(q[a:a + 256], axis=1)  # what rounding may hide
                 for k in range(len(rough)):
-                    exact = (c[near[k]] * q[a + k]).sum(1)
-                    order = np.lexsort((cid[near[k]], -exact))[:most]
+                    near = np.flatnonzero(rough[k] >= bar[k] - slack[k])
+                    exact = (c[near] * q[a + k]).sum(1)
+                    order = np.lexsort((cid[near], -exact))[:most]
                     out["query"].append(np.full(len(order), qid[a + k]))
-                    out["cid"].append(cid[near[k]][order])
+                    out["cid"].append(cid[near][order])
                     out["score"].append(exact[order])
         flat = {k: np.concatenate(v) if v else np.zeros(0, np.float64 if k == "score" else np.int64) for k, v in out.items()}
         return pa.table(flat)
@@ -179,6 +187,22 @@ def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.where(F.size("vec") == (most.dim if most else 0))
 
 
+def _found(index: DataFrame, asked: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(query, cid, score): the k + 1 best classes of each query in the parts that it visits."""
+    blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("ci"))
+    blocks = blocks.join(asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("qi")), "part")
+    blocks = F.broadcast(scratch.save(blocks, "blocks"))  # a row per part
+    left = index.join(blocks, "part").select(
+        "part", F.pmod(F.xxhash64("cid"), F.col("ci")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("qi") - 1)).alias("q"), "cid", "vec"
+    )
+    right = asked.join(blocks, "part").select(
+        "part", F.explode(F.sequence(F.lit(0), F.col("ci") - 1)).alias("c"), F.pmod(F.xxhash64("cid"), F.col("qi")).cast("int").alias("q"), "cid", "vec"
+    )
+    found = left.groupBy("part", "c", "q").cogroup(right.groupBy("part", "c", "q")).applyInArrow(_scored(k + 1), "query long, cid long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "cid")
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+
+
 def nearest(
     rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
     partitions: int = 64, probes: int = 46, sample_rows: int = 8192,
@@ -186,10 +210,11 @@ def nearest(
     """(query_id, rank, vec_id, score): for rows where is_query holds, the k nearest others found."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "neighbours")
-    vectors = scratch.save(valid_vectors(rows, id_col, vec_col).dropDuplicates(["id", "vec"]), "vectors")
-    by_id = Window.partitionBy("vec").orderBy("id")
+    vectors = valid_vectors(rows, id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec"))
+    vectors = scratch.save(vectors.withColumn("same", F.xxhash64("vec")), "vectors")
+    by_id = Window.partitionBy("same", "vec").orderBy("id")  # cut to k + 1 rows before the shuffle as well
     firsts = vectors.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
-    classes = firsts.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("cid"), "vec", "ids")
+    classes = firsts.groupBy("same", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("cid"), "same", "vec", "ids")
     classes = scratch.save(classes, "classes")
     sample = classes.select("vec", "cid").orderBy(F.xxhash64("vec"), "cid").limit(sample_rows).select("vec").collect()
     dim = len(sample[0].vec) if sample else 1
@@ -198,27 +223,28 @@ def nearest(
 
     vec = dict(classes.dtypes)["vec"]
     index = scratch.save(classes.select("cid", "vec").mapInArrow(_routed(shared, 1), f"cid long, vec {vec}, part int"), "index")
-    asking = vectors.where(is_query(F.col("id"))).select("id", "vec").join(classes.select("cid", "vec"), "vec").select("id", "cid")
-    asking = scratch.save(asking, "asking")
-    asked = classes.join(asking.select("cid").distinct(), "cid", "left_semi").select("cid", "vec")
-    asked = scratch.save(asked.mapInArrow(_routed(shared, min(probes, partitions)), f"cid long, vec {vec}, part int"), "asked")
-
-    blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("ci"))
-    blocks = blocks.join(asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("qi")), "part")
-    blocks = F.broadcast(scratch.save(blocks, "blocks"))  # a row per part
-    left = index.join(blocks, "part").select(
-        "part", F.pmod(F.xxhash64("cid"), F.col("ci")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("qi") - 1)).alias("q"), "cid", "vec"
-    )
-    right = asked.join(blocks, "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("ci") - 1)).alias("c"), F.pmod(F.xxhash64("cid"), F.col("qi")).cast("int").alias("q"), "cid", "vec"
-    )
-    found = left.groupBy("part", "c", "q").cogroup(right.groupBy("part", "c", "q")).applyInArrow(_scored(k + 1), "query long, cid long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "cid")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    rows_of = found.join(classes.select("cid", "ids"), "cid").select("query", F.explode("ids").alias("vec_id"), "score")
-    nearest_ids = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    rows_of = scratch.save(rows_of.withColumn("n", F.row_number().over(nearest_ids)).where(F.col("n") <= k + 1), "near")
-    answers = asking.join(rows_of, asking.cid == rows_of["query"]).where("id <> vec_id")
+    asking = vectors.where(is_query(F.col("id")))
+    hot = scratch.save(hot_keys(asking.groupBy("same").agg(F.count("*").alias("n")), vectors.count()), "hot")
+    asking = with_salt(asking, hot, F.col("id")).join(for_each_salt(classes.select("cid", "same", "vec"), hot), ["same", "salt", "vec"])
+    asking = scratch.save(asking.select("id", "cid"), "asking")
+    queries = asking.groupBy("cid").agg(F.count("*").alias("n"))
+    hot = scratch.save(hot_keys(queries, vectors.count()), "hot")
+
+    def search(queries: DataFrame, probes: int) -> DataFrame:
+        """(query, vec_id, score): the k + 1 nearest rows found of each query class."""
+        asked = classes.join(queries, "cid", "left_semi").select("cid", "vec")
+        asked = scratch.save(asked.mapInArrow(_routed(shared, probes), f"cid long, vec {vec}, part int"), "asked")
+        found = _found(index, asked, k, scratch).join(classes.select("cid", "ids"), "cid").select("query", F.explode("ids").alias("vec_id"), "score")
+        nearest_ids = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return scratch.save(found.withColumn("n", F.row_number().over(nearest_ids)).where(F.col("n") <= k + 1).drop("n"), "near")
+
+    near = search(queries, min(probes, partitions))
+    short = near.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") <= k).select("query")  # a query's own row is one of them
+    missed = queries.join(near.withColumnRenamed("query", "cid"), "cid", "left_anti").select("cid").unionByName(short.withColumnRenamed("query", "cid"))
+    missed = scratch.save(missed, "missed")
+    if probes < partitions and not missed.isEmpty():
+        near = near.join(missed.withColumnRenamed("cid", "query"), "query", "left_anti").unionByName(search(missed, partitions))
+    answers = with_salt(asking, hot, F.col("id")).join(for_each_salt(near.withColumnRenamed("query", "cid"), hot), ["cid", "salt"]).where("id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))
     return answers.select(F.col("id").alias("query_id"), rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

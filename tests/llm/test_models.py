@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from seqlake.llm import language_id, mixing, neighbours, quotations, sentencepiece
+from seqlake.llm import language_id, mixing, neighbours, quotations, sentencepiece, skew
 from tests.llm.helpers import by_group, corpus, frame, words
 
 DATA = "/root/testdata/sf0.01"
@@ -263,11 +263,30 @@ def test_nearest_against_brute_force(spark):
         found.sort(key=lambda r: r["rank"])
         assert [r.vec_id for r in found] == order and [r["rank"] for r in found] == list(range(1, 21))
         assert [r.score for r in found] == pytest.approx(score[order].tolist(), abs=1e-12)
-    few = neighbours.nearest(df.where("vec_id < 6"), lambda i: i == 0, partitions=4, probes=4)
-    assert few.count() == 5
+
+    for n in (1, 2, 6, 15, 25, 40):  # with the defaults: all candidates, if there are no more than k
+        few = by_group(neighbours.nearest(df.where(F.col("vec_id") < n), lambda i: i % 4 == 0).collect(), lambda r: r.query_id)
+        assert {q: len(f) for q, f in few.items()} == {q: min(20, n - 1) for q in range(0, n, 4) if n > 1}
     assert neighbours.nearest(df.where("false"), lambda i: i == 0).count() == 0
 
 
+def test_nearest_of_ties_and_hot_vectors(spark, monkeypatch):
+    """Quantised vectors tie by the dozen, one vector holds a third of all rows, and an id has two vectors."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-1, 2, (900, 6)).astype(np.float32)
+    x[:, 0] = 1
+    x[::3] = x[0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())] + [(4, [9.0] * 6)], "vec_id long, embedding array<float>")
+    got = by_group(neighbours.nearest(df, lambda i: i % 9 == 0, partitions=4, probes=4).collect(), lambda r: r.query_id)
+    m = x.astype(float)
+    m[4] = min(x[4].tolist(), [9.0] * 6)
+    assert sorted(got) == list(range(0, 900, 9))
+    for q, found in got.items():
+        score = m @ m[q]
+        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [k for k in np.lexsort((np.arange(900), -score)) if k != q][:20]
+
+
 def test_learned_partitions_recall(spark):
     got = by_group(neighbours.op1_learned_partitions(spark, DATA).collect(), lambda r: r.query_id)
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
