@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from seqlake.llm import components as C
@@ -217,6 +218,33 @@ def test_sharding(spark):
     assert moved < len(got) * 0.6  # a plain modulo would move eight ninths
 
 
+def plain_ring(keys, shards, vnodes=64):
+    """{key: shard}, key by key: a key goes clockwise from its cell to the first point whose shard has room.
+
+    Keys arrive point by point and, at a point, after those that were passed on to it.
+    """
+    points = sorted((zlib.crc32(f"shard {s} point {v}".encode()) % sharding.CELLS, s) for s in range(shards) for v in range(vnodes))
+    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
+    cell = {k: xxhash.xxh64_intdigest(str(k).encode(), 42) % sharding.CELLS for k in keys}
+    home = {k: next((p for p, (at, _) in enumerate(points) if at >= cell[k]), 0) for k in keys}
+    order = lambda k: (cell[k], xxhash.xxh64_intdigest(str(k).encode(), 42) ^ (1 << 63))  # noqa: E731  by signed hash
+    out, waiting = {}, []
+    for p in [*range(len(points)), *range(len(points))]:
+        waiting += sorted((k for k in keys if home[k] == p and k not in out and k not in waiting), key=order)
+        shard = points[p][1]
+        while waiting and room[shard]:
+            out[waiting.pop(0)] = shard
+            room[shard] -= 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 8, 9])
+def test_sharding_against_a_walk_key_by_key(spark, shards):
+    keys = [k * 7 for k in range(500)]
+    got = {r.doc_id: r.shard for r in sharding.shard(frame(spark, [(k, "t", None, None, None) for k in keys]), shards).collect()}
+    assert got == plain_ring(keys, shards)
+
+
 def test_ring_walk_goes_clockwise_past_full_shards():
-    plan = sharding.walk({5: 4, 20: 1}, [2, 3], [(10, 0), (30, 1)])
-    assert sorted(plan) == [(5, 0, 0, 0), (5, 2, 1, 1), (20, 0, 1, 0)] or sorted(plan) == [(5, 0, 0, 0), (5, 2, 1, 0), (20, 0, 1, 2)]
+    assert sorted(sharding.walk({5: 4, 20: 1}, [2, 3], [(10, 0), (30, 1)])) == [(5, 0, 0, 0), (5, 2, 1, 0), (20, 0, 1, 2)]
+    assert sorted(sharding.walk({5: 2, 40: 3}, [2, 3], [(10, 0), (30, 1)])) == [(5, 0, 0, 0), (40, 0, 1, 0)]

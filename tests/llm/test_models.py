@@ -37,6 +37,106 @@ def test_language_id_defined_results(spark):
     assert language_id.predict(docs.where("false"), model).count() == 0
 
 
+def plain_grams(text, buckets):
+    """Buckets of the 1- to 3-grams of all words, from the characters' codes alone."""
+    out, mask = [], (1 << 64) - 1
+    for word in words(text):
+        padded = f" {word.lower()} "
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                gram = padded[i:i + n]
+                if n == 1 and gram == " ":
+                    continue
+                h = 0
+                for k, c in enumerate(gram):
+                    h = ((h ^ (h >> 29)) * int(language_id._STEP) + ord(c) + k + 1) & mask
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ (h >> shift)) * factor & mask
+                out.append((h ^ (h >> 31)) % buckets)
+    return out
+
+
+def test_language_id_against_a_plain_scorer(spark):
+    """The score of each text from its grams one by one, with the idf counted by hand."""
+    rows = [(k, " ".join(t), lang, None, None) for k, (t, lang) in enumerate(
+        ((rng.choices(own, k=rng.randint(1, 30)) + ["Éa", "x"]), lang) for rng in [random.Random(1)] for lang, own in (("en", ["the", "and", "of", "house"]), ("de", ["der", "und", "Haus", "ist"]), ("fr", ["le", "et", "maison"])) for _ in range(40))]
+    docs, buckets = frame(spark, rows), 1 << 12
+    model = language_id.fit(docs, rows_per_language=30, buckets=buckets)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
+    weights = model.weights[model.place].astype(float)
+    for d, t, *_ in rows:
+        grams = plain_grams(t, buckets)
+        logits = sum(weights[g] for g in grams) / len(grams) / model.heat
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        assert got[d] == (model.labels[int(p.argmax())], pytest.approx(float(p.max()), abs=1e-6))
+    seen = {}
+    for _, t, *_ in rows:
+        for g in set(plain_grams(t, buckets)):
+            seen[g] = seen.get(g, 0) + 1
+    found = [docs.select("text").mapInArrow(language_id._frequencies(buckets), "gram long, docs long").groupBy("gram").sum("docs").collect()]
+    assert {g: n for g, n in found[0]} == seen
+    assert (model.weights[0] == 0).all() and len(model.weights) - 1 <= len(seen)
+
+
+def test_language_id_sample_is_bounded_and_by_hash(spark):
+    rows = [(k % 900, f"t{k}", "en" if k % 3 else "de", None, None) for k in range(3000)] + [(1, "rare", "fr", None, None)]
+    known = frame(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"), "lang")
+    got = by_group(language_id.sample_of(known, 50).collect(), lambda r: r.lang)
+    assert {lang: sorted(r.k for r in own) for lang, own in got.items()} == {"en": list(range(1, 51)), "de": list(range(1, 51)), "fr": [1]}
+    u = F.shiftrightunsigned(F.xxhash64("id", "row"), 11)
+    for lang in ("en", "de"):
+        least = known.where(F.col("lang") == lang).orderBy(u, "id", "row").limit(50).collect()
+        assert {(r.id, r.row) for r in got[lang]} == {(r.id, r.row) for r in least}
+
+
+def plain_ftrl(rows, labels, classes, buckets, epochs=3, alpha=0.5, beta=1.0, l1=1e-4, l2=1e-4):
+    """One coordinate at a time, by the published update."""
+    z, n = [[0.0] * classes for _ in range(buckets)], [[0.0] * classes for _ in range(buckets)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= l1:
+            return 0.0
+        return -(z[i][c] - np.sign(z[i][c]) * l1) / ((beta + n[i][c] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            index, value = rows[k]
+            w = {i: [weight(i, c) for c in range(classes)] for i in index}
+            logits = [sum(v * w[i][c] for i, v in zip(index, value)) for c in range(classes)]
+            total = sum(np.exp(x) for x in logits)
+            for c in range(classes):
+                error = np.exp(logits[c]) / total - (labels[k] == c)
+                for i, v in zip(index, value):
+                    g = v * error
+                    z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / alpha * w[i][c]
+                    n[i][c] += g * g
+    return np.array([[weight(i, c) for c in range(classes)] for i in range(buckets)])
+
+
+def test_ftrl_against_a_plain_version():
+    rng = np.random.default_rng(2)
+    rows = [(rng.choice(20, 4, replace=False), rng.random(4)) for _ in range(60)]
+    labels = rng.integers(0, 3, 60).tolist()
+    for l1 in (1e-4, 0.3):
+        assert language_id.ftrl(rows, labels, 3, 20, l1=l1) == pytest.approx(plain_ftrl(rows, labels, 3, 20, l1=l1), abs=1e-9)
+
+
+def test_results_replace_kept_columns_of_their_names(spark):
+    df = frame(spark, [(1, "the cat", "en", "s", None), (2, "der Hund", "de", "s", None)])
+    for name in ("_letter", "_0", "_1", "lang_pred", "score", "n_tokens", "ids"):
+        df = df.withColumn(name, F.lit(name))
+    keep = ("doc_id", "text", "_letter", "_0", "_1", "lang_pred", "score", "n_tokens", "ids")
+    named = language_id.predict(df, language_id.fit(df, rows_per_language=5), keep=keep)
+    assert named.columns == ["doc_id", "text", "_letter", "_0", "_1", "n_tokens", "ids", "lang_pred", "score"]
+    assert {(r["_0"], r["_letter"], r.n_tokens) for r in named.collect()} == {("_0", "_letter", "n_tokens")}
+    tokens = sentencepiece.encode(df, keep=keep)
+    assert {r.lang_pred for r in tokens.collect()} == {"lang_pred"} and dict(tokens.dtypes)["ids"] == "array<int>"
+    back = sentencepiece.decode(tokens, keep=("doc_id", "text", "_0"))
+    assert {(r.doc_id, r["_0"], r.text) for r in back.collect()} == {(1, "_0", "the cat"), (2, "_0", "der Hund")}
+
+
 def test_word_grams_by_hand():
     grams, off = language_id.word_grams([b"Ab", b"c"], 1 << 30)
     again, _ = language_id.word_grams([b"ab"], 1 << 30)
@@ -324,6 +424,26 @@ def test_quotations_by_hand(spark):
     assert quotations.conversations(df.where("false")).count() == 0
 
 
+def test_quotations_of_mail_with_crlf(spark):
+    mail = [
+        (1, 10, "t", "Hello all.\r\n\r\nHow are you?\r\n"),
+        (2, 11, "t", "Fine.\r\n\r\n> How are you?\r\n>\r\n> Hello all.\r\n"),
+        (3, 12, "t", "Me too.\r\n\t\r\n> Fine.\r\n>\t\r\n>> How are you?\r\n"),
+        (4, 13, "t", "> Me too.\n"), (4, 14, "s", "> Me too.\nsecond row of this id"),
+    ]
+    df = spark.createDataFrame(mail, "id long, at long, scope string, text string")
+    for docs in (df, df.orderBy(F.desc("at"))):
+        got = sorted((r.id, r.parent_id, r.root_id, r.depth, r.linked_passages, r.own_text) for r in quotations.conversations(docs).collect())
+        assert got == [(1, None, 1, 0, 0, "Hello all.\r\n\r\nHow are you?"), (2, 1, 1, 1, 2, "Fine."), (3, 2, 1, 2, 1, "Me too."), (4, 3, 1, 3, 1, ""), (4, 3, 1, 3, 1, "second row of this id")]
+
+
+def test_quotations_of_a_passage_in_half_of_all_mail(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    mail = [(k, k, f"t{k % 7}", "Same words.\n" if k < 9 else f"Own {k}.\n> Same words." if k % 2 else f"Own {k}.\n> Own {k - 1}.") for k in range(300)]
+    got = {r.id: r.parent_id for r in quotations.conversations(spark.createDataFrame(mail, "id long, at long, scope string, text string")).collect()}
+    assert got == {k: None if k < 10 else next(j for j in range(9) if j % 7 == k % 7) if k % 2 else k - 1 for k in range(300) if k != 9} | {9: 2}
+
+
 def test_quotation_query_rebuilds_the_turns(spark):
     got = {r.message_id: r for r in quotations.op3_quotation_linking(spark, "/root/testdata/sf0.001").collect()}
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
