@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm import language_id, line_dedup, mixing, ngram_join, sentencepiece
 from seqlake.llm.scratch import Scratch
+from seqlake.llm.skew import side
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5
@@ -40,8 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents linked by 5-word shingles at 0.75, the one with the smallest doc_id stays."""
     docs = docs.select(*COLUMNS)
     groups = ngram_join.ngram_components(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = Scratch(spark, "near").save(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(side(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     draws = mixing.place(mixing.mix(docs).dropDuplicates(["doc_id"])).withColumnRenamed("doc_id", "drawn_id")
-    drawn = docs.join(draws, docs["doc_id"].eqNullSafe(draws["drawn_id"]))
+    draws = Scratch(spark, "mixed").save(draws, "draws")
+    drawn = docs.join(side(draws), docs["doc_id"].eqNullSafe(draws["drawn_id"]))
     order = ["shard", "place", "doc_id", "copy"]
     return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 

@@ -17,8 +17,8 @@ the partial counts are summed per pair. The join is exact over the sets:
 4. rounds: of the classes that share a prefix n-gram, a few are stars, picked by hash. Every other
    one is compared with the stars, if sizes and positions allow a link and they don't stand in
    one component yet. Linked classes contract to components, and the stars leave the n-gram's
-   list, as they are done with it. There is one star in the first round, 64 in the next, then
-   eight times as many each time; an n-gram with no more classes than stars is settled by
+   list, as they are done with it. There is one star in the first round, then eight times as
+   many each time; an n-gram with no more classes than stars is settled by
    that. So a group of near copies collapses in the first rounds for the price of its size, and
    the pairs within a group are never listed while contraction makes progress.
 5. before the second round, classes are screened again by n-grams that their own component holds
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm.components import components
 from seqlake.llm.scratch import Scratch
-from seqlake.llm.skew import for_each_salt, hot_keys, with_salt
+from seqlake.llm.skew import for_each_salt, hot_keys, side, with_salt
 from seqlake.llm.text import lists, mix, words
 
 FRAGMENTS = 8
@@ -52,7 +52,7 @@ SCREENED = 3
 FEW_HOLDERS = 64
 PART_NGRAMS = 2_000_000
 PART_CLASSES = 20_000
-STARS = (1, FEW_HOLDERS)
+STARS = (1, 8)
 STARS_GROW = 8
 HEAVY_ROWS = 1 << 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -262,9 +262,11 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int, scratch: Scra
     """Of the pairs (a, b, ...), those that reach the similarity: partial overlaps by fragment, summed per pair."""
     hot = scratch.save(hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count()), "hot")
     each = with_salt(pairs.select("a", "b"), hot, F.col("b")).withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    cut = segments.select(F.posexplode("frags").alias("fragment", "grams"), "cid", "n")
-    left = for_each_salt(cut.select("fragment", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), hot)
-    right = cut.select("fragment", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    stars = scratch.save(pairs.select(F.col("a").alias("cid")).distinct(), "stars")
+    cut = lambda sets: sets.select(F.posexplode("frags").alias("fragment", "grams"), "cid", "n")
+    left = cut(segments.join(side(stars), "cid", "left_semi"))
+    left = for_each_salt(left.select("fragment", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), hot)
+    right = cut(segments).select("fragment", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     partial = each.join(left, ["fragment", "a", "salt"]).join(right, ["fragment", "b"])
     partial = partial.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
     counted = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
@@ -301,18 +303,20 @@ def _contracted(rows: DataFrame, moved: DataFrame, col: str = "comp") -> DataFra
     return rows.join(to, col, "left").withColumn(col, F.coalesce("_to", col)).drop("_to")
 
 
-def _still_open(live: DataFrame, segments: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _of_live(segments: DataFrame, live: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, n, comp, frags) of the classes in live."""
+    own = scratch.save(live.select("cid", "comp").distinct(), "own")
+    return scratch.save(segments.select("cid", "n", "frags").join(side(own), "cid").select("cid", "n", "comp", "frags"), "segments")
+
+
+def _still_open(live: DataFrame, doubtful: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """live without the classes of which too many n-grams are held by their own component alone."""
-    doubtful = live.select("cid", "comp").distinct()
-    doubtful = scratch.save(segments.join(doubtful, "cid").select("cid", "n", "comp", "frags"), "doubtful")
     parts = max(1, -(-(doubtful.agg(F.sum("n")).first()[0] or 0) // PART_NGRAMS))
     closed = doubtful.select("cid", "comp", "frags").mapInArrow(_open_rows(parts), "part int, grams array<long>, comps array<long>, cids array<long>")
     closed = closed.groupBy("part").applyInArrow(_closed, "cid long, closed long").groupBy("cid").agg(F.sum("closed").alias("closed"))
     too_many = F.coalesce("closed", F.lit(0)) > F.floor(F.col("n") * (100 - percent) / 100)
     open_classes = scratch.save(doubtful.select("cid", "n").join(closed, "cid", "left").where(~too_many).select("cid"), "open")
-    out = scratch.save(live.join(open_classes, "cid", "left_semi"), "live")
-    scratch.drop(doubtful)
-    return out
+    return scratch.save(live.join(side(open_classes), "cid", "left_semi"), "live")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -336,7 +340,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("sid", "hi", "lo")
     )
     in_play = scratch.save(in_play, "in_play")
-    chosen = source.join(in_play, source.id == in_play.sid).select("text", "hi", "lo")
+    chosen = source.join(side(in_play), source.id == in_play.sid).select("text", "hi", "lo")
     segments = chosen.mapInArrow(_segments(n), "cid long, n long, frags array<array<long>>")
     if not sets.groupBy("id").count().where("count > 1").isEmpty():
         segments = segments.dropDuplicates(["cid"])
@@ -366,8 +370,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             later = _contracted(linked, moved, "component")
             linked = scratch.save(later.unionByName(moved.join(linked, "id", "left_anti")), "linked")
         number, stars = number + 1, STARS[1] if number == 0 else stars * STARS_GROW
-        if number == 1 and not live.isEmpty():
-            live = _still_open(live, segments, percent, scratch)
+        if not live.isEmpty():
+            before, segments = segments, _of_live(segments, live, scratch)
+            scratch.drop(before)
+            live = _still_open(live, segments, percent, scratch) if number == 1 else live
 
     named = classes.select("hi", "lo", "sid", "rows")
     if linked is not None:

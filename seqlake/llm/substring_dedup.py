@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.scratch import Scratch
-from seqlake.llm.skew import for_each_salt, hot_keys, with_salt
+from seqlake.llm.skew import for_each_salt, hot_keys, side, with_salt
 from seqlake.llm.text import Words, lists, mix, words
 
 BLOCK_WORDS = 200_000
@@ -360,7 +360,7 @@ def repeated_spans(source: DataFrame, window: int, scratch: Scratch) -> DataFram
     scratch.drop(anchors, counts)
     total = held.agg(F.sum(F.size("anchors"))).first()[0] or 0
     shards = max(1, 4 * total * window // BLOCK_WORDS)
-    found = source.join(held, ["id", "row"]).select("id", "row", "text", "anchors").mapInArrow(_segments(window, shards), SEGMENT)
+    found = source.join(side(held, "anchors"), ["id", "row"]).select("id", "row", "text", "anchors").mapInArrow(_segments(window, shards), SEGMENT)
     found = scratch.save(found, "segments")
     distinct = found.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.first("words", True).alias("words"), F.count("*").alias("n"))
     distinct = scratch.save(distinct, "distinct")
@@ -381,7 +381,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """One row per input row: (id, n_words, n_removed, kept_sha256, kept), kept being the text left."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     spans = repeated_spans(source, window, Scratch(docs.sparkSession, "substrings"))
-    joined = source.join(spans, ["id", "row"], "left").select("id", "text", F.coalesce("spans", F.array().cast(RUNS)).alias("spans"))
+    joined = source.join(side(spans, "spans", width=2), ["id", "row"], "left").select("id", "text", F.coalesce("spans", F.array().cast(RUNS)).alias("spans"))
     out = joined.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)
 
