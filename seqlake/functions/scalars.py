@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from seqlake.schema import COMMIT_KINDS, MATERIALIZATIONS
 
-# The alphabet and syntax rules of the protocol's identifiers.
+# The alphabet and syntax rules of the protocol's identifiers, limits of its data model,
+# and the names and markers of error classes, which must equal those that other tools report.
 TID_ALPHABET = "234567abcdefghijklmnopqrstuvwxyz"
 PATTERNS = {
     "tid": (r"^[234567abcdefghij][234567abcdefghijklmnopqrstuvwxyz]{12}\z", 13),
@@ -20,6 +21,7 @@ PATTERNS = {
     "language": (r"^(i|[a-z]{2,3})(-[a-zA-Z0-9]+)*\z", 128),
     "datetime": (r"^[0-9]{4}-[01][0-9]-[0-3][0-9]T[0-2][0-9]:[0-6][0-9]:[0-6][0-9](.[0-9]{1,20})?(Z|([+-][0-2][0-9]:[0-5][0-9]))\z", 64),
 }
+MOST_LEVELS, MOST_MEMBERS, MOST_STRING_BYTES, MOST_KEY_BYTES = 32, 128 * 1024, 1024 * 1024, 8192
 REFUSED_TLDS = ["local", "arpa", "invalid", "localhost", "internal", "example", "onion", "alt"]
 ERROR_CLASSES = [
     ("did_resolution", r"identity:|did not found"),
@@ -151,7 +153,10 @@ def handle_allowed(handle) -> Column:
 
 
 def lenient_datetime(value) -> Column:
-    """The value in strict form where a lenient reading allows one, else null."""
+    """The value in strict form where a lenient reading allows one, else null.
+
+    Fixed values: the zones that count as UTC, and the forms of a zone at the end.
+    """
     value = _col(value)
     fixed = F.regexp_replace(value, r"(-00:00|-0000|\+0000)\z", "+00:00")
     bare = ~value.rlike(r"(([+-]\d\d:?\d\d)|[a-zA-Z])\z")
@@ -169,10 +174,62 @@ def record_type(record) -> Column:
 
 
 
+def _without_strings(record) -> Column:
+    return F.regexp_replace(_col(record), r'"(\\.|[^"\\])*"', '""')
+
+
 def floats_in(record) -> Column:
-    """Whether a JSON text holds a number that is not integral, which the data model refuses."""
-    bare = F.regexp_replace(_col(record), r'"(\\.|[^"\\])*"', "")
-    return bare.rlike(r"-?[0-9]+\.[0-9]*[1-9]")
+    """Whether a JSON text holds a number that is no 64-bit integer in value, which the data model refuses.
+
+    15e1 and 2.0 are integral, 15e-1 and 1e300 are not.
+    """
+    numbers = F.regexp_extract_all(_without_strings(record), F.lit(r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"), F.lit(1))
+    # Plain digits may be too many for a double; they are integral unless they are too many for 64 bits.
+    wrong = lambda x: F.when(x.rlike(r"^-?[0-9]+\z"), x.try_cast("long").isNull()).otherwise(
+        (x.cast("double") != F.rint(x.cast("double"))) | (F.abs(x.cast("double")) >= 2.0**63))
+    return F.exists(numbers, wrong)
+
+
+def nesting(record) -> Column:
+    """(levels, members): how deep a JSON text's objects and arrays nest, and the most members that one of them has.
+
+    One pass over its brackets and commas, with a count of commas per open level.
+    """
+    marks = F.regexp_replace(_without_strings(record), r"[^\[\]{},]", "")
+    empty = F.array().cast("array<int>")
+    zero = F.struct(empty.alias("open"), F.lit(0).alias("levels"), F.lit(0).alias("members"))
+
+    def step(state: Column, mark: Column) -> Column:
+        opened = state["open"]
+        deeper = F.array_append(opened, F.lit(0))
+        last = F.element_at(F.when(F.size(opened) > 0, opened).otherwise(F.array(F.lit(0))), -1) + 1
+        outer = F.when(F.size(opened) > 0, F.slice(opened, F.lit(1), F.size(opened) - 1)).otherwise(empty)
+        then = F.when(mark.isin("[", "{"), deeper).when(mark.isin("]", "}"), outer).otherwise(F.array_append(outer, last))
+        return F.struct(then.alias("open"), F.greatest(state["levels"], F.size(then)).alias("levels"), F.greatest(state["members"], F.when(mark == ",", last + 1).otherwise(0)).alias("members"))
+
+    return F.aggregate(F.filter(F.split(marks, ""), lambda x: x != ""), zero, step, lambda s: F.struct(s["levels"].alias("levels"), s["members"].alias("members")))
+
+
+def data_model_fault(record) -> Column:
+    """The first rule of the data model that a JSON record breaks, or null.
+
+    Rules: JSON; numbers integral; levels, members, strings and keys within the limits; $type a string
+    that isn't empty; $link and $bytes alone in their object, with a string.
+    """
+    text = _col(record)
+    strings = F.regexp_extract_all(text, F.lit(r'("(?:\\.|[^"\\])*")(\s*:)?'), F.lit(1))
+    keys = F.regexp_extract_all(text, F.lit(r'("(?:\\.|[^"\\])*")\s*:'), F.lit(1))
+    too_long = lambda found, most: (F.octet_length(text) > most) & F.exists(found, lambda x: F.octet_length(x) - 2 > most)
+    key = lambda name: rf'(?<!\\)"\${name}"\s*:'
+    alone = lambda name: F.regexp_count(text, F.lit(key(name))) > F.regexp_count(text, F.lit(rf'\{{\s*{key(name)}\s*"(?:\\.|[^"\\])*"\s*\}}'))
+    held = nesting(text)
+    return (
+        F.when(F.try_parse_json(text).isNull(), "not_json").when(floats_in(text), "number_not_integral")
+        .when(held["levels"] > MOST_LEVELS, "too_deep").when(held["members"] > MOST_MEMBERS, "too_many_members")
+        .when(too_long(strings, MOST_STRING_BYTES), "string_too_long").when(too_long(keys, MOST_KEY_BYTES), "key_too_long")
+        .when(text.rlike(key("type") + r'\s*(?:""|[^"\s])'), "type_not_a_name")
+        .when(alone("link"), "malformed_link").when(alone("bytes"), "malformed_bytes")
+    )
 
 
 def normalize_origin(endpoint) -> Column:

@@ -199,8 +199,10 @@ def inventory_progress(details: DataFrame, now: int) -> DataFrame:
 
 
 def recovery_scopes(lost: DataFrame, identities: DataFrame, open_jobs: DataFrame) -> DataFrame:
-    """Lost accounts grouped by host, merged with the open recovery's scope (host, scope array)."""
+    """(host, did): the accounts to recover per host, with those of the host's open recovery (host, scope array).
+
+    A host may have lost most of its accounts, so a scope is rows, not one array.
+    """
     found = lost.select("did").distinct().join(identities.select("did", F.col("pds_host").alias("host")), "did")
     all_ = found.unionByName(open_jobs.select(F.explode("scope").alias("did"), "host")).distinct()
-    all_ = all_.join(found.select("host").distinct(), "host", "left_semi")
-    return all_.groupBy("host").agg(F.array_sort(F.collect_list("did")).alias("scope"))
+    return all_.join(found.select("host").distinct(), "host", "left_semi").select("host", "did")

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
+from seqlake.scratch import stored
 
 LONG_LIST = 1_000
-SMALL_TABLE = 100_000
 DROP_REASONS = ["invalid_rev", "invalid_collection", "invalid_rkey", "field_too_long", "missing_block"]
 
 
-def small(df: DataFrame, most: int = SMALL_TABLE) -> DataFrame:
-    """df as a broadcast side if it has at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame) -> DataFrame:
+    """A side that is often small: written once, so that Spark broadcasts it by its true size or not at all."""
+    return stored(df, "side")
 
 
 def any_of(conditions) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
+from seqlake.operators.ranges import numbered_within
 from seqlake.schema import RECORD_KEY
 
 
@@ -61,17 +62,17 @@ def fold_rules(rules: DataFrame) -> DataFrame:
 
 def admit_accounts(accounts: DataFrame, hosts: DataFrame) -> DataFrame:
     """Accounts beyond their host's limit, in uid order, are host-throttled."""
-    rows = accounts.withColumn("_k", F.row_number().over(Window.partitionBy("host_id").orderBy("uid"))).join(hosts.select("host_id", "account_limit"), "host_id")
+    rows = numbered_within(accounts, "host_id", "uid", "_k").join(hosts.select("host_id", "account_limit"), "host_id")
     return rows.withColumn("admitted_status", F.when(F.col("_k") > F.col("account_limit"), "host-throttled").otherwise("active")).drop("_k")
 
 
 def reactivate(accounts: DataFrame, limits: DataFrame) -> DataFrame:
     """Throttled accounts that a raised limit (host_id, new_limit) takes back, lowest uid first."""
     waits = (F.col("status") == "host-throttled") & (F.col("upstream_status") == "active")
-    host = Window.partitionBy("host_id")
-    rows = accounts.withColumn("_w", waits).withColumn("_reserved", F.count_if(~F.col("_w")).over(host))
-    rows = rows.where("_w").withColumn("_k", F.row_number().over(host.orderBy("uid"))).join(limits, "host_id")
-    return rows.where(F.col("_k") <= F.col("new_limit") - F.col("_reserved")).drop("_w", "_k", "_reserved")
+    rows = accounts.withColumn("_w", F.coalesce(waits, F.lit(False)))
+    room = rows.groupBy("host_id").agg(F.count_if(~F.col("_w")).alias("_reserved")).join(limits, "host_id")
+    rows = numbered_within(rows.where("_w").drop("_w"), "host_id", "uid", "_k").join(room, "host_id")
+    return rows.where(F.col("_k") <= F.col("new_limit") - F.col("_reserved")).drop("_k", "_reserved")
 
 
 def policy_gaps(policies: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
 from seqlake.operators import aggregates as A
@@ -12,6 +11,7 @@ from seqlake.operators import windows as W
 from seqlake.operators.filters import small, validate_import
 from seqlake.operators.folds import fold_tombstones, killed, suppress
 from seqlake.operators.joins import merge_live, resolve_imported_time
+from seqlake.operators.ranges import Ranged
 from seqlake.schema import RECORD_KEY
 from seqlake.sources.logs import append_with_seq
 
@@ -27,11 +27,19 @@ def current_state(log: DataFrame) -> DataFrame:
 
 
 def repo_snapshot(log: DataFrame, dids: DataFrame | None = None) -> DataFrame:
-    """Per account: live records by commits alone, their count, latest rev and a digest over sorted paths."""
+    """Per account: live records by commits alone, their count, latest rev and a digest of all paths and contents.
+
+    The digest has two steps, so that no row holds a whole account: entries in order are hashed per
+    part of the account (the first three hex digits of the path's hash, 4096 at most), and the
+    parts' digests in order are hashed per account.
+    """
     rows = log if dids is None else log.join(small(dids.select("did").distinct()), "did", "left_semi")
     live = W.latest_version(rows).where("kind <> 'delete'")
-    entry = F.concat_ws("=", F.concat_ws("/", "collection", "rkey"), F.sha2(F.coalesce("record", F.lit("")), 256))
-    out = live.groupBy("did").agg(F.count("*").alias("records"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("digest"))
+    path = F.concat_ws("/", "collection", "rkey")
+    entry = F.concat_ws("=", path, F.sha2(F.coalesce("record", F.lit("")), 256))
+    hashed = lambda c, sep: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), sep), 256)
+    parts = live.groupBy("did", F.substring(F.sha2(path, 256), 1, 3).alias("_part")).agg(F.count("*").alias("records"), hashed(entry, "\n").alias("_d"))
+    out = parts.groupBy("did").agg(F.sum("records").alias("records"), hashed(F.concat_ws(":", "_part", "_d"), "\n").alias("digest"))
     revs = rows.where(S.is_commit()).groupBy("did").agg(F.max("rev").alias("rev"))
     return revs.join(out, "did", "left").select("did", "rev", F.coalesce("records", F.lit(0)).alias("records"), "digest")
 
@@ -128,9 +136,8 @@ def buckets_for(index: DataFrame, mentions: DataFrame, collections: list[str], a
     names = [*collections, *(A.SENTINELS.values() if keep_markers else [])]
     hit = mentions.where(F.col("collection").isin(names)).select("block").distinct()
     rows = index.where((F.col("max_seq") > after) & (F.col("min_seq") <= before)).join(hit, "block", "left_semi")
-    run = F.col("block") - F.row_number().over(Window.partitionBy(F.floor(F.col("block") / 1024)).orderBy("block"))
-    spans = rows.withColumn("_g", F.floor(F.col("block") / 1024)).withColumn("_run", run)
-    return spans.groupBy("_g", "_run").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"), F.sum("events").alias("events")).drop("_g", "_run")
+    runs = Ranged(rows.select("block", "events"), "block").numbered("_k").groupBy((F.col("block") - F.col("_k")).alias("_run"))
+    return runs.agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"), F.sum("events").alias("events")).drop("_run")
 
 
 def verify_index(log: DataFrame, index: DataFrame, rows_per_block: int) -> DataFrame:
@@ -148,14 +155,20 @@ def resolve_cursors(cursors: DataFrame, log: DataFrame, index: DataFrame, now_mi
     """(cursor, mode, start_seq, clamped) of a table of cursors.
 
     Values below 10^15 are seqs, others are times: a time means the first seq witnessed at or after
-    it. Times are first located in a block of the index, then inside that block only.
+    it. Times are first located in a block of the index, then inside that block only: blocks in
+    order raise their running maximum of time, so cursors and blocks are merged in order of time,
+    and each cursor takes the next block's id. No cursor is compared with all blocks.
     """
     top = index.agg(F.max("max_seq").alias("_top"))
     rows = cursors.select("cursor").distinct().crossJoin(F.broadcast(top))
     as_time = F.col("cursor") >= 10**15
     timed = rows.where(as_time & (F.col("cursor") <= now_micros)).select("cursor")
-    blocks = index.select("block", "max_time")
-    located = timed.join(small(blocks), F.col("max_time") >= F.col("cursor")).groupBy("cursor").agg(F.min("block").alias("block"))
+    blocks = Ranged(index.select("block", "max_time"), "block").running_max(F.col("max_time"), "_reached")
+    reached = blocks.groupBy("_reached").agg(F.min("block").alias("_block"))
+    merged = timed.select(F.col("cursor").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_block")).unionByName(
+        reached.select(F.col("_reached").alias("_at"), F.lit(1).alias("_side"), F.col("_block").cast("long").alias("_block"))
+    )
+    located = Ranged(merged, "_at", "_side").next_known(F.col("_block"), "block").where("_side = 0 AND block IS NOT NULL").select(F.col("_at").alias("cursor"), "block")
     inside = A.with_block(log.select("seq", "witnessed_at"), rows_per_block)
     firsts = located.join(inside, "block").where("witnessed_at >= cursor").groupBy("cursor").agg(F.min("seq").alias("_first"))
     rows = rows.join(firsts, "cursor", "left")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
+from seqlake.operators.ranges import Ranged
 from seqlake.schema import LOG
 
 IMPORT_COLUMNS = ["uri", "timestamp", "scope", "cid"]
@@ -65,23 +65,23 @@ def write_log(log: DataFrame, path: str, rows_per_file: int = 1_000_000, files:
 def append_with_seq(log: DataFrame, new: DataFrame, order_cols: list[str]) -> DataFrame:
     """new with seqs that continue the log's, in the order of order_cols.
 
-    Rows are ranged, counted per range, and numbered inside their range from the range's offset:
-    no window runs over the whole table. The range table has a row per partition.
+    Rows that tie there follow the order of their other columns, so a retry gives the same seqs;
+    ops of one commit must be told apart by a column of order_cols, such as op_index.
     """
-    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    ranged = new.drop("seq").repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).crossJoin(F.broadcast(top)).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order_cols))
-    rows = ranged.withColumn("_k", inside).join(F.broadcast(offsets), "_part")
-    return rows.withColumn("seq", F.col("top") + F.col("_offset") + F.col("_k")).drop("_part", "_k", "_offset", "top")
-
-
-def parse_v1_json(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(log rows without seq, rejected lines) of v1 JSON lines."""
-    parsed = lines.select(column, F.from_json(column, V1, {"columnNameOfCorruptRecord": "_bad"}).alias("e"))
+    return continue_seqs(log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0], new, order_cols)
+
+
+def continue_seqs(top: int, new: DataFrame, order_cols: list[str]) -> DataFrame:
+    """As append_with_seq, where the greatest seq so far is known."""
+    new = new.drop("seq")
+    ties = [c for c in new.columns if c not in order_cols]
+    return Ranged(new, *order_cols, *ties).numbered("_k").withColumn("seq", F.col("_k") + top).drop("_k")
+
+
+def parse_v1_json(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(log rows without seq, rejected lines) of v1 JSON lines; rows also have the columns to keep."""
+    keep = keep or []
+    parsed = lines.select(column, *keep, F.from_json(column, V1, {"columnNameOfCorruptRecord": "_bad"}).alias("e"))
     bad = F.col("e").isNull() | F.col("e._bad").isNotNull() | F.col("e.did").isNull() | F.col("e.kind").isNull()
     op = F.col("e.commit.operation")
     kind = F.when(F.col("e.kind") == "commit", op).otherwise(F.col("e.kind"))
@@ -91,7 +91,7 @@ def parse_v1_json(lines: DataFrame, column: str = "value") -> tuple[DataFrame, D
         F.col("e.time_us").alias("witnessed_at"), F.lit(0).cast("long").alias("indexed_at"), kind.alias("kind"), F.col("e.did").alias("did"),
         text("e.commit.collection").alias("collection"), text("e.commit.rkey").alias("rkey"), text("e.commit.rev").alias("rev"),
         F.col("e.commit.record").alias("record"), F.coalesce(deleted, F.lit(False)).alias("account_deleted"), F.col("e.identity.handle").alias("handle"),
-        F.lit(None).cast("array<string>").alias("scope_collections"),
+        F.lit(None).cast("array<string>").alias("scope_collections"), *keep,
     )
     return rows, parsed.where(bad).select(column)
 
@@ -128,14 +128,21 @@ def expand_sync(frames: DataFrame) -> DataFrame:
 
 
 def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (uri, timestamp, scope, cid, offset, malformed); the header must name only known columns."""
+    """Rows (uri, timestamp, scope, cid, offset, malformed); the header must name only known columns.
+
+    offset follows the order of the files' names, then of the rows in a file: Spark packs files
+    by size, so neither the split nor the order of reading tells it. Inside a file it comes from
+    the place of the row's split and the row's number there.
+    """
     header = [c.strip().lower() for c in spark.read.option("header", True).csv(path).columns]
     if len(set(header)) < len(header) or not {"uri", "timestamp"} <= set(header) <= set(IMPORT_COLUMNS):
         raise ValueError(f"header {header}: needs uri and timestamp, allows {IMPORT_COLUMNS}")
     schema = ", ".join(f"`{c}` string" for c in header) + ", _bad string"
     rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema).csv(path)
     given = [F.trim(F.col(c)).alias(c) if c in header else F.lit(None).cast("string").alias(c) for c in IMPORT_COLUMNS]
-    return rows.select(*given, F.monotonically_increasing_id().alias("offset"), F.col("_bad").isNotNull().alias("malformed"))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
+    rows = rows.select(*given, *place, F.col("_bad").isNotNull().alias("malformed"))
+    return Ranged(rows, "_file", "_block", "_row").numbered("offset").drop("_file", "_block", "_row").select(*IMPORT_COLUMNS, "offset", "malformed")
 
 
 def import_directory_csv(spark: SparkSession, path: str, seen_ms: int = 0) -> DataFrame:

@@ -1,125 +1,223 @@
-"""The log as a stream. State is keyed by account or source, never by the whole stream.
+"""The log as a stream. State is kept by account or source, in tables of buckets or in Spark's state store.
 
 Batch writers are idempotent: a micro-batch writes its own folder, named by its batch id and
-overwritten on a retry, and everything it needs to know of the past is read from the folders of
-earlier batches.
+overwritten on a retry. What it needs to know of the past stands in a mark of the batch before
+(one row) and in the buckets of a state table that its keys fall in, so no micro-batch reads
+what earlier ones wrote.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
-from seqlake.operators import aggregates as A
 from seqlake.operators import filters as FL
+from seqlake.operators.ranges import Ranged
 from seqlake.operators.windows import latest_version
 from seqlake.plans.jobs import fold_tombstones
 from seqlake.schema import LOG
-from seqlake.sources.logs import append_with_seq, parse_v1_json, seq_window, stream_log
+from seqlake.scratch import delete, exists
+from seqlake.sources.logs import continue_seqs, parse_v1_json, seq_window, stream_log
 
-CHAIN = "did string, seq long, kind string, rev string, upstream_seq long, verdict string"
-
-
-def _batches(spark: SparkSession, path: str, below: int, schema) -> DataFrame:
-    """What earlier micro-batches wrote; empty before the first."""
-    rows = spark.read.schema(schema).option("basePath", path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        return spark.createDataFrame([], schema)
-    return rows.parquet(path).where(F.col("batch") < below).drop("batch")
+BUCKETS = 64
 
 
 def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def ingest_stream(lines: DataFrame, target: str, collections: list[str], checkpoint: str) -> StreamingQuery:
-    """v1 lines -> parsed -> gated -> policy -> seq -> appended folder; offsets move after the write."""
+def _foreach(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Marks:
+    """One row per micro-batch beside its output: what the next one has to know, such as the last seq.
+
+    A batch's mark is written after its rows; a retry finds the same mark before it, and gives the
+    same rows and the same mark.
+    """
+
+    def __init__(self, path: str, schema: str):
+        self.path, self.schema = f"{path}-marks", schema
+
+    def before(self, spark: SparkSession, batch: int) -> dict | None:
+        path = f"{self.path}/batch={batch - 1}"
+        if batch == 0 or not exists(spark, path):
+            return None
+        return spark.read.schema(self.schema).parquet(path).first().asDict()
+
+    def put(self, spark: SparkSession, batch: int, *values) -> None:
+        spark.createDataFrame([values], self.schema).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+
+class StateTable:
+    """A table by key in BUCKETS buckets, of which a micro-batch reads and rewrites those its keys fall in.
+
+    A bucket's rows stand in the folder of the batch that wrote them last; a list per batch (a row
+    per bucket) tells which that is. Folders that two lists have done without are deleted.
+    """
+
+    def __init__(self, path: str, key: str, schema):
+        self.path, self.key, self.schema = path, key, schema
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
+
+    def _list(self, spark: SparkSession, batch: int) -> dict[int, int]:
+        path = f"{self.path}/list={batch}"
+        if batch < 0 or not exists(spark, path):
+            return {}
+        return {r.bucket: r.version for r in spark.read.schema("bucket int, version int").parquet(path).collect()}
+
+    def _read(self, spark: SparkSession, versions: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/version={v}/bucket={b}" for b, v in versions.items()]
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+
+    def rows(self, spark: SparkSession, batch: int) -> DataFrame:
+        """The table as a micro-batch left it."""
+        return self._read(spark, self._list(spark, batch))
+
+    def touched(self, batch: DataFrame, batch_id: int) -> tuple[list[int], DataFrame]:
+        """(the buckets of the batch's keys, what they hold)."""
+        own = sorted(r.bucket for r in batch.select(self.bucket().alias("bucket")).distinct().collect())  # BUCKETS rows at most
+        versions = self._list(batch.sparkSession, batch_id - 1)
+        return own, self._read(batch.sparkSession, {b: versions[b] for b in own if b in versions})
+
+    def put(self, rows: DataFrame, own: list[int], batch_id: int) -> None:
+        """New contents of these buckets; the others stay."""
+        spark = rows.sparkSession
+        rows.withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={batch_id}")
+        filled = [b for b in own if exists(spark, f"{self.path}/version={batch_id}/bucket={b}")]
+        before, older = self._list(spark, batch_id - 1), self._list(spark, batch_id - 2)
+        now = {b: v for b, v in before.items() if b not in own} | {b: batch_id for b in filled}
+        spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list={batch_id}")
+        delete(spark, *[f"{self.path}/version={v}/bucket={b}" for b, v in older.items() if before.get(b) != v])
+
+
+def ingest_stream(lines: DataFrame, target: str, collections: list[str], checkpoint: str, position: str | None = None) -> StreamingQuery:
+    """v1 lines -> parsed -> gated -> policy -> seq -> appended folder; offsets move after the write.
+
+    position names a column of lines that tells the order at the source, such as the upstream
+    cursor; without it rows follow their time, account and rev. The last seq of a batch is its mark.
+    """
+    marks = Marks(target, "last_seq long")
+    order = [position] if position else ["witnessed_at", "did", "rev"]
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows, _ = parse_v1_json(batch)
+        spark = batch.sparkSession
+        rows, _ = parse_v1_json(batch, keep=[position] if position else [])
         good, _ = FL.validate_ops(rows.withColumn("seq", F.lit(0).cast("long")))
-        kept = FL.apply_policy(good, collections)
-        past = _batches(batch.sparkSession, target, batch_id, LOG)
-        _write_batch(append_with_seq(past, kept, ["witnessed_at", "did", "rev"]).select(*LOG.names), target, batch_id)
+        top = (marks.before(spark, batch_id) or {"last_seq": 0})["last_seq"]
+        _write_batch(continue_seqs(top, FL.apply_policy(good, collections), order).select(*LOG.names), target, batch_id)
+        last = spark.read.schema(LOG).parquet(f"{target}/batch={batch_id}").agg(F.max("seq")).first()[0]
+        marks.put(spark, batch_id, last or top)
 
-    return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _foreach(lines, append, checkpoint)
 
 
-def _chain(key, frames, state: GroupState):
-    """Verdicts by account: kept, stale_rev, stale_resync or replayed."""
-    rev, applied = state.get if state.exists else ("", -1)
-    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    verdicts = []
-    for kind, own, upstream in zip(rows.kind, rows.rev, rows.upstream_seq):
-        if kind in ("account", "identity"):
-            verdict = "replayed" if upstream <= applied else "kept"
-            applied = max(applied, int(upstream))
-        elif kind == "create_resync":
-            verdict = "stale_resync" if own < rev else "kept"
-            rev = max(rev, own)
-        elif own <= rev:
-            verdict = "stale_rev"
-        else:
-            verdict, rev = "kept", own
-        verdicts.append(verdict)
-    state.update((rev, applied))
-    yield rows.assign(verdict=verdicts)[["did", "seq", "kind", "rev", "upstream_seq", "verdict"]]
+def judged(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of a micro-batch with a verdict, the accounts' new state) given their state (did, rev, applied).
+
+    A verdict is kept, stale_rev, stale_resync or replayed. What an account has reached before a row
+    is the greatest of its state and of the batch's earlier rows.
+    """
+    marker = F.col("kind").isin("account", "identity")
+    own_rev, own_applied = F.when(~marker, F.col("rev")), F.when(marker, F.col("upstream_seq"))
+    before = Window.partitionBy("did").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = batch.select("did", "seq", "kind", "rev", "upstream_seq").join(state.select("did", F.col("rev").alias("_rev"), F.col("applied").alias("_applied")), "did", "left")
+    top = F.coalesce(F.greatest("_rev", F.max(own_rev).over(before)), F.lit(""))
+    applied = F.coalesce(F.greatest("_applied", F.max(own_applied).over(before)), F.lit(-1))
+    rows = rows.withColumn("_top", top).withColumn("_done", applied)
+    verdict = (
+        F.when(marker, F.when(F.col("upstream_seq") <= F.col("_done"), "replayed").otherwise("kept"))
+        .when(F.col("kind") == "create_resync", F.when(F.col("rev") < F.col("_top"), "stale_resync").otherwise("kept"))
+        .when(F.col("rev") <= F.col("_top"), "stale_rev").otherwise("kept")
+    )
+    new = batch.groupBy("did").agg(F.max(own_rev).alias("rev"), F.max(own_applied).alias("applied")).unionByName(state)
+    new = new.groupBy("did").agg(F.coalesce(F.max("rev"), F.lit("")).alias("rev"), F.coalesce(F.max("applied"), F.lit(-1).cast("long")).alias("applied"))
+    return rows.select("did", "seq", "kind", "rev", "upstream_seq", verdict.alias("verdict")), new
+
 
+def _chain(stream: DataFrame, refused: str, path: str, checkpoint: str) -> StreamingQuery:
+    states = StateTable(f"{path}-state", "did", "did string, rev string, applied long")
 
-def chain_verdicts(stream: DataFrame) -> DataFrame:
-    """One state per account (its rev and applied upstream seq) judges every row."""
-    rows = stream.select("did", "seq", "kind", "rev", "upstream_seq")
-    return rows.groupBy("did").applyInPandasWithState(_chain, CHAIN, "rev string, applied long", "append", GroupStateTimeout.NoTimeout)
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        own, state = states.touched(batch, batch_id)
+        rows, new = judged(batch, state)
+        _write_batch(rows.where(F.col("verdict") != refused), path, batch_id)
+        states.put(new, own, batch_id)
 
+    return _foreach(stream, judge, checkpoint)
 
-def rev_chain(stream: DataFrame) -> DataFrame:
-    """Commits and syncs whose rev moves the account on."""
-    return chain_verdicts(stream).where("verdict <> 'stale_rev'")
 
+def rev_chain(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """To path: commits and syncs whose rev moves the account on."""
+    return _chain(stream, "stale_rev", path, checkpoint)
 
-def drop_replayed(stream: DataFrame) -> DataFrame:
-    """Account and identity events not applied before."""
-    return chain_verdicts(stream).where("verdict <> 'replayed'")
 
+def drop_replayed(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """To path: account and identity events not applied before."""
+    return _chain(stream, "replayed", path, checkpoint)
 
-def drop_stale_resync(stream: DataFrame) -> DataFrame:
-    """Resync rows, unless the account has moved on."""
-    return chain_verdicts(stream).where("verdict <> 'stale_resync'")
 
+def drop_stale_resync(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """To path: resync rows, unless the account has moved on."""
+    return _chain(stream, "stale_resync", path, checkpoint)
 
-def _gap(key, frames, state: GroupState):
-    last, told = state.get if state.exists else (-1, False)
-    seqs = sorted(int(x) for f in frames for x in f.upstream_seq)
-    for seq in seqs:
-        if not told and last >= 0 and seq > last + 1:
-            told = True
-            yield pd.DataFrame({"source": [key[0]], "expected": [last + 1], "got": [seq], "skipped": [seq - last - 1]})
-        last = max(last, seq)
-    state.update((last, told))
 
+def gaps_of(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first gaps, new state) of a micro-batch of (source, upstream_seq), given (source, last, told) of its sources."""
+    order = Window.partitionBy("source").orderBy("upstream_seq")
+    rows = batch.select("source", "upstream_seq").distinct().join(state, "source", "left")
+    before = F.greatest(F.lag("upstream_seq").over(order), F.col("last"))
+    gaps = rows.withColumn("expected", before + 1).where("upstream_seq > expected AND NOT coalesce(told, false)")
+    first = gaps.groupBy("source").agg(F.min(F.struct("upstream_seq", "expected")).alias("x"))
+    first = first.select("source", F.col("x.expected").alias("expected"), F.col("x.upstream_seq").alias("got"), (F.col("x.upstream_seq") - F.col("x.expected")).alias("skipped"))
+    new = rows.groupBy("source").agg(F.greatest(F.max("upstream_seq"), F.max("last")).alias("last"), F.coalesce(F.bool_or("told"), F.lit(False)).alias("told"))
+    new = new.join(first.select("source", F.lit(True).alias("_now")), "source", "left").withColumn("told", F.col("told") | F.coalesce("_now", F.lit(False))).drop("_now")
+    rest = state.join(new, "source", "left_anti")
+    return first, new.unionByName(rest)
 
-def continuity_loss(stream: DataFrame) -> DataFrame:
-    """The first gap of each source (source, upstream_seq); later ones are not told."""
-    schema = "source long, expected long, got long, skipped long"
-    return stream.groupBy("source").applyInPandasWithState(_gap, schema, "last long, told boolean", "append", GroupStateTimeout.NoTimeout)
+
+def continuity_loss(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """To path: the first gap of each source (source, upstream_seq); later ones are not told."""
+    states = StateTable(f"{path}-state", "source", "source long, last long, told boolean")
+
+    def tell(batch: DataFrame, batch_id: int) -> None:
+        own, state = states.touched(batch, batch_id)
+        first, new = gaps_of(batch.withColumn("source", F.col("source").cast("long")), state)
+        _write_batch(first, path, batch_id)
+        states.put(new, own, batch_id)
+
+    return _foreach(stream, tell, checkpoint)
 
 
 def directory_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """First-seen pairs: each micro-batch adds those that no earlier one wrote."""
-    schema = "collection string, did string, seen_ms long"
+    """To path: first-seen pairs, each written by the micro-batch that saw it first.
+
+    The first seq of every pair is kept in Spark's state store, which a batch asks only for its own
+    pairs; a pair is new if that seq is above the last one of the batch before, its mark.
+    """
+    marks = Marks(path, "last_seq long")
+    rows = stream.where(F.col("kind").isin("create", "update"))
+    pairs = rows.groupBy("collection", "did").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min(F.floor(F.col("witnessed_at") / 1000)).alias("seen_ms"))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        known = _batches(batch.sparkSession, path, batch_id, schema)
-        _write_batch(A.build_directory(batch).join(known, ["collection", "did"], "left_anti"), path, batch_id)
+        spark = batch.sparkSession
+        top = (marks.before(spark, batch_id) or {"last_seq": -1})["last_seq"]
+        batch = batch.persist()
+        _write_batch(batch.where(F.col("first_seq") > top).select("collection", "did", "seen_ms"), path, batch_id)
+        last = batch.agg(F.max("last_seq")).first()[0]
+        batch.unpersist()
+        marks.put(spark, batch_id, max(top, last if last is not None else top))
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _foreach(pairs, add, checkpoint, "update")
 
 
 def dau_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -141,50 +239,73 @@ def rate_windows(stream: DataFrame, hosts: DataFrame, size: str, slide: str, lim
     return counts.join(limits, "host_id").select("host_id", F.col("span.start").alias("since"), "events", (F.col("events") > F.col("most")).alias("over_limit"))
 
 
-def token_bucket(stream: DataFrame, rate: float, global_rate: float, sources: int) -> DataFrame:
-    """(source, seq, at_us, admitted): a source's bucket fills at the lower of its own rate and its
-    share of the global one, and holds a second's worth. Rows are marked, never held back."""
-    fill = min(rate, global_rate / max(1, sources))
+def waits(batch: DataFrame, rate: float, global_rate: float, state: DataFrame, whole: dict) -> tuple[DataFrame, DataFrame, dict]:
+    """(rows with their wait, new state of the sources, new state of the whole) of a micro-batch of (source, seq, at_us).
+
+    A bucket holds a second's worth of its rate and is full at first. In order of time, the n-th
+    event reserves a token: with x = rate * t - n, the tokens left after it are burst - 1 - (the
+    greatest x so far - x), and a shortage is waited for at the bucket's rate. An event
+    waits for both buckets. So a bucket is a running maximum, and needs to remember n, the greatest
+    x and the latest time (earlier times count as that). Times are seconds since the first batch's.
+    """
+    base = whole["base"] if whole["base"] is not None else (batch.agg(F.min("at_us")).first()[0] or 0)
+    rows = batch.select(F.col("source").cast("long").alias("source"), "seq", "at_us").withColumn("_t", (F.greatest("at_us", F.lit(whole["last"])) - base) / 1e6)
+    rows = Ranged(rows, "_t", "seq", "source").numbered("_n").withColumn("_gx", global_rate * F.col("_t") - (F.col("_n") + whole["n"]))
+    rows = Ranged(rows, "_n").running_max(F.col("_gx"), "_gtop").join(state, "source", "left")
+    order = Window.partitionBy("source").orderBy("_n")
+    rows = rows.withColumn("_k", F.row_number().over(order) + F.coalesce("n", F.lit(0))).withColumn("_x", rate * F.col("_t") - F.col("_k"))
+    rows = rows.withColumn("_top", F.greatest(F.max("_x").over(order.rowsBetween(Window.unboundedPreceding, 0)), "most"))
+    short = lambda r, top, x: F.greatest(F.lit(0.0), (top - x + 1 - r) / r)
+    wait = F.greatest(short(rate, F.col("_top"), F.col("_x")), short(global_rate, F.greatest("_gtop", F.lit(whole["most"])), F.col("_gx")))
+    out = rows.select("source", "seq", "at_us", F.round(wait * 1e6).cast("long").alias("wait_us")).withColumn("admitted", F.col("wait_us") == 0)
+    new = rows.groupBy("source").agg(F.max("_k").cast("long").alias("n"), F.max("_top").alias("most")).unionByName(state.join(batch.select(F.col("source").cast("long").alias("source")).distinct(), "source", "left_anti"))
+    total = rows.agg(F.max("_n").alias("n"), F.max("_gx").alias("most"), F.max("at_us").alias("last")).first()
+    known = lambda x, y: max(v for v in (x, y) if v is not None)
+    whole = {"base": base, "n": whole["n"] + (total.n or 0), "most": known(whole["most"], total.most), "last": known(whole["last"], total.last)}
+    return out, new, whole
+
+
+def token_bucket(stream: DataFrame, rate: float, global_rate: float, path: str, checkpoint: str) -> StreamingQuery:
+    """To path: (source, seq, at_us, wait_us, admitted): how long each event waits for a token of its source and of all sources.
+
+    Rows are marked, never held back; admitted ones don't wait. Events take their tokens in order of time.
+    """
+    states = StateTable(f"{path}-state", "source", "source long, n long, most double")
+    marks = Marks(path, "base long, n long, most double, last long")
 
-    def mark(key, frames, state: GroupState):
-        tokens, last = state.get if state.exists else (fill, -1)
-        rows = pd.concat(list(frames)).sort_values(["at_us", "seq"], kind="stable")
-        admitted = []
-        for at in rows.at_us:
-            tokens = min(fill, tokens + fill * max(0, at - last) / 1e6) if last >= 0 else tokens
-            last = max(last, int(at))
-            admitted.append(tokens >= 1)
-            tokens -= tokens >= 1
-        state.update((float(tokens), last))
-        yield rows.assign(admitted=admitted)[["source", "seq", "at_us", "admitted"]]
+    def mark(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        whole = marks.before(spark, batch_id) or {"base": None, "n": 0, "most": float("-inf"), "last": 0}
+        batch = batch.withColumn("source", F.col("source").cast("long"))
+        own, state = states.touched(batch, batch_id)
+        rows, new, whole = waits(batch, rate, global_rate, state, whole)
+        _write_batch(rows, path, batch_id)
+        states.put(new, own, batch_id)
+        marks.put(spark, batch_id, whole["base"], whole["n"], whole["most"], whole["last"])
 
-    schema = "source long, seq long, at_us long, admitted boolean"
-    return stream.groupBy("source").applyInPandasWithState(mark, schema, "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
+    return _foreach(stream, mark, checkpoint)
 
 
 def current_state_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Live records: a micro-batch folds itself into the state that the batch before wrote."""
+    """Live records at path, a state table by account: a micro-batch folds itself into its accounts' buckets."""
+    states = StateTable(path, "did", LOG)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _batches(spark, path, batch_id, LOG)
-        if batch_id:
-            before = spark.read.schema(LOG).parquet(f"{path}/batch={batch_id - 1}")
+        own, before = states.touched(batch, batch_id)
         both = before.unionByName(batch.select(*LOG.names))
         last = latest_version(both.where(S.is_commit()))
         dead = fold_tombstones(both)[1].select("did", F.col("killer_seq").alias("_dead"))
         alive = last.join(dead, "did", "left").where("_dead IS NULL OR seq > _dead").drop("_dead")
         # Deletes and markers stay in the state table: later rows may carry smaller seqs.
         kept = alive.unionByName(both.where(S.is_did_killer()).groupBy("did").agg(F.max_by(F.struct(*LOG.names), "seq").alias("x")).select("x.*").select(*alive.columns))
-        _write_batch(kept.select(*LOG.names), path, batch_id)
+        states.put(kept.select(*LOG.names), own, batch_id)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _foreach(stream, merge, checkpoint)
 
 
 def live_records(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """The live records after a micro-batch of current_state_stream."""
-    rows = spark.read.schema(LOG).parquet(f"{path}/batch={batch_id}")
-    return rows.where(S.is_materialization())
+    return StateTable(path, "did", LOG).rows(spark, batch_id).where(S.is_materialization())
 
 
 def archive_then_live(spark: SparkSession, path: str, tip: int, wanted: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +332,7 @@ def policy_notices(stream: DataFrame, policies: DataFrame, path: str, checkpoint
     def tell(batch: DataFrame, batch_id: int) -> None:
         _write_batch(with_notices(batch, policies), path, batch_id)
 
-    return stream.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _foreach(stream, tell, checkpoint)
 
 
 def split_late(batch: DataFrame, seen_until: int, delay_us: int) -> tuple[DataFrame, DataFrame]:
@@ -221,15 +342,15 @@ def split_late(batch: DataFrame, seen_until: int, delay_us: int) -> tuple[DataFr
 
 
 def late_stream(stream: DataFrame, path: str, late_path: str, delay_us: int, checkpoint: str) -> StreamingQuery:
-    """Rows to path, late rows to a side table."""
+    """Rows to path, late rows to a side table. The greatest time seen is a batch's mark."""
+    marks = Marks(path, "seen_until long")
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        past = _batches(batch.sparkSession, path, batch_id, LOG)
-        seen = past.agg(F.coalesce(F.max("witnessed_at"), F.lit(0))).first()[0]
+        spark = batch.sparkSession
+        seen = (marks.before(spark, batch_id) or {"seen_until": 0})["seen_until"]
         good, late = split_late(batch.select(*LOG.names), seen, delay_us)
         _write_batch(good, path, batch_id)
         _write_batch(late, late_path, batch_id)
+        marks.put(spark, batch_id, max(seen, batch.agg(F.max("witnessed_at")).first()[0] or 0))
 
-    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
+    return _foreach(stream, split, checkpoint)
