@@ -174,8 +174,16 @@ def record_type(record) -> Column:
 
 
 
+def _plain(record) -> Column:
+    """A JSON text with each escape replaced by as many x as it has bytes, so that a string ends at the next quote."""
+    text = F.regexp_replace(_col(record), r"\\\\", "x")
+    for escape, bytes_ in ((r"\\u[dD][89abAB]..\\u[dD][c-fC-F]..", "xxxx"), (r"\\u00[0-7].", "x"), (r"\\u0[0-7]..", "xx"), (r"\\u....", "xxx"), (r"\\.", "x")):
+        text = F.regexp_replace(text, escape, bytes_)
+    return text
+
+
 def _without_strings(record) -> Column:
-    return F.regexp_replace(_col(record), r'"(\\.|[^"\\])*"', '""')
+    return F.regexp_replace(_plain(record), r'"[^"]*"', '""')
 
 
 def floats_in(record) -> Column:
@@ -216,18 +224,16 @@ def data_model_fault(record) -> Column:
     Rules: JSON; numbers integral; levels, members, strings and keys within the limits; $type a string
     that isn't empty; $link and $bytes alone in their object, with a string.
     """
-    text = _col(record)
-    strings = F.regexp_extract_all(text, F.lit(r'("(?:\\.|[^"\\])*")(\s*:)?'), F.lit(1))
-    keys = F.regexp_extract_all(text, F.lit(r'("(?:\\.|[^"\\])*")\s*:'), F.lit(1))
-    too_long = lambda found, most: (F.octet_length(text) > most) & F.exists(found, lambda x: F.octet_length(x) - 2 > most)
-    key = lambda name: rf'(?<!\\)"\${name}"\s*:'
-    alone = lambda name: F.regexp_count(text, F.lit(key(name))) > F.regexp_count(text, F.lit(rf'\{{\s*{key(name)}\s*"(?:\\.|[^"\\])*"\s*\}}'))
+    text, plain = _col(record), _plain(record)
+    too_long = lambda found, most: (F.octet_length(text) > most) & F.exists(F.regexp_extract_all(plain, F.lit(found), F.lit(1)), lambda x: F.octet_length(x) > most)
+    key = lambda name: rf'"\${name}"\s*:'
+    alone = lambda name: F.regexp_count(plain, F.lit(key(name))) > F.regexp_count(plain, F.lit(rf'\{{\s*{key(name)}\s*"[^"]*"\s*\}}'))
     held = nesting(text)
     return (
         F.when(F.try_parse_json(text).isNull(), "not_json").when(floats_in(text), "number_not_integral")
         .when(held["levels"] > MOST_LEVELS, "too_deep").when(held["members"] > MOST_MEMBERS, "too_many_members")
-        .when(too_long(strings, MOST_STRING_BYTES), "string_too_long").when(too_long(keys, MOST_KEY_BYTES), "key_too_long")
-        .when(text.rlike(key("type") + r'\s*(?:""|[^"\s])'), "type_not_a_name")
+        .when(too_long('"([^"]*)"', MOST_STRING_BYTES), "string_too_long").when(too_long(r'"([^"]*)"\s*:', MOST_KEY_BYTES), "key_too_long")
+        .when(plain.rlike(key("type") + r'\s*(?:""|[^"\s])'), "type_not_a_name")
         .when(alone("link"), "malformed_link").when(alone("bytes"), "malformed_bytes")
     )
 
