@@ -33,6 +33,7 @@ from seqlake.llm.scratch import Scratch, short_batches
 from seqlake.llm.text import lists, mix, words
 
 SCALE = 20.0
+PIECE = 1 << 19  # bytes of text whose words are looked up at once: n-grams take some hundred times that
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,7 +79,7 @@ def _vectors(buckets: int):
     def run(batches):
         for batch in batches:
             rows, grams, counts = [], [], []
-            for w in words(batch.column(1)):
+            for w in words(batch.column(1), PIECE):
                 if not len(w.starts):
                     continue
                 place, values, off = word_table(w, buckets)
@@ -103,7 +104,7 @@ def _frequencies(buckets: int):
     def run(batches):
         docs, mark = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for w in words(batch.column(0)):
+            for w in words(batch.column(0), PIECE):
                 if not len(w.starts):
                     continue
                 place, values, off = word_table(w, buckets)
@@ -220,7 +221,7 @@ def _predicted(model):
         for batch in batches:
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             letter = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for w in words(batch.column(1)):
+            for w in words(batch.column(1), PIECE):
                 if not len(w.starts) or not labels:
                     continue
                 place, grams, off = word_table(w, len(learned))

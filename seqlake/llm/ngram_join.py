@@ -55,12 +55,13 @@ PART_CLASSES = 20_000
 STARS = (1, 8)
 STARS_GROW = 8
 HEAVY_ROWS = 1 << 16
+PIECE = 1 << 20  # bytes of text whose n-grams are hashed at once
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def ngram_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram hashes) of every text with words."""
-    for w in words(column):
+    for w in words(column, PIECE):
         h = w.hashes(lower=True)
         grams = h[: max(0, len(h) - n + 1)] * _STEP
         for j in range(1, n):

@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from seqlake.scratch import scratch_root
 
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """From now on, texts reach Python in batches of so many rows in this session, unless it has set a number itself.
+def short_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on, texts reach Python in batches of about so many bytes in this session, unless it has set a size itself.
 
-    Spark's default of 10 000 rows suits numbers; whole texts of that many rows take hundreds of
-    megabytes per task on both sides. Results are lazy, so the setting must outlast the call.
+    Spark's default of 64 MB takes hundreds of megabytes per task, as both sides hold a batch more
+    than once. Results are lazy, so the setting must outlast the call.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
-        spark.conf.set(key, str(rows))
+        spark.conf.set(key, size)
 
 
 class Scratch:
