@@ -74,7 +74,9 @@ def boilerplate(lines: DataFrame, min_sites: int, scratch: Scratch) -> tuple[Dat
         .where(F.col("exact") >= min_sites).select(*KEY)
     )
     wide = spread.where("NOT near").select(*KEY).unionByName(exact)
-    return scratch.save(spread.select(*KEY, "first").join(wide, KEY, "left_semi"), "common"), hot
+    common = scratch.save(spread.select(*KEY, "first").join(wide, KEY, "left_semi"), "common")
+    scratch.drop(spread)
+    return common, hot
 
 
 def removed_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str, scratch: Scratch) -> DataFrame:
@@ -85,7 +87,7 @@ def removed_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, s
     found = with_salt(lines.drop("site"), hot, place).join(for_each_salt(common, hot), [*KEY, "salt"])
     gone = found.where(~place.eqNullSafe(F.col("first"))).groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
     gone = scratch.save(gone, "gone")
-    scratch.drop(lines)
+    scratch.drop(lines, common)
     return gone
 
 

@@ -244,6 +244,7 @@ def nearest(
     missed = scratch.save(missed, "missed")
     if probes < partitions and not missed.isEmpty():
         near = near.join(missed.withColumnRenamed("cid", "query"), "query", "left_anti").unionByName(search(missed, partitions))
+    scratch.drop(vectors, classes, index)
     answers = with_salt(asking, hot, F.col("id")).join(for_each_salt(near.withColumnRenamed("query", "cid"), hot), ["cid", "salt"]).where("id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))
     return answers.select(F.col("id").alias("query_id"), rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

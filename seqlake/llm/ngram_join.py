@@ -275,7 +275,7 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int, scratch: Scra
 
 
 def _star_pairs(live: DataFrame, number: int, stars: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b, ca, cb) of stars a and others b to compare, what of live is left when they are done).
+    """(pairs (a, b, ca, cb) of stars a and others b to compare, live with who is a star).
 
     live: (gram, cid, n, left, comp). slack is the greatest size of a set that the position lets link.
     """
@@ -295,7 +295,7 @@ def _star_pairs(live: DataFrame, number: int, stars: int, percent: int, scratch:
     both = both.where((F.col("comp") != F.col("s_comp")) & ~(F.col("star") & (F.col("cid") > F.col("s_cid"))))
     both = both.where(F.least("left", "s_left") * (100 + percent) >= (F.col("n") + F.col("s_n")) * percent)
     pairs = both.select(F.col("s_cid").alias("a"), F.col("cid").alias("b"), F.col("s_comp").alias("ca"), F.col("comp").alias("cb")).distinct()
-    return scratch.save(pairs, "pairs"), known.where("NOT star").drop("star")
+    return scratch.save(pairs, "pairs"), known
 
 
 def _contracted(rows: DataFrame, moved: DataFrame, col: str = "comp") -> DataFrame:
@@ -359,12 +359,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     linked = None  # (id, component) of all classes in components of several
     number, stars = 0, STARS[0]
     while not live.isEmpty():
-        pairs, rest = _star_pairs(live, number, stars, percent, scratch)
+        pairs, known = _star_pairs(live, number, stars, percent, scratch)
         links = _verified(pairs, segments, percent, scratch)
         edges = pairs.join(links, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         moved = scratch.save(components(edges, scratch), "moved")
-        before, live = live, scratch.save(_contracted(rest, moved), "live")
-        scratch.drop(before, pairs)
+        before, live = live, scratch.save(_contracted(known.where("NOT star").drop("star"), moved), "live")
+        scratch.drop(before, known, pairs)
         if linked is None:
             linked = moved
         else:

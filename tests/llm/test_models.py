@@ -79,6 +79,18 @@ def test_language_id_against_a_plain_scorer(spark):
     assert (model.weights[0] == 0).all() and len(model.weights) - 1 <= len(seen)
 
 
+def test_language_id_of_rows_that_share_an_id(spark):
+    """Each row is learned and placed by its own text, and reruns agree."""
+    rows = [(k % 5, f"{word} {k}", lang, None, None) for k in range(40) for word, lang in (("the house and the", "en"), ("das Haus und die", "de"))]
+    rows += [(1, None, None, None, None), (None, "the and the", "en", None, None), (None, "das und die", "de", None, None)]
+    docs = frame(spark, rows)
+    want = sorted((t or "", lang or "und") for _, t, lang, *_ in rows)
+    for again in (docs, docs.repartition(5)):
+        model = language_id.fit(again, rows_per_language=30)
+        got = language_id.predict(again, model, keep=("doc_id", "text")).collect()
+        assert sorted((r.text or "", r.lang_pred) for r in got) == want
+
+
 def test_language_id_sample_is_bounded_and_by_hash(spark):
     rows = [(k % 900, f"t{k}", "en" if k % 3 else "de", None, None) for k in range(3000)] + [(1, "rare", "fr", None, None)]
     known = frame(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"), "lang")
