@@ -14,7 +14,7 @@ A line that shows on ``min_sites`` sites or more is boilerplate: it stays at its
 
 Lines are cut at newlines and compared after white space at both ends is stripped; blank lines
 are never removed. Line hashes (128 bits), ids and positions are what is shuffled up to there;
-then texts move to their documents' positions, unless those are few enough to be broadcast.
+then texts and the positions of their documents meet in a join of Spark's choice.
 
 Defined results: a null text stays null and has no lines; a null site counts as one site of
 its own; repeated lines of one document count as one site; rows that share an id but not the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.scratch import Scratch
-from seqlake.llm.skew import for_each_salt, hot_keys, side, with_salt
+from seqlake.llm.skew import for_each_salt, hot_keys, with_salt
 
 LG_K = 12
 ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -95,7 +95,7 @@ def line_dedup(docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text
     """The documents with their boilerplate lines removed, plus n_lines_removed."""
     gone = removed_lines(docs, min_sites, id_col, text_col, site_col, Scratch(docs.sparkSession, "lines"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"))
-    joined = rows.join(side(gone, "drop"), rows["id"].eqNullSafe(gone["id"]) & (rows["row"] == gone["row"]), "left").select("doc", "drop")
+    joined = rows.join(gone, rows["id"].eqNullSafe(gone["id"]) & (rows["row"] == gone["row"]), "left").select("doc", "drop")
     text = F.col("doc")[text_col]
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     return joined.select(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqlake.scratch import scratch_root
 
 
-def short_batches(spark: SparkSession, size: str = "4m") -> None:
+def short_batches(spark: SparkSession, size: str = "1m") -> None:
     """From now on, texts reach Python in batches of about so many bytes in this session, unless it has set a size itself.
 
     Spark's default of 64 MB takes hundreds of megabytes per task, as both sides hold a batch more

@@ -258,7 +258,7 @@ def encode_words(distinct: list[bytes], table: Pieces, merges: bool = False) ->
     return ids.astype(np.int32), total[np.searchsorted(starts, first)].astype(np.int64)
 
 
-def encode_column(column: pa.Array, table: Pieces, most: int = 3 << 20, merges: bool = False) -> pa.Array:
+def encode_column(column: pa.Array, table: Pieces, most: int = 1 << 20, merges: bool = False) -> pa.Array:
     """list<int32> of ids for a column of texts, by merges or by the greatest sum of scores."""
     data, off = texts(column)
     ids, sizes = [], np.zeros(len(off) - 1, np.int64)

@@ -4,8 +4,8 @@ A key is hot when it holds more than ``HOT_ROWS`` rows and more than a ``MOST_HO
 rows. So at most MOST_HOT keys can be hot, whatever the input: the table of hot keys is safe to
 broadcast by its construction. All other keys hold no more than total / MOST_HOT rows.
 
-Joins that give rows of texts what was found of them take the found side as a broadcast while it
-holds ``MOST_NUMBERS`` numbers or fewer, so that no text moves; beyond that, Spark picks the join.
+Joins that pick few texts or sets by their ids take the ids as a broadcast while they are
+``MOST_NUMBERS`` numbers or fewer, so that no text moves; beyond that, Spark picks the join.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 MOST_HOT = 4096
 HOT_ROWS = 256
 SALTS = 32
-MOST_NUMBERS = 4_000_000
+MOST_NUMBERS = 1_000_000
 
 
 def hot_keys(counts: DataFrame, total: int, n_col: str = "n") -> DataFrame:
@@ -37,13 +37,6 @@ def for_each_salt(table: DataFrame, hot: DataFrame, salts: int = SALTS) -> DataF
     return marked.withColumn("salt", F.explode(each)).drop("_hot")
 
 
-def side(table: DataFrame, *lists: str, width: int = 1) -> DataFrame:
-    """A written table of numbers as a broadcast side, if it is no larger than MOST_NUMBERS, else as it is.
-
-    lists names its array columns, of entries of ``width`` numbers.
-    """
-    size = F.lit(len(table.columns))
-    for c in lists:
-        size = size + F.coalesce(F.size(c), F.lit(0)) * width
-    held = table.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(table) if held <= MOST_NUMBERS else table
+def side(table: DataFrame) -> DataFrame:
+    """A written table of numbers as a broadcast side, if it holds MOST_NUMBERS or fewer, else as it is."""
+    return F.broadcast(table) if table.count() * len(table.columns) <= MOST_NUMBERS else table
