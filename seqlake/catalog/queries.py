@@ -817,9 +817,12 @@ def _(t):
     return rows.withColumn("back", S.integer_to_tid("value"))
 
 
-@query("h3_nsid_parts", "SELECT DISTINCT collection, CASE collection WHEN 'app.demo.feed.post' THEN 'feed.demo.app' WHEN 'app.demo.feed.like' THEN 'feed.demo.app' ELSE 'graph.demo.org' END AS authority, string_split(collection, '.')[-1] AS name FROM log WHERE collection <> ''")
+@query("h3_nsid_parts", """SELECT DISTINCT nsid, lower(array_to_string(list_reverse(parts[1:len(parts) - 1]), '.')) AS authority, parts[len(parts)] AS name
+  FROM (SELECT nsid, string_split(nsid, '.') AS parts FROM (SELECT CASE WHEN seq % 2 = 0 THEN concat('COM.Example', seq % 5, '.', collection) ELSE collection END AS nsid FROM log WHERE collection <> ''))""")
 def _(t):
-    return t.log.where("collection <> ''").select("collection", S.nsid_authority("collection").alias("authority"), S.nsid_name("collection").alias("name")).distinct()
+    nsid = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("COM.Example"), (F.col("seq") % 5).cast("string"), F.lit("."), F.col("collection"))).otherwise(F.col("collection"))
+    rows = t.log.where("collection <> ''").select(nsid.alias("nsid"))
+    return rows.select("nsid", S.nsid_authority("nsid").alias("authority"), S.nsid_name("nsid").alias("name")).distinct()
 
 
 @query("h4_did_parts", "SELECT did, 'plc' AS method, substr(did, 9) AS identifier, did AS normal FROM users")
@@ -857,9 +860,11 @@ def _(t):
     return t.log.select("seq", S.rfc3339("witnessed_at").alias("time"))
 
 
-@query("h10_record_type", "SELECT seq, collection AS type FROM log WHERE record IS NOT NULL")
+@query("h10_record_type", "SELECT seq, CASE WHEN seq % 3 > 0 THEN collection END AS type FROM log WHERE record IS NOT NULL")
 def _(t):
-    typed = F.to_json(F.struct(F.col("collection").alias("$type"), F.col("record").alias("body")))
+    """Members of the record with a type of their own, before and after the record's, must not count; a third has none."""
+    inner = F.concat(F.lit('"embed":{"$type":"inner.one"},'), F.when(F.col("seq") % 3 > 0, F.concat(F.lit('"$type":"'), F.col("collection"), F.lit('",'))).otherwise(F.lit("")), F.lit('"list":[{"$type":"inner.two"}]'))
+    typed = F.concat(F.lit('{"own":'), F.col("record"), F.lit(","), inner, F.lit("}"))
     return t.log.where("record IS NOT NULL").select("seq", S.record_type(typed).alias("type"))
 
 
@@ -930,10 +935,14 @@ def _(t):
     return t.hosts.select("host_id", S.usage().alias("usage"))
 
 
-@query("h20_normalize_payload", """SELECT seq, concat('{"did":"', did, '"}') AS payload FROM log""")
+@query("h20_normalize_payload", """SELECT seq, concat('{"did":"', did, '","kind":"', kind, '","rev":"', rev, '"}') AS payload, true AS same FROM log""")
 def _(t):
-    frame = F.concat(F.lit('{"time_us":'), F.col("witnessed_at").cast("string"), F.lit(',"did":"'), F.col("did"), F.lit('","cursor":7}'))
-    return t.log.select("seq", S.normalize_payload(frame).alias("payload"))
+    """Two captures of one event, with members in another order, other times and cursors."""
+    member = lambda name: F.concat(F.lit(f'"{name}":"'), F.col(name), F.lit('"'))
+    one = F.concat(F.lit('{"time_us":'), F.col("witnessed_at").cast("string"), F.lit(","), F.concat_ws(",", member("rev"), member("did"), member("kind")), F.lit(',"cursor":7}'))
+    two = F.concat(F.lit('{"cursor":'), F.col("seq").cast("string"), F.lit(","), F.concat_ws(",", member("kind"), member("rev"), member("did")), F.lit(',"time_us":1}'))
+    payload = S.normalize_payload(one)
+    return t.log.select("seq", payload.alias("payload"), (payload == S.normalize_payload(two)).alias("same"))
 
 
 @query("h21_attribution_valid", "SELECT seq, CASE provenance WHEN 'live' THEN boundary_seq IS NULL AND snapshot_id IS NULL WHEN 'snapshot' THEN boundary_seq IS NOT NULL AND coalesce(snapshot_id, '') <> '' END AS valid FROM attribution")
