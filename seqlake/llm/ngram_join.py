@@ -17,7 +17,7 @@ the partial counts are summed per pair. The join is exact over the sets:
 4. rounds: of the classes that share a prefix n-gram, a few are stars, picked by hash. Every other
    one is compared with the stars, if sizes and positions allow a link and they don't stand in
    one component yet. Linked classes contract to components, and the stars leave the n-gram's
-   list, as they are done with it. There is one star in the first round, then eight times as
+   list, as they are done with it. There is one star in the first round, then sixteen times as
    many each time; an n-gram with no more classes than stars is settled by
    that. So a group of near copies collapses in the first rounds for the price of its size, and
    the pairs within a group are never listed while contraction makes progress.
@@ -52,8 +52,8 @@ SCREENED = 3
 FEW_HOLDERS = 64
 PART_NGRAMS = 2_000_000
 PART_CLASSES = 20_000
-STARS = (1, 8)
-STARS_GROW = 8
+STARS = (1, 16)
+STARS_GROW = 16
 HEAVY_ROWS = 1 << 16
 PIECE = 1 << 20  # bytes of text whose n-grams are hashed at once
 _STEP = np.uint64(0xD6E8FEB86659FD93)
