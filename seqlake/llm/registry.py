@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from seqlake.llm import (
-    exact_dedup, language_id, line_dedup, mixing, neighbours, ngram_join, quotations, sentencepiece, sharding, substring_dedup,
+    exact_dedup, language_id, line_dedup, mixing, neighbours, ngram_join, quotations, sentencepiece, sharding, substring_dedup, token_alignment,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
 }
 
 ORACLE = {
