@@ -48,7 +48,7 @@ CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 SPACE = "▁"
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= \s*\S)")
-MOST_CUTS = 400_000  # distinct cuts and windows that a task remembers
+MOST_CUTS = 50_000  # distinct cuts and windows that a task remembers
 LONG_CUT = 4096  # characters of a cut that makes a task forget its cuts after the batch
 BATCH_BYTES = 2 << 20
 CHUNK_TOKENS = 600_000
@@ -387,5 +387,8 @@ def links(aligned: DataFrame) -> DataFrame:
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    aligned = Scratch(spark, "aligned").save(align(docs), "groups")
-    return links(aligned).withColumnRenamed("id", "doc_id")
+    scratch = Scratch(spark, "aligned")
+    aligned = scratch.save(align(docs), "groups")
+    told = links(aligned)
+    scratch.drop(aligned)
+    return told.withColumnRenamed("id", "doc_id")
