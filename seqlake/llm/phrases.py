@@ -358,11 +358,12 @@ WITH p AS (SELECT lang, unnest(list_transform(string_split_regex(text, '[.,;:!?\
   SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
   SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p CROSS JOIN (SELECT unnest([1, 2, 3]) AS k))),
-c AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, k, phrase, concat(lang, chr(10), phrase) AS q, count(*) AS a FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
-f AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE k > 1 AND a >= 10),
-s AS (SELECT f.*, cut, x.a AS l, y.a AS r, CAST(CAST(1000000 AS HUGEINT) * f.a * f.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
-  FROM f CROSS JOIN (SELECT unnest([1, 2]) AS cut) JOIN c x ON x.lang = f.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN c y ON y.lang = f.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') WHERE cut < f.k),
+f AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE k > 1 AND a >= 10),
+h AS (SELECT lang, k, phrase, a, 1 AS cut, concat(lang, chr(10), w[1]) AS first, concat(lang, chr(10), array_to_string(w[2:], ' ')) AS rest FROM f UNION ALL SELECT lang, k, phrase, a, 2, concat(lang, chr(10), array_to_string(w[1:2], ' ')), concat(lang, chr(10), w[3]) FROM f WHERE k = 3),
+s AS (SELECT h.*, x.a AS l, y.a AS r, CAST(CAST(1000000 AS HUGEINT) * h.a * h.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM h JOIN c x ON x.q = h.first JOIN c y ON y.q = h.rest),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s) WHERE best = 1),
 t AS (SELECT lang, phrase, max(a) AS longer FROM (
   SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM f WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM f WHERE k = 3) GROUP BY ALL),
