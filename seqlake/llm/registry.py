@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from seqlake.llm import (
-    exact_dedup, language_id, line_dedup, mixing, neighbours, ngram_join, phrases, quotations, sentencepiece, sharding, substring_dedup, token_alignment,
+    exact_dedup, language_id, line_dedup, mixing, neighbours, ngram_join, phrases, quotations, sentencepiece, sharding, substring_dedup, token_alignment, warc,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_warc": warc.op12_warc,
     "op13_collocations": phrases.op13_collocations,
 }
 
@@ -27,5 +28,6 @@ ORACLE = {
     "op3_quotation_linking": quotations.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op12_warc": warc.OP12_SQL,
     "op13_collocations": phrases.OP13_SQL,
 }

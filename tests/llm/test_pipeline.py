@@ -65,4 +65,4 @@ def test_run_and_registry(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.where("n_tokens > 0").count() > 50
     assert sorted(registry.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for q in registry.QUERIES]
-    assert len(registry.QUERIES) == 12
+    assert len(registry.QUERIES) == 13
