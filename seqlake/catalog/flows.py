@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.catalog.queries import at, top, COLS, FOLLOW, KINDS, LIKE, MAKES, POST, ROW, STATE, query, DIRECTORY
+from seqlake.catalog.queries import (
+    at, top, COLS, DIRECTORY, FOLLOW, IMPORT, INDEX, KINDS, LIKE, MAKES, POST, ROW, STATE, TIMES, killers, marked, query, scoped,
+)
 from seqlake.catalog.tables import Tables
 from seqlake.operators import aggregates as A
 from seqlake.schema import LOG
 from seqlake.scratch import new_path
 from seqlake.sources import logs as L
+from seqlake.sources.bucketed import BucketedLog
 from seqlake.streaming import live as T
 
 
@@ -92,6 +95,71 @@ def _(t):
     return collected(t, L.stream_log(t.spark, path, 2).select(COLS), "replay")
 
 
+def bucketed(t: Tables, rows: DataFrame) -> BucketedLog:
+    """rows in buckets of 512 seqs, appended in two parts whose border lies inside a bucket."""
+    log = BucketedLog(t.spark, new_path(t.spark, "bucketed"), 512)
+    for part in halves(rows, "seq", at(t, 0.6)):
+        log.append(part)
+    return log
+
+
+COMPACTED = f"{killers('seq > ' + top(.1) + ' AND seq <= ' + top(.8))}, c AS (SELECT *, suppressed AND seq <= {top(.8)} AS gone FROM ({marked()}))"
+
+
+@query("m3_compact_buckets", f"WITH {COMPACTED} SELECT {ROW} FROM c WHERE NOT gone")
+def _(t):
+    """Compaction in place: only buckets that lose rows are written again; then the log is read back."""
+    log = bucketed(t, t.log)
+    log.compact(at(t, 0.1), at(t, 0.8))
+    return log.read().select(COLS)
+
+
+@query("m3_rewritten_buckets", f"WITH {COMPACTED} SELECT CAST(floor((seq - 1) / 512) AS BIGINT) AS bucket, count(*) AS removed, count(*) = any_value(n) AS emptied FROM c JOIN (SELECT CAST(floor((seq - 1) / 512) AS BIGINT) AS b, count(*) AS n FROM log GROUP BY 1) ON b = CAST(floor((seq - 1) / 512) AS BIGINT) WHERE gone GROUP BY 1")
+def _(t):
+    """Buckets of the generation that compaction published, by their manifest rows before and after."""
+    log = bucketed(t, t.log)
+    before = log.manifest()
+    log.compact(at(t, 0.1), at(t, 0.8))
+    now = log.manifest().select("bucket", F.col("version").alias("_v"), F.col("events").alias("_left"))
+    left = F.coalesce("_left", F.lit(0))
+    changed = before.join(now, "bucket", "left").where("_v IS NULL OR _v <> version")
+    return changed.select("bucket", (F.col("events") - left).alias("removed"), (left == 0).alias("emptied"))
+
+
+@query("m7_import_buckets", f"WITH {IMPORT}, {scoped('good')} SELECT seq, new_indexed_at AS indexed_at FROM ({TIMES})")
+def _(t):
+    log = bucketed(t, t.log_cid)
+    log.import_timestamps(t.import_rows)
+    return log.read().select("seq", "indexed_at")
+
+
+@query("m11_expire_buckets", f"SELECT {ROW} FROM log WHERE CAST(floor((seq - 1) / 512) AS BIGINT) IN (SELECT block FROM ({INDEX}) WHERE max_time >= (SELECT max(witnessed_at) FROM log) - 86400000000 OR max_seq = (SELECT max(seq) FROM log))")
+def _(t):
+    """Retention that removes: expired buckets leave the manifest, then their files go."""
+    log = bucketed(t, t.log)
+    log.expire(t.log.agg(F.max("witnessed_at")).first()[0], 86_400_000_000)
+    log.vacuum(1)
+    return log.read().select(COLS)
+
+
+@query("m12_takedown_buckets", f"SELECT {ROW} FROM log WHERE did NOT IN (SELECT did FROM accounts WHERE status = 'takendown')")
+def _(t):
+    log = bucketed(t, t.log)
+    log.takedown(t.accounts.where("status = 'takendown'"))
+    log.vacuum(1)
+    return log.read().select(COLS)
+
+
+@query("m13_read_planned", f"SELECT {ROW} FROM log WHERE did IN (SELECT did FROM accounts WHERE uid % 50 = 3) AND {KINDS} AND collection = '{POST}' AND seq > {top(.1)} AND seq <= {top(.9)}")
+def _(t):
+    """Rows of some accounts, kinds and collections, from the planned buckets' files alone."""
+    log = bucketed(t, t.log)
+    dids, after, before = t.accounts.where("uid % 50 = 3").select("did"), at(t, 0.1), at(t, 0.9)
+    planned = {r.bucket for r in log.plan(dids, ["commit"], [POST], after, before).collect()}
+    rows = log.read(buckets=planned, after=after, before=before)
+    return rows.where(f"{KINDS} AND collection = '{POST}'").join(dids, "did", "left_semi").select(COLS)
+
+
 @query("t1_ingest_stream", f"""SELECT row_number() OVER (ORDER BY seq) AS seq, CASE WHEN kind = 'create_resync' THEN 'create' ELSE kind END AS kind, did, collection, rkey, rev FROM log
   WHERE kind <> 'sync' AND (NOT {KINDS} OR collection IN ('{POST}', '{LIKE}'))""")
 def _(t):

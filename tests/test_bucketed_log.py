@@ -1,0 +1,126 @@
+"""The bucketed log: what jobs rewrite, what survives a crash, what plans may miss (nothing)."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from seqlake.catalog.tables import Tables
+from seqlake.plans import jobs as M
+from seqlake.scratch import new_path
+from seqlake.sources.bucketed import BucketedLog
+
+SPAN = 50
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return Tables(spark, "/root/testdata/sf0.001")
+
+
+@pytest.fixture
+def made(spark, tables):
+    log = BucketedLog(spark, new_path(spark, "bucketed"), SPAN, 256)
+    top = tables.top
+    assert log.append(tables.log_cid.where(F.col("seq") <= top // 3)) == 0
+    assert log.append(tables.log_cid.where(F.col("seq") > top // 3)) == 1
+    return log
+
+
+def content(rows):
+    return sorted(str(sorted(r.asDict().items())) for r in rows.collect())
+
+
+def files(log):
+    """{path: (size, time)} of all data files."""
+    jvm, conf = log.spark._jvm, log.spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{log.path}/data")
+    found = at.getFileSystem(conf).listFiles(at, True)
+    out = {}
+    while found.hasNext():
+        s = found.next()
+        if s.getPath().getName().endswith(".parquet"):
+            out[s.getPath().toString()] = (s.getLen(), s.getModificationTime())
+    return out
+
+
+def test_compaction_rewrites_touched_buckets_only(made, tables):
+    w, before, old = int(tables.top * 0.8), files(made), content(made.read())
+    want = M.touched_buckets(tables.log, SPAN, tables.top // 10, w)
+    generation, removed = made.compact(tables.top // 10, w)
+    assert content(removed) == content(want.withColumnRenamed("block", "bucket").select(*removed.columns))
+    touched = {r.bucket for r in removed.collect()}
+    versions = made.versions()
+    assert {b for b, v in versions.items() if v == generation} <= touched < set(versions)
+    assert content(made.read()) == content(M.compact(tables.log_cid, tables.top // 10, w))
+    assert content(made.read(1)) == old  # a reader of the generation before
+    after = files(made)
+    assert all(after[p] == x for p, x in before.items())
+    assert made.compact(tables.top // 10, w)[0] == generation and files(made) == after
+
+
+def test_crash_before_the_switch_leaves_the_old_log(made, tables, monkeypatch):
+    old = content(made.read())
+    monkeypatch.setattr(made, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        made.takedown(tables.accounts.where("status = 'takendown'"))
+    assert made.generation() == 1 and content(made.read()) == old
+    monkeypatch.undo()
+    made.takedown(tables.accounts.where("status = 'takendown'"))
+    assert content(made.read()) == content(M.takedown(tables.log_cid, tables.accounts.where("status = 'takendown'")))
+    assert made.generation() == 2
+    with pytest.raises(ValueError, match="published already"):
+        made._publish(made.manifest(), 2)
+
+
+def test_vacuum_keeps_the_newest_generations(made, tables):
+    taken = tables.accounts.where("uid < 20")
+    for k in range(3):
+        made.takedown(taken.where(F.col("uid") % 3 == k))
+    want, n = content(made.read()), len(files(made))
+    made.vacuum(1)
+    assert content(made.read()) == want and len(files(made)) < n and made._generations("manifest") == [made.generation()]
+
+
+def test_plans_miss_nothing(made, tables):
+    """Every account's buckets are planned; few others are."""
+    held = {(r.did, r.bucket) for r in made.read().select("did", made._bucket().alias("bucket")).distinct().collect()}
+    dids = sorted({d for d, _ in held})
+    planned = wanted = 0
+    for d in dids[:12]:
+        got = made.with_accounts(made.spark.createDataFrame([(d,)], "did string"))
+        own = {b for x, b in held if x == d}
+        assert own <= got
+        planned, wanted = planned + len(got), wanted + len(own)
+    assert planned <= 2 * wanted
+    assert made.with_accounts(made.spark.createDataFrame([], "did string")) == set()
+    everyone = made.spark.createDataFrame([(d,) for d in dids], "did string")
+    assert made.with_accounts(everyone) == set(made.versions())
+    rows = made.read().withColumn("bucket", made._bucket())
+    markers = {r.bucket for r in rows.where("kind = 'account'").select("bucket").distinct().collect()}
+    assert {r.bucket for r in made.plan(kinds=["account"], collections=["app.demo.feed.post"]).collect()} == markers
+    assert made.plan(kinds=["commit"], collections=["com.none"]).count() == 0
+    assert {r.bucket for r in made.plan(after=SPAN, before=2 * SPAN).collect()} == {1}
+
+
+def test_import_patches_touched_buckets_only(made, tables):
+    one = tables.import_rows.where("offset = 7")
+    before = files(made)
+    generation = made.import_timestamps(one)
+    assert content(made.read()) == content(M.import_timestamps(tables.log_cid, one))
+    changed = {b for b, v in made.versions().items() if v == generation}
+    assert changed == {r.block for r in M.touched_by_import(tables.log_cid, one, SPAN).collect()} and len(changed) < len(made.versions())
+    assert all(files(made)[p] == x for p, x in before.items())
+    assert made.import_timestamps(one) == generation
+    made.import_timestamps(tables.import_rows)
+    assert content(made.read()) == content(M.import_timestamps(M.import_timestamps(tables.log_cid, one), tables.import_rows))
+
+
+def test_expiry_drops_whole_buckets(made, tables):
+    rows, now = made.manifest().collect(), tables.log.agg(F.max("witnessed_at")).first()[0]
+    day = 86_400_000_000
+    made.expire(now, 10 * day)
+    last = max(r.bucket for r in rows)
+    assert set(made.versions()) == {r.bucket for r in rows if r.max_time >= now - 10 * day or r.bucket == last} < {r.bucket for r in rows}
+    made.expire(now + 1000 * day, day)
+    assert set(made.versions()) == {last}
+    made.takedown(made.read().select("did").distinct())
+    assert made.versions() == {} and made.read().count() == 0
