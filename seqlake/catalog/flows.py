@@ -220,6 +220,15 @@ def _(t):
     return t.spark.read.schema("collection string, did string, seen_ms long").parquet(path).drop("batch")
 
 
+@query("t6_directory_any_order", f"SELECT collection, did, 1 AS times FROM ({DIRECTORY})")
+def _(t):
+    """The newer half first: pairs that come below earlier seqs are found too, each once."""
+    path = new_path(t.spark, "directory")
+    T.directory_stream(in_turn(t, halves(t.log, "seq", at(t, 0.5))[::-1], "log"), path, f"{path}-offsets").awaitTermination()
+    rows = t.spark.read.schema("collection string, did string, seen_ms long").parquet(path)
+    return rows.groupBy("collection", "did").agg(F.count("*").alias("times"))
+
+
 def closing(rows: DataFrame, **values) -> DataFrame:
     """rows and one more, a week after all others, whose time closes every window of theirs."""
     last = rows.agg(F.max("witnessed_at").alias("witnessed_at")).select((F.col("witnessed_at") + 7 * 86_400_000_000).alias("witnessed_at"), *[F.lit(v).alias(k) for k, v in values.items()])

@@ -1,16 +1,16 @@
-"""The log as a stream. State is kept by account or source, in tables of buckets or in Spark's state store.
+"""The log as a stream. State is kept by account or source, in sorted runs or in Spark's state store.
 
 Batch writers are idempotent: a micro-batch writes its own folder, named by its batch id and
 overwritten on a retry. What it needs to know of the past stands in a mark of the batch before
-(one row) and in the buckets of a state table that its keys fall in, so no micro-batch reads
-what earlier ones wrote.
+(one row) and in state runs, to which it adds one of its own size, so no micro-batch reads what
+earlier ones wrote to the target, and none writes the whole state again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
@@ -19,12 +19,12 @@ from seqlake.functions import scalars as S
 from seqlake.operators import filters as FL
 from seqlake.operators.ranges import Ranged
 from seqlake.operators.windows import latest_version
-from seqlake.plans.jobs import fold_tombstones
 from seqlake.schema import LOG
 from seqlake.scratch import delete, exists
 from seqlake.sources.logs import continue_seqs, parse_v1_json, seq_window, stream_log
 
-BUCKETS = 64
+FAN = 8
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # fixed value: Spark's class name
 
 
 def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
@@ -32,7 +32,14 @@ def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
 
 
 def _foreach(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(write).outputMode(mode)
+    def once(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # a writer looks at its micro-batch several times
+        try:
+            write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(once).outputMode(mode)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -54,50 +61,63 @@ class Marks:
 
     def put(self, spark: SparkSession, batch: int, *values) -> None:
         spark.createDataFrame([values], self.schema).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        delete(spark, f"{self.path}/batch={batch - 2}")  # only the newest micro-batch is ever retried
 
 
-class StateTable:
-    """A table by key in BUCKETS buckets, of which a micro-batch reads and rewrites those its keys fall in.
+class StateRuns:
+    """State as runs that a fold puts together, so that the work of a micro-batch follows its size.
 
-    A bucket's rows stand in the folder of the batch that wrote them last; a list per batch (a row
-    per bucket) tells which that is. Folders that two lists have done without are deleted.
+    A micro-batch writes its own rows, folded, as a run of level 0. FAN runs of a level become one
+    run of the next, so a row is written again once per level, and there are as many levels as the
+    logarithm of the number of micro-batches. fold must give the same for runs as for all their
+    rows together. A list per batch (a row per run) names the runs; runs that the last two lists
+    do without are deleted.
     """
 
-    def __init__(self, path: str, key: str, schema):
-        self.path, self.key, self.schema = path, key, schema
+    def __init__(self, path: str, schema, fold: Callable[[DataFrame], DataFrame], fan: int = FAN):
+        self.path, self.schema, self.fold, self.fan = path, schema, fold, fan
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
-
-    def _list(self, spark: SparkSession, batch: int) -> dict[int, int]:
+    def _list(self, spark: SparkSession, batch: int) -> list[tuple[str, int]]:
         path = f"{self.path}/list={batch}"
         if batch < 0 or not exists(spark, path):
-            return {}
-        return {r.bucket: r.version for r in spark.read.schema("bucket int, version int").parquet(path).collect()}
+            return []
+        return sorted((r.run, r.level) for r in spark.read.schema("run string, level int").parquet(path).collect())
 
-    def _read(self, spark: SparkSession, versions: dict[int, int]) -> DataFrame:
-        paths = [f"{self.path}/version={v}/bucket={b}" for b, v in versions.items()]
+    def _read(self, spark: SparkSession, runs: list[str]) -> DataFrame:
+        paths = [f"{self.path}/run={r}" for r in runs]
         return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
 
+    def _write(self, rows: DataFrame, run: str) -> None:
+        self.fold(rows).write.mode("overwrite").parquet(f"{self.path}/run={run}")
+
     def rows(self, spark: SparkSession, batch: int) -> DataFrame:
-        """The table as a micro-batch left it."""
-        return self._read(spark, self._list(spark, batch))
+        """The state as a micro-batch left it."""
+        return self.fold(self._read(spark, [r for r, _ in self._list(spark, batch)]))
 
-    def touched(self, batch: DataFrame, batch_id: int) -> tuple[list[int], DataFrame]:
-        """(the buckets of the batch's keys, what they hold)."""
-        own = sorted(r.bucket for r in batch.select(self.bucket().alias("bucket")).distinct().collect())  # BUCKETS rows at most
-        versions = self._list(batch.sparkSession, batch_id - 1)
-        return own, self._read(batch.sparkSession, {b: versions[b] for b in own if b in versions})
+    def of(self, batch: DataFrame, key: str, batch_id: int) -> DataFrame:
+        """What is known of the keys of a micro-batch before it."""
+        spark = batch.sparkSession
+        runs = self._read(spark, [r for r, _ in self._list(spark, batch_id - 1)])
+        return self.fold(runs.join(batch.select(key).distinct(), key, "left_semi"))
 
-    def put(self, rows: DataFrame, own: list[int], batch_id: int) -> None:
-        """New contents of these buckets; the others stay."""
+    def put(self, rows: DataFrame, batch_id: int) -> None:
+        """Add rows; what they say of their keys is folded into what is known."""
         spark = rows.sparkSession
-        rows.withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={batch_id}")
-        filled = [b for b in own if exists(spark, f"{self.path}/version={batch_id}/bucket={b}")]
         before, older = self._list(spark, batch_id - 1), self._list(spark, batch_id - 2)
-        now = {b: v for b, v in before.items() if b not in own} | {b: batch_id for b in filled}
-        spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list={batch_id}")
-        delete(spark, *[f"{self.path}/version={v}/bucket={b}" for b, v in older.items() if before.get(b) != v])
+        now, level = [*before, (f"{batch_id}-0", 0)], 0
+        self._write(rows, now[-1][0])
+        while len(full := [r for r, k in now if k == level]) >= self.fan:
+            level += 1
+            self._write(self._read(spark, full), f"{batch_id}-{level}")
+            now = [x for x in now if x[0] not in full] + [(f"{batch_id}-{level}", level)]
+        spark.createDataFrame(now, "run string, level int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list={batch_id}")
+        kept = {r for r, _ in before} | {r for r, _ in now}
+        delete(spark, *[f"{self.path}/run={r}" for r, _ in older if r not in kept], f"{self.path}/list={batch_id - 2}")
+
+
+def greatest_of(key: str, *columns: str) -> Callable[[DataFrame], DataFrame]:
+    """A fold: per key, the greatest value of each column."""
+    return lambda rows: rows.groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
 
 
 def ingest_stream(lines: DataFrame, target: str, collections: list[str], checkpoint: str, position: str | None = None) -> StreamingQuery:
@@ -145,13 +165,12 @@ def judged(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _chain(stream: DataFrame, refused: str, path: str, checkpoint: str) -> StreamingQuery:
-    states = StateTable(f"{path}-state", "did", "did string, rev string, applied long")
+    states = StateRuns(f"{path}-state", "did string, rev string, applied long", greatest_of("did", "rev", "applied"))
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        own, state = states.touched(batch, batch_id)
-        rows, new = judged(batch, state)
+        rows, new = judged(batch, states.of(batch, "did", batch_id))
         _write_batch(rows.where(F.col("verdict") != refused), path, batch_id)
-        states.put(new, own, batch_id)
+        states.put(new, batch_id)
 
     return _foreach(stream, judge, checkpoint)
 
@@ -187,37 +206,39 @@ def gaps_of(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def continuity_loss(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """To path: the first gap of each source (source, upstream_seq); later ones are not told."""
-    states = StateTable(f"{path}-state", "source", "source long, last long, told boolean")
+    states = StateRuns(f"{path}-state", "source long, last long, told boolean", greatest_of("source", "last", "told"))
 
     def tell(batch: DataFrame, batch_id: int) -> None:
-        own, state = states.touched(batch, batch_id)
-        first, new = gaps_of(batch.withColumn("source", F.col("source").cast("long")), state)
+        batch = batch.withColumn("source", F.col("source").cast("long"))
+        first, new = gaps_of(batch, states.of(batch, "source", batch_id))
         _write_batch(first, path, batch_id)
-        states.put(new, own, batch_id)
+        states.put(new, batch_id)
 
     return _foreach(stream, tell, checkpoint)
 
 
 def directory_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """To path: first-seen pairs, each written by the micro-batch that saw it first.
+    """To path: each pair once, written by the micro-batch that saw it first, in whatever order rows come.
 
-    The first seq of every pair is kept in Spark's state store, which a batch asks only for its own
-    pairs; a pair is new if that seq is above the last one of the batch before, its mark.
+    Spark's state store (RocksDB, so state may outgrow memory) keeps the times of the first and the
+    last micro-batch of each pair; a micro-batch asks only for its own pairs, and those whose first
+    is the last are new. A retried micro-batch keeps its time, so it gives the same pairs.
     """
-    marks = Marks(path, "last_seq long")
-    rows = stream.where(F.col("kind").isin("create", "update"))
-    pairs = rows.groupBy("collection", "did").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min(F.floor(F.col("witnessed_at") / 1000)).alias("seen_ms"))
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    rows = stream.where(F.col("kind").isin("create", "update")).withColumn("_batch", F.current_timestamp())
+    pairs = rows.groupBy("collection", "did").agg(
+        F.min("_batch").alias("_first"), F.max("_batch").alias("_last"), F.min(F.floor(F.col("witnessed_at") / 1000)).alias("seen_ms")
+    )
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        top = (marks.before(spark, batch_id) or {"last_seq": -1})["last_seq"]
-        batch = batch.persist()
-        _write_batch(batch.where(F.col("first_seq") > top).select("collection", "did", "seen_ms"), path, batch_id)
-        last = batch.agg(F.max("last_seq")).first()[0]
-        batch.unpersist()
-        marks.put(spark, batch_id, max(top, last if last is not None else top))
+        _write_batch(batch.where("_first = _last").select("collection", "did", "seen_ms"), path, batch_id)
 
-    return _foreach(pairs, add, checkpoint, "update")
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        return _foreach(pairs, add, checkpoint, "update")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def dau_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -270,42 +291,42 @@ def token_bucket(stream: DataFrame, rate: float, global_rate: float, path: str,
 
     Rows are marked, never held back; admitted ones don't wait. Events take their tokens in order of time.
     """
-    states = StateTable(f"{path}-state", "source", "source long, n long, most double")
+    states = StateRuns(f"{path}-state", "source long, n long, most double", greatest_of("source", "n", "most"))
     marks = Marks(path, "base long, n long, most double, last long")
 
     def mark(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         whole = marks.before(spark, batch_id) or {"base": None, "n": 0, "most": float("-inf"), "last": 0}
         batch = batch.withColumn("source", F.col("source").cast("long"))
-        own, state = states.touched(batch, batch_id)
-        rows, new, whole = waits(batch, rate, global_rate, state, whole)
+        rows, new, whole = waits(batch, rate, global_rate, states.of(batch, "source", batch_id), whole)
         _write_batch(rows, path, batch_id)
-        states.put(new, own, batch_id)
+        states.put(new, batch_id)
         marks.put(spark, batch_id, whole["base"], whole["n"], whole["most"], whole["last"])
 
     return _foreach(stream, mark, checkpoint)
 
 
-def current_state_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Live records at path, a state table by account: a micro-batch folds itself into its accounts' buckets."""
-    states = StateTable(path, "did", LOG)
+def folded_state(rows: DataFrame) -> DataFrame:
+    """The latest version of each record that no killer of its account is above, deletes included, and the latest killers.
+
+    Deletes and killers stay: rows that come later may carry smaller seqs.
+    """
+    last = latest_version(rows.where(S.is_commit()))
+    markers = rows.where(S.is_did_killer()).groupBy("did").agg(F.max_by(F.struct(*LOG.names), "seq").alias("x")).select("x.*")
+    dead = markers.select("did", F.col("seq").alias("_dead"))
+    alive = last.join(dead, "did", "left").where("_dead IS NULL OR seq > _dead")
+    return alive.select(*LOG.names).unionByName(markers.select(*LOG.names))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        own, before = states.touched(batch, batch_id)
-        both = before.unionByName(batch.select(*LOG.names))
-        last = latest_version(both.where(S.is_commit()))
-        dead = fold_tombstones(both)[1].select("did", F.col("killer_seq").alias("_dead"))
-        alive = last.join(dead, "did", "left").where("_dead IS NULL OR seq > _dead").drop("_dead")
-        # Deletes and markers stay in the state table: later rows may carry smaller seqs.
-        kept = alive.unionByName(both.where(S.is_did_killer()).groupBy("did").agg(F.max_by(F.struct(*LOG.names), "seq").alias("x")).select("x.*").select(*alive.columns))
-        states.put(kept.select(*LOG.names), own, batch_id)
 
-    return _foreach(stream, merge, checkpoint)
+def current_state_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """State runs at path: a micro-batch writes its own folded rows and reads none of the state."""
+    states = StateRuns(path, LOG, folded_state)
+    return _foreach(stream, lambda batch, batch_id: states.put(batch.select(*LOG.names), batch_id), checkpoint)
 
 
 def live_records(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """The live records after a micro-batch of current_state_stream."""
-    return StateTable(path, "did", LOG).rows(spark, batch_id).where(S.is_materialization())
+    return StateRuns(path, LOG, folded_state).rows(spark, batch_id).where(S.is_materialization())
 
 
 def archive_then_live(spark: SparkSession, path: str, tip: int, wanted: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:

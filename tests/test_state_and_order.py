@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqlake.catalog.tables import Tables
 from seqlake.functions import scalars as S
 from seqlake.functions.records import blobs
 from seqlake.operators import aggregates as A
@@ -13,7 +14,8 @@ from seqlake.operators import compare as U
 from seqlake.operators import windows as W
 from seqlake.operators.ranges import Ranged, numbered_within
 from seqlake.plans import jobs as M
-from seqlake.scratch import new_path
+from seqlake.schema import LOG
+from seqlake.scratch import exists, new_path
 from seqlake.sources import logs as L
 from seqlake.streaming import live as T
 from tests.test_edge_cases import log
@@ -169,25 +171,40 @@ def test_token_buckets_over_batches_against_a_plain_loop(spark):
     assert 0.1 < sum(r.admitted for r in got.values()) / len(got) < 0.9
 
 
-def test_state_tables_rewrite_what_is_touched_and_survive_a_retry(spark):
-    table = T.StateTable(new_path(spark, "state"), "did", "did string, n long")
-
-    def batch(batch_id, rows):
-        df = spark.createDataFrame(rows, "did string, n long")
-        own, before = table.touched(df, batch_id)
-        table.put(before.unionByName(df).groupBy("did").agg(F.sum("n").cast("long").alias("n")), own, batch_id)
-
-    batch(0, [(f"d{k}", 1) for k in range(500)])
-    batch(1, [("d7", 10)])
-    batch(1, [("d7", 10)])  # a retry
-    batch(2, [("d8", 5), ("new", 2)])
-    batch(3, [("d8", 5)])
-    want = {f"d{k}": 1 for k in range(500)} | {"d7": 11, "d8": 11, "new": 2}
-    assert {r.did: r.n for r in table.rows(spark, 3).collect()} == want
-    versions = table._list(spark, 3)
-    assert set(versions.values()) == {0, 1, 2, 3} or len(set(versions.values())) >= 3
-    assert sum(v == 0 for v in versions.values()) >= T.BUCKETS - 4
-
+def size_of(spark, path):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(found).getLength() if fs.exists(found) else 0
+
+
+def test_state_runs_follow_the_batch_and_survive_a_retry(spark):
+    """Writing follows the micro-batches while the state grows; a retry gives the same state; little is kept."""
+    runs = T.StateRuns(new_path(spark, "state"), "did string, n long", T.greatest_of("did", "n"), fan=3)
+    want, written = {}, []
+    for batch in range(12):
+        rows = [(f"d{(batch * 7 + k) % 50}", batch * 10 + k % 3) for k in range(9)]
+        df = spark.createDataFrame(rows, "did string, n long").coalesce(1)
+        keys = {d for d, _ in rows}
+        assert {r.did: r.n for r in runs.of(df, "did", batch).collect()} == {d: n for d, n in want.items() if d in keys}
+        for _ in range(2 if batch % 4 == 1 else 1):  # the second is a retry
+            runs.put(df, batch)
+        for d, n in rows:
+            want[d] = max(n, want.get(d, n))
+        assert {r.did: r.n for r in runs.rows(spark, batch).collect()} == want
+        written.append(size_of(spark, f"{runs.path}/run={batch}-0"))
+        assert len(runs._list(spark, batch)) <= 2 * 3
+    assert max(written) <= 1.2 * min(written)
+    assert not exists(spark, f"{runs.path}/list=9") and exists(spark, f"{runs.path}/list=10")
+
+
+def test_current_state_folds_runs_like_rows(spark):
+    """Any cut of a log into runs, folded in steps, gives the state of the whole; rows may come late."""
+    log = Tables(spark, "/root/testdata/sf0.001").log
+    runs = T.StateRuns(new_path(spark, "state"), LOG, T.folded_state, fan=2)
+    for batch in range(5):
+        runs.put(log.where(F.pmod(F.xxhash64("seq"), F.lit(5)) == batch), batch)
+    got = runs.rows(spark, 4).where("kind IN ('create', 'update', 'create_resync')")
+    assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in M.current_state(log).collect())
 
 def test_directory_and_ingest_over_batches(spark):
     rows = [(k, "create", "abc"[k % 3], "c.d." + "ef"[k % 2], f"r{k}", str(100 + k), "{}") for k in range(1, 41)]
