@@ -251,6 +251,19 @@ def _(t):
     return collected(t, windows, "windows").select("host_id", F.unix_micros("since").alias("since_us"), "events", "over_limit")
 
 
+@query("t8_host_limits", """WITH r AS (SELECT a.host_id, l.witnessed_at // 1000000 AS s FROM log l JOIN accounts a ON l.did = a.did),
+  w AS (SELECT host_id, 'per_second' AS rate, s AS since FROM r UNION ALL SELECT host_id, 'per_hour', 1800 * (s // 1800 - k) FROM r, (SELECT unnest([0, 1]) AS k) UNION ALL SELECT host_id, 'per_day', 43200 * (s // 43200 - k) FROM r, (SELECT unnest([0, 1]) AS k)),
+  m AS (SELECT host_id, 0 AS per_second, CASE WHEN trusted THEN 50000000 ELSE account_limit // 5 END AS per_hour, account_limit AS per_day FROM hosts)
+  SELECT w.host_id, rate, since, count(*) AS events, count(*) > any_value(CASE rate WHEN 'per_second' THEN per_second WHEN 'per_hour' THEN per_hour ELSE per_day END) AS over_limit FROM w JOIN m ON w.host_id = m.host_id GROUP BY w.host_id, rate, since""")
+def _(t):
+    """One stream counts panes; all three limits of a host come from them. Limits are low here, so that some are passed."""
+    rows = t.log.join(t.accounts.select("did", "host_id"), "did").select("host_id", "witnessed_at")
+    panes = collected(t, T.rate_panes(stream_of(t, closing(rows, host_id=-1), "rates")), "panes")
+    hour = F.when(F.col("trusted"), 50_000_000).otherwise(F.floor(F.col("account_limit") / 5))
+    rates = [F.lit(0).cast("long").alias("per_second"), hour.cast("long").alias("per_hour"), F.col("account_limit").cast("long").alias("per_day")]
+    return T.host_limits(panes, t.hosts, rates)
+
+
 @query("t9_token_bucket", """WITH r AS (SELECT a.host_id AS source, l.seq, l.seq * 50000 + l.witnessed_at % 1000 AS at_us FROM log l JOIN accounts a ON l.did = a.did),
   b AS (SELECT *, (at_us - min(at_us) OVER ()) / 1e6 AS t, row_number() OVER (ORDER BY at_us, seq, source) AS n, row_number() OVER (PARTITION BY source ORDER BY at_us, seq) AS k FROM r),
   x AS (SELECT *, CAST(2 AS DOUBLE) * t - k AS sx, CAST(15 AS DOUBLE) * t - n AS gx FROM b),

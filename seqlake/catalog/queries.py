@@ -14,7 +14,7 @@ from seqlake.operators import joins as J
 from seqlake.operators import paging as P
 from seqlake.operators import windows as W
 from seqlake.plans import jobs as M
-from seqlake.scratch import new_path
+from seqlake.scratch import new_path, stored
 from seqlake.sources import logs as L
 
 QUERIES: dict = {}
@@ -585,6 +585,27 @@ def _(t):
     return A.approx_dids(t.log)
 
 
+SPANS = "b AS (SELECT DISTINCT CAST(floor((seq - 1) / 2048) AS BIGINT) AS span, did FROM log)"
+
+
+def sketched(t):
+    """The united sketches of every four blocks, from a stored table of block sketches."""
+    sketches = stored(A.block_sketches(t.log, 512), "sketches")
+    blocks = sketches.select(F.floor(F.col("block") / 4).alias("span")).distinct()
+    return A.span_sketches(sketches, blocks.select("span", (F.col("span") * 4).alias("first_block"), (F.col("span") * 4 + 3).alias("last_block")))
+
+
+@query("a23_sketch_spans", f"WITH {SPANS} SELECT span, count(*) AS dids FROM b GROUP BY span")
+def _(t):
+    return A.span_accounts(sketched(t))
+
+
+@query("a23_shared_accounts", f"WITH {SPANS} SELECT b.span AS a, n.span AS b, count(*) AS shared FROM b JOIN b n ON n.span = b.span + 1 AND n.did = b.did GROUP BY ALL")
+def _(t):
+    spans = stored(sketched(t), "spans")
+    return A.shared_accounts(spans, spans.select(F.col("span").alias("a"), (F.col("span") + 1).alias("b"))).where("shared > 0")
+
+
 @query("a24_activity_rollup", f"SELECT CAST(make_timestamp(witnessed_at) AS DATE) AS day, collection, count(*) AS events, count(DISTINCT did) AS dids, grouping(CAST(make_timestamp(witnessed_at) AS DATE), collection) AS level FROM log WHERE {KINDS} GROUP BY ROLLUP (CAST(make_timestamp(witnessed_at) AS DATE), collection)")
 def _(t):
     return A.activity_rollup(t.log)

@@ -182,6 +182,29 @@ def approx_dids(log: DataFrame, error: float = 0.01) -> DataFrame:
     return log.agg(F.approx_count_distinct("did", error).alias("dids"))
 
 
+def block_sketches(log: DataFrame, rows_per_block: int = 4096, lg_entries: int = 12) -> DataFrame:
+    """(block, dids): a theta sketch of each block's accounts, of bounded size. Stored once, it answers for any span of blocks."""
+    return with_block(log, rows_per_block).groupBy("block").agg(F.theta_sketch_agg("did", lg_entries).alias("dids"))
+
+
+def span_sketches(sketches: DataFrame, spans: DataFrame, lg_entries: int = 12) -> DataFrame:
+    """(span, dids): the united sketches of the blocks of each span (span, first_block, last_block); spans may overlap."""
+    blocks = spans.select("span", F.explode(F.sequence("first_block", "last_block")).alias("block"))
+    return sketches.join(blocks, "block").groupBy("span").agg(F.theta_union_agg("dids", lg_entries).alias("dids"))
+
+
+def span_accounts(spans: DataFrame) -> DataFrame:
+    """(span, dids) of united sketches: how many accounts; exact below the sketch's number of entries."""
+    return spans.select("span", F.theta_sketch_estimate("dids").alias("dids"))
+
+
+def shared_accounts(spans: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, shared): how many accounts two spans share, for each of the pairs (a, b)."""
+    a, b = (spans.select(F.col("span").alias(c), F.col("dids").alias(f"_{c}")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    return both.select("a", "b", F.theta_sketch_estimate(F.theta_intersection("_a", "_b")).alias("shared"))
+
+
 def activity_rollup(log: DataFrame) -> DataFrame:
     """Events and accounts per (day, collection), per day and in all, in one pass."""
     rows = log.where(S.is_commit()).withColumn("day", _day(F.col("witnessed_at")))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # of an application on one machine, its folder
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -17,8 +18,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="seqlake-")
-        spark.conf.set(_KEY, root)
+        app = spark.sparkContext.applicationId
+        root = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="seqlake-"))
     return root
 
 

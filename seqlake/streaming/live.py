@@ -260,6 +260,26 @@ def rate_windows(stream: DataFrame, hosts: DataFrame, size: str, slide: str, lim
     return counts.join(limits, "host_id").select("host_id", F.col("span.start").alias("since"), "events", (F.col("events") > F.col("most")).alias("over_limit"))
 
 
+def rate_panes(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """Events per host and second: counted once, whatever windows are asked of them later."""
+    rows = stream.withColumn("ts", F.timestamp_micros("witnessed_at")).withWatermark("ts", watermark)
+    panes = rows.groupBy(F.window("ts", "1 second").alias("pane"), "host_id").agg(F.count("*").alias("events"))
+    return panes.select("host_id", F.unix_seconds("pane.start").alias("second"), "events")
+
+
+#: Seconds of a sliding window and of its step, by the limit that it is held against.
+SLIDES = {"per_second": (1, 1), "per_hour": (3600, 1800), "per_day": (86_400, 43_200)}
+
+
+def host_limits(panes: DataFrame, hosts: DataFrame, rates: list | None = None) -> DataFrame:
+    """(host_id, rate, since, events, over_limit): all three limits of every host, from its panes alone."""
+    at = F.col("second")
+    starts = [F.struct(F.lit(r).alias("rate"), ((F.floor(at / step) - k) * step).alias("since")) for r, (size, step) in SLIDES.items() for k in range(size // step)]
+    counts = panes.select("host_id", "events", F.explode(F.array(*starts)).alias("w")).groupBy("host_id", "w.rate", "w.since").agg(F.sum("events").alias("events"))
+    limits = hosts.select("host_id", *(rates or S.host_rates())).unpivot("host_id", list(SLIDES), "rate", "most")
+    return counts.join(FL.small(limits), ["host_id", "rate"]).select("host_id", "rate", "since", "events", (F.col("events") > F.col("most")).alias("over_limit"))
+
+
 def waits(batch: DataFrame, rate: float, global_rate: float, state: DataFrame, whole: dict) -> tuple[DataFrame, DataFrame, dict]:
     """(rows with their wait, new state of the sources, new state of the whole) of a micro-batch of (source, seq, at_us).
 

@@ -239,3 +239,14 @@ def test_index_ranges_join_across_any_block(spark):
     mentions = spark.createDataFrame([(b, "c.d.e") for b in range(3000) if b != 2000], "block long, collection string")
     got = sorted(tuple(r) for r in M.buckets_for(index, mentions, ["c.d.e"], 0, 10**9).collect())
     assert got == [(0, 1999, 20_000), (2001, 2999, 9_990)]
+
+
+def test_sketches_of_spans_are_mergeable_and_near(spark):
+    """Beyond their entries sketches are estimates: of a span from its blocks, and of what two spans share."""
+    rows = spark.range(60_000).select((F.col("id") + 1).alias("seq"), F.concat(F.lit("d"), F.when(F.col("id") < 40_000, F.col("id")).otherwise(F.col("id") - 10_000)).alias("did"))
+    sketches = A.block_sketches(rows, 2_000)
+    spans = A.span_sketches(sketches, spark.createDataFrame([(0, 0, 19), (1, 20, 29), (2, 0, 29), (3, 5, 5)], "span int, first_block long, last_block long"))
+    got = {r.span: r.dids for r in A.span_accounts(spans).collect()}
+    assert got == {0: pytest.approx(40_000, rel=0.05), 1: pytest.approx(20_000, rel=0.05), 2: pytest.approx(50_000, rel=0.05), 3: 2_000}
+    shared = A.shared_accounts(spans, spark.createDataFrame([(0, 1)], "a int, b int")).first().shared
+    assert shared == pytest.approx(10_000, rel=0.15)
