@@ -14,6 +14,7 @@ from seqlake.schema import LOG
 from seqlake.scratch import new_path
 from seqlake.sources import logs as L
 from seqlake.sources.bucketed import BucketedLog
+from seqlake.sources.paced import paced_log
 from seqlake.streaming import live as T
 
 
@@ -95,6 +96,20 @@ def _(t):
     return collected(t, L.stream_log(t.spark, path, 2).select(COLS), "replay")
 
 
+@query("s16_paced_log", f"SELECT {ROW} FROM log")
+def _(t):
+    """Two runs of one stream, each of a capped micro-batch at a time; the second goes on where the first ended."""
+    path, out = new_path(t.spark, "log"), new_path(t.spark, "paced")
+    parts = halves(t.log, "seq", at(t, 0.5))
+    for part in parts:
+        part.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.mode("append").parquet(path)
+        stream = paced_log(t.spark, path, rows=max(1, at(t, 0.2)))
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").start()
+        q.processAllAvailable()
+        q.stop()
+    return t.spark.read.schema(LOG).parquet(out).select(COLS)
+
+
 def bucketed(t: Tables, rows: DataFrame) -> BucketedLog:
     """rows in buckets of 512 seqs, appended in two parts whose border lies inside a bucket."""
     log = BucketedLog(t.spark, new_path(t.spark, "bucketed"), 512)

@@ -1126,6 +1126,18 @@ def _(t):
     return transform_batches(t.log.select("seq", "record"), lambda b: b.assign(record_chars=b.record.fillna("").str.len())[["seq", "record_chars"]], "seq long, record_chars long")
 
 
+@query("x3_whole_blocks", "SELECT CAST(floor((seq - 1) / 512) AS BIGINT) AS block, seq, row_number() OVER w AS place, CAST(sum(length(coalesce(record, ''))) OVER w AS BIGINT) AS chars_so_far, seq = max(seq) OVER (PARTITION BY floor((seq - 1) / 512)) AS closes FROM log WINDOW w AS (PARTITION BY floor((seq - 1) / 512) ORDER BY seq)")
+def _(t):
+    """Places and running sums inside a block, which only a callback that sees the block whole can give."""
+    from seqlake.functions.hooks import transform_blocks
+
+    def each(block, rows):
+        chars = rows.record.fillna("").str.len().cumsum()
+        return rows[["seq"]].assign(block=block, place=rows.index + 1, chars_so_far=chars, closes=rows.index == len(rows) - 1)[["block", "seq", "place", "chars_so_far", "closes"]]
+
+    return transform_blocks(t.log.select("seq", "record"), each, "block long, seq long, place long, chars_so_far long, closes boolean", 512)
+
+
 @query("x4_typed_decoder", f"SELECT seq, json_extract_string(record, '$.k') AS k FROM log WHERE collection = '{LIKE}' AND {MAKES}")
 def _(t):
     return L.typed_records(t.log, LIKE, "k string").select("seq", "decoded.k")

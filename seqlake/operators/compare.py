@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
+from seqlake.operators.ranges import Keyed
 from seqlake.plans.jobs import current_state, expected_compaction
 from seqlake.schema import RECORD_KEY
 
@@ -37,8 +37,7 @@ def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per account, rows by their rank in seq: missing, extra or mismatch."""
-    rank = F.row_number().over(Window.partitionBy("did").orderBy("seq"))
-    one, two = (_hashed(x, True).withColumn("rank", rank).select("did", "rank", F.col("seq").alias("seq" + k), F.concat_ws("|", "kind", "collection", "rkey", "rev", "payload").alias("row" + k)) for x, k in ((a, "_a"), (b, "_b")))
+    one, two = (Keyed(_hashed(x, True), ["did"], "seq").numbered("rank").select("did", "rank", F.col("seq").alias("seq" + k), F.concat_ws("|", "kind", "collection", "rkey", "rev", "payload").alias("row" + k)) for x, k in ((a, "_a"), (b, "_b")))
     rows = one.join(two, ["did", "rank"], "full_outer")
     diagnosis = F.when(F.col("row_b").isNull(), "missing").when(F.col("row_a").isNull(), "extra").when(F.col("row_a") != F.col("row_b"), "mismatch")
     return rows.select("did", "rank", "seq_a", "seq_b", diagnosis.alias("diagnosis")).where("diagnosis IS NOT NULL")

@@ -1,4 +1,7 @@
-"""Windows by record, account, host or source; none runs over the whole log at once."""
+"""Windows by record, account, host or source; none runs over the whole log at once.
+
+Orders inside an account or a source go by ranges (``ranges.Keyed``), as one of them may hold most of a log.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
-from seqlake.operators.ranges import numbered_within
+from seqlake.operators.ranges import Keyed, numbered_within
 from seqlake.schema import RECORD_KEY
 
 
@@ -27,7 +30,7 @@ def latest_by_rev(log: DataFrame) -> DataFrame:
 
 def seq_gaps(feed: DataFrame) -> DataFrame:
     """Gaps of (source, upstream_seq): expected, got and how many were skipped."""
-    rows = feed.withColumn("expected", F.lag("upstream_seq").over(Window.partitionBy("source").orderBy("upstream_seq")) + 1)
+    rows = Keyed(feed.select("source", "upstream_seq"), ["source"], "upstream_seq").previous(F.col("upstream_seq") + 1, "expected")
     return rows.where("upstream_seq > expected").select("source", "expected", F.col("upstream_seq").alias("got"), (F.col("upstream_seq") - F.col("expected")).alias("skipped"))
 
 
@@ -35,15 +38,14 @@ def check_invariants(log: DataFrame) -> DataFrame:
     """Violations (did, seq, fault): repeated seqs, commits without rev, revs that fall within an account."""
     twice = log.groupBy("seq").agg(F.min("did").alias("did"), F.count("*").alias("n")).where("n > 1").select("did", "seq", F.lit("repeated_seq").alias("fault"))
     none = log.where(S.is_commit() & (F.col("rev") == "")).select("did", "seq", F.lit("commit_without_rev").alias("fault"))
-    before = Window.partitionBy("did").orderBy("seq", "rev").rowsBetween(Window.unboundedPreceding, -1)
-    falls = log.where(S.is_commit()).withColumn("_top", F.max("rev").over(before)).where("rev < _top").select("did", "seq", F.lit("rev_falls").alias("fault"))
+    commits = Keyed(log.where(S.is_commit()).select("did", "seq", "rev"), ["did"], "seq", "rev")
+    falls = commits.max_before(F.col("rev"), "_top").where("rev < _top").select("did", "seq", F.lit("rev_falls").alias("fault"))
     return twice.unionByName(none).unionByName(falls)
 
 
 def drop_stale_revs(log: DataFrame) -> DataFrame:
     """Rows without commits whose rev isn't above all earlier revs of the account."""
-    before = Window.partitionBy("did").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("_top", F.max(F.when(S.is_commit(), F.col("rev"))).over(before))
+    rows = Keyed(log, ["did"], "seq").max_before(F.when(S.is_commit(), F.col("rev")), "_top")
     return rows.where(~F.coalesce(S.is_commit() & (F.col("rev") <= F.col("_top")), F.lit(False))).drop("_top")
 
 
@@ -106,8 +108,7 @@ def did_timeline(log: DataFrame, did: str, watermark: int) -> DataFrame:
 def status_as_of(log: DataFrame) -> DataFrame:
     """The hosting status in force at every event of an account."""
     given = F.when(F.col("kind") == "account", F.when(F.col("account_deleted"), "deleted").otherwise("active"))
-    so_far = Window.partitionBy("did").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("status_as_of", F.last(given, ignorenulls=True).over(so_far))
+    return Keyed(log, ["did"], "seq").last_known(given, "status_as_of")
 
 
 def coalesce_blocks(blocks: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ from seqlake.scratch import exists, new_path
 from seqlake.sources import logs as L
 from seqlake.streaming import live as T
 from tests.test_edge_cases import log
+from tests.test_keys_blocks_pace import ranges  # noqa: F401
 
 
-def test_ranges_against_plain_loops(spark):
+def test_ranges_against_plain_loops(spark, ranges):
     rng = random.Random(4)
     rows = [(k, rng.choice("aaab"), rng.randint(0, 50), rng.choice([None, None, rng.randint(0, 99)])) for k in rng.sample(range(1000), 700)]
     df = spark.createDataFrame(rows, "at int, host string, x int, y int").repartition(3)
