@@ -26,7 +26,7 @@ replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.scratch import Scratch
@@ -91,13 +91,23 @@ def removed_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, s
     return gone
 
 
+def without(lines: Column, drop: Column) -> Column:
+    """lines but those at the sorted positions drop, in the time of their number: the spans between dropped ones are cut out whole."""
+    def span(k):
+        start = F.when(k == 0, 0).otherwise(F.get(drop, k - 1) + 1)
+        end = F.coalesce(F.get(drop, k), F.size(lines))
+        return F.slice(lines, start + 1, end - start)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), span))
+
+
 def line_dedup(docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The documents with their boilerplate lines removed, plus n_lines_removed."""
     gone = removed_lines(docs, min_sites, id_col, text_col, site_col, Scratch(docs.sparkSession, "lines"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"))
     joined = rows.join(gone, rows["id"].eqNullSafe(gone["id"]) & (rows["row"] == gone["row"]), "left").select("doc", "drop")
     text = F.col("doc")[text_col]
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
+    kept = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(without(lines, F.col("drop")), "\n")), 0)
     return joined.select(
         *[F.when(F.col("drop").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns if c != "n_lines_removed"],
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_lines_removed"),
