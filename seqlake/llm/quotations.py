@@ -123,26 +123,33 @@ def conversations(messages: DataFrame, id_col: str = "id", text_col: str = "text
 def mail_from_turns(turns: DataFrame) -> DataFrame:
     """Messages (id, at, scope, text) from turns: each quotes the two turns before it, nested.
 
-    A turn's own text is followed by the one before as level 1 and the one before that as level 2.
+    A turn's own text is followed by the one before as level 1 and the one before that as level 2. A
+    message's id is the struct (conv_id, turn). Of rows that share both the least text is the turn's
+    (a null one counts as empty); a row without conv_id or turn is no turn of a conversation and is left out.
     """
-    own = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    own = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    own = own.groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     quote = lambda c, m: F.regexp_replace(F.col(c), r"(?md)^", m)
     back = lambda n: own.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
     joined = own.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
     text = F.concat_ws("\n", "text", quote("back1", "> "), quote("back2", ">> "))
-    return joined.select((F.shiftleft(F.col("conv_id"), 20) + F.col("turn")).alias("id"), F.col("turn").alias("at"), F.col("conv_id").alias("scope"), text.alias("text"))
+    return joined.select(F.struct("conv_id", "turn").alias("id"), F.col("turn").alias("at"), F.col("conv_id").alias("scope"), text.alias("text"))
 
 
 def op3_quotation_linking(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     out = conversations(mail_from_turns(turns))
-    return out.select(F.col("id").alias("message_id"), "parent_id", "root_id", "depth", "linked_passages", F.sha2("own_text", 256).alias("own_sha256"))
+    number = lambda c: (F.shiftleft(F.col(c)["conv_id"], 20) + F.col(c)["turn"])
+    return out.select(
+        number("id").alias("message_id"), number("parent_id").alias("parent_id"), number("root_id").alias("root_id"), "depth", "linked_passages",
+        F.sha2("own_text", 256).alias("own_sha256"), "id.conv_id", "id.turn",
+    )
 
 
 OP3_SQL = r"""
-WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+WITH RECURSIVE c AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 m AS (
-  SELECT (c.conv_id << 20) + c.turn AS id, c.turn AS t, c.conv_id AS scope,
+  SELECT (c.conv_id << 20) + c.turn AS id, c.conv_id, c.turn, c.turn AS t, c.conv_id AS scope,
     concat_ws(chr(10), c.text, regexp_replace(x.text, '(?m)^', '> ', 'g'), regexp_replace(y.text, '(?m)^', '>> ', 'g')) AS text
   FROM c LEFT JOIN c x ON x.conv_id = c.conv_id AND x.turn = c.turn - 1 LEFT JOIN c y ON y.conv_id = c.conv_id AND y.turn = c.turn - 2),
 raw AS (SELECT id, t, scope, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM m),
@@ -159,6 +166,6 @@ b AS (SELECT id, level, max(o).id AS parent, count(*) AS passages, row_number()
 up AS (SELECT id, parent, passages FROM b WHERE k = 1),
 r AS (SELECT m.id, m.id AS root, 0 AS depth FROM m WHERE id NOT IN (SELECT id FROM up) UNION ALL SELECT up.id, r.root, r.depth + 1 FROM r JOIN up ON up.parent = r.id),
 own AS (SELECT id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (mark = ''), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own FROM l GROUP BY id)
-SELECT r.id AS message_id, up.parent AS parent_id, r.root AS root_id, r.depth, coalesce(up.passages, 0) AS linked_passages, sha256(own.own) AS own_sha256
-FROM r LEFT JOIN up ON r.id = up.id JOIN own ON r.id = own.id
+SELECT r.id AS message_id, up.parent AS parent_id, r.root AS root_id, r.depth, coalesce(up.passages, 0) AS linked_passages, sha256(own.own) AS own_sha256, m.conv_id, m.turn
+FROM r JOIN m ON r.id = m.id LEFT JOIN up ON r.id = up.id JOIN own ON r.id = own.id
 """
