@@ -171,7 +171,11 @@ class LanguageModel:
 
 
 def sample_of(known: DataFrame, most: int) -> DataFrame:
-    """Of (id, row, lang, ...), (id, row, lang, k): the rows of each lang with the ``most`` smallest hashes, k from 1."""
+    """Of (id, row, lang, ...), (id, row, lang, k): the rows of each lang with the ``most`` smallest hashes, k from 1.
+
+    Rows repeated with one id and text count once, so copies can't fill the sample.
+    """
+    known = known.select("id", "row", "lang").distinct()
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row per label
     share = F.least(F.lit(1.0), (2.0 * most + 64) / F.col("n"))
     u = F.shiftrightunsigned(F.xxhash64("id", "row"), 11) / float(1 << 53)
