@@ -8,8 +8,9 @@ only overflowing keys leave their home.
 The ring is cut into ``cells`` equal hash ranges. Spark counts keys per cell; that table has at
 most ``cells`` rows whatever the input's size, and the walk of the overflow over it is done on
 counts alone. The resulting plan (cell, from_rank, shard, from_slot) is joined back to the
-keys, which take their place by rank inside their cell. No group of keys meets in one task
-but the keys of one cell, an even 1/65536 of the table by hash of the id.
+keys, which take their place by rank inside their cell. Ranks are numbered over ranges of
+(cell, hash, id, text, place in the input), so a cell of any size, as of rows that share an id or
+have none, is spread over tasks.
 
 Capacities: floor(n / shards), one more for the first n mod shards shards. Their sum is n, so
 every shard is filled exactly and counts differ by one at most (law ``rows``).
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqlake.operators.ranges import Keyed
+
 CELLS = 1 << 16
 
 
@@ -83,8 +86,8 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     plan = walk(counts, capacity, ring_points(shards, vnodes))
     steps = spark.createDataFrame(plan, "cell int, from_rank long, shard int, from_slot long")
     bounds = steps.withColumn("to_rank", F.lead("from_rank").over(Window.partitionBy("cell").orderBy("from_rank")))
-    in_cell = Window.partitionBy("cell").orderBy("hash", "id", "text_crc32", "size")
-    ranked = rows.withColumn("hash", hashed).withColumn("cell", cell).withColumn("rank", F.row_number().over(in_cell) - 1)
+    celled = rows.withColumn("hash", hashed).withColumn("cell", cell).withColumn("row", F.monotonically_increasing_id())
+    ranked = Keyed(celled, ["cell"], "hash", "id", "text_crc32", "size", "row").numbered("rank").withColumn("rank", F.col("rank") - 1)
     placed = ranked.join(F.broadcast(bounds), "cell").where("rank >= from_rank AND (to_rank IS NULL OR rank < to_rank)")
     return placed.select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("from_slot") + F.col("rank") - F.col("from_rank")).alias("slot")

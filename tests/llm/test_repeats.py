@@ -1,10 +1,11 @@
 """Repeated rows, clashing ids and very many lines."""
 
 import time
+import zlib
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import language_id, line_dedup, quotations
+from seqlake.llm import language_id, line_dedup, quotations, sharding
 
 
 def test_lines_are_cut_in_the_time_of_their_number(spark):
@@ -45,3 +46,27 @@ def test_turns_that_repeat_clash_or_lack_a_key(spark):
     assert out.count() == len(got) == 6
     assert tuple(got[(1, 2)].parent_id) == (1, 1) and tuple(got[(1, 2)].root_id) == (1, 0) and got[(1, 2)].depth == 2
     assert got[(2, 0)].own_text == "Two." and got[(1, 1 << 20)].own_text == "Far." and got[(3, 0)].own_text == ""
+
+
+def test_rows_that_share_an_id_are_ranked_in_many_tasks(spark):
+    rows = [(7, "same")] * 3000 + [(None, f"text {k % 50}") for k in range(3000)] + [(k, "other") for k in range(100, 3100)]
+    placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 8)
+    got = placed.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.doc_id or 0, r.text_crc32) for r in got) == sorted((d or 0, zlib.crc32(t.encode())) for d, t in rows)
+    slots = {s: sorted(r.slot for r in got if r.shard == s) for s in range(8)}
+    assert all(slots[s] == list(range(1125)) for s in range(8))
+    again = {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard(spark.createDataFrame(rows[::-1], "doc_id long, text string"), 8).collect()}
+    assert again == {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in got}
+
+
+def test_a_cell_of_any_size_is_dealt_to_ranges(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 4000, 1, 4).select(F.lit(1).alias("cell"), F.lit(5).alias("hash"), F.monotonically_increasing_id().alias("row"))
+        keyed = sharding.Keyed(rows, ["cell"], "hash", "row")
+        sizes = [r["count"] for r in keyed.rows.groupBy("_part").count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 4000 * 2 / len(sizes)
+        assert sorted(r.n for r in keyed.numbered("n").select("n").collect()) == list(range(1, 4001))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
