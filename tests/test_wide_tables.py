@@ -5,6 +5,7 @@ import pytest
 
 from seqlake.catalog import flows  # noqa: F401
 from seqlake.catalog.queries import ORACLE, QUERIES
+from seqlake.operators import paging as P
 from seqlake.scratch import new_path
 from tests.test_catalog import rows
 
@@ -38,3 +39,11 @@ def test_accounts_of_long_numbers_stay_apart(spark, wide):
     folder, con = wide
     same(spark, wide, "m23_move_accounts")
     assert QUERIES["m23_move_accounts"](spark, folder).count() == con.execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
+
+
+def test_a_page_of_rejected_rows_has_one_order(spark, wide):
+    same(spark, wide, "p5_list_rejected")
+    tied = [(1 + k // 7, f"{k * 5 % 21}:x", "host_mismatch") for k in range(21)]
+    for parts in (1, 5):
+        page = P.list_rejected(spark.createDataFrame(tied, "id long, idempotency_key string, reason string").repartition(parts), 0, 10)
+        assert [tuple(r) for r in page.collect()] == sorted(tied)[:10]
