@@ -47,3 +47,11 @@ def test_a_page_of_rejected_rows_has_one_order(spark, wide):
     for parts in (1, 5):
         page = P.list_rejected(spark.createDataFrame(tied, "id long, idempotency_key string, reason string").repartition(parts), 0, 10)
         assert [tuple(r) for r in page.collect()] == sorted(tied)[:10]
+
+
+def test_a_replay_has_no_more_micro_batches_for_a_longer_log(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(flows, "new_path", lambda *a: made.append(new_path(*a)) or made[-1])
+    assert QUERIES["s16_stream_log"](spark, "/root/testdata/sf0.1").count() == 100_000
+    batches = spark.read.text(f"{made[-1]}-offsets/commits").select("_metadata.file_name").distinct().count()
+    assert 1 < batches <= 10
