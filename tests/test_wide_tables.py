@@ -55,3 +55,10 @@ def test_a_replay_has_no_more_micro_batches_for_a_longer_log(spark, monkeypatch)
     assert QUERIES["s16_stream_log"](spark, "/root/testdata/sf0.1").count() == 100_000
     batches = spark.read.text(f"{made[-1]}-offsets/commits").select("_metadata.file_name").distinct().count()
     assert 1 < batches <= 10
+
+
+def test_details_of_jobs_that_share_an_inventory(spark, wide):
+    """j19: the rows of all jobs are made by the last join and move no more."""
+    same(spark, wide, "j19_repository_details")
+    plan = QUERIES["j19_repository_details"](spark, wide[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("job_id") and [line for line in plan.splitlines() if " Join" in line or line.startswith("+- Join")][0].count("_salt") >= 2
