@@ -212,10 +212,10 @@ def activity_rollup(log: DataFrame) -> DataFrame:
     return out
 
 
-def inventory_progress(details: DataFrame, now: int) -> DataFrame:
-    """Per job: totals, and the next deadline with its reason."""
+def inventory_progress(details: DataFrame, now: int, key: str = "job_id") -> DataFrame:
+    """Per job, or per key that jobs with one inventory share: totals, and the next deadline with its reason."""
     wait = (F.col("state") == "waiting") & (F.col("due") > now)
-    return details.groupBy("job_id").agg(
+    return details.groupBy(key).agg(
         F.count("*").alias("total"), F.count_if(F.col("state") == "completed").alias("completed"), F.count_if(F.col("state") == "waiting").alias("waiting"),
         F.min(F.when(wait, F.col("due"))).alias("next_due"), F.min_by("wait_reason", F.when(wait, F.struct("due", "wait_reason"))).alias("next_reason"),
     )

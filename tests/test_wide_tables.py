@@ -62,3 +62,25 @@ def test_details_of_jobs_that_share_an_inventory(spark, wide):
     same(spark, wide, "j19_repository_details")
     plan = QUERIES["j19_repository_details"](spark, wide[0])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("job_id") and [line for line in plan.splitlines() if " Join" in line or line.startswith("+- Join")][0].count("_salt") >= 2
+
+
+def most_rows(frame):
+    """Of all steps that a query has run, the most rows that one gave."""
+    found, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+            continue
+        rows = plan.metrics().get("numOutputRows")
+        found = max(found, rows.get().value()) if rows.isDefined() else found
+        inner = [plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else []
+        todo += inner + [plan.children().apply(k) for k in range(plan.children().size())]
+    return found
+
+
+def test_jobs_with_one_inventory_are_counted_once(spark, wide):
+    same(spark, wide, "a25_inventory_progress")
+    got = QUERIES["a25_inventory_progress"](spark, wide[0])
+    got.collect()
+    assert most_rows(got) <= 3000  # as many as events; jobs times accounts are more
