@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
-from seqlake.operators.filters import DROP_REASONS
+from seqlake.operators.filters import DROP_REASONS, small
 from seqlake.operators.windows import latest_acquisition
 
 SENTINELS = {"account": "$account", "identity": "$identity", "sync": "$sync"}
@@ -112,13 +112,16 @@ def backfill_progress(repo_status: DataFrame, top: int = 5) -> tuple[DataFrame,
     return totals, hosts.where("remaining > 0").orderBy(F.desc("remaining"), "pds_host").limit(top)
 
 
-def acquisition(details: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Evidence per job from its repositories; unknown inventories give null, never zero."""
-    seen = details.groupBy("job_id").agg(
+def acquisition(details: DataFrame, jobs: DataFrame, key: str = "job_id") -> DataFrame:
+    """Evidence per job from its repositories; unknown inventories give null, never zero.
+
+    Details are those of a job, or of a key (a column of both) whose jobs share one inventory.
+    """
+    seen = details.groupBy(key).agg(
         F.count_if(F.col("state") == "completed").alias("scanned"), F.count_if(F.col("matching")).alias("matching"),
         F.count_if(~F.col("matching")).alias("no_match"), F.sum("records").alias("attributable_records"),
     )
-    rows = jobs.select("job_id", "job_state", F.when(F.col("total_known"), F.col("total_repos")).alias("initial_inventory")).join(seen, "job_id", "left")
+    rows = jobs.select(*dict.fromkeys(["job_id", key]), "job_state", F.when(F.col("total_known"), F.col("total_repos")).alias("initial_inventory")).join(small(seen), key, "left")
     state = F.when(F.col("job_state").isin("pending", "running"), "running").when(F.col("job_state") == "incomplete", "stopped_incomplete").otherwise(F.col("job_state"))
     left = F.when(F.col("initial_inventory").isNotNull() & F.col("scanned").isNotNull(), F.greatest(F.lit(0), F.col("initial_inventory") - F.col("scanned")))
     return rows.select("job_id", state.alias("state"), "initial_inventory", "scanned", "matching", "no_match", "attributable_records", left.alias("unresolved"))

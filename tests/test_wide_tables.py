@@ -84,3 +84,10 @@ def test_jobs_with_one_inventory_are_counted_once(spark, wide):
     got = QUERIES["a25_inventory_progress"](spark, wide[0])
     got.collect()
     assert most_rows(got) <= 3000  # as many as events; jobs times accounts are more
+
+
+def test_evidence_of_a_host_is_gathered_once(spark, wide):
+    same(spark, wide, "a13_acquisition")
+    got = QUERIES["a13_acquisition"](spark, wide[0])
+    got.collect()
+    assert most_rows(got) <= 3000
