@@ -91,3 +91,12 @@ def test_evidence_of_a_host_is_gathered_once(spark, wide):
     got = QUERIES["a13_acquisition"](spark, wide[0])
     got.collect()
     assert most_rows(got) <= 3000
+
+
+def test_a_page_of_one_job_reads_no_other_jobs_listing(spark, wide, monkeypatch):
+    same(spark, wide, "p12_inventory")
+    asked = []
+    whole = type(spark.range(1)).agg
+    monkeypatch.setattr(type(spark.range(1)), "agg", lambda rows, *c: asked.append(rows.columns) or whole(rows, *c))
+    QUERIES["p12_inventory"](spark, wide[0])
+    assert asked and all("did" not in columns for columns in asked)
