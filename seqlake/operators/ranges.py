@@ -50,7 +50,9 @@ class Ranged:
         firsts = self.rows.groupBy(PART).agg(F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_first"))
         later = Window.orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
         firsts = firsts.withColumn("_after", F.first("_first", ignorenulls=True).over(later))
-        own = F.first(value, ignorenulls=True).over(self.inside.rowsBetween(0, Window.unboundedFollowing))
+        # backwards, as Spark goes through all following rows again for each row of a frame that ends with the partition
+        back = Window.partitionBy(PART).orderBy(*[(F.col(c) if isinstance(c, str) else c).desc() for c in self.order])
+        own = F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
         return self._with(firsts, "_after").withColumn(name, F.coalesce(own, "_after")).drop(PART, "_after")
 
 

@@ -155,22 +155,21 @@ def resolve_cursors(cursors: DataFrame, log: DataFrame, index: DataFrame, now_mi
     """(cursor, mode, start_seq, clamped) of a table of cursors.
 
     Values below 10^15 are seqs, others are times: a time means the first seq witnessed at or after
-    it. Times are first located in a block of the index, then inside that block only: blocks in
-    order raise their running maximum of time, so cursors and blocks are merged in order of time,
-    and each cursor takes the next block's id. No cursor is compared with all blocks.
+    it. Only rows that raise the running maximum of time can be such a first one. They lie in blocks
+    of the index that raise it, and only those blocks are read. In order of time they are in order of
+    seq too, so cursors and these rows are merged by time, and each cursor takes the next row's seq.
     """
     top = index.agg(F.max("max_seq").alias("_top"))
     rows = cursors.select("cursor").distinct().crossJoin(F.broadcast(top))
     as_time = F.col("cursor") >= 10**15
     timed = rows.where(as_time & (F.col("cursor") <= now_micros)).select("cursor")
     blocks = Ranged(index.select("block", "max_time"), "block").running_max(F.col("max_time"), "_reached")
-    reached = blocks.groupBy("_reached").agg(F.min("block").alias("_block"))
-    merged = timed.select(F.col("cursor").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_block")).unionByName(
-        reached.select(F.col("_reached").alias("_at"), F.lit(1).alias("_side"), F.col("_block").cast("long").alias("_block"))
-    )
-    located = Ranged(merged, "_at", "_side").next_known(F.col("_block"), "block").where("_side = 0 AND block IS NOT NULL").select(F.col("_at").alias("cursor"), "block")
-    inside = A.with_block(log.select("seq", "witnessed_at"), rows_per_block)
-    firsts = located.join(inside, "block").where("witnessed_at >= cursor").groupBy("cursor").agg(F.min("seq").alias("_first"))
+    raising = blocks.groupBy("_reached").agg(F.min("block").alias("block"))
+    inside = A.with_block(log.select("seq", "witnessed_at"), rows_per_block).join(raising.select("block"), "block", "left_semi")
+    earlier = Ranged(inside, "seq").running_max(F.col("witnessed_at"), "_reached").where("witnessed_at = _reached")
+    firsts = earlier.groupBy(F.col("witnessed_at").alias("_at")).agg(F.min("seq").alias("_seq"))
+    merged = timed.select(F.col("cursor").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_seq")).unionByName(firsts.select("_at", F.lit(1).alias("_side"), "_seq"))
+    firsts = Ranged(merged, "_at", "_side").next_known(F.col("_seq"), "_first").where("_side = 0").select(F.col("_at").alias("cursor"), "_first")
     rows = rows.join(firsts, "cursor", "left")
     live = F.when(as_time, F.col("cursor") > now_micros).otherwise(F.col("cursor") > F.col("_top"))
     raw = F.when(as_time, F.coalesce("_first", F.col("_top") + 1)).otherwise(F.greatest("cursor", F.lit(1)))
