@@ -119,3 +119,18 @@ def test_cursors_of_a_block_are_not_met_with_its_rows(spark, times):
     firsts = got.collect()
     assert {r.cursor: r.start_seq for r in firsts if r.cursor >= base} == {c: next((s for s, t, _ in log if t >= c), n + 1) for c in asked if c >= base}
     assert most_rows(got) <= 5 * n
+
+
+def test_parts_of_a_stream_are_written_by_all_their_tasks(spark):
+    """One micro-batch per part, of several files."""
+    from pyspark.sql import functions as F
+
+    from seqlake.catalog.tables import Tables
+
+    rows = spark.range(0, 4000, numPartitions=8).withColumnRenamed("id", "seq")
+    seen = []
+    note = lambda batch, k: seen.append((k, batch.count(), batch.agg(F.min("seq")).first()[0], batch.select("_metadata.file_path").distinct().count()))
+    path = new_path(spark, "turns")
+    start = lambda s: s.select("seq", "_metadata").writeStream.foreachBatch(note).option("checkpointLocation", path).trigger(availableNow=True).start()
+    flows.in_turn(Tables(spark, "/root/testdata/sf0.001"), flows.halves(rows, "seq", 1499)[::-1], "turns", start)
+    assert [s[:3] for s in seen] == [(0, 2500, 1500), (1, 1500, 0)] and all(s[3] > 1 for s in seen)
