@@ -14,7 +14,7 @@ from seqlake.catalog.queries import (
 from seqlake.catalog.tables import Tables
 from seqlake.operators import aggregates as A
 from seqlake.schema import LOG
-from seqlake.scratch import new_path
+from seqlake.scratch import new_path, stored
 from seqlake.sources import logs as L
 from seqlake.sources.bucketed import BucketedLog
 from seqlake.sources.paced import paced_log
@@ -229,8 +229,9 @@ def _(t):
 @query("t5_continuity_loss", "SELECT source, expected, got, CAST(got - expected AS BIGINT) AS skipped FROM (SELECT source, expected, upstream_seq AS got, row_number() OVER (PARTITION BY source ORDER BY upstream_seq) AS k FROM (SELECT source, upstream_seq, lag(upstream_seq) OVER (PARTITION BY source ORDER BY upstream_seq) + 1 AS expected FROM feed) WHERE upstream_seq > expected) WHERE k = 1")
 def _(t):
     path = new_path(t.spark, "gaps")
-    middle = t.feed.agg(F.floor(F.max("upstream_seq") / 2)).first()[0]
-    in_turn(t, halves(t.feed, "upstream_seq", middle), "feed", lambda rows: T.continuity_loss(rows, path, f"{path}-offsets"))
+    feed = stored(t.feed, "feed")
+    middle = feed.agg(F.floor(F.max("upstream_seq") / 2)).first()[0]
+    in_turn(t, halves(feed, "upstream_seq", middle), "feed", lambda rows: T.continuity_loss(rows, path, f"{path}-offsets"))
     return t.spark.read.schema("source long, expected long, got long, skipped long").parquet(path).drop("batch")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from seqlake.functions import scalars as S
 from seqlake.operators import filters as FL
-from seqlake.operators.ranges import Ranged
+from seqlake.operators.ranges import Keyed, Ranged
 from seqlake.operators.windows import latest_version
 from seqlake.schema import LOG
 from seqlake.scratch import delete, exists
@@ -192,9 +192,9 @@ def drop_stale_resync(stream: DataFrame, path: str, checkpoint: str) -> Streamin
 
 def gaps_of(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first gaps, new state) of a micro-batch of (source, upstream_seq), given (source, last, told) of its sources."""
-    order = Window.partitionBy("source").orderBy("upstream_seq")
-    rows = batch.select("source", "upstream_seq").distinct().join(state, "source", "left")
-    before = F.greatest(F.lag("upstream_seq").over(order), F.col("last"))
+    rows = Keyed(batch.select("source", "upstream_seq").distinct(), ["source"], "upstream_seq").previous(F.col("upstream_seq"), "_before")
+    rows = rows.join(state, "source", "left")
+    before = F.greatest("_before", "last")
     gaps = rows.withColumn("expected", before + 1).where("upstream_seq > expected AND NOT coalesce(told, false)")
     first = gaps.groupBy("source").agg(F.min(F.struct("upstream_seq", "expected")).alias("x"))
     first = first.select("source", F.col("x.expected").alias("expected"), F.col("x.upstream_seq").alias("got"), (F.col("x.upstream_seq") - F.col("x.expected")).alias("skipped"))

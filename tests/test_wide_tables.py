@@ -134,3 +134,14 @@ def test_parts_of_a_stream_are_written_by_all_their_tasks(spark):
     start = lambda s: s.select("seq", "_metadata").writeStream.foreachBatch(note).option("checkpointLocation", path).trigger(availableNow=True).start()
     flows.in_turn(Tables(spark, "/root/testdata/sf0.001"), flows.halves(rows, "seq", 1499)[::-1], "turns", start)
     assert [s[:3] for s in seen] == [(0, 2500, 1500), (1, 1500, 0)] and all(s[3] > 1 for s in seen)
+
+
+def test_gaps_of_one_source_are_found_over_ranges(spark):
+    """t5: a source with all rows is spread over tasks, by ranges."""
+    from seqlake.streaming import live as T
+
+    feed = spark.range(1, 4001).where("id % 977 <> 0").selectExpr("0L AS source", "id AS upstream_seq").repartition(5)
+    state = spark.createDataFrame([], "source long, last long, told boolean")
+    first, new = T.gaps_of(feed, state)
+    assert "_part" in first._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in first.collect()] == [(0, 977, 978, 1)] and [tuple(r) for r in new.collect()] == [(0, 4000, True)]
