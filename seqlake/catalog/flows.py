@@ -280,7 +280,8 @@ def _(t):
 def _(t):
     """One stream counts panes; all three limits of a host come from them. Limits are low here, so that some are passed."""
     rows = t.log.join(t.accounts.select("did", "host_id"), "did").select("host_id", "witnessed_at")
-    panes = collected(t, T.rate_panes(stream_of(t, closing(rows, host_id=-1), "rates")), "panes")
+    with T.state_on_disk(t.spark):
+        panes = collected(t, T.rate_panes(stream_of(t, closing(rows, host_id=-1), "rates")), "panes")
     hour = F.when(F.col("trusted"), 50_000_000).otherwise(F.floor(F.col("account_limit") / 5))
     rates = [F.lit(0).cast("long").alias("per_second"), hour.cast("long").alias("per_hour"), F.col("account_limit").cast("long").alias("per_day")]
     return T.host_limits(panes, t.hosts, rates)

@@ -8,7 +8,8 @@ earlier ones wrote to the target, and none writes the whole state again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,18 @@ def _foreach(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpo
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep Spark's state in RocksDB, so it may outgrow a task's memory."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Marks:
     """One row per micro-batch beside its output: what the next one has to know, such as the last seq.
 
@@ -224,7 +237,6 @@ def directory_stream(stream: DataFrame, path: str, checkpoint: str) -> Streaming
     last micro-batch of each pair; a micro-batch asks only for its own pairs, and those whose first
     is the last are new. A retried micro-batch keeps its time, so it gives the same pairs.
     """
-    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     rows = stream.where(F.col("kind").isin("create", "update")).withColumn("_batch", F.current_timestamp())
     pairs = rows.groupBy("collection", "did").agg(
         F.min("_batch").alias("_first"), F.max("_batch").alias("_last"), F.min(F.floor(F.col("witnessed_at") / 1000)).alias("seen_ms")
@@ -233,12 +245,8 @@ def directory_stream(stream: DataFrame, path: str, checkpoint: str) -> Streaming
     def add(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch.where("_first = _last").select("collection", "did", "seen_ms"), path, batch_id)
 
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)
-    try:
+    with state_on_disk(stream.sparkSession):
         return _foreach(pairs, add, checkpoint, "update")
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def dau_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -261,7 +269,10 @@ def rate_windows(stream: DataFrame, hosts: DataFrame, size: str, slide: str, lim
 
 
 def rate_panes(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Events per host and second: counted once, whatever windows are asked of them later."""
+    """Events per host and second: counted once, whatever windows are asked of them later.
+
+    A pane is state until the watermark passes it: start the stream inside ``state_on_disk``.
+    """
     rows = stream.withColumn("ts", F.timestamp_micros("witnessed_at")).withWatermark("ts", watermark)
     panes = rows.groupBy(F.window("ts", "1 second").alias("pane"), "host_id").agg(F.count("*").alias("events"))
     return panes.select("host_id", F.unix_seconds("pane.start").alias("second"), "events")

@@ -1,5 +1,7 @@
 """Queries on tables whose keys outgrow the small folders: against their SQL, and against plain forms."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -145,3 +147,13 @@ def test_gaps_of_one_source_are_found_over_ranges(spark):
     first, new = T.gaps_of(feed, state)
     assert "_part" in first._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in first.collect()] == [(0, 977, 978, 1)] and [tuple(r) for r in new.collect()] == [(0, 4000, True)]
+
+
+def test_panes_are_kept_on_disk(spark, wide, monkeypatch):
+    same(spark, wide, "t8_host_limits")
+    made = []
+    monkeypatch.setattr(flows, "new_path", lambda *a: made.append(new_path(*a)) or made[-1])
+    QUERIES["t8_host_limits"](spark, wide[0])
+    panes = next(p for p in made if "/panes-" in p).removeprefix("file://")
+    kept = [f for _, _, files in os.walk(f"{panes}-offsets/state") for f in files]
+    assert any(f.endswith((".zip", ".changelog")) for f in kept)
