@@ -157,3 +157,10 @@ def test_panes_are_kept_on_disk(spark, wide, monkeypatch):
     panes = next(p for p in made if "/panes-" in p).removeprefix("file://")
     kept = [f for _, _, files in os.walk(f"{panes}-offsets/state") for f in files]
     assert any(f.endswith((".zip", ".changelog")) for f in kept)
+
+
+@pytest.mark.parametrize("name", ["j13_check_source_host", "t9_token_bucket"])
+def test_an_event_meets_its_own_account_only(spark, wide, name):
+    """Users that shared a did made several rows of an event."""
+    same(spark, wide, name)
+    assert QUERIES[name](spark, wide[0]).count() == 3000
