@@ -1,23 +1,27 @@
 """A log in buckets of seqs, of which jobs rewrite those that they change.
 
-A bucket holds a fixed span of seqs. Its files stand in the folder of the generation that wrote it
-last; a generation's manifest (a row per bucket: version, events, bounds of seq and time) says
-which that is. A job writes new versions of some buckets, then a manifest, and publishes it by one
-rename, so a crash before that leaves the old log, and readers of a generation never see another.
-Generations that no reader needs are deleted by ``vacuum``.
+A bucket holds a fixed span of seqs and lies whole in one file, which many buckets share: files follow
+the rows, not the buckets. A generation's manifest (a row per bucket: version, events, bounds of
+seq and time, file) says which generation wrote a bucket last, and where. A job writes new versions
+of some buckets, then a manifest, and publishes it by one rename, so a crash before that leaves the
+old log, and readers of a generation never see another. Generations that no reader needs are deleted
+by ``vacuum``, which moves the buckets that are still named out of files that hold others; where
+they went is a table of its own (``moved``, published like a manifest).
 
 Two indexes say which buckets may hold wanted rows. ``mentions`` has the kinds and collections of
 each bucket. ``accounts`` has, per slot of hashed accounts, a bitmap of the buckets that hold one of
 them; the bitmaps of several slots are united by Spark's bitmap aggregates. Rewrites take rows
 away or patch times, so both stay right without being written again: nothing wanted lies outside.
 
-The driver holds manifests, a row per bucket; rows of the log stay in Spark.
+Manifests and sets of buckets are tables; the driver holds a row per file, and a row per bucket only
+where a caller asks for a set. Rows of the log stay in Spark.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +33,9 @@ from seqlake.operators.folds import fold_tombstones, killed
 from seqlake.operators.joins import resolve_imported_time
 from seqlake.scratch import delete, exists, stored
 
-MANIFEST = "bucket long, version int, events long, min_seq long, max_seq long, min_time long, max_time long"
+MANIFEST = "bucket long, version int, events long, min_seq long, max_seq long, min_time long, max_time long, file string"
+MOVED = "bucket long, version int, file string"
+EXTENT = 1 << 17  # seqs whose buckets are written by one task
 PAGE_BITS = 32_768  # fixed value: bits of a bitmap of Spark's aggregates
 
 
@@ -59,44 +65,73 @@ class BucketedLog:
 
     def manifest(self, generation: int | None = None) -> DataFrame:
         generation = self.generation() if generation is None else generation
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/gen={generation}")
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/gen={generation}")
+        moves = self._generations("moved")
+        if not moves:
+            return rows
+        moved = self.spark.read.schema(MOVED).parquet(f"{self.path}/moved/gen={moves[-1]}").withColumnRenamed("file", "_moved")
+        return rows.join(moved, ["bucket", "version"], "left").withColumn("file", F.coalesce("_moved", "file")).select(*rows.columns)
 
     def versions(self, generation: int | None = None) -> dict[int, int]:
         """{bucket: generation that wrote it last}."""
         return {r.bucket: r.version for r in self.manifest(generation).select("bucket", "version").collect()}
 
-    def _files(self, versions: dict[int, int]) -> DataFrame:
+    def _some(self, buckets: set[int] | DataFrame) -> DataFrame:
+        """A set of buckets as a table."""
+        if isinstance(buckets, DataFrame):
+            return buckets.select("bucket")
+        return stored(self.spark.createDataFrame([(b,) for b in buckets], "bucket long"), "buckets")
+
+    def _place(self) -> Column:
+        """A row's file, as manifests name it."""
+        return F.substring_index("_metadata.file_path", "/data/", -1)
+
+    def _rows(self, named: DataFrame) -> DataFrame:
+        """Rows of these buckets (bucket, file); only files that hold one of them are touched."""
+        named = stored(named.select("bucket", F.col("file").alias("_file")), "named")
         schema = self.spark.read.parquet(f"{self.path}/schema").schema
-        paths = [f"{self.path}/data/gen={v}/bucket={b}" for b, v in versions.items()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def read(self, generation: int | None = None, buckets: set[int] | None = None, after: int = 0, before: int | None = None) -> DataFrame:
-        """Rows of a generation, of some buckets only, in a window of seqs; other buckets' files are not touched."""
-        low = after // self.span
-        high = None if before is None else (before - 1) // self.span
-        inside = lambda b: (buckets is None or b in buckets) and b >= low and (high is None or b <= high)
-        rows = self._files({b: v for b, v in self.versions(generation).items() if inside(b)}).where(F.col("seq") > after)
+        paths = [f"{self.path}/data/{r[0]}" for r in named.select("_file").distinct().collect()]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        rows = rows.select("*", self._bucket().alias("bucket"), self._place().alias("_file"))
+        return rows.join(named, ["bucket", "_file"], "left_semi").select(schema.names)
+
+    def read(self, generation: int | None = None, buckets: set[int] | DataFrame | None = None, after: int = 0, before: int | None = None) -> DataFrame:
+        """Rows of a generation, of some buckets only, in a window of seqs; files without one of these buckets are not touched."""
+        named = self.manifest(generation).where(F.col("bucket") >= after // self.span)
+        named = named if before is None else named.where(F.col("bucket") <= (before - 1) // self.span)
+        named = named if buckets is None else named.join(self._some(buckets), "bucket", "left_semi")
+        rows = self._rows(named).where(F.col("seq") > after)
         return rows if before is None else rows.where(F.col("seq") <= before)
 
     # ---- writing
 
-    def _write(self, rows: DataFrame, generation: int) -> DataFrame:
-        """Write the buckets of rows as a generation's versions; their manifest rows."""
-        path = f"{self.path}/data/gen={generation}"
-        dealt = rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", "seq")
-        dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
-        back = self.spark.read.schema(f"{rows.select('seq', 'witnessed_at').schema.simpleString()[7:-1].replace(':', ' ')}, bucket long").parquet(path)
-        return back.groupBy("bucket").agg(
-            F.lit(generation).alias("version"), F.count("*").alias("events"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),
+    def _write(self, rows: DataFrame, folder: str) -> DataFrame:
+        """Write the buckets of rows to a folder; their manifest rows without a version.
+
+        A task writes the buckets of some extents to one file, and AQE gives small extents to one task.
+        """
+        path = f"{self.path}/data/{folder}"
+        extent = F.floor((F.col("seq") - 1) / self.span / max(1, EXTENT // self.span))
+        rows.repartition(extent).sortWithinPartitions("seq").write.mode("overwrite").option("compression", "zstd").parquet(path)
+        back = self.spark.read.schema(rows.select("seq", "witnessed_at").schema).parquet(path)
+        return back.select("*", self._bucket().alias("bucket"), self._place().alias("file")).groupBy("bucket", "file").agg(
+            F.count("*").alias("events"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),
             F.min("witnessed_at").alias("min_time"), F.max("witnessed_at").alias("max_time"),
         )
 
-    def _publish(self, rows: DataFrame, generation: int) -> None:
+    def _written(self, rows: DataFrame, generation: int) -> DataFrame:
+        """Write the buckets of rows as a generation's versions; their manifest rows."""
+        told = self._write(rows, f"gen={generation}").withColumn("version", F.lit(generation))
+        return told.select([c.split()[0] for c in MANIFEST.split(", ")])
+
+    def _publish(self, rows: DataFrame, generation: int, folder: str = "manifest") -> None:
         """Make rows the manifest of a generation, by one rename."""
-        path = f"{self.path}/manifest/gen={generation}"
+        path = f"{self.path}/{folder}/gen={generation}"
         if exists(self.spark, path):
             raise ValueError(f"generation {generation} is published already: another job was faster")
-        hidden = f"{self.path}/manifest/_{uuid.uuid4().hex}"
+        hidden = f"{self.path}/{folder}/_{uuid.uuid4().hex}"
         rows.coalesce(1).write.parquet(hidden)
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         if not fs_path(hidden).getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(fs_path(hidden), fs_path(path)):
@@ -104,7 +139,7 @@ class BucketedLog:
 
     def _index(self, rows: DataFrame, generation: int) -> None:
         rows = rows.withColumn("bucket", self._bucket())
-        rows.select("bucket", S.kind_class().alias("kind"), "collection").distinct().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/mentions/gen={generation}")
+        rows.select("bucket", S.kind_class().alias("kind"), "collection").distinct().write.mode("overwrite").parquet(f"{self.path}/mentions/gen={generation}")
         bits = rows.select(self._slot().alias("slot"), (F.col("bucket") + 1).alias("_b")).groupBy("slot", F.bitmap_bucket_number("_b").alias("page"))
         bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("bits")).write.mode("overwrite").parquet(f"{self.path}/accounts/gen={generation}")
 
@@ -114,36 +149,53 @@ class BucketedLog:
         if old < 0:
             rows.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
         rows = stored(rows, "append")
-        touched = {r.bucket for r in rows.select(self._bucket().alias("bucket")).distinct().collect()}
         self._index(rows, new)
         if old < 0:
-            self._publish(self._write(rows, new), new)
+            self._publish(self._written(rows, new), new)
             return new
-        again = self.read(old, touched)
-        told = self._write(rows.unionByName(again), new)
-        self._publish(self.manifest(old).where(~F.col("bucket").isin(touched)).unionByName(told) if touched else self.manifest(old), new)
+        touched = stored(rows.select(self._bucket().alias("bucket")).distinct(), "touched")
+        told = self._written(rows.unionByName(self.read(old, touched)), new)
+        self._publish(self.manifest(old).join(touched, "bucket", "left_anti").unionByName(told), new)
         return new
 
-    def rewrite(self, buckets: set[int], change: Callable[[DataFrame], DataFrame]) -> int:
+    def rewrite(self, buckets: set[int] | DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
         """Write these buckets again as change leaves their rows; the new generation, or the old one if there is none to write."""
-        old = self.generation()
-        if not buckets:
+        old, buckets = self.generation(), self._some(buckets)
+        if buckets.isEmpty():
             return old
-        told = self._write(change(self.read(old, buckets)), old + 1)
-        self._publish(self.manifest(old).where(~F.col("bucket").isin(buckets)).unionByName(told), old + 1)
+        told = self._written(change(self.read(old, buckets)), old + 1)
+        self._publish(self.manifest(old).join(buckets, "bucket", "left_anti").unionByName(told), old + 1)
         return old + 1
 
     def vacuum(self, keep: int = 2) -> None:
         """Forget all but the newest generations and delete bucket versions that none of these names."""
         every = self._generations("manifest")
         kept, gone = every[-keep:], every[:-keep]
-        named = {(b, v) for g in kept for b, v in self.versions(g).items()}
-        lost = {(b, v) for g in gone for b, v in self.versions(g).items()} - named
-        delete(self.spark, *[f"{self.path}/manifest/gen={g}" for g in gone], *[f"{self.path}/data/gen={v}/bucket={b}" for b, v in sorted(lost)])
+        if not gone:
+            return
+        told = lambda gs: reduce(DataFrame.union, [self.manifest(g).select("bucket", "version", "file") for g in gs]).distinct()
+        lost = stored(told(gone).join(told(kept), ["bucket", "version"], "left_anti").select("file").distinct(), "lost")
+        for g in kept:
+            self._move(stored(self.manifest(g).join(lost, "file", "left_semi"), "mixed"))
+        delete(self.spark, *[f"{self.path}/data/{r.file}" for r in lost.collect()])
+        delete(self.spark, *[f"{self.path}/manifest/gen={g}" for g in gone])
+
+    def _move(self, named: DataFrame) -> None:
+        """Write these buckets to new files, as they are and under their versions, and tell where they are."""
+        if named.isEmpty():
+            return
+        moves = self._generations("moved")
+        new = max(moves, default=-1) + 1
+        places = self._write(self._rows(named), f"moved={new}").select("bucket", "file")
+        places = named.select("bucket", "version").join(places, "bucket").select("bucket", "version", "file")
+        if moves:
+            before = self.spark.read.schema(MOVED).parquet(f"{self.path}/moved/gen={moves[-1]}")
+            places = places.unionByName(before.join(named, ["bucket", "version"], "left_anti"))
+        self._publish(places, new, "moved")
 
     # ---- planning
 
-    def with_accounts(self, dids: DataFrame) -> set[int]:
+    def _of_accounts(self, dids: DataFrame) -> DataFrame:
         """Buckets that may hold one of these accounts: the united bitmaps of the accounts' slots."""
         slots = dids.select(self._slot().alias("slot")).distinct()
         index = self.spark.read.schema("slot int, page long, bits binary").parquet(f"{self.path}/accounts")
@@ -151,25 +203,30 @@ class BucketedLog:
         each = pages.select("page", "bits", F.explode(F.sequence(F.lit(0), F.lit(PAGE_BITS - 1))).alias("bit"))
         byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         held = each.where(F.call_function("shiftright", byte, F.col("bit") % 8).bitwiseAND(1) == 1)
-        return {r.bucket for r in held.select(((F.col("page") - 1) * PAGE_BITS + F.col("bit")).alias("bucket")).collect()}
+        return held.select(((F.col("page") - 1) * PAGE_BITS + F.col("bit")).alias("bucket"))
 
-    def with_kinds(self, kinds: list[str] | None, collections: list[str] | None) -> set[int]:
+    def with_accounts(self, dids: DataFrame) -> set[int]:
+        """Buckets that may hold one of these accounts, as a set."""
+        return {r.bucket for r in self._of_accounts(dids).collect()}
+
+    def _of_kinds(self, kinds: list[str] | None, collections: list[str] | None) -> DataFrame:
         """Buckets with rows of these public kinds; collections bind commits only."""
         rows = self.spark.read.schema("bucket long, kind string, collection string").parquet(f"{self.path}/mentions")
         rows = rows.where(F.col("kind").isin(kinds)) if kinds else rows
         rows = rows.where((F.col("kind") != "commit") | F.col("collection").isin(collections)) if collections else rows
-        return {r.bucket for r in rows.select("bucket").distinct().collect()}
+        return rows.select("bucket").distinct()
+
+    def with_kinds(self, kinds: list[str] | None, collections: list[str] | None) -> set[int]:
+        """Buckets with rows of these public kinds, as a set."""
+        return {r.bucket for r in self._of_kinds(kinds, collections).collect()}
 
     def plan(self, dids: DataFrame | None = None, kinds: list[str] | None = None, collections: list[str] | None = None, after: int = 0, before: int | None = None) -> DataFrame:
         """Manifest rows of the buckets that may hold wanted rows; nothing wanted lies outside."""
         rows = self.manifest().where(F.col("max_seq") > after)
         rows = rows if before is None else rows.where(F.col("min_seq") <= before)
         if kinds or collections:
-            rows = rows.where(F.col("bucket").isin(self.with_kinds(kinds, collections)))
-        return rows if dids is None else rows.where(F.col("bucket").isin(self.with_accounts(dids)))
-
-    def _planned(self, dids: DataFrame, before: int | None = None) -> set[int]:
-        return {r.bucket for r in self.plan(dids, before=before).select("bucket").collect()}
+            rows = rows.join(self._of_kinds(kinds, collections), "bucket", "left_semi")
+        return rows if dids is None else rows.join(self._of_accounts(dids), "bucket", "left_semi")
 
     # ---- jobs; each can be run again without effect
 
@@ -181,25 +238,25 @@ class BucketedLog:
         """
         window = self.read(after=prev, before=watermark)
         records, dids = (stored(x, "killers") for x in fold_tombstones(window, prev, watermark))
-        planned = self._planned(records.select("did").unionByName(dids.select("did")), watermark)
+        planned = self.plan(records.select("did").unionByName(dids.select("did")), before=watermark)
         of = lambda rows: killed(rows, records, dids).withColumn("suppressed", F.col("suppressed") & (F.col("seq") <= watermark))
         removed = stored(of(self.read(buckets=planned)).where("suppressed").groupBy(self._bucket().alias("bucket")).agg(F.count("*").alias("removed")), "removed")
         keep = lambda rows: of(rows).where("NOT suppressed").select(*rows.columns)
-        return self.rewrite({r.bucket for r in removed.collect()}, keep), removed
+        return self.rewrite(removed, keep), removed
 
     def takedown(self, dids: DataFrame) -> int:
         """Remove all rows of these accounts."""
         dids = stored(dids.select("did").distinct(), "taken")
-        rows = self.read(buckets=self._planned(dids)).join(dids, "did", "left_semi")
-        touched = {r.bucket for r in rows.select(self._bucket().alias("bucket")).distinct().collect()}
+        rows = self.read(buckets=self.plan(dids)).join(dids, "did", "left_semi")
+        touched = stored(rows.select(self._bucket().alias("bucket")).distinct(), "touched")
         return self.rewrite(touched, lambda x: x.join(dids, "did", "left_anti").select(*x.columns))
 
     def import_timestamps(self, rows: DataFrame) -> int:
         """Patch indexed_at (and nothing else) by valid import rows; only buckets with a row that changes are written."""
         rules = stored(W.fold_rules(validate_import(rows)[0]), "rules")
         patched = lambda x: resolve_imported_time(x, rules)
-        changed = patched(self.read(buckets=self._planned(rules))).where("new_indexed_at <> indexed_at")
-        touched = {r.bucket for r in changed.select(self._bucket().alias("bucket")).distinct().collect()}
+        changed = patched(self.read(buckets=self.plan(rules))).where("new_indexed_at <> indexed_at")
+        touched = stored(changed.select(self._bucket().alias("bucket")).distinct(), "touched")
         return self.rewrite(touched, lambda x: patched(x).drop("indexed_at").withColumnRenamed("new_indexed_at", "indexed_at").select(*x.columns))
 
     def expire(self, now_micros: int, window_micros: int) -> int:

@@ -124,3 +124,11 @@ def test_expiry_drops_whole_buckets(made, tables):
     assert set(made.versions()) == {last}
     made.takedown(made.read().select("did").distinct())
     assert made.versions() == {} and made.read().count() == 0
+
+
+def test_files_follow_rows_not_buckets(made):
+    """Twenty buckets share a file per append; a bucket lies in one file."""
+    rows = made.manifest().collect()
+    assert len(files(made)) <= 4 < len(rows) and len({r.bucket for r in rows}) == len(rows)
+    made.compact(0, 10**6)
+    assert len(files(made)) <= 6 and sum(r.events for r in made.manifest().collect()) == made.read().count()
