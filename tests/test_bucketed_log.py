@@ -132,3 +132,18 @@ def test_files_follow_rows_not_buckets(made):
     assert len(files(made)) <= 4 < len(rows) and len({r.bucket for r in rows}) == len(rows)
     made.compact(0, 10**6)
     assert len(files(made)) <= 6 and sum(r.events for r in made.manifest().collect()) == made.read().count()
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_planned_buckets_are_no_literals_of_a_plan(made, tables, monkeypatch):
+    """An import hands the buckets that it plans and writes on as tables."""
+    handed, read, write = [], made.read, made.rewrite
+    monkeypatch.setattr(made, "read", lambda g=None, buckets=None, **k: handed.append(buckets) or read(g, buckets, **k))
+    monkeypatch.setattr(made, "rewrite", lambda buckets, change: handed.append(buckets) or write(buckets, change))
+    made.import_timestamps(tables.import_rows)
+    assert len(handed) >= 3 and all(hasattr(b, "sparkSession") for b in handed)
+    dids = tables.accounts.select("did")
+    assert " IN " not in plan_of(made.plan(dids)) and "INSET" not in plan_of(made.plan(dids))
