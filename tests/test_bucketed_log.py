@@ -166,3 +166,11 @@ def test_vacuum_takes_removed_rows_out_of_shared_files(spark, tables):
             assert sorted(r.seq for r in held.select("seq").collect()) == sorted(named)
         assert content(log.read()) == content(source.where(~F.col("did").isin(taken)))
         assert len(files(log)) <= 4
+
+
+def test_reading_opens_only_files_of_its_buckets(made):
+    opened = lambda rows: {f for f in rows.inputFiles() if "/data/" in f}
+    whole, low = opened(made.read()), opened(made.read(buckets={0, 1}))
+    assert low < whole and len(whole) <= 4
+    assert content(made.read(buckets={0, 1})) == content(made.read().where(F.col("seq") <= 2 * SPAN))
+    assert made.read(buckets=set()).count() == 0
