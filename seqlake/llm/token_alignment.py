@@ -141,15 +141,15 @@ class Encoders:
         known = self.cuts
         found = list(map(known.get, chain.from_iterable(cut)))
         new = list(dict.fromkeys(c for c, at in zip(chain.from_iterable(cut), found) if at is None))
+        new.sort(key=lambda c: c[-1].isspace())
         known.update(zip(new, range(len(known), len(known) + len(new))))
         place = np.array([known[c] if at is None else at for c, at in zip(chain.from_iterable(cut), found)] if new else found, np.int64)
         if new:
-            b = self.b.encode([c[1:] for c in new], num_threads=1)
-            a = [self.a.encode_ordinary(c) for c in new]
-            self.a_ids.add(*flat(a))
-            self.b_ids.add(*flat(b))
-            same = [self._text(x, self.a_bytes) == self._text(y, self.b_bytes) == c.encode() for c, x, y in zip(new, a, b)]
-            self.restored = np.append(self.restored, same)
+            data = [c.encode() for c in new]
+            a, b = self._a(new, data), flat(self.b.encode([c[1:] for c in new], num_threads=1))
+            self.a_ids.add(*a)
+            self.b_ids.add(*b)
+            self.restored = np.append(self.restored, self._same(*a, self.a_size, self.a_bytes, data) & self._same(*b, self.b_size, self.b_bytes, data))
         per_text = np.array([len(c) for c in cut], np.int64)
         text = np.repeat(np.arange(len(texts)), per_text)
         (na, a), (nb, b) = self.a_ids.take(place), self.b_ids.take(place)
@@ -160,10 +160,49 @@ class Encoders:
             gone = [k for k in lost if not (self._text(a[ends_a[k] - n_a[k]:ends_a[k]], self.a_bytes) == self._text(b[ends_b[k] - n_b[k]:ends_b[k]], self.b_bytes) == (" " + texts[k]).encode())]
             kept = ~np.isin(np.arange(len(texts)), gone)
             a, b, n_a, n_b = a[np.repeat(kept, n_a)], b[np.repeat(kept, n_b)], n_a * kept, n_b * kept
-        if len(known) > MOST_CUTS or max(map(len, new), default=0) > LONG_CUT:
+        if max(map(len, new), default=0) > LONG_CUT:
             self.forget_cuts()
+        elif len(known) > MOST_CUTS:
+            self._keep_cuts(np.bincount(place, minlength=len(known)))
         return [n_a, n_b, a, b]
 
+    def _keep_cuts(self, seen: np.ndarray) -> None:
+        """Remember only cuts that the last batch held twice or more, the most frequent ones, half of MOST_CUTS at most."""
+        kept = np.argsort(-seen, kind="stable")[:MOST_CUTS // 2]
+        kept = kept[seen[kept] > 1]
+        names, old, restored = list(self.cuts), (self.a_ids, self.b_ids), self.restored
+        self.forget_cuts()
+        self.cuts.update(zip([names[k] for k in kept.tolist()], range(len(kept))))
+        for pool, before in zip((self.a_ids, self.b_ids), old):
+            pool.add(*before.take(kept))
+        self.restored = restored[kept]
+
+    def _a(self, cuts: list[str], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of A tokens, A ids) of cuts, of which those that end in white space come last.
+
+        A cut begins with a space, and A joins none with a byte before it that isn't white, so the others
+        are encoded as one text, whose tokens end where cuts do.
+        """
+        n = next((k for k, c in enumerate(cuts) if c[-1].isspace()), len(cuts))
+        ids = np.array(self.a.encode_ordinary("".join(cuts[:n])), np.int32)
+        ends, want = np.cumsum(self.a_size[ids]), np.cumsum([len(x) for x in data[:n]])
+        last = np.searchsorted(ends, want)
+        if n and (len(last) == 0 or last[-1] != len(ids) - 1 or (ends[last] != want).any()):
+            return flat([self.a.encode_ordinary(c) for c in cuts])
+        sizes, rest = flat([self.a.encode_ordinary(c) for c in cuts[n:]])
+        return np.concatenate([np.diff(last, prepend=-1), sizes]), np.concatenate([ids, rest])
+
+    def _same(self, sizes: np.ndarray, ids: np.ndarray, size: np.ndarray, known: list[bytes], data: list[bytes]) -> np.ndarray:
+        """Whether the bytes of each cut's tokens are the cut's."""
+        n = len(data)
+        length = np.array([len(x) for x in data], np.int64)
+        got = np.bincount(np.repeat(np.arange(n), sizes), size[ids], n).astype(np.int64)
+        same = got == length
+        one, two = (np.frombuffer(x, np.uint8) for x in (self._text(ids.tolist(), known), b"".join(data)))
+        differ = one[np.repeat(same, got)] != two[np.repeat(same, length)]
+        same[np.repeat(np.flatnonzero(same), length[same])[differ]] = False
+        return same
+
     @staticmethod
     def _text(ids, known: list[bytes]) -> bytes:
         return b"".join([known[i] for i in ids])

@@ -113,3 +113,26 @@ def test_empty_table_and_query(spark, tmp_path, plain):
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     want = {r[0]: x for r, x in zip(rows, stats([r[1] for r in rows], plain))}
     assert {r.doc_id: tuple(r[c] for c in COLUMNS) for r in got.collect()} == want
+
+
+def test_frequent_cuts_are_remembered_and_new_ones_encoded_as_one_text(monkeypatch):
+    """Encoded one by one or as one text, with every kind of border; after each batch only what came twice is still known."""
+    enc = TA.Encoders(TA.BPE, TA.PIECES)
+    monkeypatch.setattr(TA, "MOST_CUTS", 10)
+    odd = [None, "", " ", "a  ", "b \n", "\n c", "it 's  x  y", "\x1c d\x1d e", "f▁ g", "　 ​ h ", "ﬁ Å \U0001f600", "x\u0085 y", "don 't ' s", "z" * 5000 + " q"]
+    for k in range(3):
+        texts = [*odd, *[f"common w{k}x{i} common été " for i in range(30)]]
+        calls, encode = [], enc.a.encode_ordinary
+        monkeypatch.setattr(enc.a, "encode_ordinary", lambda c: calls.append(c) or encode(c), raising=False)
+        n_a, n_b, a, b = enc.encode(texts if k else texts[len(odd):])
+        monkeypatch.setattr(enc.a, "encode_ordinary", encode)
+        assert len(calls) < 30
+        if not k:
+            assert " common" in enc.cuts and len(enc.cuts) <= 5
+        at_a = at_b = 0
+        for t, x, y in zip(texts if k else texts[len(odd):], n_a, n_b):
+            one, two = (encode(" " + t), enc.b.encode(t)) if t else ([], [])
+            whole = t and enc._text(one, enc.a_bytes) == enc._text(two, enc.b_bytes) == (" " + t).encode()
+            assert (list(a[at_a:at_a + x]), list(b[at_b:at_b + y])) == ((one, two) if whole else ([], [])), t
+            at_a, at_b = at_a + x, at_b + y
+        assert (at_a, at_b) == (len(a), len(b))
