@@ -107,24 +107,27 @@ class BucketedLog:
 
     # ---- writing
 
-    def _write(self, rows: DataFrame, folder: str) -> DataFrame:
-        """Write the buckets of rows to a folder; their manifest rows without a version.
+    def _write(self, rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
+        """Write the buckets of rows to a folder.
 
         A task writes the buckets of some extents to one file, and AQE gives small extents to one task.
         """
-        path = f"{self.path}/data/{folder}"
         extent = F.floor((F.col("seq") - 1) / self.span / max(1, EXTENT // self.span))
-        rows.repartition(extent).sortWithinPartitions("seq").write.mode("overwrite").option("compression", "zstd").parquet(path)
-        back = self.spark.read.schema(rows.select("seq", "witnessed_at").schema).parquet(path)
-        return back.select("*", self._bucket().alias("bucket"), self._place().alias("file")).groupBy("bucket", "file").agg(
+        rows.repartition(extent).sortWithinPartitions("seq").write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/data/{folder}")
+
+    def _told(self, folder: str, version: int) -> DataFrame:
+        """Manifest rows of the buckets in a folder."""
+        back = self.spark.read.schema("seq long, witnessed_at long").parquet(f"{self.path}/data/{folder}")
+        told = back.select("*", self._bucket().alias("bucket"), self._place().alias("file")).groupBy("bucket", "file").agg(
             F.count("*").alias("events"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),
             F.min("witnessed_at").alias("min_time"), F.max("witnessed_at").alias("max_time"),
         )
+        return stored(told.withColumn("version", F.lit(version)).select([c.split()[0] for c in MANIFEST.split(", ")]), "told")
 
     def _written(self, rows: DataFrame, generation: int) -> DataFrame:
         """Write the buckets of rows as a generation's versions; their manifest rows."""
-        told = self._write(rows, f"gen={generation}").withColumn("version", F.lit(generation))
-        return told.select([c.split()[0] for c in MANIFEST.split(", ")])
+        self._write(rows, f"gen={generation}")
+        return self._told(f"gen={generation}", generation)
 
     def _publish(self, rows: DataFrame, generation: int, folder: str = "manifest") -> None:
         """Make rows the manifest of a generation, by one rename."""
@@ -144,18 +147,25 @@ class BucketedLog:
         bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("bits")).write.mode("overwrite").parquet(f"{self.path}/accounts/gen={generation}")
 
     def append(self, rows: DataFrame) -> int:
-        """Add rows; buckets that hold some already are written again with both. The new generation."""
+        """Add rows, computed and written once; files with buckets that hold some already are written again with both. The new generation."""
         old, new = self.generation(), self.generation() + 1
+        folder = f"gen={new}"
         if old < 0:
             rows.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
-        rows = stored(rows, "append")
-        self._index(rows, new)
+        told = self._written(rows, new)
+        self._index(self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{folder}"), new)
         if old < 0:
-            self._publish(self._written(rows, new), new)
+            self._publish(told, new)
             return new
-        touched = stored(rows.select(self._bucket().alias("bucket")).distinct(), "touched")
-        told = self._written(rows.unionByName(self.read(old, touched)), new)
-        self._publish(self.manifest(old).join(touched, "bucket", "left_anti").unionByName(told), new)
+        before = self.manifest(old)
+        shared = stored(before.join(told.select("bucket"), "bucket", "left_semi"), "shared")
+        if not shared.isEmpty():
+            stale = told.join(shared.select("bucket"), "bucket", "left_semi").select("file").distinct()
+            mixed = stored(told.join(stale, "file", "left_semi"), "mixed")
+            self._write(self._rows(mixed.unionByName(shared)), folder, "append")
+            delete(self.spark, *[f"{self.path}/data/{r.file}" for r in mixed.select("file").distinct().collect()])
+            told = self._told(folder, new)
+        self._publish(before.join(told, "bucket", "left_anti").unionByName(told), new)
         return new
 
     def rewrite(self, buckets: set[int] | DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
@@ -186,7 +196,8 @@ class BucketedLog:
             return
         moves = self._generations("moved")
         new = max(moves, default=-1) + 1
-        places = self._write(self._rows(named), f"moved={new}").select("bucket", "file")
+        self._write(self._rows(named), f"moved={new}")
+        places = self._told(f"moved={new}", new).select("bucket", "file")
         places = named.select("bucket", "version").join(places, "bucket").select("bucket", "version", "file")
         if moves:
             before = self.spark.read.schema(MOVED).parquet(f"{self.path}/moved/gen={moves[-1]}")

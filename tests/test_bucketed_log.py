@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlake.catalog.tables import Tables
+from seqlake.operators.filters import validate_import
 from seqlake.plans import jobs as M
 from seqlake.scratch import new_path
+from seqlake.sources import bucketed
 from seqlake.sources.bucketed import BucketedLog
 
 SPAN = 50
@@ -174,3 +176,24 @@ def test_reading_opens_only_files_of_its_buckets(made):
     assert low < whole and len(whole) <= 4
     assert content(made.read(buckets={0, 1})) == content(made.read().where(F.col("seq") <= 2 * SPAN))
     assert made.read(buckets=set()).count() == 0
+
+
+def test_append_writes_rows_once_and_leaves_no_stale_copy(spark, tables, monkeypatch):
+    """Rows go to the log's files alone; of a bucket that two appends share, one copy is on disk."""
+    kept, held = [], bucketed.stored
+    monkeypatch.setattr(bucketed, "stored", lambda rows, name: kept.append(rows.columns) or held(rows, name))
+    log = BucketedLog(spark, new_path(spark, "bucketed"), SPAN, 256)
+    parts = [tables.log_cid.where(p) for p in ("seq % 3 = 0", "seq <= 30 AND seq % 3 > 0", "seq > 30 AND seq % 3 > 0")]
+    for part in parts:
+        log.append(part)
+        log.vacuum(1)
+        named, on_disk = log.read().select("seq"), spark.read.schema("seq long").parquet(*files(log))
+        assert sorted(r.seq for r in on_disk.collect()) == sorted(r.seq for r in named.collect())
+    assert content(log.read()) == content(tables.log_cid)
+    assert kept and not any("record" in c for c in kept)
+
+
+def test_import_rows_are_parsed_once(tables):
+    """A row's parts and time are columns of a generator, not copied into each test of them."""
+    plan = plan_of(validate_import(tables.import_rows)[0]).lower()
+    assert plan.count("stringsplitsql(") <= 3 and plan.count(r"\d{4}-\d\d") == 1
