@@ -299,10 +299,13 @@ def _align(bpe: str, pieces: str):
     return run
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bpe: str = BPE, pieces: str = PIECES) -> DataFrame:
     """(id, groups array<struct<a, b>>): the ids of the A and B tokens of every group, in order of the text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_align(bpe, pieces), ALIGNED)
+    return _texts(docs, id_col, text_col).mapInArrow(_align(bpe, pieces), ALIGNED)
 
 
 def _offsets(column: pa.ListArray) -> np.ndarray:
@@ -417,8 +420,18 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
 
 def links(aligned: DataFrame) -> DataFrame:
     """Per document of align(): sizes, links, best links, the sum of the links' counts and the digest of its groups."""
-    scratch = Scratch(aligned.sparkSession, "links")
-    chunks = scratch.save(aligned.mapInArrow(_chunks, CHUNK), "chunks")
+    return _links(aligned.mapInArrow(_chunks, CHUNK))
+
+
+def aligned_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bpe: str = BPE, pieces: str = PIECES) -> DataFrame:
+    """links(align(docs)), where a task makes chunks of the groups that it aligns: groups are neither written nor moved."""
+    aligned = _align(bpe, pieces)
+    return _links(_texts(docs, id_col, text_col).mapInArrow(lambda batches: _chunks(aligned(batches)), CHUNK))
+
+
+def _links(chunks: DataFrame) -> DataFrame:
+    scratch = Scratch(chunks.sparkSession, "links")
+    chunks = scratch.save(chunks, "chunks")
     counts = scratch.save(pair_counts(chunks), "counts")
     found = with_found(chunks.select("chunk", "pairs", "docs"), "pairs", counts, "pair", ["n", "best"])
     return found.select("docs", "found").mapInArrow(_told, LINKED)
@@ -426,8 +439,4 @@ def links(aligned: DataFrame) -> DataFrame:
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scratch = Scratch(spark, "aligned")
-    aligned = scratch.save(align(docs), "groups")
-    told = links(aligned)
-    scratch.drop(aligned)
-    return told.withColumnRenamed("id", "doc_id")
+    return aligned_links(docs).withColumnRenamed("id", "doc_id")

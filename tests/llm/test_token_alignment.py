@@ -136,3 +136,14 @@ def test_frequent_cuts_are_remembered_and_new_ones_encoded_as_one_text(monkeypat
             assert (list(a[at_a:at_a + x]), list(b[at_b:at_b + y])) == ((one, two) if whole else ([], [])), t
             at_a, at_b = at_a + x, at_b + y
         assert (at_a, at_b) == (len(a), len(b))
+
+
+def test_query_neither_writes_nor_moves_groups(spark, tmp_path, monkeypatch):
+    """Documents become chunks in the task that aligns them, with the figures that aligned groups give."""
+    docs = frame(spark, corpus(n=9))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    saved, save = [], TA.Scratch.save
+    monkeypatch.setattr(TA.Scratch, "save", lambda self, df, name="t": saved.append(df.columns) or save(self, df, name))
+    got = sorted(tuple(r) for r in TA.op11_token_alignment(spark, f"file://{tmp_path}").collect())
+    assert saved and not any("groups" in c for c in saved)
+    assert got == sorted(tuple(r) for r in TA.links(TA.align(docs)).collect())
