@@ -9,9 +9,9 @@ by ``vacuum``, which moves the buckets that are still named out of files that ho
 they went is a table of its own (``moved``, published like a manifest).
 
 Two indexes say which buckets may hold wanted rows. ``mentions`` has the kinds and collections of
-each bucket. ``accounts`` has, per slot of hashed accounts, a bitmap of the buckets that hold one of
-them; the bitmaps of several slots are united by Spark's bitmap aggregates. Rewrites take rows
-away or patch times, so both stay right without being written again: nothing wanted lies outside.
+each bucket. ``accounts`` has, per slot of hashed accounts, words of bits: a word has a bit for each of
+64 neighbouring buckets, set where one of the accounts is; those of several slots are united by bit_or. Rewrites
+take rows away or patch times, so both stay right without being written again: nothing wanted lies outside.
 
 Manifests and sets of buckets are tables; the driver holds a row per file, and a row per bucket only
 where a caller asks for a set. Rows of the log stay in Spark.
@@ -25,6 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from seqlake.functions import scalars as S
 from seqlake.operators import windows as W
@@ -35,8 +36,11 @@ from seqlake.scratch import delete, exists, stored
 
 MANIFEST = "bucket long, version int, events long, min_seq long, max_seq long, min_time long, max_time long, file string"
 MOVED = "bucket long, version int, file string"
+BOUNDS = {"min_seq": F.min, "max_seq": F.max, "min_time": F.min, "max_time": F.max}
+FOLDER = "_gen"  # data/_gen=3 holds what generation 3 wrote
 EXTENT = 1 << 17  # seqs whose buckets are written by one task
-PAGE_BITS = 32_768  # fixed value: bits of a bitmap of Spark's aggregates
+WORD = 64  # buckets of a word of the accounts' index
+SMALL = 1 << 20  # buckets that are sent to each task as they are
 
 
 class BucketedLog:
@@ -82,20 +86,22 @@ class BucketedLog:
             return buckets.select("bucket")
         return stored(self.spark.createDataFrame([(b,) for b in buckets], "bucket long"), "buckets")
 
-    def _place(self) -> Column:
-        """A row's file, as manifests name it."""
-        return F.substring_index("_metadata.file_path", "/data/", -1)
-
     def _rows(self, named: DataFrame) -> DataFrame:
-        """Rows of these buckets (bucket, file); only files that hold one of them are touched."""
-        named = stored(named.select("bucket", F.col("file").alias("_file")), "named")
+        """Rows of these buckets (bucket, file); only files that hold one of them are touched.
+
+        A folder holds a bucket once, so a row is known by its bucket and its folder's number.
+        """
+        folder = F.regexp_extract("file", f"^{FOLDER}=(-?[0-9]+)/", 1).cast("int")
+        named = stored(named.select("bucket", folder.alias(FOLDER), "file"), "named")
         schema = self.spark.read.parquet(f"{self.path}/schema").schema
-        paths = [f"{self.path}/data/{r[0]}" for r in named.select("_file").distinct().collect()]
-        if not paths:
+        files = named.groupBy("file").count().collect()
+        if not files:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*paths)
-        rows = rows.select("*", self._bucket().alias("bucket"), self._place().alias("_file"))
-        return rows.join(named, ["bucket", "_file"], "left_semi").select(schema.names)
+        rows = self.spark.read.schema(StructType([*schema.fields, StructField(FOLDER, IntegerType())])).option("basePath", f"{self.path}/data")
+        rows = rows.parquet(*[f"{self.path}/data/{r.file}" for r in files]).withColumn("bucket", self._bucket())
+        named = named.select("bucket", FOLDER)
+        named = F.broadcast(named) if sum(r["count"] for r in files) <= SMALL else named
+        return rows.join(named, ["bucket", FOLDER], "left_semi").select(schema.names)
 
     def read(self, generation: int | None = None, buckets: set[int] | DataFrame | None = None, after: int = 0, before: int | None = None) -> DataFrame:
         """Rows of a generation, of some buckets only, in a window of seqs; files without one of these buckets are not touched."""
@@ -107,27 +113,32 @@ class BucketedLog:
 
     # ---- writing
 
-    def _write(self, rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    def _folder(self, number: int) -> str:
+        """Generations write to folders of their own numbers, vacuum to those below 0."""
+        return f"{self.path}/data/{FOLDER}={number}"
+
+    def _write(self, rows: DataFrame, folder: int, mode: str = "overwrite") -> None:
         """Write the buckets of rows to a folder.
 
         A task writes the buckets of some extents to one file, and AQE gives small extents to one task.
         """
         extent = F.floor((F.col("seq") - 1) / self.span / max(1, EXTENT // self.span))
-        rows.repartition(extent).sortWithinPartitions("seq").write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/data/{folder}")
-
-    def _told(self, folder: str, version: int) -> DataFrame:
-        """Manifest rows of the buckets in a folder."""
-        back = self.spark.read.schema("seq long, witnessed_at long").parquet(f"{self.path}/data/{folder}")
-        told = back.select("*", self._bucket().alias("bucket"), self._place().alias("file")).groupBy("bucket", "file").agg(
-            F.count("*").alias("events"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),
-            F.min("witnessed_at").alias("min_time"), F.max("witnessed_at").alias("max_time"),
+        rows.repartition(extent).sortWithinPartitions("seq").write.mode(mode).option("compression", "zstd").parquet(self._folder(folder))
+
+    def _sums(self, folder: int, *also: Column) -> DataFrame:
+        """Events and bounds per bucket of a folder, its file, and what else rows are told apart by."""
+        back = self.spark.read.schema("seq long, witnessed_at long, kind string, collection string").parquet(self._folder(folder))
+        return back.groupBy(self._bucket().alias("bucket"), F.col("_metadata.file_name").alias("_name"), *also).agg(
+            F.count("*").alias("events"), *[f("seq" if "seq" in c else "witnessed_at").alias(c) for c, f in BOUNDS.items()]
         )
-        return stored(told.withColumn("version", F.lit(version)).select([c.split()[0] for c in MANIFEST.split(", ")]), "told")
 
-    def _written(self, rows: DataFrame, generation: int) -> DataFrame:
-        """Write the buckets of rows as a generation's versions; their manifest rows."""
-        self._write(rows, f"gen={generation}")
-        return self._told(f"gen={generation}", generation)
+    def _told(self, folder: int, version: int, sums: DataFrame | None = None) -> DataFrame:
+        """Manifest rows of the buckets in a folder, from its sums where they are known."""
+        told = self._sums(folder)
+        if sums is not None:
+            told = sums.groupBy("bucket", "_name").agg(F.sum("events").alias("events"), *[f(c).alias(c) for c, f in BOUNDS.items()])
+        file = F.concat(F.lit(f"{FOLDER}={folder}/"), "_name")
+        return stored(told.select("*", F.lit(version).alias("version"), file.alias("file")).select([c.split()[0] for c in MANIFEST.split(", ")]), "told")
 
     def _publish(self, rows: DataFrame, generation: int, folder: str = "manifest") -> None:
         """Make rows the manifest of a generation, by one rename."""
@@ -140,20 +151,23 @@ class BucketedLog:
         if not fs_path(hidden).getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(fs_path(hidden), fs_path(path)):
             raise ValueError(f"generation {generation} could not be published")
 
-    def _index(self, rows: DataFrame, generation: int) -> None:
-        rows = rows.withColumn("bucket", self._bucket())
-        rows.select("bucket", S.kind_class().alias("kind"), "collection").distinct().write.mode("overwrite").parquet(f"{self.path}/mentions/gen={generation}")
-        bits = rows.select(self._slot().alias("slot"), (F.col("bucket") + 1).alias("_b")).groupBy("slot", F.bitmap_bucket_number("_b").alias("page"))
-        bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("bits")).write.mode("overwrite").parquet(f"{self.path}/accounts/gen={generation}")
+    def _index(self, sums: DataFrame, generation: int) -> None:
+        """Write both indexes of a generation that was appended."""
+        sums.select("bucket", "kind", "collection").distinct().write.mode("overwrite").parquet(f"{self.path}/mentions/gen={generation}")
+        rows = self.spark.read.schema("seq long, did string").parquet(self._folder(generation))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bucket") % WORD).cast("int"))
+        rows = rows.select(self._slot().alias("slot"), self._bucket().alias("bucket")).groupBy("slot", F.floor(F.col("bucket") / WORD).alias("word"))
+        rows.agg(F.bit_or(bit).alias("bits")).write.mode("overwrite").parquet(f"{self.path}/accounts/gen={generation}")
 
     def append(self, rows: DataFrame) -> int:
         """Add rows, computed and written once; files with buckets that hold some already are written again with both. The new generation."""
         old, new = self.generation(), self.generation() + 1
-        folder = f"gen={new}"
         if old < 0:
             rows.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
-        told = self._written(rows, new)
-        self._index(self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{folder}"), new)
+        self._write(rows, new)
+        sums = stored(self._sums(new, S.kind_class().alias("kind"), F.col("collection")), "sums")
+        self._index(sums, new)
+        told = self._told(new, new, sums)
         if old < 0:
             self._publish(told, new)
             return new
@@ -162,9 +176,9 @@ class BucketedLog:
         if not shared.isEmpty():
             stale = told.join(shared.select("bucket"), "bucket", "left_semi").select("file").distinct()
             mixed = stored(told.join(stale, "file", "left_semi"), "mixed")
-            self._write(self._rows(mixed.unionByName(shared)), folder, "append")
+            self._write(self._rows(mixed.unionByName(shared)), new, "append")
             delete(self.spark, *[f"{self.path}/data/{r.file}" for r in mixed.select("file").distinct().collect()])
-            told = self._told(folder, new)
+            told = self._told(new, new)
         self._publish(before.join(told, "bucket", "left_anti").unionByName(told), new)
         return new
 
@@ -173,7 +187,8 @@ class BucketedLog:
         old, buckets = self.generation(), self._some(buckets)
         if buckets.isEmpty():
             return old
-        told = self._written(change(self.read(old, buckets)), old + 1)
+        self._write(change(self.read(old, buckets)), old + 1)
+        told = self._told(old + 1, old + 1)
         self._publish(self.manifest(old).join(buckets, "bucket", "left_anti").unionByName(told), old + 1)
         return old + 1
 
@@ -196,8 +211,8 @@ class BucketedLog:
             return
         moves = self._generations("moved")
         new = max(moves, default=-1) + 1
-        self._write(self._rows(named), f"moved={new}")
-        places = self._told(f"moved={new}", new).select("bucket", "file")
+        self._write(self._rows(named), -1 - new)
+        places = self._told(-1 - new, new).select("bucket", "file")
         places = named.select("bucket", "version").join(places, "bucket").select("bucket", "version", "file")
         if moves:
             before = self.spark.read.schema(MOVED).parquet(f"{self.path}/moved/gen={moves[-1]}")
@@ -207,14 +222,13 @@ class BucketedLog:
     # ---- planning
 
     def _of_accounts(self, dids: DataFrame) -> DataFrame:
-        """Buckets that may hold one of these accounts: the united bitmaps of the accounts' slots."""
+        """Buckets that may hold one of these accounts: the united words of the accounts' slots."""
         slots = dids.select(self._slot().alias("slot")).distinct()
-        index = self.spark.read.schema("slot int, page long, bits binary").parquet(f"{self.path}/accounts")
-        pages = index.join(slots, "slot", "left_semi").groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits"))
-        each = pages.select("page", "bits", F.explode(F.sequence(F.lit(0), F.lit(PAGE_BITS - 1))).alias("bit"))
-        byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        held = each.where(F.call_function("shiftright", byte, F.col("bit") % 8).bitwiseAND(1) == 1)
-        return held.select(((F.col("page") - 1) * PAGE_BITS + F.col("bit")).alias("bucket"))
+        index = self.spark.read.schema("slot int, word long, bits long").parquet(f"{self.path}/accounts")
+        words = index.join(slots, "slot", "left_semi").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        each = words.select("word", "bits", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))).alias("bit"))
+        held = each.where(F.call_function("shiftright", "bits", "bit").bitwiseAND(1) == 1)
+        return held.select((F.col("word") * WORD + F.col("bit")).alias("bucket"))
 
     def with_accounts(self, dids: DataFrame) -> set[int]:
         """Buckets that may hold one of these accounts, as a set."""

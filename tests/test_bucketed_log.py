@@ -197,3 +197,30 @@ def test_import_rows_are_parsed_once(tables):
     """A row's parts and time are columns of a generator, not copied into each test of them."""
     plan = plan_of(validate_import(tables.import_rows)[0]).lower()
     assert plan.count("stringsplitsql(") <= 3 and plan.count(r"\d{4}-\d\d") == 1
+
+
+def test_reads_know_their_rows_by_numbers_and_shuffle_none(spark, made):
+    """A read matches rows by bucket and folder number, not by a path per row, and sends the named buckets to its tasks whatever Spark's own limit."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = made.read()
+        assert rows.count() == sum(r.events for r in made.manifest().collect())
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "file_path" not in plan and "file_name" not in plan
+
+
+def test_index_of_accounts_follows_its_pairs(spark, tables):
+    """200 buckets, several words: an entry is numbers, at most one per slot and bucket, and every bucket of an account is found by it."""
+    log = BucketedLog(spark, new_path(spark, "bucketed"), 5, 1 << 16)
+    log.append(tables.log_cid)
+    index = spark.read.parquet(f"{log.path}/accounts")
+    held = log.read().select(log._slot().alias("slot"), log._bucket().alias("bucket"), "did").distinct().collect()
+    pairs = {(r.slot, r.bucket) for r in held}
+    assert {t for _, t in index.drop("gen").dtypes} <= {"int", "bigint"} and index.count() < len(pairs)
+    assert len({b // 64 for _, b in pairs}) > 2 and any(b % 64 == 63 for _, b in pairs)
+    for did in sorted({r.did for r in held})[:4]:
+        slot = {r.slot for r in held if r.did == did}
+        assert log.with_accounts(spark.createDataFrame([(did,)], "did string")) == {b for s, b in pairs if s in slot}
