@@ -40,7 +40,13 @@ BOUNDS = {"min_seq": F.min, "max_seq": F.max, "min_time": F.min, "max_time": F.m
 FOLDER = "_gen"  # data/_gen=3 holds what generation 3 wrote
 EXTENT = 1 << 17  # seqs whose buckets are written by one task
 WORD = 64  # buckets of a word of the accounts' index
-SMALL = 1 << 20  # buckets that are sent to each task as they are
+SMALL = 1 << 20  # named buckets that are broadcast at most
+ACCOUNTS = 1 << 18  # accounts that are broadcast at most
+
+
+def sent(accounts: DataFrame) -> DataFrame:
+    """A stored table of accounts, broadcast if it is counted as short enough; else Spark's size check picks the joins."""
+    return F.broadcast(accounts) if accounts.count() <= ACCOUNTS else accounts
 
 
 class BucketedLog:
@@ -262,8 +268,9 @@ class BucketedLog:
         accounts. (the generation, (bucket, removed) of the buckets that were written again.)
         """
         window = self.read(after=prev, before=watermark)
-        records, dids = (stored(x, "killers") for x in fold_tombstones(window, prev, watermark))
+        records, dids = (stored(x.drop("reason"), "killers") for x in fold_tombstones(window, prev, watermark))
         planned = self.plan(records.select("did").unionByName(dids.select("did")), before=watermark)
+        dids = sent(dids)
         of = lambda rows: killed(rows, records, dids).withColumn("suppressed", F.col("suppressed") & (F.col("seq") <= watermark))
         removed = stored(of(self.read(buckets=planned)).where("suppressed").groupBy(self._bucket().alias("bucket")).agg(F.count("*").alias("removed")), "removed")
         keep = lambda rows: of(rows).where("NOT suppressed").select(*rows.columns)
@@ -271,7 +278,7 @@ class BucketedLog:
 
     def takedown(self, dids: DataFrame) -> int:
         """Remove all rows of these accounts."""
-        dids = stored(dids.select("did").distinct(), "taken")
+        dids = sent(stored(dids.select("did").distinct(), "taken"))
         rows = self.read(buckets=self.plan(dids)).join(dids, "did", "left_semi")
         touched = stored(rows.select(self._bucket().alias("bucket")).distinct(), "touched")
         return self.rewrite(touched, lambda x: x.join(dids, "did", "left_anti").select(*x.columns))

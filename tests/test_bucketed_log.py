@@ -224,3 +224,30 @@ def test_index_of_accounts_follows_its_pairs(spark, tables):
     for did in sorted({r.did for r in held})[:4]:
         slot = {r.slot for r in held if r.did == did}
         assert log.with_accounts(spark.createDataFrame([(did,)], "did string")) == {b for s, b in pairs if s in slot}
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_short_tables_of_accounts_are_broadcast(spark, made, tables, monkeypatch, most):
+    """Whatever Spark's own limit: rows are not shuffled by did for few accounts, and many of them leave the same rows."""
+    monkeypatch.setattr(bucketed, "ACCOUNTS", most)
+    plans, write = [], made._write
+    monkeypatch.setattr(made, "_write", lambda rows, *a: plans.append(plan_of(rows)) or write(rows, *a))
+    limit, taken, w = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), tables.accounts.where("status = 'takendown'"), int(tables.top * 0.8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made.takedown(taken)
+        made.compact(0, w)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    hints = [p.count("strategy=broadcast") for p in plans]
+    assert hints == ([2, 2] if most else [1, 1])  # the named buckets and the accounts, or the former alone
+    assert content(made.read()) == content(M.compact(M.takedown(tables.log_cid, taken), 0, w))
+
+
+def test_compaction_folds_killers_by_hash(made, tables, monkeypatch):
+    """Killers are kept without their reasons, whose strings would have the window's rows sorted."""
+    kept, held = [], bucketed.stored
+    monkeypatch.setattr(bucketed, "stored", lambda rows, name: (kept.append((name, rows._jdf.queryExecution().executedPlan().toString())), held(rows, name))[1])
+    made.compact(0, int(tables.top * 0.8))
+    plans = [p for name, p in kept if name == "killers"]
+    assert len(plans) == 2 and all("HashAggregate" in p and "SortAggregate" not in p for p in plans)
