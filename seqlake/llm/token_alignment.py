@@ -12,7 +12,8 @@ tokens into groups, and all pairs of an A and a B token of one group are linked.
 3. windows of equal ids are aligned once: the groups of a window are memoised by its ids.
 4. counts: a chunk of documents (``chunks``) names each of its id pairs once, with the number of
    its documents that hold it. These are summed per pair over the corpus; an A id's highest is a
-   window over its pairs, as many as B has ids at most. Counts come back by chunk.
+   window over its pairs, as many as B has ids at most. Counts come back to the chunk as rows, and
+   meet its documents, which Spark moves as packed bytes, in a task that holds one chunk at a time.
 
 Defined results: null and empty texts, and texts that either tokenizer doesn't restore byte by byte
 (such as those with a literal U+2581), have no tokens; strings of special tokens are plain text;
@@ -22,6 +23,7 @@ own; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlake.llm.chunks import chunk_ids, with_found
+from seqlake.llm.chunks import chunk_ids
 from seqlake.llm.scratch import Scratch
 from seqlake.llm.text import mix
 
@@ -52,9 +54,10 @@ MOST_CUTS = 50_000  # distinct cuts and windows that a task remembers
 LONG_CUT = 4096  # characters of a cut that makes a task forget its cuts after the batch
 BATCH_BYTES = 2 << 20
 CHUNK_TOKENS = 600_000
+SLICE_LINKS = 100_000  # links that are listed at once
 
 ALIGNED = "id long, groups array<struct<a:array<int>,b:array<int>>>"
-CHUNK = "chunk long, pairs array<long>, held array<long>, docs array<struct<id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,at:array<int>,times:array<int>>>"
+CHUNK = "chunk long, pairs array<long>, held array<long>, docs binary"
 LINKED = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -316,11 +319,15 @@ def pairs_of(a: np.ndarray, b: np.ndarray, a_off: np.ndarray, b_off: np.ndarray)
     """(group, pair, times) of all groups: pairs a << 32 | b. Large groups name each pair once."""
     na, nb = np.diff(a_off), np.diff(b_off)
     small = na * nb <= 4096
-    g = np.flatnonzero(small)
-    row = np.repeat(g, (na * nb)[g])
-    k = ranges(np.zeros(len(g), np.int64), (na * nb)[g])
-    pair = (a[a_off[row] + k // nb[row]].astype(np.int64) << 32) | b[b_off[row] + k % nb[row]]
-    out = [(row, pair, np.ones(len(row), np.int64))]
+    every = np.flatnonzero(small)
+    sizes = (na * nb)[every]
+    parts = np.cumsum(sizes) // SLICE_LINKS
+    out = []
+    for g, n in zip(*(np.split(x, np.flatnonzero(np.diff(parts)) + 1) for x in (every, sizes))):
+        row = np.repeat(g, n)
+        k = ranges(np.zeros(len(g), np.int64), n)
+        pair = (a[a_off[row] + k // nb[row]].astype(np.int64) << 32) | b[b_off[row] + k % nb[row]]
+        out.append((row, pair, np.ones(len(row), np.int64)))
     for w in np.flatnonzero(~small):
         x, cx = np.unique(a[a_off[w]:a_off[w + 1]], return_counts=True)
         y, cy = np.unique(b[b_off[w]:b_off[w + 1]], return_counts=True)
@@ -342,13 +349,16 @@ def _chunk(number: int, ids: pa.Array, column: pa.ListArray) -> pa.RecordBatch:
     doc_off, a_off, b_off = _offsets(column), _offsets(groups.field("a")), _offsets(groups.field("b"))
     a, b = (np.asarray(groups.field(k).values) for k in ("a", "b"))
     row, pair, times = pairs_of(a, b, a_off, b_off)
-    doc = np.searchsorted(doc_off, row, "right") - 1
     coded = pc.dictionary_encode(pa.array(pair))
-    pairs, place = np.asarray(coded.dictionary), np.asarray(coded.indices).astype(np.int64)
+    pairs = np.asarray(coded.dictionary)
     span = max(len(pairs), 1)
-    key = doc * span + place
+    key = np.searchsorted(doc_off, row, "right") - 1
+    del row, pair
+    key *= span
+    key += np.asarray(coded.indices)
+    del coded
     if (times == 1).all():
-        key = np.sort(key)
+        key.sort()
         first = np.flatnonzero(np.diff(key, prepend=-1))
         key, times = key[first], np.diff(first, append=len(key))
     else:
@@ -360,16 +370,35 @@ def _chunk(number: int, ids: pa.Array, column: pa.ListArray) -> pa.RecordBatch:
     links = np.bincount(doc, times, n).astype(np.int64)
     text = groups_text(column)
     sha = ["" if not len(t) else hashlib.sha256(t.encode()).hexdigest() for t in text.to_pylist()]
-    docs = pa.StructArray.from_arrays(
+    docs = pa.RecordBatch.from_arrays(
         [
             ids, pa.array(a_off[doc_off[1:]] - a_off[doc_off[:-1]]), pa.array(b_off[doc_off[1:]] - b_off[doc_off[:-1]]), pa.array(np.diff(doc_off)),
-            pa.array(links), pa.array(sha, pa.string()), _list(pa.array(at.astype(np.int32)), per_doc), _list(pa.array(np.minimum(times, 2**31 - 1).astype(np.int32)), per_doc),
+            pa.array(links), pa.array(sha, pa.string()), _list(pa.array(np.diff(at, prepend=0).astype(np.int32)), per_doc), _list(pa.array(times), per_doc),
         ],
-        ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "at", "times"],
+        ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "step", "times"],
     )
     one = np.array([len(pairs)])
     held = np.bincount(at, minlength=len(pairs)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array([number]), _list(pa.array(pairs), one), _list(pa.array(held), one), _list(docs, np.array([n]))], ["chunk", "pairs", "held", "docs"])
+    return pa.RecordBatch.from_arrays([pa.array([number]), _list(pa.array(pairs), one), _list(pa.array(held), one), pa.array([_packed(docs)], pa.binary())], ["chunk", "pairs", "held", "docs"])
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def release() -> None:
+    """Give freed memory back: both allocators keep what a chunk took, and a worker stays when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,31 +409,37 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.append(batch)
         tokens += len(batch.column(1).flatten().field("a").flatten())
         if tokens >= CHUNK_TOKENS:
-            yield _chunk(next(number), *pa.Table.from_batches(rows).combine_chunks().to_batches()[0].columns)
-            rows, tokens = [], 0
+            del batch
+            yield _whole_chunk(next(number), rows)
+            tokens = 0
+            release()
     if rows:
-        yield _chunk(next(number), *pa.Table.from_batches(rows).combine_chunks().to_batches()[0].columns)
-
-
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the documents of chunks (docs, found), with what was found of their pairs."""
-    for batch in batches:
-        for docs, found in zip(batch.column("docs"), batch.column("found")):
-            docs, n = docs.values, len(docs)
-            at, times = docs.field("at"), docs.field("times")
-            off = _offsets(at)
-            at, times = np.asarray(at.values), np.asarray(times.values).astype(np.int64)
-            count, best = np.zeros(1, np.int64), np.zeros(1, bool)
-            if found.is_valid:
-                count, best = (found.values.field(k).to_numpy(zero_copy_only=False) for k in ("n", "best"))
-            doc = np.repeat(np.arange(n), np.diff(off))
-            at = at[off[0]:off[-1]]
-            times = times[off[0]:off[-1]]
-            total = [np.zeros(n, np.int64) for _ in range(2)]
-            np.add.at(total[0], doc, times * best[at])
-            np.add.at(total[1], doc, times * count[at])
-            own = [docs.field(k) for k in ("id", "n_a", "n_b", "n_groups", "n_links")]
-            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, total), docs.field("groups_sha256")], LINK_COLUMNS)
+        yield _whole_chunk(next(number), rows)
+    release()
+
+
+def _whole_chunk(number: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The chunk of these rows, which are let go."""
+    columns = pa.Table.from_batches(rows).combine_chunks().to_batches()[0].columns
+    rows.clear()
+    return _chunk(number, *columns)
+
+
+def _told(chunk: pa.Table, found: pa.Table) -> pa.Table:
+    """Rows of the documents of a chunk, with what was found of its pairs."""
+    docs = _unpacked(chunk.column("docs")[0].as_py())
+    off = _offsets(docs.column("step"))
+    at, times = np.cumsum(docs.column("step").values, dtype=np.int64), np.asarray(docs.column("times").values)
+    place = found.column("pos").to_numpy()
+    count, best = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+    count[place], best[place] = found.column("n").to_numpy(), found.column("best").to_numpy()
+    n = docs.num_rows
+    doc = np.repeat(np.arange(n), np.diff(off))
+    total = [np.zeros(n, np.int64) for _ in range(2)]
+    np.add.at(total[0], doc, times * best[at])
+    np.add.at(total[1], doc, times * count[at])
+    own = [docs.column(k) for k in ("id", "n_a", "n_b", "n_groups", "n_links")]
+    return pa.Table.from_arrays([*own, *map(pa.array, total), docs.column("groups_sha256")], LINK_COLUMNS)
 
 
 LINK_COLUMNS = [c.split()[0] for c in LINKED.split(", ")]
@@ -433,8 +468,8 @@ def _links(chunks: DataFrame) -> DataFrame:
     scratch = Scratch(chunks.sparkSession, "links")
     chunks = scratch.save(chunks, "chunks")
     counts = scratch.save(pair_counts(chunks), "counts")
-    found = with_found(chunks.select("chunk", "pairs", "docs"), "pairs", counts, "pair", ["n", "best"])
-    return found.select("docs", "found").mapInArrow(_told, LINKED)
+    found = chunks.select("chunk", F.posexplode("pairs").alias("pos", "pair")).join(counts, "pair").select(F.col("chunk").alias("of"), "pos", "n", "best")
+    return chunks.select("chunk", "docs").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_told, LINKED)
 
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:

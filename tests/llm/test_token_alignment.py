@@ -147,3 +147,51 @@ def test_query_neither_writes_nor_moves_groups(spark, tmp_path, monkeypatch):
     got = sorted(tuple(r) for r in TA.op11_token_alignment(spark, f"file://{tmp_path}").collect())
     assert saved and not any("groups" in c for c in saved)
     assert got == sorted(tuple(r) for r in TA.links(TA.align(docs)).collect())
+
+
+def test_counts_reach_documents_as_rows_and_bytes(spark, tmp_path):
+    """A chunk's documents are one packed value in Spark's memory, and no task gathers a chunk's counts as objects."""
+    frame(spark, corpus(n=9)).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = TA.op11_token_alignment(spark, f"file://{tmp_path}")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "docs" in plan
+    assert dict(f.split(" ", 1) for f in TA.CHUNK.split(", "))["docs"] == "binary"
+
+
+def test_packed_documents_keep_large_counts():
+    """One group of 50 000 equal tokens on both sides links a pair 2.5 billion times."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 50_000
+    tokens = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(np.full(n, k, np.int32))) for k in (3, 4)]
+    groups = TA._list(pa.StructArray.from_arrays(tokens, ["a", "b"]), np.array([1]))
+    chunk = pa.Table.from_batches([TA._chunk(0, pa.array([9]), groups)])
+    found = pa.table({"pos": pa.array([0], pa.int32()), "n": [1], "best": [True]})
+    assert TA._told(chunk, found).select(["n_links", "n_best", "count_sum"]).to_pylist() == [{"n_links": n * n, "n_best": n * n, "count_sum": n * n}]
+
+
+def test_a_worker_gives_back_what_its_chunks_took():
+    """When a task has ended, its worker holds little besides the tokenizers and what it remembers of cuts and windows."""
+    import subprocess
+    import sys
+
+    told = subprocess.run([sys.executable, "-c", """
+import random, re
+import pyarrow as pa
+from seqlake.llm import token_alignment as TA
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = random.Random(3)
+TA.chunk_ids = lambda: iter(range(9))
+vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(4000)]
+batches = [pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([" ".join(rng.choices(vocab, k=600)) for _ in range(300)])], ["id", "text"]) for _ in range(6)]
+TA.encoders(TA.BPE, TA.PIECES)
+began = held()
+made = sum(1 for c in TA._chunks(TA._align(TA.BPE, TA.PIECES)(iter(batches))))
+print(made, held() - began)
+"""], capture_output=True, text=True, check=True).stdout.split()
+    assert int(told[0]) >= 2
+    assert float(told[1]) < 40
